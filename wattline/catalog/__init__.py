@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panel_queries"]
+MODULES = ["panel_queries", "feature_queries", "news_queries", "score_queries"]
 
 
 def load():

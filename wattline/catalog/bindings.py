@@ -22,16 +22,18 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+def pick(values: list[str], index: str) -> Column:
+    """Entry number ``index`` (an SQL expression, taken modulo the length) of a list."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return F.expr(f"element_at(array({listed}), CAST(({index}) % {len(values)} AS INT) + 1)")
 
 
 def pick_sql(values: list[str], index: str) -> str:
     return f"{_list(values)}[CAST(({index}) % {len(values)} AS INTEGER) + 1]"
 
 
-def ba(index: str | Column) -> Column:
-    return pick(FEATURE_BAS, F.col(index) if isinstance(index, str) else index)
+def ba(index: str) -> Column:
+    return pick(FEATURE_BAS, index)
 
 
 def ba_sql(index: str) -> str:
@@ -83,7 +85,7 @@ def demand(t: Tables) -> DataFrame:
 
 
 def fuel_readings(t: Tables) -> DataFrame:
-    rows = events(t).select("period", F.col("ba_code").alias("respondent"), pick(FUELS, F.col("k")).alias("fueltype"), "value")
+    rows = events(t).select("period", F.col("ba_code").alias("respondent"), pick(FUELS, "k").alias("fueltype"), "value")
     return rows.groupBy("period", "respondent", "fueltype").agg(F.sum("value").alias("value"))
 
 
@@ -93,7 +95,7 @@ def fuel_mix(t: Tables) -> DataFrame:
 
 def daily_fuel_readings(t: Tables) -> DataFrame:
     """Fuel readings at day grain from order lines."""
-    fuel = pick(FUELS, F.col("l_partkey"))
+    fuel = pick(FUELS, "l_partkey")
     return (
         t.lineitem.select(
             F.col("l_shipdate").cast("timestamp").alias("period"), ba("l_suppkey").alias("respondent"), fuel.alias("fueltype"), "l_quantity"
@@ -171,7 +173,7 @@ def state_news(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     return (
         events(t)
-        .groupBy(F.to_date("ts").alias("article_date"), pick(STATES, F.col("user_id")).alias("state_code"))
+        .groupBy(F.to_date("ts").alias("article_date"), pick(STATES, "user_id").alias("state_code"))
         .agg(
             F.count(F.lit(1)).alias("total_energy_articles"),
             F.count_if(kind == "error").alias("grid_stress_articles"),
@@ -197,7 +199,7 @@ def risk_raw(t: Tables) -> DataFrame:
 
 
 def interchange(t: Tables) -> DataFrame:
-    to = ba(F.floor(F.col("user_id") / 12).cast("bigint"))
+    to = ba("user_id DIV 12")
     return (
         events(t)
         .select("period", F.col("ba_code").alias("fromba"), to.alias("toba"), "value")
@@ -214,8 +216,8 @@ def news(t: Tables) -> DataFrame:
     return t.documents.select(
         d.alias("event_id"),
         F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + minute * 60).alias("event_time"),
-        F.array(ba(d), ba(d * 5 + 1)).alias("ba_codes"),
-        pick(NEWS_TYPES, F.col("n_chars")).alias("event_type"),
+        F.array(ba("doc_id"), ba("doc_id * 5 + 1")).alias("ba_codes"),
+        pick(NEWS_TYPES, "n_chars").alias("event_type"),
         ((F.col("n_chars") % 201 - 100) / 100.0).alias("sentiment_score"),
         ((F.col("n_chars") % 101) / 100.0).alias("risk_magnitude"),
         "source",

@@ -6,11 +6,11 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+HOME: dict[str, str] = {}
 
 
 class Tables:
@@ -20,7 +20,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, df)  # footers are read once per table
+        return df
 
 
 def present(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -32,15 +34,16 @@ def present(df: DataFrame, digits: int = 4) -> DataFrame:
     scale = 10**digits
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, T.DoubleType | T.FloatType):
-            c = F.floor(c * scale + 0.50003) / scale
+            cols.append(f"floor({c} * {scale} + 0.50003D) / {scale} AS {c}")
         elif isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
+            cols.append(f"CAST({c} AS TIMESTAMP_NTZ) AS {c}")
         elif isinstance(f.dataType, T.IntegerType | T.ShortType):
-            c = c.cast("bigint")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            cols.append(f"CAST({c} AS BIGINT) AS {c}")
+        else:
+            cols.append(c)
+    return df.selectExpr(*cols)
 
 
 def oracle(ctes: dict[str, str], body: str, floats: str = "", digits: int = 4) -> str:
@@ -75,6 +78,7 @@ def query(name: str, sql: str | None = None, floats: str = "", digits: int = 4,
             return present(fn(Tables(spark, folder)), digits)
 
         QUERIES[name] = run
+        HOME[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             from wattline.catalog.bindings import CTES
 

@@ -120,4 +120,5 @@ def holiday_dates(first: dt.date, last: dt.date) -> list[dt.date]:
 def us_holidays(spark: SparkSession, year_from: int, year_to: int) -> DataFrame:
     """One row per observed holiday of the years: at most 12 rows a year."""
     days = holiday_dates(dt.date(year_from, 1, 1), dt.date(year_to, 12, 31))
-    return spark.createDataFrame([(d,) for d in days], "holiday_date date")
+    values = ", ".join(f"(DATE '{d.isoformat()}')" for d in days)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS holidays(holiday_date)")

@@ -37,3 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the shared folder, so lost executors do not lose the work."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For a result that several later passes read: each pass then reads the columns it needs and none
+    computes the result again, also when executors are lost in between.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

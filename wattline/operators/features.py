@@ -132,9 +132,9 @@ def panel_window_columns(w: WindowSpec) -> dict[str, Column]:
     }
 
 
-def add_panel_windows(df: DataFrame, chunk_rows: int = 2048) -> DataFrame:
+def add_panel_windows(df: DataFrame, chunk_rows: int = 2048, row: str | None = None) -> DataFrame:
     """The window stage of the feature build: one pass for every lag, mean, spread and spike column."""
-    return over_rows(df, BY, ORDER, panel_window_columns, back=168, chunk_rows=chunk_rows)
+    return over_rows(df, BY, ORDER, panel_window_columns, back=168, chunk_rows=chunk_rows, row=row)
 
 
 def halo_window(df: DataFrame, build, chunk: str = "month", halo: str = "7 days") -> DataFrame:
@@ -143,11 +143,10 @@ def halo_window(df: DataFrame, build, chunk: str = "month", halo: str = "7 days"
     Equal to the whole-key window on gap-free hours. With missing hours a chunk start sees fewer rows
     than ``over_rows`` would give it, as in a build that runs month by month.
     """
-    step = F.expr(f"INTERVAL {halo}")
     own = F.date_trunc(chunk, F.col(ORDER))
-    nxt = F.date_trunc(chunk, F.col(ORDER) + step)
+    last = F.date_trunc(chunk, F.col(ORDER) + F.expr(f"INTERVAL {halo}"))
     spread = df.withColumn("_own", own).withColumn(
-        "_chunk", F.explode(F.array_distinct(F.array(F.col("_own"), nxt)))
+        "_chunk", F.explode(F.sequence(F.col("_own"), last, F.expr(f"INTERVAL 1 {chunk}")))
     )
     w = Window.partitionBy(*BY, "_chunk").orderBy(ORDER)
     return spread.withColumns(build(w)).where(F.col("_chunk") == F.col("_own")).drop("_own", "_chunk")

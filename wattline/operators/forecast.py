@@ -13,6 +13,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.operators.ranks import medians, percentiles
 from wattline.operators.sequences import over_rows
@@ -34,7 +35,7 @@ def _season_terms(date: Column) -> dict[str, Column]:
     return terms
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(moments: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Ridge-stabilised least squares from the packed moments (X'X row by row, then X'y) of one key."""
     for batch in moments:

@@ -102,12 +102,15 @@ def patch_daily(target: DataFrame, src: DataFrame, cols: list[str], date: str, b
 
 
 def flag_dates(df: DataFrame, dates: DataFrame, date: str = "holiday_date", name: str = "is_holiday") -> DataFrame:
-    """Flag rows whose UTC day is listed; works with an empty list too."""
+    """Flag rows whose UTC day is listed; works with an empty list too.
+
+    The list holds distinct days, at most 366 a year, so it is broadcast.
+    """
     listed = dates.select(F.col(date).alias("_date")).distinct().withColumn("_hit", F.lit(True))
     return (
         df.drop(name)
         .withColumn("_date", F.to_date("period"))
-        .join(listed, "_date", "left")
+        .join(F.broadcast(listed), "_date", "left")
         .withColumn(name, F.coalesce("_hit", F.lit(False)))
         .drop("_date", "_hit")
     )

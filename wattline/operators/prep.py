@@ -1,4 +1,4 @@
-"""Model frame, splits and training samples."""
+"""Splits, imputation and training samples."""
 
 from __future__ import annotations
 
@@ -6,20 +6,9 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.measures import clip, crisis_weight, finite_or_null, flag_to_str
-from wattline.operators.features import holiday_neighbours, time_index
-from wattline.operators.quality import positive_target, select_variant
-from wattline.operators.ranks import medians, percentiles
+from wattline.operators.ranks import percentiles
 from wattline.operators.sequences import fill, over_rows
-from wattline.reference_data import (
-    CARRIED_COLUMNS,
-    HISTORY_HOURS,
-    HORIZON_HOURS,
-    NEWS_REALS,
-    SPLIT_DATES,
-    STATIC_REALS,
-    VARIANT_REALS,
-)
+from wattline.reference_data import HISTORY_HOURS, HORIZON_HOURS, SPLIT_DATES
 
 BY = ["ba_code"]
 
@@ -56,9 +45,23 @@ def encode(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def group_median(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """Fill NULLs with the exact median of their group."""
+    """Fill NULLs with the exact median of their group.
+
+    Medians are worked out only for the columns of a group that have a NULL there, which keeps the values
+    to rank few when little is missing.
+    """
     by = by or BY
-    mids = medians(df, by, cols).select(*by, *[F.col(c).alias(f"_med_{c}") for c in cols])
+    gaps = df.groupBy(*by).agg(
+        F.array_compact(F.array(*[F.when(F.count_if(F.col(c).isNull()) > 0, F.lit(c)) for c in cols])).alias("_gaps")
+    )
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])
+    asked = F.filter(pairs, lambda p: F.array_contains(F.col("_gaps"), p["name"]) & p["value"].isNotNull())
+    long = df.join(gaps, by).select(*by, F.explode(asked).alias("_p")).select(*by, "_p.name", "_p.value")
+    mids = (
+        percentiles(long, [*by, "name"], "value", {"median": 0.5})
+        .groupBy(*by)
+        .agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"_med_{c}") for c in cols])
+    )
     return df.join(mids, by, "left").withColumns({c: F.coalesce(c, f"_med_{c}") for c in cols}).select(*df.columns)
 
 
@@ -69,33 +72,6 @@ def impute(df: DataFrame, cols: list[str], by: list[str] | None = None, backward
     return group_median(carried, cols, by).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cols})
 
 
-def model_frame(features: DataFrame, variant: str = "C", scale: float = 2.0, backward: bool = True) -> DataFrame:
-    """The complete frame a model is trained on, for variant A, B or C."""
-    df = holiday_neighbours(time_index(features))
-    df = df.withColumns(
-        {
-            **{c: flag_to_str(F.col(c)) for c in ("is_weekend", "is_holiday")},
-            **{c: F.col(c).cast("string") for c in ("is_pre_holiday", "is_post_holiday")},
-            "renewable_pct": clip(F.col("renewable_pct"), 0.0, 100.0),
-        }
-    ).drop("oil_price")
-    present = set(df.columns)
-    carried = [c for c in dict.fromkeys([*CARRIED_COLUMNS, *VARIANT_REALS[variant]]) if c in present]
-    df = df.withColumns({c: F.col(c).cast("double") for c in carried})
-    df = fill(df, carried, BY, backward=backward)
-    df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STATIC_REALS if c in present})
-    df = select_variant(df, variant)
-    numeric = [n for n, t in df.dtypes if t == "double"]
-    df = df.withColumns({c: finite_or_null(F.col(c)) for c in numeric})
-    df = group_median(df, numeric)
-    # the target falls back like any other column, so only zero and negative demand is dropped here
-    df = df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in numeric})
-    df = positive_target(df)
-    signals = [F.col(c) for c in NEWS_REALS if c in df.columns]
-    weight = crisis_weight(signals, scale) if signals else F.lit(1.0)
-    return df.withColumn("weight", weight)
-
-
 def make_samples(
     df: DataFrame, enc: int = HISTORY_HOURS, dec: int = HORIZON_HOURS, target: str = "demand_mw", min_enc: int | None = None
 ) -> DataFrame:
@@ -120,13 +96,16 @@ def make_samples(
 
 
 def rolling_origins(
-    df: DataFrame, start: str, end: str, step: int = HORIZON_HOURS, enc: int = HISTORY_HOURS, dec: int = HORIZON_HOURS
+    df: DataFrame, start: str, end: str, step: int = HORIZON_HOURS, enc: int = HISTORY_HOURS, dec: int = HORIZON_HOURS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Forecast origins every ``step`` hours that have all of their history and future rows.
 
     Each row is handed to the few origins whose window it lies in (window / step of them) and counted;
-    no range join takes place. The window is [origin - enc, origin + dec).
+    no range join takes place. The window is [origin - enc, origin + dec); ``min_rows`` asks for fewer rows
+    than it has hours.
     """
+    min_rows = enc + dec if min_rows is None else min_rows
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     hours_in = F.floor((F.unix_timestamp("period") - F.unix_timestamp(first)) / 3600)
     # origin number k serves hours k*step - enc .. k*step + dec - 1
@@ -138,6 +117,6 @@ def rolling_origins(
     return (
         served.groupBy("ba_code", "_k")
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .where(F.col("n_rows") >= enc + dec)
+        .where(F.col("n_rows") >= min_rows)
         .select("ba_code", F.timestamp_seconds(F.unix_timestamp(first) + F.col("_k") * step * 3600).alias("origin"), "n_rows")
     )

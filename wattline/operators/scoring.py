@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.functions import errors
 from wattline.functions.measures import ratio
@@ -129,7 +130,7 @@ def ablation(metrics: DataFrame, cols: list[str], variant: str = "model") -> Dat
 # --- tests of equal accuracy --------------------------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail probability; applied to one row per test."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
@@ -243,6 +244,8 @@ def direction_acc(df: DataFrame, actual: Column, predicted: Column, by: list[str
 
 def spike_scores(df: DataFrame, by: list[str], label: str = "is_spike", score: str = "score", cut: float = 0.5) -> DataFrame:
     """Precision, recall, F1 at a cut and the area under the ROC curve by rank sums."""
+    if not by:
+        return spike_scores(df.withColumn("_all", F.lit(1)), ["_all"], label, score, cut).drop("_all")
     yes = F.col(label)
     called = F.col(score) >= cut
     counts = df.groupBy(*by).agg(

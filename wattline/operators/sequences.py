@@ -60,17 +60,18 @@ def over_rows(
     ahead: int = 0,
     chunk_rows: int = 2048,
     slice_by: Column | None = None,
+    row: str | None = None,
 ) -> DataFrame:
     """Row-frame window functions over chunks with a halo; same output as over whole keys.
 
     ``build`` gets a window ordered inside one chunk and returns the columns to add. It may look at most
     ``back`` rows back and ``ahead`` rows ahead. Each chunk of ``chunk_rows`` rows also receives the last
-    ``back`` rows of the chunk before it and the first ``ahead`` rows of the one after it, so the frames of
-    its own rows are complete whatever hours are missing. Halo rows are dropped at the end.
+    ``back`` rows of the chunk before it and the first ``ahead`` rows of the one after it, so the frames of its
+    own rows are complete whatever hours are missing. Halo rows are dropped at the end.
     """
     if max(back, ahead) > chunk_rows:
         raise ValueError("the halo must fit in one chunk")
-    numbered = number_rows(df, by, order, slice_by, "_row")
+    numbered = number_rows(df, by, order, slice_by, "_row") if row is None else df.withColumnRenamed(row, "_row")
     own = F.floor(F.col("_row") / chunk_rows)
     pos = F.col("_row") % chunk_rows
     homes = F.array_compact(

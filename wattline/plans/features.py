@@ -10,7 +10,8 @@ from wattline.functions.measures import cdd, default0, geo_risk, hdd, rate, supp
 from wattline.operators.aggregates import fuel_profiles, news_daily
 from wattline.operators.features import add_panel_windows, trailing_z
 from wattline.operators.joins import flag_dates, join_daily, join_fuel, join_weather, patch, patch_daily
-from wattline.operators.quality import between_half_open, only_bas
+from wattline.operators.quality import only_bas
+from wattline.operators.sequences import number_rows
 from wattline.reference_data import FEATURE_BAS
 
 EVENT_COLUMNS = [
@@ -41,14 +42,19 @@ def base_panel(
     end: str | None = None,
     bas: list[str] = FEATURE_BAS,
 ) -> DataFrame:
-    """Hourly rows with every joined signal, before any window.
+    """Hourly rows with every joined signal and their ``row_no``, before any window.
+
+    Rows are numbered on the demand table alone, so that counting them does not run the joins.
 
     The three hourly tables share the key (period, ba_code), so they are shuffled once by it. All daily
     tables are reduced to a row per day and broadcast.
     """
     panel = only_bas(demand, bas)
-    if start and end:
-        panel = between_half_open(panel, start, end)
+    if start is not None:
+        panel = panel.where(F.col("period") >= F.lit(start).cast("timestamp") - F.expr("INTERVAL 7 DAYS"))
+    if end is not None:
+        panel = panel.where(F.col("period") < F.lit(end).cast("timestamp"))
+    panel = number_rows(panel, ["ba_code"], "period")
     panel = join_weather(join_fuel(panel, fuel_mix), weather)
     panel = join_daily(panel, events, EVENT_COLUMNS, date="event_date")
     panel = join_daily(panel, gas, {"value": "gas_price"}, where=F.col("process_name") == "Spot Price")
@@ -93,13 +99,9 @@ def build_features(
     ``start`` and ``end`` bound the result; the week before ``start`` is read as well so that the trailing
     features of the first rows are complete.
     """
-    read_from = None if start is None else f"{start}"
-    base = base_panel(demand, fuel_mix, weather, events, gas, oil, outages, bas=bas)
-    if read_from and end:
-        week = F.lit(start).cast("timestamp") - F.expr("INTERVAL 7 DAYS")
-        base = base.where((F.col("period") >= week) & (F.col("period") < F.lit(end).cast("timestamp")))
-    out = add_panel_windows(base)
-    if read_from and end:
+    base = base_panel(demand, fuel_mix, weather, events, gas, oil, outages, start, end, bas)
+    out = add_panel_windows(base, row="row_no")
+    if start is not None:
         out = out.where(F.col("period") >= F.lit(start).cast("timestamp"))
     if holidays is None:
         holidays = us_holidays(demand.sparkSession, 2015, 2035)
