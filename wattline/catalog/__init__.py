@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panel_queries", "feature_queries", "news_queries", "score_queries"]
+MODULES = [
+    "panel_queries", "feature_queries", "news_queries", "score_queries", "risk_queries", "file_queries", "stream_queries",
+]
 
 
 def load():

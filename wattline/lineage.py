@@ -49,3 +49,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Redistribute rows before a step that makes far more work than their size suggests.
+
+    A stated number of partitions is kept as it is, where adaptive execution would merge small inputs into
+    one task.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *cols)

@@ -56,8 +56,8 @@ def explode_weather(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    return explode_weather(spark.read.schema(WEATHER_JSON).option("multiLine", True).json(path))
+def read_weather(spark: SparkSession, path: str, page_per_file: bool = True) -> DataFrame:
+    return explode_weather(spark.read.schema(WEATHER_JSON).option("multiLine", page_per_file).json(path))
 
 
 def _event_rows(df: DataFrame, names: dict[str, str]) -> DataFrame:
