@@ -402,7 +402,7 @@ def features(t: Tables) -> DataFrame:
 
 def forecasts(t: Tables) -> DataFrame:
     """Rows of both models from one window pass."""
-    from wattline.operators.sequences import over_rows
+    from wattline.operators.features import over_rows
     from wattline.reference_data import QUANTILE_COLUMNS, QUANTILES
 
     panel = demand(t).select("period", "ba_code", "demand_mw")

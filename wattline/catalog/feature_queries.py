@@ -278,7 +278,7 @@ def _(t):
     "temp_lag_24h",
 )
 def _(t):
-    from wattline.operators.sequences import over_rows
+    from wattline.operators.features import over_rows
 
     wt = b.weather(t).select("period", "ba_code", "temperature_2m")
     return over_rows(wt, ["ba_code"], "period", lambda w: {"temp_lag_24h": F.lag("temperature_2m", 24).over(w)}, back=24).drop("temperature_2m")

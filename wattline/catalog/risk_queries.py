@@ -170,7 +170,7 @@ def _hop(number: int, state: str, reach: str) -> dict[str, str]:
     return {
         f"pr{number}": f"SELECT r.src, r.dst, n.need, o.offer FROM {reach} r JOIN {state} n ON n.ba_code = r.dst AND n.need > 0 JOIN {state} o ON o.ba_code = r.src AND o.offer > 0",
         f"gv{number}": f"SELECT *, offer * need / greatest(sum(need) OVER (PARTITION BY src), offer) AS give FROM pr{number}",
-        f"st{number + 1}": f"""SELECT s.ba_code, need - coalesce(least(got, need), 0) AS need, greatest(offer - coalesce(spent, 0), 0) AS offer FROM {state} s
+        f"st{number + 1}": f"""SELECT s.ba_code, need - least(coalesce(got, 0), need) AS need, greatest(offer - coalesce(spent, 0), 0) AS offer FROM {state} s
             LEFT JOIN (SELECT dst, sum(give) AS got FROM gv{number} GROUP BY 1) g ON g.dst = s.ba_code LEFT JOIN (SELECT src, sum(give) AS spent FROM gv{number} GROUP BY 1) p ON p.src = s.ba_code""",
     }
 
@@ -295,14 +295,14 @@ def _(t):
 
 @query("spike_probabilities")
 def _(t):
-    f = stage(b.features(t).where("demand_lag_168h IS NOT NULL"), "features")
+    f = stage(b.features(t).where("demand_lag_24h IS NOT NULL"), "features")
     model = forecast.spike_model(f.where("period < '2024-01-25'"), iterations=5)
     return forecast.spike_probability(model, f.where("period >= '2024-01-25'")).select("period", "ba_code", "is_spike", "spike_prob")
 
 
 @query("feature_importance")
 def _(t):
-    f = stage(b.features(t).where("demand_lag_168h IS NOT NULL"), "features")
+    f = stage(b.features(t).where("demand_lag_24h IS NOT NULL"), "features")
     return forecast.importance(forecast.spike_model(f, iterations=5))
 
 

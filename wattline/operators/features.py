@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wattline.functions.measures import ratio
-from wattline.operators.sequences import over_rows
+from wattline.operators.sequences import over_rows as _over_rows
 
 BY = ["ba_code"]
 ORDER = "period"
@@ -15,6 +17,10 @@ ORDER = "period"
 FLAT = 1e-9
 
 
+# Areas come from a fixed list of codes (65 at most), which bounds every per-area and per-day table.
+over_rows = functools.partial(_over_rows, few_keys=True)
+
+
 # --- column builders over an ordered window ------------------------------------------------------
 
 
@@ -132,9 +138,12 @@ def panel_window_columns(w: WindowSpec) -> dict[str, Column]:
     }
 
 
-def add_panel_windows(df: DataFrame, chunk_rows: int = 2048, row: str | None = None) -> DataFrame:
+PANEL_BACK = 168
+
+
+def add_panel_windows(df: DataFrame, chunk_rows: int = 2048, plan: DataFrame | None = None) -> DataFrame:
     """The window stage of the feature build: one pass for every lag, mean, spread and spike column."""
-    return over_rows(df, BY, ORDER, panel_window_columns, back=168, chunk_rows=chunk_rows, row=row)
+    return over_rows(df, BY, ORDER, panel_window_columns, back=PANEL_BACK, chunk_rows=chunk_rows, plan=plan)
 
 
 def halo_window(df: DataFrame, build, chunk: str = "month", halo: str = "7 days") -> DataFrame:

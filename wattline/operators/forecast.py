@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.operators.features import over_rows
 from wattline.operators.ranks import medians, percentiles
-from wattline.operators.sequences import over_rows
 from wattline.reference_data import QUANTILE_COLUMNS, QUANTILES, SPIKE_FEATURES
 
 WEEKLY_TERMS, YEARLY_TERMS = 3, 4

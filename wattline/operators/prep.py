@@ -6,8 +6,9 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattline.operators.features import over_rows
 from wattline.operators.ranks import percentiles
-from wattline.operators.sequences import fill, over_rows
+from wattline.operators.sequences import fill
 from wattline.reference_data import HISTORY_HOURS, HORIZON_HOURS, SPLIT_DATES
 
 BY = ["ba_code"]

@@ -48,11 +48,12 @@ def percentile_bounds(
 ) -> DataFrame:
     """Per key and named percentile the two neighbouring values and the fraction between them.
 
-    Columns ``<name>_lo``, ``<name>_hi`` and ``<name>_frac`` for every name in ``ps``.
+    Columns ``<name>_lo``, ``<name>_hi`` and ``<name>_frac`` for every name in ``ps``, and the number of
+    values ``total``.
     """
     ranked = value_ranks(df, by, col, slices)
     first, last = F.col("cum") - F.col("n"), F.col("cum") - 1
-    aggs: list[Column] = []
+    aggs: list[Column] = [F.max("total").alias("total")]
     wanted = F.lit(False)
     for name, p in ps.items():
         pos = (F.col("total") - 1) * F.lit(float(p))

@@ -90,14 +90,17 @@ def station_tone(articles: DataFrame, miles: float = 100.0, by: tuple[str, ...]
 def consensus(submissions: DataFrame) -> DataFrame:
     """Median megawatts and median probability per (area, target); even counts take the floored mean."""
     by = ["ba_code", "target"]
-    out = None
-    for c, name in (("predicted_mw", "median_mw"), ("prob_bp", "median_prob_bp")):
-        mid = percentile_bounds(submissions, by, c, {"m": 0.5}).select(
-            *by, F.expr("CASE WHEN m_frac > 0 THEN (m_lo + m_hi) DIV 2 ELSE m_lo END").cast("bigint").alias(name)
-        )
-        out = mid if out is None else out.join(mid, by)
-    sizes = submissions.groupBy(*by).agg(F.count(F.lit(1)).alias("n_submissions"))
-    return out.join(sizes, by)
+    values = F.array(
+        *[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("value")) for c in ("predicted_mw", "prob_bp")]
+    )
+    long = submissions.select(*by, F.explode(values).alias("_v")).select(*by, "_v.name", "_v.value")
+    mids = percentile_bounds(long, [*by, "name"], "value", {"m": 0.5}, slices=8)
+    median = F.expr("CASE WHEN m_frac > 0 THEN (m_lo + m_hi) DIV 2 ELSE m_lo END").cast("bigint")
+    return mids.groupBy(*by).agg(
+        F.max(F.when(F.col("name") == "predicted_mw", median)).alias("median_mw"),
+        F.max(F.when(F.col("name") == "prob_bp", median)).alias("median_prob_bp"),
+        F.max("total").alias("n_submissions"),
+    )
 
 
 def node_stats(submissions: DataFrame, penalties: DataFrame, stake: int = 100) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from wattline.functions import errors
 from wattline.functions.measures import ratio
+from wattline.operators.features import over_rows
 from wattline.operators.quality import windows_at
 from wattline.operators.ranks import value_ranks
-from wattline.operators.sequences import over_rows
 from wattline.reference_data import CRISIS_WINDOWS, QUANTILE_COLUMNS, QUANTILES
 
 

@@ -51,43 +51,82 @@ def number_rows(
     )
 
 
+def chunk_plan(
+    df: DataFrame,
+    by: list[str],
+    order: str,
+    back: int = 0,
+    ahead: int = 0,
+    chunk_rows: int = 2048,
+    cell_by: Column | None = None,
+) -> DataFrame:
+    """One row per (key, cell): the chunk that owns its rows and all chunks that must see them.
+
+    A cell is a short stretch of the order column, by default a day. Cells are counted, their first row
+    number is the running total, and consecutive cells make up chunks of about ``chunk_rows`` rows. A cell
+    is also shown to every later chunk that starts within ``back`` rows of it and to every earlier chunk
+    that ends within ``ahead`` rows of it. Everything here works on cells, at most 366 a year and key.
+    """
+    cell_by = F.date_trunc("day", F.col(order)) if cell_by is None else cell_by
+    in_order = Window.partitionBy(*by).orderBy("_cell")
+    cells = (
+        df.select(*by, cell_by.alias("_cell"))
+        .groupBy(*by, "_cell")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_end", F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_start", F.col("_end") - F.col("_n"))
+        .withColumn("_own", F.floor(F.col("_start") / chunk_rows))
+    )
+    homes = [F.array("_own")]
+    # the next cell starts where this one ends, so its range frame tells who lies within reach
+    if back:
+        near = Window.partitionBy(*by).orderBy("_start").rangeBetween(0, back - 1)
+        cells = cells.withColumn("_after", F.collect_set("_own").over(near))
+        homes.append(F.coalesce(F.lead("_after").over(in_order), F.array().cast("array<bigint>")))
+    if ahead:
+        near = Window.partitionBy(*by).orderBy("_end").rangeBetween(-(ahead - 1), 0)
+        cells = cells.withColumn("_before", F.collect_set("_own").over(near))
+        homes.append(F.coalesce(F.lag("_before").over(in_order), F.array().cast("array<bigint>")))
+    return cells.select(*by, "_cell", "_own", F.array_distinct(F.concat(*homes)).alias("_homes"))
+
+
 def over_rows(
     df: DataFrame,
     by: list[str],
-    order: str | list[str],
+    order: str,
     build: Callable[[WindowSpec], dict[str, Column]],
     back: int = 0,
     ahead: int = 0,
     chunk_rows: int = 2048,
-    slice_by: Column | None = None,
-    row: str | None = None,
+    cell_by: Column | None = None,
+    plan: DataFrame | None = None,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Row-frame window functions over chunks with a halo; same output as over whole keys.
 
     ``build`` gets a window ordered inside one chunk and returns the columns to add. It may look at most
-    ``back`` rows back and ``ahead`` rows ahead. Each chunk of ``chunk_rows`` rows also receives the last
-    ``back`` rows of the chunk before it and the first ``ahead`` rows of the one after it, so the frames of its
-    own rows are complete whatever hours are missing. Halo rows are dropped at the end.
+    ``back`` rows back and ``ahead`` rows ahead, counted in rows, so frames are complete whatever hours are
+    missing. Rows go to every chunk that ``chunk_plan`` names for their cell and those shown as halo are
+    dropped at the end: one shuffle and one sort of the table.
+
+    ``plan`` may hold a chunk plan made on a narrower table with the same rows, for instance before joins.
+    ``few_keys`` says that the keys come from a fixed list, such as the area codes; the plan then has at
+    most a row per area and day and is broadcast. Otherwise Spark chooses the join by size.
     """
-    if max(back, ahead) > chunk_rows:
-        raise ValueError("the halo must fit in one chunk")
-    numbered = number_rows(df, by, order, slice_by, "_row") if row is None else df.withColumnRenamed(row, "_row")
-    own = F.floor(F.col("_row") / chunk_rows)
-    pos = F.col("_row") % chunk_rows
-    homes = F.array_compact(
-        F.array(
-            F.col("_own"),
-            F.when(pos >= chunk_rows - back, F.col("_own") + 1),
-            F.when((pos < ahead) & (F.col("_own") > 0), F.col("_own") - 1),
-        )
-    )
-    spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(homes))
-    w = Window.partitionBy(*by, "_chunk").orderBy("_row")
-    return (
-        spread.withColumns(build(w))
-        .where(F.col("_chunk") == F.col("_own"))
-        .drop("_row", "_own", "_chunk")
+    cell_by = F.date_trunc("day", F.col(order)) if cell_by is None else cell_by
+    if plan is None:
+        plan = chunk_plan(df, by, order, back, ahead, chunk_rows, cell_by)
+    if few_keys:
+        plan = F.broadcast(plan)
+    spread = (
+        df.withColumn("_cell", cell_by)
+        .join(plan, [*by, "_cell"])
+        .drop("_cell")
+        .withColumn("_chunk", F.explode("_homes"))
+        .drop("_homes")
     )
+    w = Window.partitionBy(*by, "_chunk").orderBy(order)
+    return spread.withColumns(build(w)).where(F.col("_chunk") == F.col("_own")).drop("_own", "_chunk")
 
 
 def fill(
@@ -97,12 +136,13 @@ def fill(
     order: str = "period",
     backward: bool = True,
     slice_by: Column | None = None,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Last known value forward, then (optionally) first known value backward, per key.
 
     The value that enters a slice from earlier ones (or, backward, from later ones) is found on a table
     with one row per slice, so a gap may span any number of slices. Backward fill looks into the future;
-    turn it off where that matters.
+    turn it off where that matters. ``few_keys``: see ``over_rows``.
     """
     slice_by = month_slice(order) if slice_by is None else slice_by
     keys = [*by, "_slice"]
@@ -120,6 +160,8 @@ def fill(
     if backward:
         carried += [F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_out_{c}") for c in cols]
     borders = sliced.groupBy(*keys).agg(*edge).select(*keys, *carried)
+    if few_keys:
+        borders = F.broadcast(borders)
     inside = Window.partitionBy(*keys).orderBy(order)
     past = inside.rowsBetween(Window.unboundedPreceding, 0)
     future = inside.rowsBetween(0, Window.unboundedFollowing)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from wattline.functions.calendar import dow0, hour_of, is_weekend, month_of, us_holidays
 from wattline.functions.measures import cdd, default0, geo_risk, hdd, rate, supply_margin
 from wattline.operators.aggregates import fuel_profiles, news_daily
-from wattline.operators.features import add_panel_windows, trailing_z
+from wattline.operators.features import PANEL_BACK, add_panel_windows, trailing_z
 from wattline.operators.joins import flag_dates, join_daily, join_fuel, join_weather, patch, patch_daily
 from wattline.operators.quality import only_bas
-from wattline.operators.sequences import number_rows
+from wattline.operators.sequences import chunk_plan
 from wattline.reference_data import FEATURE_BAS
 
 EVENT_COLUMNS = [
@@ -30,6 +30,16 @@ FEATURE_COLUMNS = [
 ]
 
 
+def demand_rows(demand: DataFrame, start: str | None, end: str | None, bas: list[str]) -> DataFrame:
+    """Demand of the listed areas in [start - 7 days, end)."""
+    panel = only_bas(demand, bas)
+    if start is not None:
+        panel = panel.where(F.col("period") >= F.lit(start).cast("timestamp") - F.expr("INTERVAL 7 DAYS"))
+    if end is not None:
+        panel = panel.where(F.col("period") < F.lit(end).cast("timestamp"))
+    return panel
+
+
 def base_panel(
     demand: DataFrame,
     fuel_mix: DataFrame,
@@ -42,19 +52,12 @@ def base_panel(
     end: str | None = None,
     bas: list[str] = FEATURE_BAS,
 ) -> DataFrame:
-    """Hourly rows with every joined signal and their ``row_no``, before any window.
-
-    Rows are numbered on the demand table alone, so that counting them does not run the joins.
+    """Hourly rows with every joined signal, before any window.
 
     The three hourly tables share the key (period, ba_code), so they are shuffled once by it. All daily
     tables are reduced to a row per day and broadcast.
     """
-    panel = only_bas(demand, bas)
-    if start is not None:
-        panel = panel.where(F.col("period") >= F.lit(start).cast("timestamp") - F.expr("INTERVAL 7 DAYS"))
-    if end is not None:
-        panel = panel.where(F.col("period") < F.lit(end).cast("timestamp"))
-    panel = number_rows(panel, ["ba_code"], "period")
+    panel = demand_rows(demand, start, end, bas)
     panel = join_weather(join_fuel(panel, fuel_mix), weather)
     panel = join_daily(panel, events, EVENT_COLUMNS, date="event_date")
     panel = join_daily(panel, gas, {"value": "gas_price"}, where=F.col("process_name") == "Spot Price")
@@ -100,7 +103,9 @@ def build_features(
     features of the first rows are complete.
     """
     base = base_panel(demand, fuel_mix, weather, events, gas, oil, outages, start, end, bas)
-    out = add_panel_windows(base, row="row_no")
+    # chunks are planned on the demand rows alone, so that counting them runs none of the joins
+    chunks = chunk_plan(demand_rows(demand, start, end, bas), ["ba_code"], "period", back=PANEL_BACK)
+    out = add_panel_windows(base, plan=chunks)
     if start is not None:
         out = out.where(F.col("period") >= F.lit(start).cast("timestamp"))
     if holidays is None:

@@ -32,7 +32,7 @@ def model_frame(features: DataFrame, variant: str = "C", scale: float = 2.0, bac
     carried = [c for c in dict.fromkeys([*CARRIED_COLUMNS, *VARIANT_REALS[variant]]) if c in present]
     df = df.withColumns({c: F.col(c).cast("double") for c in carried})
     df = stage(df, "holidays")
-    df = stage(fill(df, carried, BY, backward=backward), "filled")
+    df = stage(fill(df, carried, BY, backward=backward, few_keys=True), "filled")
     df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STATIC_REALS if c in present})
     df = select_variant(df, variant)
     numeric = [n for n, t in df.dtypes if t == "double"]

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wattline.functions.measures import ratio
-from wattline.operators.features import latest_n, spike_flag_over, spike_magnitude_over
+from wattline.operators.features import latest_n, over_rows, spike_flag_over, spike_magnitude_over
 from wattline.operators.risk import consensus
-from wattline.operators.sequences import over_rows
 from wattline.sinks import table_exists, write_merge
 
 
