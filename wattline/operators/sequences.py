@@ -153,22 +153,22 @@ def fill(
         edge.append(F.max_by(c, known).alias(f"_last_{c}"))
         if backward:
             edge.append(F.min_by(c, known).alias(f"_first_{c}"))
-    slices = Window.partitionBy(*by).orderBy("_slice")
-    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    later = slices.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in falling order: a frame that grows costs one step per row, one that
+    # shrinks would be worked out anew for every row
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in cols]
     if backward:
-        carried += [F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_out_{c}") for c in cols]
+        carried += [F.last(f"_first_{c}", ignorenulls=True).over(later).alias(f"_out_{c}") for c in cols]
     borders = sliced.groupBy(*keys).agg(*edge).select(*keys, *carried)
     if few_keys:
         borders = F.broadcast(borders)
-    inside = Window.partitionBy(*keys).orderBy(order)
-    past = inside.rowsBetween(Window.unboundedPreceding, 0)
-    future = inside.rowsBetween(0, Window.unboundedFollowing)
+    past = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    future = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     filled = {}
     for c in cols:
         steps = [F.last(c, ignorenulls=True).over(past), F.col(f"_in_{c}")]
         if backward:
-            steps += [F.first(c, ignorenulls=True).over(future), F.col(f"_out_{c}")]
+            steps += [F.last(c, ignorenulls=True).over(future), F.col(f"_out_{c}")]
         filled[c] = F.coalesce(*steps)
     return sliced.join(borders, keys).withColumns(filled).select(*df.columns)
