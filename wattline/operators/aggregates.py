@@ -172,8 +172,8 @@ def extreme_day_test(
     daily: DataFrame, stress: str = "grid_stress", q: float = 0.95, means: tuple[str, ...] = ("demand_z", "tone")
 ) -> DataFrame:
     """Mean demand and tone on days above the stress percentile of their area against all other days."""
-    cut = percentiles(daily, ["ba_code"], stress, {"_cut": q})
-    marked = daily.join(cut, "ba_code").withColumn("is_extreme", F.col(stress) > F.col("_cut"))
+    cut = percentiles(daily, ["ba_code"], stress, {"_cut": q}, few_keys=True)
+    marked = daily.join(F.broadcast(cut), "ba_code").withColumn("is_extreme", F.col(stress) > F.col("_cut"))
     return marked.groupBy("ba_code", "is_extreme").agg(
         F.count(F.lit(1)).alias("n_days"), *[F.avg(c).alias(f"avg_{c}") for c in means]
     )
@@ -181,10 +181,10 @@ def extreme_day_test(
 
 def spike_catalogue(panel: DataFrame, q: float = 0.95, c: str = "demand_mw", temp: str = "temperature_c") -> DataFrame:
     """Hours above the area's percentile per month: number, share of the month's hours, mean temperature."""
-    cut = percentiles(panel, ["ba_code"], c, {"_cut": q})
+    cut = percentiles(panel, ["ba_code"], c, {"_cut": q}, few_keys=True)
     high = F.col(c) > F.col("_cut")
     return (
-        panel.join(cut, "ba_code")
+        panel.join(F.broadcast(cut), "ba_code")
         .groupBy("ba_code", F.month("period").alias("month"))
         .agg(
             F.count_if(high).alias("n_spikes"),

@@ -72,7 +72,8 @@ def decompose(daily: DataFrame, train_end: str | None = None) -> DataFrame:
                 total = total + F.col("_beta")[i] * F.col(n)
         return total
 
-    return rows.join(fitted, "ba_code").select(
+    # one row per area
+    return rows.join(F.broadcast(fitted), "ba_code").select(
         "ba_code",
         "date",
         part(("one", "trend")).alias("prophet_trend"),
@@ -144,10 +145,10 @@ def forecast(
     cut = F.lit(train_end).cast("timestamp")
     past = pred.where(F.col("period") < cut).select("ba_code", F.hour("period").alias("hour"), (F.col(c) - F.col("q50")).alias("_res"))
     names = [f"q{round(q * 100):02d}" for q in quantiles]
-    spread = percentiles(past, ["ba_code", "hour"], "_res", {f"_{n}": q for n, q in zip(names, quantiles, strict=True)}, slices=8)
+    spread = percentiles(past, ["ba_code", "hour"], "_res", {f"_{n}": q for n, q in zip(names, quantiles, strict=True)}, slices=8, few_keys=True)
     ahead = pred.where(F.col("period") >= cut).withColumn("hour", F.hour("period"))
     base = F.col("q50")
-    return ahead.withColumn("_base", base).join(spread, ["ba_code", "hour"], "left").select(
+    return ahead.withColumn("_base", base).join(F.broadcast(spread), ["ba_code", "hour"], "left").select(
         "period",
         "ba_code",
         F.lit("seasonal").alias("model"),
@@ -194,14 +195,17 @@ def load_profiles(panel: DataFrame, k: int = 4, c: str = "demand_mw", seed: int
 
 
 def anomalies(df: DataFrame, c: str, by: list[str] | None = None, cut: float = 3.5) -> DataFrame:
-    """Robust z-score (median, median absolute deviation) and a flag beyond ``cut``."""
+    """Robust z-score (median, median absolute deviation) and a flag beyond ``cut``.
+
+    Groups are areas (a fixed list), so their two statistics are broadcast.
+    """
     by = by or ["ba_code"]
-    centre = medians(df, by, [c]).withColumnRenamed(c, "_med")
-    off = df.join(centre, by).withColumn("_dev", F.abs(F.col(c) - F.col("_med")))
-    scale = medians(off, by, ["_dev"]).withColumnRenamed("_dev", "_mad")
+    centre = medians(df, by, [c], few_keys=True).withColumnRenamed(c, "_med")
+    off = df.join(F.broadcast(centre), by).withColumn("_dev", F.abs(F.col(c) - F.col("_med")))
+    scale = medians(off, by, ["_dev"], few_keys=True).withColumnRenamed("_dev", "_mad")
     z = F.lit(0.6745) * (F.col(c) - F.col("_med")) / F.when(F.col("_mad") > 0, F.col("_mad"))
     return (
-        off.join(scale, by)
+        off.join(F.broadcast(scale), by)
         .withColumn("robust_z", z)
         .withColumn("is_anomaly", F.coalesce(F.abs("robust_z") > cut, F.lit(False)))
         .drop("_med", "_dev", "_mad")

@@ -79,13 +79,14 @@ def map_states(news: DataFrame, state: str = "state_code") -> DataFrame:
     return news.select("*", F.explode(F.try_element_at(ba_state_map(), F.col(state))).alias("ba_code"))
 
 
-def patch(target: DataFrame, src: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
+def patch(target: DataFrame, src: DataFrame, on: list[str], cols: list[str], bounded: bool = False) -> DataFrame:
     """``UPDATE ... FROM``: on a key match the columns take the source's value, NULLs included.
 
-    The source must be unique per key.
+    The source must be unique per key. ``bounded`` says that it has at most one row per area or per area
+    and day; it is then broadcast, and a large area is not gathered by the join.
     """
     renamed = src.select(*on, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in cols])
-    joined = target.join(renamed, on, "left")
+    joined = target.join(F.broadcast(renamed) if bounded else renamed, on, "left")
     hit = F.col("_hit").isNotNull()
     values = {
         c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in target.columns else F.col(f"_new_{c}")
@@ -98,7 +99,7 @@ def patch(target: DataFrame, src: DataFrame, on: list[str], cols: list[str]) ->
 def patch_daily(target: DataFrame, src: DataFrame, cols: list[str], date: str, by: list[str] | None = None) -> DataFrame:
     """Patch hourly rows from a table with one row per day (and key)."""
     keyed = src.withColumn("_date", F.to_date(date)).drop(*([date] if date != "_date" else []))
-    return patch(target.withColumn("_date", F.to_date("period")), keyed, [*(by or []), "_date"], cols).drop("_date")
+    return patch(target.withColumn("_date", F.to_date("period")), keyed, [*(by or []), "_date"], cols, bounded=True).drop("_date")
 
 
 def flag_dates(df: DataFrame, dates: DataFrame, date: str = "holiday_date", name: str = "is_holiday") -> DataFrame:

@@ -49,7 +49,8 @@ def group_median(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
     """Fill NULLs with the exact median of their group.
 
     Medians are worked out only for the columns of a group that have a NULL there, which keeps the values
-    to rank few when little is missing.
+    to rank few when little is missing. Groups are areas, or keys from a list as short: their medians are
+    broadcast.
     """
     by = by or BY
     gaps = df.groupBy(*by).agg(
@@ -57,13 +58,13 @@ def group_median(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
     )
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])
     asked = F.filter(pairs, lambda p: F.array_contains(F.col("_gaps"), p["name"]) & p["value"].isNotNull())
-    long = df.join(gaps, by).select(*by, F.explode(asked).alias("_p")).select(*by, "_p.name", "_p.value")
+    long = df.join(F.broadcast(gaps), by).select(*by, F.explode(asked).alias("_p")).select(*by, "_p.name", "_p.value")
     mids = (
-        percentiles(long, [*by, "name"], "value", {"median": 0.5})
+        percentiles(long, [*by, "name"], "value", {"median": 0.5}, few_keys=True)
         .groupBy(*by)
         .agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"_med_{c}") for c in cols])
     )
-    return df.join(mids, by, "left").withColumns({c: F.coalesce(c, f"_med_{c}") for c in cols}).select(*df.columns)
+    return df.join(F.broadcast(mids), by, "left").withColumns({c: F.coalesce(c, f"_med_{c}") for c in cols}).select(*df.columns)
 
 
 def impute(df: DataFrame, cols: list[str], by: list[str] | None = None, backward: bool = True) -> DataFrame:

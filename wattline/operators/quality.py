@@ -189,7 +189,7 @@ def demand_audit(df: DataFrame, p: float = 0.99, c: str = "demand_mw") -> DataFr
     basic = df.groupBy("ba_code").agg(
         F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.avg(c).alias("avg_value")
     )
-    return basic.join(percentiles(df, ["ba_code"], c, {"p_value": p}), "ba_code", "left")
+    return basic.join(percentiles(df, ["ba_code"], c, {"p_value": p}, few_keys=True), "ba_code", "left")
 
 
 def count_nulls(df: DataFrame, by: list[str], c: str = "demand_mw") -> DataFrame:

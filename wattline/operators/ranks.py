@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 SLICES = 64
 
 
-def value_ranks(df: DataFrame, by: list[str], col: str, slices: int = SLICES) -> DataFrame:
-    """One row per (key, distinct value): count ``n``, rows up to and including it ``cum``, key ``total``."""
+def value_ranks(df: DataFrame, by: list[str], col: str, slices: int = SLICES, few_keys: bool = False) -> DataFrame:
+    """One row per (key, distinct value): count ``n``, rows up to and including it ``cum``, key ``total``.
+
+    ``few_keys`` says that the keys come from a fixed list, such as area codes; the cut points (one row per
+    key) are then broadcast, so a key with a third of all rows stays spread out.
+    """
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
     marks = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(F.col(col).cast("double"), marks, 1000).alias("_cuts"), F.sum("n").alias("total")
     )
     if by:
-        with_cuts = counts.join(cuts, by)
+        with_cuts = counts.join(F.broadcast(cuts) if few_keys else cuts, by)
     else:
         one = cuts.select(F.struct("_cuts", "total").alias("_one")).scalar()
         with_cuts = counts.select("*", one.alias("_one")).select(*counts.columns, "_one._cuts", "_one.total")
@@ -44,14 +48,14 @@ def value_ranks(df: DataFrame, by: list[str], col: str, slices: int = SLICES) ->
 
 
 def percentile_bounds(
-    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int = SLICES
+    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int = SLICES, few_keys: bool = False
 ) -> DataFrame:
     """Per key and named percentile the two neighbouring values and the fraction between them.
 
     Columns ``<name>_lo``, ``<name>_hi`` and ``<name>_frac`` for every name in ``ps``, and the number of
     values ``total``.
     """
-    ranked = value_ranks(df, by, col, slices)
+    ranked = value_ranks(df, by, col, slices, few_keys)
     first, last = F.col("cum") - F.col("n"), F.col("cum") - 1
     aggs: list[Column] = [F.max("total").alias("total")]
     wanted = F.lit(False)
@@ -69,10 +73,10 @@ def percentile_bounds(
 
 
 def percentiles(
-    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int = SLICES
+    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int = SLICES, few_keys: bool = False
 ) -> DataFrame:
     """Exact interpolated percentiles per key, one column per name in ``ps``."""
-    bounds = percentile_bounds(df, by, col, ps, slices)
+    bounds = percentile_bounds(df, by, col, ps, slices, few_keys)
     return bounds.select(
         *by,
         *[
@@ -82,11 +86,11 @@ def percentiles(
     )
 
 
-def medians(df: DataFrame, by: list[str], cols: list[str], slices: int = SLICES) -> DataFrame:
+def medians(df: DataFrame, by: list[str], cols: list[str], slices: int = SLICES, few_keys: bool = False) -> DataFrame:
     """Exact median of several columns per key, in one pass over the long form of the columns."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])
     long = df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.name", "_p.value")
-    mids = percentiles(long, [*by, "name"], "value", {"median": 0.5}, slices)
+    mids = percentiles(long, [*by, "name"], "value", {"median": 0.5}, slices, few_keys)
     return mids.groupBy(*by).agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in cols])
 
 

@@ -140,7 +140,7 @@ def settle(submissions: DataFrame, actuals: DataFrame, tol: float = 0.2, penalty
 def hourly_limits(history: DataFrame, c: str = "demand_mw", q: float = 0.95) -> DataFrame:
     """Percentile of demand per area, hour of day and day of week."""
     keyed = history.select("ba_code", F.hour("period").alias("hour"), F.dayofweek("period").alias("dow"), c)
-    return percentiles(keyed, ["ba_code", "hour", "dow"], c, {"limit_mw": q}, slices=8)
+    return percentiles(keyed, ["ba_code", "hour", "dow"], c, {"limit_mw": q}, slices=8, few_keys=True)
 
 
 def alerts(
@@ -152,7 +152,8 @@ def alerts(
     renewable_normal and nuclear_outage_pct. The outage and drop limits are parameters.
     """
     keyed = forecasts.withColumns({"hour": F.hour("period"), "dow": F.dayofweek("period")})
-    joined = keyed.join(limits, ["ba_code", "hour", "dow"], "left")
+    # at most 168 limits per area
+    joined = keyed.join(F.broadcast(limits), ["ba_code", "hour", "dow"], "left")
 
     def rule(cond: Column) -> Column:
         return F.coalesce(cond, F.lit(False))

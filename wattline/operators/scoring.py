@@ -146,7 +146,8 @@ def diebold_mariano(aligned: DataFrame, h: int = 24, by: list[str] | None = None
     d = F.pow(F.col("actual") - F.col("q50_a"), 2) - F.pow(F.col("actual") - F.col("q50_b"), 2)
     diffs = aligned.select(*by, "period", d.alias("_d")).where(F.col("_d").isNotNull())
     means = diffs.groupBy(*by).agg(F.avg("_d").alias("_mean"), F.count(F.lit(1)).alias("n"))
-    centred = diffs.join(means, by).select(*by, "period", (F.col("_d") - F.col("_mean")).alias("_c"))
+    # one row per area
+    centred = diffs.join(F.broadcast(means), by).select(*by, "period", (F.col("_d") - F.col("_mean")).alias("_c"))
 
     def lagged(w):
         products = {"_g0": F.pow("_c", 2)}

@@ -150,7 +150,7 @@ def add_signals(
 ) -> DataFrame:
     """Patch fuel profiles, news scores, risk index and seasonal parts onto the feature table."""
     profiles = fuel_profiles(fuel_mix, train_end)
-    out = patch(features, profiles, ["ba_code"], ["gas_sensitivity", "renewable_sensitivity", "nuclear_sensitivity"])
+    out = patch(features, profiles, ["ba_code"], ["gas_sensitivity", "renewable_sensitivity", "nuclear_sensitivity"], bounded=True)
     out = patch_daily(
         out,
         news_zscores(state_news),

@@ -20,12 +20,12 @@ def with_month(df: DataFrame, time: str = "period") -> DataFrame:
 def write_append(df: DataFrame, path: str, time: str = "period", sort: list[str] | None = None) -> None:
     """Append rows to a month-partitioned table.
 
-    Rows are spread by month and a hash of the key, so a month is written by many tasks, each sorted for
-    compact columns and useful min/max statistics.
+    Rows are spread by area and day, so a large area is written by many tasks, each sorted for compact
+    columns and useful min/max statistics. Adaptive execution merges small shares.
     """
     sort = sort or [c for c in ("ba_code", time) if c in df.columns]
     dated = with_month(df, time)
-    spread = dated.repartition("month", *[c for c in sort if c != time][:1])
+    spread = dated.repartition("month", F.date_trunc("day", F.col(time)), *[c for c in sort if c != time][:1])
     spread.sortWithinPartitions("month", *sort).write.mode("append").partitionBy("month").parquet(path)
 
 
@@ -65,7 +65,7 @@ def write_months(df: DataFrame, path: str, time: str = "period") -> None:
     """Replace exactly the months present in ``df`` and leave all others."""
     (
         with_month(df, time)
-        .repartition("month", *[c for c in ("ba_code",) if c in df.columns])
+        .repartition("month", F.date_trunc("day", F.col(time)), *[c for c in ("ba_code",) if c in df.columns])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month")
