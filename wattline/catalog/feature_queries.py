@@ -110,8 +110,8 @@ def _(t):
 
 @query(
     "holiday_neighbours",
-    f"""SELECT period, ba_code, is_holiday, coalesce(lead(CAST(is_holiday AS INTEGER), 24) {W}, 0) AS is_pre_holiday,
-               coalesce(lag(CAST(is_holiday AS INTEGER), 24) {W}, 0) AS is_post_holiday
+    f"""SELECT period, ba_code, is_holiday, coalesce(lead(CAST(is_holiday AS BIGINT), 24) {W}, 0) AS is_pre_holiday,
+               coalesce(lag(CAST(is_holiday AS BIGINT), 24) {W}, 0) AS is_post_holiday
         FROM base""",
 )
 def _(t):

@@ -116,7 +116,7 @@ def _(t):
 
 @query(
     "read_domestic_events",
-    "SELECT event_date, us_event_count, us_avg_goldstein, us_severe_conflict, 7 AS us_crisis_events FROM events_daily",
+    "SELECT event_date, us_event_count, us_avg_goldstein, us_severe_conflict, 7::BIGINT AS us_crisis_events FROM events_daily",
     "us_avg_goldstein",
 )
 def _(t):
@@ -129,7 +129,7 @@ def _(t):
     return sg.read_events_us(t.spark, path).select("event_date", "us_event_count", "us_avg_goldstein", "us_severe_conflict", "us_crisis_events")
 
 
-@query("read_global_events", "SELECT event_date, global_event_count, oil_region_event_count, 3 AS global_very_negative FROM events_daily")
+@query("read_global_events", "SELECT event_date, global_event_count, oil_region_event_count, 3::BIGINT AS global_very_negative FROM events_daily")
 def _(t):
     raw = {new: old for old, new in sg.GLOBAL_EVENT_NAMES.items()}
     have = {c: F.col(c) for c in ("global_event_count", "oil_region_event_count")}
@@ -168,7 +168,7 @@ def _(t):
     return rd.read_interchange_csvs(t.spark, path)
 
 
-@query("region_dictionary", """SELECT * FROM (VALUES ('ERCO', 7), ('PJM', 7), ('CISO', 5), ('MISO', 7), ('NYIS', 5)) v(ba_code, n_names)
+@query("region_dictionary", """SELECT * FROM (VALUES ('ERCO', 7::BIGINT), ('PJM', 7), ('CISO', 5), ('MISO', 7), ('NYIS', 5)) v(ba_code, n_names)
     JOIN (SELECT ba_code AS code, count(*) AS n_events FROM ev GROUP BY 1) ON code = ba_code""")
 def _(t):
     from wattline.operators.regions import region_dim

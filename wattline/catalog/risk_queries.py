@@ -142,7 +142,7 @@ def _(t):
 @query(
     "alert_rules",
     """SELECT f.period, f.ba_code, demand_surge, supply_shortfall, renewable_drop, nuclear_outage,
-              CAST(demand_surge AS INTEGER) + CAST(supply_shortfall AS INTEGER) + CAST(renewable_drop AS INTEGER) + CAST(nuclear_outage AS INTEGER) AS n_alerts
+              CAST(demand_surge AS BIGINT) + CAST(supply_shortfall AS INTEGER) + CAST(renewable_drop AS INTEGER) + CAST(nuclear_outage AS INTEGER) AS n_alerts
        FROM (SELECT f.period, f.ba_code, coalesce(demand_rolling_24h > limit_mw, FALSE) AS demand_surge,
                     coalesce(demand_rolling_24h > generation_mw + coalesce(interchange_mw, 0), FALSE) AS supply_shortfall,
                     coalesce(renewable_pct < renewable_normal * 0.5, FALSE) AS renewable_drop, coalesce(nuclear_outage_pct > 5, FALSE) AS nuclear_outage
