@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, packing, shards
+from wattline.llm import chat, contamination, packing, secrets, shards, toxicity, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,7 +66,37 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_conversations(turns, TOKENIZER).select("conv_id", "part", "formatted", "offsets", "mask").mapInArrow(digest, schema)
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.contained(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"), F.max("containment").alias("containment"))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(read(spark, folder, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = secrets.spans(docs).groupBy("doc_id", "text_hash").agg(
+        *[F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.array_sort(F.collect_list(F.struct("start", "rule", "kind", "end"))).alias("found"),
+    )
+    found = found.withColumnsRenamed({"doc_id": "_k", "text_hash": "_p"})
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_print"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p")), "left")
+    written = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    base = written.format(f"filter(found, x -> x.rule < {len(secrets.BASE)})")
+    return rows.select(
+        "doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(F.coalesce(F.expr(base), F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce(F.expr(written.format("found")), F.lit("")).alias("spans"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels")).drop("raw", "mean")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op8_training_order, op9_chat_format)
+    f.__name__: f for f in (op3_best_fit_packing, op4_decontamination, op5_url_filter, op6_secret_scan, op8_training_order, op9_chat_format, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
