@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, contamination, packing, secrets, shards, substrings, toxicity, urls
+from wattline.llm import chat, contamination, overlap, packing, secrets, shards, substrings, toxicity, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.classes(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
     out = shards.materialise(read(spark, folder, "documents"), TOKENIZER, "epoch-0")
     return out.withColumnRenamed("keys", "doc_ids")
@@ -101,6 +105,6 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op3_best_fit_packing, op4_decontamination, op5_url_filter, op6_secret_scan, op8_training_order, op9_chat_format, op10_toxicity)
+    f.__name__: f for f in (op2_substring_dedup, op3_best_fit_packing, op4_decontamination, op5_url_filter, op6_secret_scan, op7_ngram_jaccard, op8_training_order, op9_chat_format, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
