@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, contamination, overlap, packing, secrets, shards, substrings, toxicity, urls
+from wattline.llm import chat, contamination, neighbours, overlap, packing, secrets, shards, substrings, toxicity, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +19,10 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(read(spark, folder, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeats(read(spark, folder, "documents")).drop("spans")
 
@@ -105,6 +109,6 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op3_best_fit_packing, op4_decontamination, op5_url_filter, op6_secret_scan, op7_ngram_jaccard, op8_training_order, op9_chat_format, op10_toxicity)
+    f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_best_fit_packing, op4_decontamination, op5_url_filter, op6_secret_scan, op7_ngram_jaccard, op8_training_order, op9_chat_format, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
