@@ -55,7 +55,7 @@ def permuted(index: np.ndarray, n: int, key: str, back: bool = False) -> np.ndar
 
 
 def encoded(docs: DataFrame, tokenizer: str, key: str, column: str, end: int, width: int) -> DataFrame:
-    """Each document's compressed ids, the task that made them and where they begin among the task's ids."""
+    """Each document's ids, the task that made them and where they begin among the task's ids."""
     schema = T.StructType([
         T.StructField(key, docs.schema[key].dataType), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()),
     ])
@@ -65,14 +65,14 @@ def encoded(docs: DataFrame, tokenizer: str, key: str, column: str, end: int, wi
         from pyspark.sql.pandas.types import to_arrow_schema
 
         part, at, out = TaskContext.get().partitionId(), 0, to_arrow_schema(schema)
-        of, squeeze = tokens.encoder(tokenizer).ids, zstandard.ZstdCompressor(level=3).compress
+        of = tokens.encoder(tokenizer).ids
         for rows, _, _ in text.blocks(batches):
             begin, sizes, packed = [], [], []
             for raw in of([tokens.to_text(x) for x in rows.column("text").to_pylist()]):
                 ids = np.append(np.frombuffer(raw, "<u4"), end)
                 begin.append(at)
                 sizes.append(len(ids))
-                packed.append(squeeze(ids.astype(WIDTHS[width]).tobytes()))
+                packed.append(ids.astype(WIDTHS[width]).tobytes())
                 at += len(ids)
             yield pa.RecordBatch.from_arrays([rows.column(key).cast(out.field(0).type), pa.array([part] * len(begin), pa.int32()), pa.array(begin, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], schema=out)
 
@@ -90,7 +90,9 @@ def materialise(docs: DataFrame, tokenizer: str, order_key: str, folder: str | N
     """
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "shards")
-    staged = stage(encoded(docs, tokenizer, key, column, end, width), "ids")
+    path = fresh_dir(spark, "ids")  # the largest table here, read once more: it is worth a closer packing
+    encoded(docs, tokenizer, key, column, end, width).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    staged = spark.read.parquet(path)
     per_part = staged.groupBy("part").agg(F.sum("n").alias("n"))
     parts = stage(per_part.selectExpr("part", "n", "sum(n) OVER (ORDER BY part) - n AS base"), "parts")
     total = parts.agg(F.sum("n")).first()[0] or 0
@@ -103,11 +105,10 @@ def materialise(docs: DataFrame, tokenizer: str, order_key: str, folder: str | N
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(piece_schema)
-        squeeze, open_ = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             doc, sequence, place, sizes, packed = [], [], [], [], []
-            for i, (at, raw) in enumerate(zip(batch.column("start").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
-                ids = open_(raw)
+            for i, (at, ids) in enumerate(zip(batch.column("start").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
                 to, begin = at + len(ids) // width, at
                 while begin < to:
                     seq, inside = divmod(begin, length)
