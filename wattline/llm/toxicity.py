@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x or b"") for x in b.column(1).to_pylist()], pa.binary())], schema=b.schema)
 
     teach = text.keyed(docs, key, column).where(fold(key) != HELD_OUT_FOLD)
-    small = teach.mapInArrow(squeeze, teach.schema).join(truth, F.col(key) == F.col("_k")).select(key, "text", "toxic")
+    # labels have no size bound, so they are never broadcast
+    small = teach.mapInArrow(squeeze, teach.schema).join(truth.hint("merge"), F.col(key) == F.col("_k")).select(key, "text", "toxic")
     pairs = stage(bigrams(small.where(fold(key) != CALIBRATION_FOLD).select("text", "toxic")), "bigrams")
     model = tables(pairs)
     held = measured(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")).where(fold(key) == CALIBRATION_FOLD), spark.sparkContext.broadcast(model), key)
