@@ -67,7 +67,7 @@ def ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     parts = F.explode(F.expr(f"transform(sequence(1, {ORDER + 1}), k -> right(window, k))"))
     grams = counts.withColumn("gram", parts).groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     grams = stage(grams.withColumn("context", F.expr("left(gram, length(gram) - 1)")), "grams")
-    contexts = grams.groupBy("context").agg(*[f(c) for c in ("n1", "n0") for f in (lambda c: F.sum(c).alias(f"all_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))])
+    contexts = stage(grams.groupBy("context").agg(*[f(c) for c in ("n1", "n0") for f in (lambda c: F.sum(c).alias(f"all_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))]), "contexts")
     each = wanted.withColumn("gram", parts).withColumn("context", F.expr("left(gram, length(gram) - 1)"))
     each = each.join(contexts, "context").join(grams.drop("context"), "gram", "left")
     rows = F.array_sort(F.collect_list(F.struct(F.length("gram").alias("k"), "n1", "n0", "all_n1", "all_n0", "kinds_n1", "kinds_n0")))
