@@ -6,6 +6,8 @@ from orders and order lines, articles from documents.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +64,10 @@ def region_readings(t: Tables) -> DataFrame:
         F.when(F.col("event_type") == "click", "D")
         .when(F.col("event_type") == "purchase", "DF")
         .when(F.col("event_type") == "view", "NG")
-        .when(F.col("event_type") == "signup", "TI")
+        .otherwise("TI")
     )
     rows = events(t).select("period", F.col("ba_code").alias("respondent"), code.alias("type"), "value")
-    return rows.where("type IS NOT NULL").groupBy("period", "respondent", "type").agg(F.sum("value").alias("value"))
+    return rows.groupBy("period", "respondent", "type").agg(F.sum("value").alias("value"))
 
 
 def demand(t: Tables) -> DataFrame:
@@ -108,7 +110,6 @@ def daily_fuel_readings(t: Tables) -> DataFrame:
 def weather(t: Tables) -> DataFrame:
     return (
         events(t)
-        .where(F.col("event_type").isin("view", "signup", "click"))
         .groupBy("period", "ba_code")
         .agg(
             (F.avg("k") * 0.5 - 5).alias("temperature_2m"),
@@ -143,24 +144,20 @@ def january(date: str, span: int = 30) -> Column:
 
 
 def gas_prices(t: Tables) -> DataFrame:
-    """Five series a day in two processes, with no price on two days in seven."""
+    """Five series a day in two processes, with no spot price on two days in seven."""
     offset = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01")) % 30
     return (
-        t.orders.where(offset % 7 < 5)
-        .groupBy(
+        t.orders.groupBy(
             january("o_orderdate").alias("period"),
             F.col("o_orderpriority").alias("series_name"),
-            F.when(F.col("o_orderstatus") == "F", "Spot Price").otherwise("Futures").alias("process_name"),
-        )
-        .agg((F.avg("o_totalprice") / 1000).alias("value"))
+            F.when((F.col("o_orderstatus") == "F") & (offset % 7 < 5), "Spot Price").otherwise("Futures").alias("process_name"),
+        ).agg((F.avg("o_totalprice") / 1000).alias("value"))
     )
 
 
 def oil_prices(t: Tables) -> DataFrame:
     return (
-        t.orders.where("o_orderstatus = 'P'")
-        .groupBy(january("o_orderdate").alias("period"), F.col("o_orderpriority").alias("series_name"))
-        .agg((F.avg("o_totalprice") / 2000).alias("value"))
+        t.orders.groupBy(january("o_orderdate").alias("period"), F.col("o_orderpriority").alias("series_name")).agg((F.avg("o_totalprice") / 2000).alias("value"))
     )
 
 
@@ -210,13 +207,13 @@ def interchange(t: Tables) -> DataFrame:
 
 
 def news(t: Tables) -> DataFrame:
-    """Documents as news events in January 2024."""
+    """Documents as news events in January 2024; a third of them name one area twice."""
     d = F.col("doc_id")
     minute = (d % 720) * 60 + (d * 37) % 60
     return t.documents.select(
         d.alias("event_id"),
         F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + minute * 60).alias("event_time"),
-        F.array(ba("doc_id"), ba("doc_id * 5 + 1")).alias("ba_codes"),
+        F.array(ba("doc_id"), ba("doc_id * 5")).alias("ba_codes"),
         pick(NEWS_TYPES, "n_chars").alias("event_type"),
         ((F.col("n_chars") % 201 - 100) / 100.0).alias("sentiment_score"),
         ((F.col("n_chars") % 101) / 100.0).alias("risk_magnitude"),
@@ -236,7 +233,7 @@ CTES: dict[str, str] = {
         SELECT period, ba_code AS respondent,
                CASE event_type WHEN 'click' THEN 'D' WHEN 'purchase' THEN 'DF' WHEN 'view' THEN 'NG' ELSE 'TI' END AS type,
                sum(value) AS value
-        FROM ev WHERE event_type <> 'error' GROUP BY 1, 2, 3""",
+        FROM ev GROUP BY 1, 2, 3""",
     "demand": """
         SELECT *, generation_mw - demand_mw AS supply_demand_gap FROM (
             SELECT period, ba_code, sum(value) AS demand_mw,
@@ -254,7 +251,7 @@ CTES: dict[str, str] = {
     "weather": """
         SELECT period, ba_code, avg(k) * 0.5 - 5 AS temperature_2m, CAST(max(k) AS DOUBLE) AS relative_humidity_2m,
                CAST(min(k) AS DOUBLE) AS wind_speed_10m, avg(value) AS cloud_cover, max(value) AS shortwave_radiation
-        FROM ev WHERE event_type IN ('view', 'signup', 'click') GROUP BY 1, 2""",
+        FROM ev GROUP BY 1, 2""",
     "events_daily": """
         SELECT CAST(ts AS DATE) AS event_date, count(*) AS us_event_count, avg(k / 5.0 - 10) AS us_avg_goldstein,
                min(k / 5.0 - 10) AS us_min_goldstein,
@@ -264,14 +261,14 @@ CTES: dict[str, str] = {
         FROM ev GROUP BY 1""",
     "gas_prices": """
         SELECT DATE '2024-01-01' + CAST(off % 30 AS INTEGER) AS period, o_orderpriority AS series_name,
-               CASE WHEN o_orderstatus = 'F' THEN 'Spot Price' ELSE 'Futures' END AS process_name,
+               CASE WHEN o_orderstatus = 'F' AND (off % 30) % 7 < 5 THEN 'Spot Price' ELSE 'Futures' END AS process_name,
                avg(o_totalprice) / 1000 AS value
         FROM (SELECT *, CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS off FROM orders)
-        WHERE (off % 30) % 7 < 5 GROUP BY 1, 2, 3""",
+        GROUP BY 1, 2, 3""",
     "oil_prices": """
         SELECT DATE '2024-01-01' + CAST((CAST(o_orderdate AS DATE) - DATE '1995-01-01') % 30 AS INTEGER) AS period,
                o_orderpriority AS series_name, avg(o_totalprice) / 2000 AS value
-        FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2""",
+        FROM orders GROUP BY 1, 2""",
     "outages": """
         SELECT DATE '2024-01-01' + CAST((CAST(l_shipdate AS DATE) - DATE '1995-01-01') % 30 AS INTEGER) AS period,
                avg(l_discount) * 100 AS pct_outage
@@ -298,7 +295,7 @@ CTES: dict[str, str] = {
     "news": f"""
         SELECT doc_id AS event_id,
                TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id % 720) * 60 + (doc_id * 37) % 60 AS INTEGER)) AS event_time,
-               [{ba_sql('doc_id')}, {ba_sql('doc_id * 5 + 1')}] AS ba_codes,
+               [{ba_sql('doc_id')}, {ba_sql('doc_id * 5')}] AS ba_codes,
                {pick_sql(NEWS_TYPES, 'n_chars')} AS event_type,
                (n_chars % 201 - 100) / 100.0 AS sentiment_score, (n_chars % 101) / 100.0 AS risk_magnitude,
                source, text AS headline
@@ -327,8 +324,16 @@ _MEAN24 = f"avg(demand_mw) OVER ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)
 _MEAN168 = f"avg(demand_mw) OVER ({_W} ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)"
 _GAS_SD = f"stddev_samp(gas_price) OVER ({_W} ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)"
 
-CTES["us_holidays"] = """
-    SELECT CAST(unnest(['2023-12-25', '2024-01-01', '2024-01-15', '2024-02-19', '2024-05-27']) AS DATE) AS holiday_date"""
+_FIXED = "(extract(month FROM {d}), extract(day FROM {d})) IN ((1, 1), (7, 4), (11, 11), (12, 25))"
+CTES["us_holidays"] = f"""
+    SELECT d AS holiday_date FROM (SELECT DISTINCT CAST(period AS DATE) AS d FROM demand)
+    WHERE (extract(dow FROM d) BETWEEN 1 AND 5 AND ({_FIXED.format(d='d')} OR extract(year FROM d) >= 2021 AND extract(month FROM d) = 6 AND extract(day FROM d) = 19))
+       OR (extract(dow FROM d) = 5 AND ({_FIXED.format(d='(d + 1)')} OR extract(year FROM d) >= 2021 AND extract(month FROM d) = 6 AND extract(day FROM d) = 18))
+       OR (extract(dow FROM d) = 1 AND ({_FIXED.format(d='(d - 1)')} OR extract(year FROM d) >= 2021 AND extract(month FROM d) = 6 AND extract(day FROM d) = 20))
+       OR (extract(dow FROM d) = 1 AND (extract(month FROM d) = 1 AND extract(year FROM d) >= 1986 AND extract(day FROM d) BETWEEN 15 AND 21
+           OR extract(month FROM d) = 2 AND extract(day FROM d) BETWEEN 15 AND 21 OR extract(month FROM d) = 5 AND extract(day FROM d) >= 25
+           OR extract(month FROM d) = 9 AND extract(day FROM d) <= 7))
+       OR (extract(dow FROM d) = 4 AND extract(month FROM d) = 11 AND extract(day FROM d) BETWEEN 22 AND 28)"""
 CTES["base"] = """
     SELECT d.period, d.ba_code, d.demand_mw, d.generation_mw, d.supply_demand_gap, d.interchange_mw, d.forecast_mw,
            extract(hour FROM d.period) AS hour_of_day, extract(dow FROM d.period) AS day_of_week,
@@ -392,6 +397,41 @@ CTES["aligned"] = """
 CTES["daily"] = "SELECT ba_code, CAST(period AS DATE) AS date, avg(demand_mw) AS y FROM demand GROUP BY 1, 2"
 
 
+def _least_squares(source: str, terms: list[str], ridge: float = 1e-6) -> dict[str, str]:
+    """CTEs that fit ``y`` on the terms per area by elimination, one step for each term: ``fitted`` has c0, c1, ..."""
+    n = len(terms)
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    made = {"season_terms": f"SELECT ba_code, date, y, {', '.join(f'{x} AS x{i}' for i, x in enumerate(terms))} FROM (SELECT *, CAST(date - DATE '1970-01-01' AS DOUBLE) AS day FROM {source})"}
+    sums = [f"sum(x{i} * x{j}) AS a{i}_{j}" for i, j in upper] + [f"sum(x{i} * y) AS b{i}" for i in range(n)]
+    made["season_sums"] = f"SELECT ba_code, {', '.join(sums)} FROM season_terms WHERE y IS NOT NULL GROUP BY 1"
+    trace = f"greatest({' + '.join(f'a{i}_{i}' for i in range(n))}, 1.0)"
+    made["season_0"] = f"SELECT * REPLACE ({', '.join(f'a{i}_{i} + {ridge} * {trace} / {n} AS a{i}_{i}' for i in range(n))}) FROM season_sums"
+    for k in range(n - 1):
+        less = [f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i, j in upper if i > k]
+        less += [f"b{i} - a{k}_{i} * b{k} / a{k}_{k} AS b{i}" for i in range(k + 1, n)]
+        made[f"season_{k + 1}"] = f"SELECT * REPLACE ({', '.join(less)}) FROM season_{k}"
+    above = f"season_{n - 1}"
+    for k in reversed(range(n)):
+        made[f"season_c{k}"] = f"SELECT *, (b{k} {''.join(f' - a{k}_{j} * c{j}' for j in range(k + 1, n))}) / a{k}_{k} AS c{k} FROM {above}"
+        above = f"season_c{k}"
+    made["fitted"] = f"SELECT ba_code, {', '.join(f'c{k}' for k in range(n))} FROM {above}"
+    return made
+
+
+def seasonal_daily(t: Tables) -> DataFrame:
+    """Seven years of daily quantities per area, moved by 27 years so that they hold January 2024."""
+    return t.lineitem.groupBy(ba("l_suppkey").alias("ba_code"), F.date_add(F.to_date("l_shipdate"), 9861).alias("date")).agg(F.sum("l_quantity").alias("y"))
+
+
+CTES["seasonal_daily"] = f"""
+    SELECT {ba_sql('l_suppkey')} AS ba_code, CAST(l_shipdate AS DATE) + 9861 AS date, CAST(sum(l_quantity) AS DOUBLE) AS y FROM lineitem GROUP BY 1, 2"""
+_WAVES = [f"{f}(day * {2 * math.pi * k / length!r})" for length, terms in ((7.0, 3), (365.25, 4)) for k in range(1, terms + 1) for f in ("sin", "cos")]
+CTES |= _least_squares("seasonal_daily", ["1.0::DOUBLE", "(day - 18628.0) / 1000.0", *_WAVES])
+CTES["season_parts"] = f"""
+    SELECT t.ba_code, t.date, c0 * x0 + c1 * x1 AS prophet_trend, {' + '.join(f'c{i} * x{i}' for i in range(2, 8))} AS prophet_weekly,
+           {' + '.join(f'c{i} * x{i}' for i in range(8, 16))} AS prophet_yearly, y FROM season_terms t JOIN fitted f ON f.ba_code = t.ba_code"""
+
+
 def features(t: Tables) -> DataFrame:
     from wattline.plans.features import build_features
 

@@ -115,9 +115,7 @@ def _(t):
         FROM base""",
 )
 def _(t):
-    from wattline.operators.joins import flag_dates
-
-    d = flag_dates(slim(t).drop("demand_mw"), cal.us_holidays(t.spark, 2023, 2024))
+    d = slim(t).drop("demand_mw").withColumn("is_holiday", cal.is_us_holiday(F.to_date("period")))
     return features.holiday_neighbours(d)
 
 
@@ -163,6 +161,7 @@ _RISK_Z = f"SELECT date, GPRD_MA7 AS gpr_index, {_z('GPRD_MA7', 90, '', 'date')}
 
 @query("risk_zscore", _RISK_Z, "gpr_index gpr_zscore")
 def _(t):
+    from wattline.operators.forecast import decompose
     from wattline.sources.signals import risk_index_rows
 
     return plan.risk_zscore(risk_index_rows(b.risk_raw(t)))
@@ -172,18 +171,31 @@ _PROFILE = """SELECT ba_code, coalesce(avg(gas_pct) / 100, 0) AS gas_sensitivity
                      coalesce(avg(coalesce(nuclear_mw, 0) / nullif(total_mw, 0)), 0) AS nuclear_sensitivity
               FROM daily_fuel_mix GROUP BY 1"""
 _SIGNALS = f"""SELECT f.*, p.gas_sensitivity, p.renewable_sensitivity, p.nuclear_sensitivity, z.grid_stress_zscore, z.gas_pipeline_zscore,
-                      z.electricity_buzz_zscore, z.energy_tone_regional, r.gpr_index, r.gpr_zscore
+                      z.electricity_buzz_zscore, z.energy_tone_regional, r.gpr_index, r.gpr_zscore, s.prophet_trend, s.prophet_weekly, s.prophet_yearly
                FROM features f LEFT JOIN ({_PROFILE}) p ON p.ba_code = f.ba_code
                LEFT JOIN ({_ZSCORES}) z ON z.ba_code = f.ba_code AND z.article_date = CAST(f.period AS DATE)
-               LEFT JOIN ({_RISK_Z}) r ON r.date = CAST(f.period AS DATE)"""
-_SIGNAL_FLOATS = f"gas_sensitivity renewable_sensitivity nuclear_sensitivity {_NEWS_COLS} gpr_index gpr_zscore"
+               LEFT JOIN ({_RISK_Z}) r ON r.date = CAST(f.period AS DATE)
+               LEFT JOIN season_parts s ON s.ba_code = f.ba_code AND s.date = CAST(f.period AS DATE)"""
+_SIGNAL_FLOATS = f"gas_sensitivity renewable_sensitivity nuclear_sensitivity {_NEWS_COLS} gpr_index gpr_zscore prophet_trend prophet_weekly prophet_yearly"
 
 
 def signals(t):
+    from wattline.operators.forecast import decompose
     from wattline.sources.signals import risk_index_rows
 
     return plan.add_signals(
-        b.features(t), panel.pivot_fuel(b.daily_fuel_readings(t)), b.state_news(t), risk_index_rows(b.risk_raw(t))
+        b.features(t), panel.pivot_fuel(b.daily_fuel_readings(t)), b.state_news(t), risk_index_rows(b.risk_raw(t)), decompose(b.seasonal_daily(t))
+    )
+
+
+@query(
+    "feature_table_from_start",
+    "SELECT * FROM features WHERE period >= TIMESTAMP '2024-01-15' AND period < TIMESTAMP '2024-01-28'",
+    b.FEATURE_FLOATS,
+)
+def _(t):
+    return plan.build_features(
+        b.demand(t), b.fuel_mix(t), b.weather(t), b.events_daily(t), b.gas_prices(t), b.oil_prices(t), b.outages(t), start="2024-01-15", end="2024-01-28"
     )
 
 
@@ -353,14 +365,14 @@ def _(t):
     "robust_log_scale",
     """SELECT period, ba_code, quantile_cont(v, 0.5) AS centre, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS scale FROM (
          SELECT period, ba_code, unnest(hist) AS v FROM (
-           SELECT period, ba_code, list(ln(1 + demand_mw)) OVER (PARTITION BY ba_code ORDER BY period ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS hist
+           SELECT period, ba_code, list(ln(1 + demand_mw)) OVER (PARTITION BY ba_code ORDER BY period ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS hist
            FROM demand)) GROUP BY 1, 2 HAVING count(*) >= 24""",
     "centre scale",
 )
 def _(t):
-    whole = prep.make_samples(b.demand(t), enc=48, dec=1, min_enc=24).select("ba_code", "period", "history")
+    whole = prep.make_samples(b.demand(t), enc=168, dec=1, min_enc=24).select("ba_code", "period", "history")
     # the last row of an area has no future row and so is no sample: its window is added on its own
-    tail = features.latest_n(slim(t), ["ba_code"], 48).groupBy("ba_code").agg(
+    tail = features.latest_n(slim(t), ["ba_code"], 168).groupBy("ba_code").agg(
         F.max("period").alias("period"), F.collect_list("demand_mw").alias("history")
     ).where(F.size("history") >= 24)
     return whole.unionByName(tail).select("period", "ba_code", *[c.alias(n) for n, c in m.log1p_robust(F.col("history")).items()])
@@ -369,13 +381,13 @@ def _(t):
 @query(
     "rolling_origins",
     """SELECT ba_code, origin, count(*) AS n_rows FROM demand JOIN (
-         SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-28', INTERVAL 24 HOUR)) AS origin)
-         ON period >= origin - INTERVAL 48 HOUR AND period < origin + INTERVAL 12 HOUR
-       WHERE origin < TIMESTAMP '2024-01-28' GROUP BY 1, 2 HAVING count(*) >= 40""",
+         SELECT unnest(generate_series(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-28', INTERVAL 24 HOUR)) AS origin)
+         ON period >= origin - INTERVAL 168 HOUR AND period < origin + INTERVAL 24 HOUR
+       WHERE origin < TIMESTAMP '2024-01-28' GROUP BY 1, 2 HAVING count(*) >= 120""",
 )
 def _(t):
     # fewer rows than hours are asked for here, because the panel has gaps
-    return prep.rolling_origins(slim(t), "2024-01-03", "2024-01-28", 24, 48, 12, min_rows=40)
+    return prep.rolling_origins(slim(t), "2024-01-08", "2024-01-28", 24, 168, 24, min_rows=120)
 
 
 # --- scalar functions -----------------------------------------------------------------------------
@@ -572,9 +584,7 @@ def _(t):
     "avg_demand",
 )
 def _(t):
-    from wattline.operators.joins import flag_dates
-
-    return aggregates.effect_by_flag(flag_dates(slim(t), cal.us_holidays(t.spark, 2023, 2024)))
+    return aggregates.effect_by_flag(slim(t).withColumn("is_holiday", cal.is_us_holiday(F.to_date("period"))))
 
 
 @query(
@@ -887,7 +897,7 @@ def _(t):
 
 def _frame_sql(variant: str) -> tuple[str, str]:
     statics = ["gas_sensitivity", "renewable_sensitivity", "nuclear_sensitivity"]
-    known = ["temperature_c", "hdd", "cdd"]
+    known = ["temperature_c", "hdd", "cdd", "prophet_trend", "prophet_weekly", "prophet_yearly"]
     carried = list(VARIANT_REALS[variant])
     medians_of = [*known, *carried]
     filled = ", ".join(f"{_FILLED.format(c=f'CAST({c} AS DOUBLE)')} AS {c}" for c in carried)
@@ -920,12 +930,15 @@ for _variant in ("A", "B", "C"):
 
 @query(
     "variant_columns",
-    "SELECT period, demand_mw, ba_code, hour_of_day, day_of_week, month, temperature_c, hdd, cdd, is_weekend, is_holiday, "
-    + ", ".join(VARIANT_REALS["A"]) + " FROM features",
-    "demand_mw temperature_c hdd cdd " + " ".join(VARIANT_REALS["A"]),
+    "SELECT period, 0::BIGINT AS time_idx, demand_mw, ba_code, hour_of_day, day_of_week, month, temperature_c, hdd, cdd, prophet_trend, prophet_weekly, prophet_yearly, "
+    "gas_sensitivity, renewable_sensitivity, nuclear_sensitivity, is_weekend, is_holiday, FALSE AS is_pre_holiday, FALSE AS is_post_holiday, "
+    + ", ".join(VARIANT_REALS["A"]) + f" FROM ({_SIGNALS})",
+    "demand_mw temperature_c hdd cdd prophet_trend prophet_weekly prophet_yearly gas_sensitivity renewable_sensitivity nuclear_sensitivity " + " ".join(VARIANT_REALS["A"]),
+    ctes=_MAP,
 )
 def _(t):
     from wattline.operators.quality import select_variant
 
-    return select_variant(b.features(t), "A")
+    none = F.lit(False)
+    return select_variant(signals(t).withColumns({"time_idx": F.lit(0).cast("long"), "is_pre_holiday": none, "is_post_holiday": none}), "A")
 

@@ -66,8 +66,8 @@ def _(t):
 )
 def _(t):
     one = b.interchange(t).select(F.to_date("period").alias("day"), F.col("fromba").alias("area"), _text_hour().alias("period"), "fromba", "toba", _odd_value().alias("value"))
-    # every record is archived twice, as a re-run would
-    path = _pages(t, one.unionByName(one), "interchange-data", ["day", "area"])
+    # every record is archived three times: twice alike, as a re-run would, and once with a value that can't be read
+    path = _pages(t, one.unionByName(one).unionByName(one.withColumn("value", F.lit("n/a"))), "interchange-data", ["day", "area"])
     return rd.normalize_interchange(rd.read_readings(t.spark, path, ["period", "fromba", "toba", "value"], page_per_file=False))
 
 

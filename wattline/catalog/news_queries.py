@@ -10,22 +10,25 @@ from wattline.catalog.registry import query
 from wattline.operators import news, panel, regions
 
 _SPINE = {
-    "spine": f"""SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR)) AS period,
-                        unnest({b._list(b.FEATURE_BAS)}) AS ba_code""",
-    "told": "SELECT event_time, event_type, sentiment_score, risk_magnitude, unnest(ba_codes) AS ba_code FROM news",
-    "told_hour": """SELECT date_trunc('hour', event_time) AS hour, ba_code, sum(sentiment_score) AS s, count(sentiment_score) AS n,
-                           sum(greatest(-sentiment_score, 0) * risk_magnitude * CASE event_type WHEN 'SUPPLY_DISRUPTION' THEN 1.0
+    "told": "SELECT event_time, event_type, sentiment_score, risk_magnitude, unnest(list_distinct(ba_codes)) AS ba_code FROM news",
+    "told_at": """SELECT *, CASE WHEN event_time = date_trunc('hour', event_time) THEN event_time ELSE date_trunc('hour', event_time) + INTERVAL 1 HOUR END AS hour,
+                         exp(-ln(2) / 24 * (epoch_us(CASE WHEN event_time = date_trunc('hour', event_time) THEN event_time ELSE date_trunc('hour', event_time) + INTERVAL 1 HOUR END)
+                                            - epoch_us(event_time)) / 3600e6) AS aged FROM told""",
+    "told_hour": """SELECT hour, hour = event_time AS on_hour, ba_code, sum(sentiment_score * aged) AS s, sum(CASE WHEN sentiment_score IS NOT NULL THEN aged END) AS n,
+                           sum(greatest(-sentiment_score, 0) * risk_magnitude * aged * CASE event_type WHEN 'SUPPLY_DISRUPTION' THEN 1.0
                                WHEN 'PRICE' THEN 0.6 WHEN 'POLICY' THEN 0.4 ELSE 0.3 END) AS harm
-                    FROM told GROUP BY 1, 2""",
+                    FROM told_at GROUP BY 1, 2, 3""",
 }
 _SPINE["spine"] = f"""SELECT period, ba_code FROM
-    (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR)) AS period)
+    (SELECT unnest(generate_series((SELECT date_trunc('hour', min(event_time)) FROM news), (SELECT date_trunc('hour', max(event_time)) + INTERVAL 25 HOUR FROM news), INTERVAL 1 HOUR)) AS period)
     JOIN (SELECT unnest({b._list(b.FEATURE_BAS)}) AS ba_code) ON TRUE"""
 
 
 def spine(t):
     areas = t.spark.sql("SELECT explode(array(" + ", ".join(f"'{x}'" for x in b.FEATURE_BAS) + ")) AS ba_code")
-    return panel.hour_spine(areas, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-31").cast("timestamp"))
+    told = b.news(t)
+    first, last = told.agg(F.date_trunc("hour", F.min("event_time"))).scalar(), told.agg(F.date_trunc("hour", F.max("event_time"))).scalar()
+    return panel.hour_spine(areas, first, last + F.expr("INTERVAL 25 HOURS"))
 
 
 _ROLLUP = """SELECT s.period, s.ba_code, coalesce(avg(sentiment_score), 0) AS news_sentiment_24h, coalesce(max(risk_magnitude), 0) AS news_max_risk_24h,
@@ -41,12 +44,12 @@ def rollup(t):
 
 @query(
     "news_in_last_24h",
-    f"SELECT * FROM ({_ROLLUP}) WHERE news_event_count_24h > 0 AND period <= TIMESTAMP '2024-01-31'",
+    f"SELECT * FROM ({_ROLLUP}) WHERE news_event_count_24h > 0",
     _ROLLUP_FLOATS,
     ctes=_SPINE,
 )
 def _(t):
-    return news.news_in_last(b.news(t)).where("period <= '2024-01-31'")
+    return news.news_in_last(b.news(t))
 
 
 @query(
@@ -86,7 +89,7 @@ def _(t):
     "decayed_sentiment",
     """SELECT period, ba_code, sum(s * wt) / nullif(sum(n * wt), 0) AS decayed_sentiment, sum(n * wt) AS decayed_volume FROM (
          SELECT hour + to_hours(CAST(h AS INTEGER)) AS period, ba_code, s, n, exp(-ln(2) / 24 * h) AS wt
-         FROM told_hour JOIN (SELECT unnest(range(0, 49)) AS h) ON TRUE) GROUP BY 1, 2""",
+         FROM told_hour JOIN (SELECT unnest(range(0, 49)) AS h) ON on_hour OR h < 48) GROUP BY 1, 2""",
     "decayed_sentiment decayed_volume",
     ctes=_SPINE,
 )
@@ -95,7 +98,7 @@ def _(t):
 
 
 _RISK = """WITH raw AS (SELECT hour + to_hours(CAST(h AS INTEGER)) AS period, ba_code, sum(harm * exp(-ln(2) / 24 * h)) AS raw_risk
-                        FROM told_hour JOIN (SELECT unnest(range(0, 169)) AS h) ON TRUE GROUP BY 1, 2)
+                        FROM told_hour JOIN (SELECT unnest(range(0, 169)) AS h) ON on_hour OR h < 168 GROUP BY 1, 2)
            SELECT *, (raw_risk - (SELECT min(raw_risk) FROM raw)) / nullif((SELECT max(raw_risk) FROM raw) - (SELECT min(raw_risk) FROM raw), 0) * 100 AS risk_index
            FROM raw"""
 

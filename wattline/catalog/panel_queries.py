@@ -407,9 +407,10 @@ def _(t):
     "SELECT d.period, d.ba_code, h.holiday_date IS NOT NULL AS is_holiday FROM demand d LEFT JOIN us_holidays h ON h.holiday_date = CAST(d.period AS DATE)",
 )
 def _(t):
-    from wattline.functions.calendar import us_holidays
+    from wattline.functions.calendar import is_us_holiday
 
-    return joins.flag_dates(b.demand(t).select("period", "ba_code"), us_holidays(t.spark, 2023, 2024))
+    days = b.demand(t).select(F.to_date("period").alias("holiday_date")).distinct()
+    return joins.flag_dates(b.demand(t).select("period", "ba_code"), days.where(is_us_holiday(F.col("holiday_date"))))
 
 
 @query(
@@ -418,9 +419,10 @@ def _(t):
     "demand_mw",
 )
 def _(t):
-    from wattline.functions.calendar import us_holidays
+    from wattline.functions.calendar import is_us_holiday
 
-    return joins.on_dates(b.demand(t).select("period", "ba_code", "demand_mw"), us_holidays(t.spark, 2023, 2024))
+    days = b.demand(t).select(F.to_date("period").alias("holiday_date")).distinct()
+    return joins.on_dates(b.demand(t).select("period", "ba_code", "demand_mw"), days.where(is_us_holiday(F.col("holiday_date"))))
 
 
 @query(

@@ -58,7 +58,8 @@ def oracle(ctes: dict[str, str], body: str, floats: str = "", digits: int = 4) -
                     needed.append(name)
 
     need(body)
-    parts = [f"{name} AS ({ctes[name]})" for name in needed]
+    # a long chain of steps is worked out step by step
+    parts = [f"{name} AS {'MATERIALIZED ' if name.startswith('season_') or name == 'fitted' else ''}({ctes[name]})" for name in needed]
     parts.append(f"result AS ({body})")
     scale = 10**digits
     fixes = ", ".join(f"floor({c} * {scale} + 0.50003) / {scale} AS {c}" for c in floats.split())

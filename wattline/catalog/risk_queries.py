@@ -13,7 +13,7 @@ from wattline.reference_data import QUANTILE_COLUMNS, QUANTILES
 _RISK = {
     "edges": "SELECT DISTINCT fromba AS src, toba AS dst FROM interchange UNION SELECT DISTINCT toba, fromba FROM interchange",
     "gaps": "SELECT period, ba_code, generation_mw - demand_mw AS gap FROM demand",
-    "subs": f"""SELECT user_id AS node_id, {b.ba_sql('event_id')} AS ba_code, date_trunc('hour', ts) AS target, CAST(floor(value) AS BIGINT) AS predicted_mw, k * 100 AS prob_bp FROM ev""",
+    "subs": f"""SELECT user_id AS node_id, {b.ba_sql('event_id')} AS ba_code, date_trunc('hour', ts) AS target, CAST(floor(value) AS BIGINT) AS predicted_mw, k * 130 AS prob_bp FROM ev""",
 }
 
 
@@ -86,7 +86,7 @@ def _(t):
 def submissions(t):
     return b.events(t).select(
         F.col("user_id").alias("node_id"), b.ba("event_id").alias("ba_code"), F.col("period").alias("target"),
-        F.floor("value").cast("bigint").alias("predicted_mw"), (F.col("k") * 100).cast("bigint").alias("prob_bp"),
+        F.floor("value").cast("bigint").alias("predicted_mw"), (F.col("k") * 130).cast("bigint").alias("prob_bp"),
     )
 
 
@@ -96,7 +96,7 @@ _MEDIAN = "CASE WHEN n % 2 = 1 THEN {c}[(n + 1) // 2] ELSE ({c}[n // 2] + {c}[n
 @query(
     "round_consensus",
     f"""SELECT ba_code, target, {_MEDIAN.format(c='m')}::BIGINT AS median_mw, {_MEDIAN.format(c='p')}::BIGINT AS median_prob_bp, n AS n_submissions FROM (
-          SELECT ba_code, target, list_sort(list(predicted_mw)) AS m, list_sort(list(prob_bp)) AS p, count(*) AS n FROM subs GROUP BY 1, 2)""",
+          SELECT ba_code, target, list_sort(list(predicted_mw)) AS m, list_sort(list(prob_bp)) AS p, count(*) AS n FROM subs WHERE prob_bp <= 10000 GROUP BY 1, 2)""",
     ctes=_RISK,
 )
 def _(t):
@@ -105,14 +105,14 @@ def _(t):
 
 @query(
     "node_statistics",
-    """SELECT s.node_id, n_submissions, coalesce(n_penalties, 0) AS n_penalties, (1000 - coalesce(lost, 0))::BIGINT AS remaining_stake
+    """SELECT s.node_id, n_submissions, least(coalesce(n_penalties, 0), 2) AS n_penalties, (95 - 40 * least(coalesce(n_penalties, 0), 2))::BIGINT AS remaining_stake
        FROM (SELECT node_id, count(*) AS n_submissions FROM subs GROUP BY 1) s
-       LEFT JOIN (SELECT node_id, count(*) AS n_penalties, sum(10) AS lost FROM subs WHERE prob_bp > 8000 GROUP BY 1) p ON p.node_id = s.node_id""",
+       LEFT JOIN (SELECT node_id, count(*) AS n_penalties FROM subs WHERE prob_bp > 8000 GROUP BY 1) p ON p.node_id = s.node_id""",
     ctes=_RISK,
 )
 def _(t):
     s = submissions(t)
-    return risk.node_stats(s, s.where("prob_bp > 8000").select("node_id", F.lit(10).alias("amount")), stake=1000)
+    return risk.node_stats(s, s.where("prob_bp > 8000").select("node_id", F.lit(40).alias("amount")), stake=95)
 
 
 @query(
@@ -160,7 +160,6 @@ def _(t):
 _AREA_FUEL = "SELECT ba_code, " + ", ".join(f"sum({c}) AS {c}" for c in ["coal_mw", "gas_mw", "nuclear_mw", "oil_mw", "solar_mw", "hydro_mw", "wind_mw", "other_mw", "total_mw"]) + " FROM daily_fuel_mix GROUP BY 1"
 _CASCADE = {
     **_RISK,
-    "few": "SELECT src, dst FROM edges WHERE (ascii(src) + ascii(dst)) % 5 = 0",
     "st0": f"""SELECT ba_code, total_mw, CASE WHEN gas_mw / total_mw > 0.111 THEN gas_mw * 0.9 ELSE 0 END + CASE WHEN coal_mw / total_mw > 0.111 THEN coal_mw * 0.9 ELSE 0 END AS shortfall_mw FROM ({_AREA_FUEL})""",
     "st1": "SELECT ba_code, shortfall_mw AS need, CASE WHEN shortfall_mw > 0 THEN 0 ELSE total_mw * 0.1 END AS offer FROM st0",
 }
@@ -169,20 +168,24 @@ _CASCADE = {
 def _hop(number: int, state: str, reach: str) -> dict[str, str]:
     return {
         f"pr{number}": f"SELECT r.src, r.dst, n.need, o.offer FROM {reach} r JOIN {state} n ON n.ba_code = r.dst AND n.need > 0 JOIN {state} o ON o.ba_code = r.src AND o.offer > 0",
-        f"gv{number}": f"SELECT *, offer * need / greatest(sum(need) OVER (PARTITION BY src), offer) AS give FROM pr{number}",
+        f"of{number}": f"SELECT *, offer * need / greatest(sum(need) OVER (PARTITION BY src), offer) AS give0 FROM pr{number}",
+        f"gv{number}": f"SELECT *, give0 * least(1.0, need / sum(give0) OVER (PARTITION BY dst)) AS give FROM of{number}",
         f"st{number + 1}": f"""SELECT s.ba_code, need - least(coalesce(got, 0), need) AS need, greatest(offer - coalesce(spent, 0), 0) AS offer FROM {state} s
             LEFT JOIN (SELECT dst, sum(give) AS got FROM gv{number} GROUP BY 1) g ON g.dst = s.ba_code LEFT JOIN (SELECT src, sum(give) AS spent FROM gv{number} GROUP BY 1) p ON p.src = s.ba_code""",
     }
 
 
-_CASCADE |= _hop(1, "st1", "few")
-_CASCADE["reach2"] = "SELECT DISTINCT a.src, z.dst FROM few a JOIN few z ON z.src = a.dst WHERE a.src <> z.dst"
+_CASCADE |= _hop(1, "st1", "edges")
+_CASCADE["reach2"] = "SELECT DISTINCT a.src, z.dst FROM edges a JOIN edges z ON z.src = a.dst WHERE a.src <> z.dst"
 _CASCADE |= _hop(2, "st2", "reach2")
 
 
 @query(
     "cascade",
-    """SELECT z.ba_code, shortfall_mw, shortfall_mw - f.need AS compensated_mw, coalesce(f.need / nullif(total_mw, 0) * 100, 0) AS risk_score FROM st0 z JOIN st3 f ON f.ba_code = z.ba_code""",
+    """SELECT z.ba_code, shortfall_mw, shortfall_mw - f.need AS compensated_mw, coalesce(f.need / nullif(total_mw, 0) * 100, 0) AS risk_score,
+              CASE WHEN f.need > 1e-6 THEN 0 ELSE (SELECT min(hop) FROM (SELECT src, dst, 1 AS hop FROM edges UNION ALL SELECT src, dst, 2 FROM reach2) w
+                 JOIN st3 u ON u.ba_code = w.dst AND u.need > 1e-6 WHERE w.src = z.ba_code) END AS impact_hops
+       FROM st0 z JOIN st3 f ON f.ba_code = z.ba_code""",
     "shortfall_mw compensated_mw risk_score",
     digits=3,
     ctes=_CASCADE,
@@ -190,23 +193,22 @@ _CASCADE |= _hop(2, "st2", "reach2")
 def _(t):
     mix = panel.pivot_fuel(b.daily_fuel_readings(t))
     fuel = mix.groupBy("ba_code").agg(*[F.sum(c).alias(c) for c in mix.columns if c.endswith("_mw")])
-    few = _edges(t).where((F.ascii("src") + F.ascii("dst")) % 5 == 0)
-    return risk.cascade({"gas_mw": 0.9, "coal_mw": 0.9}, fuel, few, hops=2, min_share=0.111)
+    return risk.cascade({"gas_mw": 0.9, "coal_mw": 0.9}, fuel, _edges(t), hops=2, min_share=0.111)
 
 
 @query(
     "fuel_vulnerability",
     """SELECT ba_code, fuel, share, CASE WHEN share > 0.12 THEN 'HIGH' WHEN share > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS vulnerability FROM (
-         SELECT ba_code, unnest(['gas', 'nuclear']) AS fuel, unnest([avg(gas_pct) / 100, avg(nuclear_mw / nullif(total_mw, 0))]) AS share FROM daily_fuel_mix GROUP BY 1)""",
+         SELECT ba_code, unnest(['coal', 'gas', 'nuclear', 'oil', 'solar', 'hydro', 'wind', 'other']) AS fuel,
+                unnest([avg(coal_mw / nullif(total_mw, 0)), avg(gas_mw / nullif(total_mw, 0)), avg(nuclear_mw / nullif(total_mw, 0)), avg(oil_mw / nullif(total_mw, 0)),
+                        avg(solar_mw / nullif(total_mw, 0)), avg(hydro_mw / nullif(total_mw, 0)), avg(wind_mw / nullif(total_mw, 0)), avg(other_mw / nullif(total_mw, 0))]) AS share FROM daily_fuel_mix GROUP BY 1)""",
     "share",
 )
 def _(t):
-    from wattline.operators.aggregates import fuel_profiles
-
-    p = fuel_profiles(panel.pivot_fuel(b.daily_fuel_readings(t))).select(
-        "ba_code", F.col("gas_sensitivity").alias("gas"), F.col("nuclear_sensitivity").alias("nuclear")
-    )
-    return risk.vulnerability(p, ["gas", "nuclear"], high=0.12, medium=0.1)
+    mix = panel.pivot_fuel(b.daily_fuel_readings(t))
+    fuels = [c.removesuffix("_mw") for c in mix.columns if c.endswith("_mw") and c != "total_mw"]
+    p = mix.groupBy("ba_code").agg(*[F.avg(F.try_divide(f"{n}_mw", "total_mw")).alias(n) for n in fuels])
+    return risk.vulnerability(p, fuels, high=0.12, medium=0.1)
 
 
 @query(
@@ -247,7 +249,7 @@ _NAMES = [f"q{round(q * 100):02d}" for q in QUANTILES]
     f"""WITH p AS (SELECT * FROM (SELECT period, ba_code, demand_mw, lag(demand_mw, 24) OVER (PARTITION BY ba_code ORDER BY period) AS p FROM demand) WHERE p IS NOT NULL),
              r AS (SELECT ba_code, extract(hour FROM period) AS hour, {', '.join(f'quantile_cont(demand_mw - p, {q}) AS r{n}' for q, n in zip(QUANTILES, _NAMES, strict=True))}
                    FROM p WHERE period < TIMESTAMP '2024-01-21' GROUP BY 1, 2)
-        SELECT p.period, p.ba_code, 'seasonal' AS model, demand_mw AS actual, {', '.join(f'p + coalesce(r{n}, 0) AS {n}' for n in _NAMES)}
+        SELECT p.period, p.ba_code, 'seasonal' AS model, demand_mw AS actual, {', '.join(f'p + r{n} AS {n}' for n in _NAMES)}
         FROM p LEFT JOIN r ON r.ba_code = p.ba_code AND r.hour = extract(hour FROM p.period) WHERE p.period >= TIMESTAMP '2024-01-21'""",
     "actual " + " ".join(QUANTILE_COLUMNS),
 )
@@ -264,19 +266,22 @@ def _(t):
     return forecast.seasonal_naive(b.demand(t).select("period", "ba_code", "demand_mw"))
 
 
-def _yearly_daily(t):
-    return t.lineitem.groupBy(b.ba("l_suppkey").alias("ba_code"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("y"))
-
-
-# least squares, boosted trees and clusters have no SQL form; their properties are tested instead
-@query("seasonal_decomposition")
+@query("seasonal_decomposition", "SELECT * FROM season_parts", "prophet_trend prophet_weekly prophet_yearly y")
 def _(t):
-    return forecast.decompose(_yearly_daily(t))
+    return forecast.decompose(b.seasonal_daily(t))
 
 
-@query("residual_anomalies")
+@query(
+    "residual_anomalies",
+    """WITH r AS (SELECT ba_code, date, y - prophet_trend - prophet_weekly - prophet_yearly AS residual FROM season_parts),
+            d AS (SELECT r.*, residual - m AS off, abs(residual - m) AS dev FROM r JOIN (SELECT ba_code, median(residual) AS m FROM r GROUP BY 1) c ON c.ba_code = r.ba_code),
+            s AS (SELECT ba_code, median(dev) AS mad FROM d GROUP BY 1)
+       SELECT d.ba_code, date, residual, 0.6745 * off / nullif(mad, 0) AS robust_z, coalesce(abs(0.6745 * off / nullif(mad, 0)) > 3.5, FALSE) AS is_anomaly
+       FROM d JOIN s ON s.ba_code = d.ba_code""",
+    "residual robust_z",
+)
 def _(t):
-    parts = forecast.decompose(_yearly_daily(t))
+    parts = forecast.decompose(b.seasonal_daily(t))
     residual = parts.select("ba_code", "date", (F.col("y") - F.col("prophet_trend") - F.col("prophet_weekly") - F.col("prophet_yearly")).alias("residual"))
     return forecast.anomalies(stage(residual, "residual"), "residual")
 
@@ -293,17 +298,18 @@ def _(t):
     return forecast.anomalies(b.demand(t).select("period", "ba_code", "demand_mw"), "demand_mw")
 
 
+# boosted trees and clusters have no SQL form; their properties are tested instead
 @query("spike_probabilities")
 def _(t):
     f = stage(b.features(t).where("demand_lag_24h IS NOT NULL"), "features")
-    model = forecast.spike_model(f.where("period < '2024-01-25'"), iterations=5)
+    model = forecast.spike_model(f.where("period < '2024-01-25'"))
     return forecast.spike_probability(model, f.where("period >= '2024-01-25'")).select("period", "ba_code", "is_spike", "spike_prob")
 
 
 @query("feature_importance")
 def _(t):
     f = stage(b.features(t).where("demand_lag_24h IS NOT NULL"), "features")
-    return forecast.importance(forecast.spike_model(f, iterations=5))
+    return forecast.importance(forecast.spike_model(f))
 
 
 @query("load_profiles")

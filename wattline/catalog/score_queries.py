@@ -151,7 +151,7 @@ def _(t):
     "A B",
 )
 def _(t):
-    return scoring.ablation(scoring.score_by(b.forecasts(t), ["model"]), ["mape", "mae", "rmse"])
+    return scoring.ablation(scoring.score_by(b.forecasts(t), ["model"]), ["mape", "mae", "rmse"], variants=["A", "B", "C"])
 
 
 _GAMMA = " + ".join(f"2 * coalesce(sum(c * lag{k}), 0)" for k in range(1, 24))

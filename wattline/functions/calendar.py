@@ -117,6 +117,23 @@ def holiday_dates(first: dt.date, last: dt.date) -> list[dt.date]:
     return sorted(d for d in days if first <= d <= last)
 
 
+def is_us_holiday(c: Column) -> Column:
+    """Whether a date is an observed federal holiday, of any year: the rule of ``holiday_dates`` as an expression."""
+    weekday = F.weekday(c)  # Monday is 0
+
+    def fixed(d: Column) -> Column:
+        month_day = F.month(d) * 100 + F.dayofmonth(d)
+        return month_day.isin(101, 704, 1111, 1225) | ((month_day == 619) & (F.year(d) >= 2021))
+
+    def nth(month: int, day: int, n: int) -> Column:
+        return (F.month(c) == month) & (weekday == day) & (F.ceil(F.dayofmonth(c) / 7) == n)
+
+    shifted = ((weekday == 4) & fixed(F.date_add(c, 1))) | ((weekday == 0) & fixed(F.date_sub(c, 1)))
+    last_monday = (F.month(c) == 5) & (weekday == 0) & (F.dayofmonth(c) >= 25)
+    king = nth(1, 0, 3) & (F.year(c) >= 1986)
+    return ((weekday < 5) & fixed(c)) | shifted | king | nth(2, 0, 3) | last_monday | nth(9, 0, 1) | nth(11, 3, 4)
+
+
 def us_holidays(spark: SparkSession, year_from: int, year_to: int) -> DataFrame:
     """One row per observed holiday of the years: at most 12 rows a year."""
     days = holiday_dates(dt.date(year_from, 1, 1), dt.date(year_to, 12, 31))

@@ -40,11 +40,13 @@ def pinball_at(actual: Column, predicted: Column, q: float) -> Column:
 
 def quantile_weights(outer: float = 2.0, n: int = len(QUANTILES)) -> list[float]:
     """Outermost quantiles weigh ``outer``, the next ones half-way to 1, the rest 1."""
-    weights = [1.0] * n
-    weights[0] = weights[-1] = float(outer)
-    if n >= 5:
-        weights[1] = weights[-2] = (outer + 1.0) / 2.0
-    return weights
+    steps = 2 if n >= 5 else 1  # how far from the outer ends the extra weight reaches
+
+    def weight(place: int) -> float:
+        from_end = min(place, n - 1 - place)
+        return 1.0 + (outer - 1.0) * max(steps - from_end, 0) / steps
+
+    return [weight(i) for i in range(n)]
 
 
 def pinball_row(

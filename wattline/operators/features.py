@@ -187,14 +187,15 @@ def latest_n(df: DataFrame, by: list[str], n: int, order: str = ORDER) -> DataFr
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the first by ``order``.
+    """One row per key: the first by ``order``, where a missing value comes after any other.
 
     A minimum over structs combines map-side, so a key with very many copies costs one row per map task
     where a row-number window would sort them all in one.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    first = F.min(F.struct(*order, *rest)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    known = [x for c in [*order, *rest] for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    first = F.min(F.struct(*known)).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*keys, *[f"_first.{c}" for c in [*order, *rest]]).select(*df.columns)
 
 
 # --- daily series: at most 366 rows a year and key ---------------------------------------------

@@ -59,11 +59,12 @@ def decompose(daily: DataFrame, train_end: str | None = None) -> DataFrame:
     rows = daily.select("ba_code", "date", F.col("y").cast("double").alias("y"), *[c.alias(n) for n, c in terms.items()])
     fit_on = rows if train_end is None else rows.where(F.col("date") < F.lit(train_end).cast("date"))
     fit_on = fit_on.where("y IS NOT NULL")
-    # the matrix is symmetric: sums are made once per unordered pair
-    pairs = {(a, b): F.sum(F.col(a) * F.col(b)).alias(f"_{a}_{b}") for i, a in enumerate(names) for b in names[i:]}
-    sums = fit_on.groupBy("ba_code").agg(*pairs.values(), *[F.sum(F.col(n) * F.col("y")).alias(f"_{n}_y") for n in names])
-    cell = [f"_{a}_{b}" if (a, b) in pairs else f"_{b}_{a}" for a in names for b in names]
-    fitted = sums.select("ba_code", _solve(F.array(*cell, *[f"_{n}_y" for n in names])).alias("_beta"))
+    # one row for each product, summed map-side: 16 x 16 of pairs row by row, then those with y
+    x = F.array(*names)
+    products = F.concat(F.flatten(F.transform(x, lambda a: F.transform(F.array(*names), lambda b: a * b))), F.transform(x, lambda a: a * F.col("y")))
+    sums = fit_on.select("ba_code", F.posexplode(products).alias("at", "v")).groupBy("ba_code", "at").agg(F.sum("v").alias("v"))
+    moments = sums.groupBy("ba_code").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("_m"))
+    fitted = moments.select("ba_code", _solve(F.transform("_m", lambda m: m["v"])).alias("_beta"))
 
     def part(prefixes: tuple[str, ...]) -> Column:
         total = F.lit(0.0)
@@ -72,8 +73,8 @@ def decompose(daily: DataFrame, train_end: str | None = None) -> DataFrame:
                 total = total + F.col("_beta")[i] * F.col(n)
         return total
 
-    # one row per area
-    return rows.join(F.broadcast(fitted), "ba_code").select(
+    # one row per key: Spark broadcasts it where it is small
+    return rows.join(fitted, "ba_code").select(
         "ba_code",
         "date",
         part(("one", "trend")).alias("prophet_trend"),
@@ -86,7 +87,7 @@ def decompose(daily: DataFrame, train_end: str | None = None) -> DataFrame:
 # --- spike classifier -----------------------------------------------------------------------------
 
 
-def spike_model(train: DataFrame, cols: list[str] = SPIKE_FEATURES, label: str = "is_spike", pos_weight: float = 10.0, iterations: int = 20):
+def spike_model(train: DataFrame, cols: list[str] = SPIKE_FEATURES, label: str = "is_spike", pos_weight: float = 10.0, iterations: int = 500):
     """Gradient-boosted trees for spikes, rare positives weighted up; returns the fitted pipeline."""
     data = train.withColumns(
         {
@@ -98,7 +99,7 @@ def spike_model(train: DataFrame, cols: list[str] = SPIKE_FEATURES, label: str =
     stages = [
         VectorAssembler(inputCols=cols, outputCol="_features"),
         GBTClassifier(
-            featuresCol="_features", labelCol="_label", weightCol="_weight", maxDepth=6, maxIter=iterations, stepSize=0.05, subsamplingRate=0.8, seed=7
+            featuresCol="_features", labelCol="_label", weightCol="_weight", maxDepth=6, maxIter=iterations, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=7
         ),
     ]
     return Pipeline(stages=stages).fit(data)
@@ -139,7 +140,7 @@ def forecast(
     """Quantile forecast of every hour from ``train_end`` on.
 
     The median is the value ``lag`` rows before; the other quantiles add the residual quantiles of the same
-    area and hour of day found before ``train_end``.
+    area and hour of day found before ``train_end``, and are NULL where there are none.
     """
     pred = seasonal_naive(panel.select("ba_code", "period", c), lag, c).where("q50 IS NOT NULL")
     cut = F.lit(train_end).cast("timestamp")
@@ -153,7 +154,7 @@ def forecast(
         "ba_code",
         F.lit("seasonal").alias("model"),
         F.col(c).alias("actual"),
-        *[(F.col("_base") + F.coalesce(f"_{n}", F.lit(0.0))).alias(n) for n in names],
+        *[(F.col("_base") + F.col(f"_{n}")).alias(n) for n in names],
     )
 
 

@@ -124,8 +124,12 @@ def on_dates(df: DataFrame, dates: DataFrame, date: str = "holiday_date") -> Dat
 
 
 def anti_new(new: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key the target does not hold yet."""
-    return new.join(target.select(*keys), keys, "left_anti")
+    """Rows of ``new`` whose key the target does not hold yet; a NULL in a key equals a NULL."""
+    held = target.select([F.col(k).alias(f"_held_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_held_{k}"))
+    return new.join(held, same, "left_anti")
 
 
 def asof_last(panel: DataFrame, daily: DataFrame, cols: list[str], date: str = "period") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.hashing import content_hash
 from wattline.functions.measures import ratio
+from wattline.lineage import stage
 from wattline.reference_data import CONFLICT_ROOT_CODES, ENERGY_THEME_PARTS
 
 HOUR = 3600
@@ -51,7 +52,7 @@ def risk_hourly(news: DataFrame) -> DataFrame:
     return (
         news.select(
             F.date_trunc("hour", "event_time").alias("hour"),
-            F.explode("ba_codes").alias("ba_code"),
+            F.explode(F.array_distinct("ba_codes")).alias("ba_code"),
             "sentiment_score",
             "risk_magnitude",
             "event_type",
@@ -137,6 +138,30 @@ def range_window(df: DataFrame, by: list[str], c: str, hours: int = 24, time: st
     return totals.select(*by, time).join(ranges, [*by, time])
 
 
+def decayed_hours(news: DataFrame, values: dict[str, Column], half_life: float, reach: int) -> DataFrame:
+    """Per area and hour the sums of values of events up to ``reach`` hours old, halved every ``half_life`` hours of true age.
+
+    An event counts from the first full hour that isn't before it. Sums are made per area and that hour, with the part of an
+    hour in between already decayed; only these totals are handed to the hours they serve.
+    """
+    rate = math.log(2) / half_life
+    first = F.date_trunc("hour", "event_time")
+    on_hour = F.col("event_time") == first
+    start = F.when(on_hour, first).otherwise(first + F.expr("INTERVAL 1 HOUR"))
+    aged = F.exp((F.unix_micros("event_time") - F.unix_micros(start)) / (HOUR * 1e6) * rate)
+    per_hour = (
+        news.select(F.explode(F.array_distinct("ba_codes")).alias("ba_code"), start.alias("_start"), on_hour.alias("_on"), *[(v * aged).alias(n) for n, v in values.items()])
+        .groupBy("ba_code", "_start", "_on")
+        .agg(*[F.sum(n).alias(n) for n in values])
+    )
+    served = per_hour.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("_on"), reach).otherwise(reach - 1))).alias("_h")).select(
+        "ba_code",
+        F.timestamp_seconds(F.unix_timestamp("_start") + F.col("_h") * HOUR).alias("period"),
+        *[(F.col(n) * F.exp(F.col("_h") * F.lit(-rate))).alias(n) for n in values],
+    )
+    return served.groupBy("period", "ba_code").agg(*[F.sum(n).alias(n) for n in values])
+
+
 def decayed_mean(
     news: DataFrame,
     half_life: float = 24.0,
@@ -144,26 +169,13 @@ def decayed_mean(
     value: str = "sentiment_score",
     name: str = "decayed_sentiment",
 ) -> DataFrame:
-    """Exponentially decaying mean of hourly news totals over the last ``reach`` hours per area.
+    """Exponentially decaying mean of the values of events up to ``reach`` hours old, per area and hour.
 
-    The weight halves every ``half_life`` hours. Events are summed per hour first; the decay then acts on
-    hourly totals.
+    The weight halves every ``half_life`` hours; an event counts from the first full hour after it.
     """
-    per_hour = (
-        news.select(F.explode(F.array_distinct("ba_codes")).alias("ba_code"), F.date_trunc("hour", "event_time").alias("_hour"), value)
-        .groupBy("ba_code", "_hour")
-        .agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    )
-    weight = F.exp(F.col("_h") * F.lit(-math.log(2) / half_life))
-    served = per_hour.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_h")).select(
-        "ba_code",
-        F.timestamp_seconds(F.unix_timestamp("_hour") + F.col("_h") * HOUR).alias("period"),
-        (F.col("_s") * weight).alias("_s"),
-        (F.col("_n") * weight).alias("_n"),
-    )
-    return served.groupBy("period", "ba_code").agg(
-        ratio(F.sum("_s"), F.sum("_n")).alias(name), F.sum("_n").alias("decayed_volume")
-    )
+    known = F.when(F.col(value).isNotNull(), 1.0)
+    sums = decayed_hours(news, {"_s": F.col(value), "_n": known}, half_life, reach)
+    return sums.select("period", "ba_code", ratio(F.col("_s"), F.col("_n")).alias(name), F.col("_n").alias("decayed_volume"))
 
 
 def risk_index(
@@ -179,18 +191,8 @@ def risk_index(
     for kind, weight in weights.items():
         by_type = F.when(F.col("event_type") == kind, F.lit(weight)).otherwise(by_type)
     harm = F.greatest(-F.col("sentiment_score"), F.lit(0.0)) * F.col("risk_magnitude") * by_type
-    scored = news.select("ba_codes", "event_time", harm.alias("_harm"))
-    per_hour = (
-        scored.select(F.explode(F.array_distinct("ba_codes")).alias("ba_code"), F.date_trunc("hour", "event_time").alias("_hour"), "_harm")
-        .groupBy("ba_code", "_hour")
-        .agg(F.sum("_harm").alias("_s"))
-    )
-    served = per_hour.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_h")).select(
-        "ba_code",
-        F.timestamp_seconds(F.unix_timestamp("_hour") + F.col("_h") * HOUR).alias("period"),
-        (F.col("_s") * F.exp(F.col("_h") * F.lit(-math.log(2) / half_life))).alias("_s"),
-    )
-    raw = served.groupBy("period", "ba_code").agg(F.sum("_s").alias("raw_risk"))
+    # the raw table is read for its span and again for the rows
+    raw = stage(decayed_hours(news, {"raw_risk": harm}, half_life, reach), "raw_risk")
     span = raw.agg(F.struct(F.min("raw_risk").alias("lo"), F.max("raw_risk").alias("hi"))).scalar()
     return raw.select("*", span.alias("_span")).select(
         "period",

@@ -122,7 +122,8 @@ def variant_columns(variant: str) -> list[str]:
 
 
 def select_variant(df: DataFrame, variant: str = "C") -> DataFrame:
-    return df.select(*[c for c in variant_columns(variant) if c in df.columns])
+    """The columns of a variant; one that is missing raises an error."""
+    return df.select(*variant_columns(variant))
 
 
 def clip_column(df: DataFrame, c: str = "renewable_pct", lo: float = 0.0, hi: float = 100.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.measures import haversine_miles, ratio
@@ -87,8 +87,17 @@ def station_tone(articles: DataFrame, miles: float = 100.0, by: tuple[str, ...]
 # --- prediction rounds --------------------------------------------------------------------------
 
 
+def accepted(submissions: DataFrame) -> DataFrame:
+    """Submissions whose probability is one: 0 to 10000 basis points."""
+    return submissions.where(F.col("prob_bp").between(0, 10_000))
+
+
 def consensus(submissions: DataFrame) -> DataFrame:
-    """Median megawatts and median probability per (area, target); even counts take the floored mean."""
+    """Median megawatts and median probability per (area, target); even counts take the floored mean.
+
+    Submissions with a probability above 10000 basis points are refused.
+    """
+    submissions = accepted(submissions)
     by = ["ba_code", "target"]
     values = F.array(
         *[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("value")) for c in ("predicted_mw", "prob_bp")]
@@ -104,10 +113,18 @@ def consensus(submissions: DataFrame) -> DataFrame:
 
 
 def node_stats(submissions: DataFrame, penalties: DataFrame, stake: int = 100) -> DataFrame:
-    """Submissions, penalties and remaining stake of every node."""
+    """Submissions, penalties and remaining stake of every node.
+
+    A penalty above what is left of the stake is refused. Smaller ones are taken first, so as many count as the stake
+    covers, and the order in which they are listed doesn't matter.
+    """
     sent = submissions.groupBy("node_id").agg(F.count(F.lit(1)).alias("n_submissions"))
-    lost = penalties.groupBy("node_id").agg(
-        F.count(F.lit(1)).alias("n_penalties"), F.sum("amount").alias("_lost")
+    sizes = penalties.groupBy("node_id", "amount").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("node_id").orderBy("amount").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_left", F.lit(stake) - F.coalesce(F.sum(F.col("_n") * F.col("amount")).over(before), F.lit(0)))
+    taken = F.greatest(F.least(F.col("_n"), F.floor(F.col("_left") / F.col("amount"))), F.lit(0))
+    lost = sizes.withColumn("_taken", taken).groupBy("node_id").agg(
+        F.sum("_taken").alias("n_penalties"), F.sum(F.col("_taken") * F.col("amount")).alias("_lost")
     )
     return sent.join(lost, "node_id", "left").select(
         "node_id",
@@ -189,7 +206,8 @@ def cascade(
     ``min_share`` of it. Areas without a shortfall offer ``spare_share`` of their total. In each hop, an
     area in need draws on its direct neighbours, each of which splits what it has left in proportion to
     the needs around it. Areas that needed nothing pass power on in later hops through their own
-    neighbours' offers, so help reaches ``hops`` edges far. All shares here are parameters.
+    neighbours' offers, so help reaches ``hops`` edges far. ``impact_hops`` says how soon an area is hit: 0 where need
+    stays, else the number of edges (up to ``hops``) to such an area, NULL beyond. All shares here are parameters.
     """
     lost = F.lit(0.0)
     for fuel, part in disruption.items():
@@ -201,6 +219,7 @@ def cascade(
         F.when(F.col("shortfall_mw") > 0, 0.0).otherwise(F.col("total_mw") * spare_share).alias("offer"),
     )
     reach = edges.select("src", "dst").distinct()
+    steps = reach.withColumn("hop", F.lit(1))
     for hop in range(hops):
         if hop:
             # each hop reads the state several times: cut its lineage
@@ -212,13 +231,16 @@ def cascade(
                 .where("src <> dst")
                 .distinct()
             )
+            steps = steps.unionByName(reach.withColumn("hop", F.lit(hop + 1)))
         needs = state.where("need > 0").select(F.col("ba_code").alias("dst"), "need")
         offers = state.where("offer > 0").select(F.col("ba_code").alias("src"), "offer")
         pairs = reach.join(needs, "dst").join(offers, "src")
         asked = pairs.groupBy("src").agg(F.sum("need").alias("_asked"))
         given = pairs.join(asked, "src").withColumn("_give", F.col("offer") * F.col("need") / F.greatest("_asked", "offer"))
-        got = given.groupBy(F.col("dst").alias("ba_code")).agg(F.sum("_give").alias("_got"))
-        used = got.join(state.select("ba_code", "need"), "ba_code").withColumn("_got", F.least("_got", "need")).drop("need")
+        # where more is offered than needed, every gift shrinks alike: what is given is what is taken
+        offered = given.groupBy("dst").agg(F.sum("_give").alias("_offered"))
+        given = given.join(offered, "dst").withColumn("_give", F.col("_give") * F.least(F.lit(1.0), F.col("need") / F.col("_offered")))
+        used = given.groupBy(F.col("dst").alias("ba_code")).agg(F.least(F.sum("_give"), F.max("need")).alias("_got"))
         spent = given.groupBy(F.col("src").alias("ba_code")).agg(F.sum("_give").alias("_spent"))
         state = (
             state.join(used, "ba_code", "left")
@@ -231,11 +253,15 @@ def cascade(
             )
             .drop("_got", "_spent")
         )
-    return state.select(
+    state = cut(state)
+    unmet = state.where("need > 1e-6").select(F.col("ba_code").alias("dst"))
+    near = steps.join(unmet, "dst").groupBy(F.col("src").alias("ba_code")).agg(F.min("hop").alias("_hop"))
+    return state.join(near, "ba_code", "left").select(
         "ba_code",
         "shortfall_mw",
         (F.col("shortfall_mw") - F.col("need")).alias("compensated_mw"),
         F.coalesce(ratio(F.col("need"), F.col("total_mw")) * 100, F.lit(0.0)).alias("risk_score"),
+        F.when(F.col("need") > 1e-6, 0).otherwise(F.col("_hop")).alias("impact_hops"),
     )
 
 
@@ -273,8 +299,8 @@ def episodes(features: DataFrame, gap_hours: int = 1) -> DataFrame:
     session ends one gap after its last spike.
     """
     spikes = features.where("is_spike")
-    # sessions are half-open: one second more makes a distance of exactly the gap belong together
-    window = F.session_window("period", F.lit(f"{gap_hours * 3600 + 1} seconds"))
+    # sessions that touch belong together, so a distance of exactly the gap does
+    window = F.session_window("period", F.lit(f"{gap_hours * 3600} seconds"))
     return spikes.groupBy("ba_code", window.alias("_s")).agg(
         F.min("period").alias("first_hour"),
         F.max("period").alias("last_hour"),

@@ -121,10 +121,18 @@ def stack_metrics(*metrics: DataFrame) -> DataFrame:
     return out
 
 
-def ablation(metrics: DataFrame, cols: list[str], variant: str = "model") -> DataFrame:
-    """One row per metric, one column per variant: variants must be known ahead (A, B, C)."""
+def ablation(metrics: DataFrame, cols: list[str], variant: str = "model", variants: list[str] | None = None) -> DataFrame:
+    """One row per metric, one column per variant; ``metrics`` holds a row for each variant.
+
+    Without ``variants`` those found get a column each. A variant that isn't listed raises an error when the
+    result is read, rather than vanish.
+    """
     long = metrics.unpivot([variant], cols, "metric", "value")
-    return long.groupBy("metric").pivot(variant, ["A", "B", "C"]).agg(F.max("value"))
+    if variants is None:
+        return long.groupBy("metric").pivot(variant).agg(F.max("value"))
+    listed = F.col(variant).isin(variants)
+    known = F.when(listed, F.col(variant)).otherwise(F.raise_error(F.concat(F.lit("no column for variant "), F.coalesce(variant, F.lit("NULL")))).cast("string"))
+    return long.withColumn(variant, known).groupBy("metric").pivot(variant, variants).agg(F.max("value"))
 
 
 # --- tests of equal accuracy --------------------------------------------------------------------
@@ -245,8 +253,6 @@ def direction_acc(df: DataFrame, actual: Column, predicted: Column, by: list[str
 
 def spike_scores(df: DataFrame, by: list[str], label: str = "is_spike", score: str = "score", cut: float = 0.5) -> DataFrame:
     """Precision, recall, F1 at a cut and the area under the ROC curve by rank sums."""
-    if not by:
-        return spike_scores(df.withColumn("_all", F.lit(1)), ["_all"], label, score, cut).drop("_all")
     yes = F.col(label)
     called = F.col(score) >= cut
     counts = df.groupBy(*by).agg(
@@ -264,7 +270,8 @@ def spike_scores(df: DataFrame, by: list[str], label: str = "is_spike", score: s
     recall = ratio(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double"))
     f1 = ratio(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"))
     auc = ratio(F.col("_ranksum") - pos * (pos + 1) / 2, pos * neg)
-    return counts.join(sums, by, "left").select(
+    joined = counts.join(sums, by, "left") if by else counts.withColumn("_ranksum", sums.select("_ranksum").scalar())
+    return joined.select(
         *by, "tp", "fp", "fn", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), auc.alias("auc")
     )
 

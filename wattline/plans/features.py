@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.calendar import dow0, hour_of, is_weekend, month_of, us_holidays
+from wattline.functions.calendar import dow0, hour_of, is_us_holiday, is_weekend, month_of
 from wattline.functions.measures import cdd, default0, geo_risk, hdd, rate, supply_margin
 from wattline.operators.aggregates import fuel_profiles, news_daily
 from wattline.operators.features import PANEL_BACK, add_panel_windows, trailing_z
@@ -19,6 +19,7 @@ EVENT_COLUMNS = [
     "oil_region_event_count", "global_event_count",
 ]
 
+# fixed values: the columns of the feature table, in its order
 FEATURE_COLUMNS = [
     "period", "ba_code", "demand_mw", "hour_of_day", "day_of_week", "month", "is_weekend", "is_holiday",
     "demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_rolling_24h", "demand_rolling_168h",
@@ -31,13 +32,23 @@ FEATURE_COLUMNS = [
 
 
 def demand_rows(demand: DataFrame, start: str | None, end: str | None, bas: list[str]) -> DataFrame:
-    """Demand of the listed areas in [start - 7 days, end)."""
+    """Demand of the listed areas in [start, end), and before it as many rows of each area as its windows reach.
+
+    Windows count rows, so with missing hours they reach back further than their length in time. Rows are
+    counted per area and day; the days are taken that hold the last ``PANEL_BACK`` rows before ``start``.
+    """
     panel = only_bas(demand, bas)
-    if start is not None:
-        panel = panel.where(F.col("period") >= F.lit(start).cast("timestamp") - F.expr("INTERVAL 7 DAYS"))
     if end is not None:
         panel = panel.where(F.col("period") < F.lit(end).cast("timestamp"))
-    return panel
+    if start is None:
+        return panel
+    begin = F.lit(start).cast("timestamp")
+    days = panel.where(F.col("period") < begin).groupBy("ba_code", F.to_date("period").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("ba_code").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = days.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).where(F.col("_later") < PANEL_BACK)
+    first = needed.groupBy(F.col("ba_code").alias("_area")).agg(F.min("_day").cast("timestamp").alias("_first"))
+    bounded = panel.join(first, F.col("ba_code") == F.col("_area"), "left")
+    return bounded.where(F.col("period") >= F.least(begin, F.coalesce("_first", begin))).select(panel.columns)
 
 
 def base_panel(
@@ -99,8 +110,8 @@ def build_features(
 ) -> DataFrame:
     """The feature table in one plan.
 
-    ``start`` and ``end`` bound the result; the week before ``start`` is read as well so that the trailing
-    features of the first rows are complete.
+    ``start`` and ``end`` bound the result; as many rows before ``start`` are read as the windows of the first
+    rows reach, so they equal those of the unbounded run. Without ``holidays`` the federal rule flags any year.
     """
     base = base_panel(demand, fuel_mix, weather, events, gas, oil, outages, start, end, bas)
     # chunks are planned on the demand rows alone, so that counting them runs none of the joins
@@ -108,9 +119,8 @@ def build_features(
     out = add_panel_windows(base, plan=chunks)
     if start is not None:
         out = out.where(F.col("period") >= F.lit(start).cast("timestamp"))
-    if holidays is None:
-        holidays = us_holidays(demand.sparkSession, 2015, 2035)
-    return flag_dates(out, holidays).select(*FEATURE_COLUMNS)
+    flagged = out.withColumn("is_holiday", is_us_holiday(F.to_date("period"))) if holidays is None else flag_dates(out, holidays)
+    return flagged.select(*FEATURE_COLUMNS)
 
 
 def news_zscores(state_news: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from wattline.reference_data import CARRIED_COLUMNS, NEWS_REALS, STATIC_REALS, V
 
 
 def model_frame(features: DataFrame, variant: str = "C", scale: float = 2.0, backward: bool = True) -> DataFrame:
-    """The complete frame a model is trained on, for variant A, B or C.
+    """The complete frame a model is trained on, for variant A, B or C; a column that is missing raises an error.
 
     ``features`` should be a stored table. Carried values and medians each need the whole table before
     they can be applied, so the frame is staged before and after the carrying.
@@ -28,12 +28,11 @@ def model_frame(features: DataFrame, variant: str = "C", scale: float = 2.0, bac
             "renewable_pct": clip(F.col("renewable_pct"), 0.0, 100.0),
         }
     ).drop("oil_price")
-    present = set(df.columns)
-    carried = [c for c in dict.fromkeys([*CARRIED_COLUMNS, *VARIANT_REALS[variant]]) if c in present]
+    carried = list(dict.fromkeys([*CARRIED_COLUMNS, *VARIANT_REALS[variant]]))
     df = df.withColumns({c: F.col(c).cast("double") for c in carried})
     df = stage(df, "holidays")
     df = stage(fill(df, carried, BY, backward=backward, few_keys=True), "filled")
-    df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STATIC_REALS if c in present})
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STATIC_REALS})
     df = select_variant(df, variant)
     numeric = [n for n, t in df.dtypes if t == "double"]
     df = df.withColumns({c: finite_or_null(F.col(c)) for c in numeric})

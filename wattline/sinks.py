@@ -40,6 +40,19 @@ def fresh_rows(target: DataFrame, new: DataFrame, keys: list[str], order: list[s
     return anti_new(keep_first(new, keys, rest), target, keys)
 
 
+#: Months of a batch that are named to the reader one by one; a batch with more of them reads the whole table.
+NAMED_MONTHS = 240
+
+
+def months_of(target: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``target`` in the months that occur in ``new``, as a filter that leaves other partitions unread."""
+    named = [r[0] for r in new.select("month").distinct().limit(NAMED_MONTHS + 1).collect()]
+    if len(named) > NAMED_MONTHS:
+        return target
+    wanted = F.col("month").isin([m for m in named if m is not None])
+    return target.where(wanted | F.col("month").isNull() if None in named else wanted)
+
+
 def upsert_cols(target: DataFrame, new: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Insert new keys whole; on keys that exist refresh only ``cols``.
 
@@ -76,15 +89,16 @@ def write_months(df: DataFrame, path: str, time: str = "period") -> None:
 def write_merge(spark: SparkSession, new: DataFrame, path: str, keys: list[str], time: str = "period") -> None:
     """Insert-ignore ``new`` into the table at ``path``; safe to run again with the same rows.
 
-    Only months that occur in ``new`` are read from the target.
+    Where the keys hold the time, only the months that occur in ``new`` are read from the target; else a
+    key may sit in any month and all are. Rows without a time are one month of their own.
     """
     if not table_exists(spark, path):
         write_append(keep_first(new, keys, [c for c in new.columns if c not in keys]), path, time)
         return
     target = spark.read.parquet(path)
-    months = with_month(new, time).select("month").distinct()
-    touched = target.join(F.broadcast(months), "month", "left_semi").drop("month")
-    write_append(fresh_rows(touched, new, keys), path, time)
+    if time in keys:
+        target = months_of(target, with_month(new, time))
+    write_append(fresh_rows(target.drop("month"), new, keys), path, time)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

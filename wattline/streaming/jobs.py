@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wattline.functions.measures import ratio
 from wattline.operators.features import latest_n, over_rows, spike_flag_over, spike_magnitude_over
 from wattline.operators.risk import consensus
-from wattline.sinks import table_exists, write_merge
+from wattline.sinks import months_of, table_exists, with_month, write_merge
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -71,7 +71,7 @@ def stream_risk_hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Hourly news index per area."""
     return (
         stream.withWatermark("event_time", late)
-        .select("event_time", F.explode("ba_codes").alias("ba_code"), "sentiment_score", "risk_magnitude", "event_type")
+        .select("event_time", F.explode(F.array_distinct("ba_codes")).alias("ba_code"), "sentiment_score", "risk_magnitude", "event_type")
         .groupBy(F.window("event_time", "1 hour"), "ba_code")
         .agg(
             F.avg("sentiment_score").alias("avg_sentiment"),
@@ -92,7 +92,7 @@ def stream_news_24h(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """
     hourly = (
         stream.withWatermark("event_time", late)
-        .select("event_time", F.explode("ba_codes").alias("ba_code"), "sentiment_score", "risk_magnitude", (F.col("event_type") == "SUPPLY_DISRUPTION").alias("_d"))
+        .select("event_time", F.explode(F.array_distinct("ba_codes")).alias("ba_code"), "sentiment_score", "risk_magnitude", (F.col("event_type") == "SUPPLY_DISRUPTION").alias("_d"))
         .groupBy(F.window("event_time", "1 hour"), "ba_code")
         .agg(F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_c"), F.max("risk_magnitude").alias("_r"), F.count(F.lit(1)).alias("_n"), F.bool_or("_d").alias("_d"))
     )
@@ -126,9 +126,14 @@ def stream_dedupe(stream: DataFrame, keys: list[str], time: str = "period", late
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drop_late(stream: DataFrame, delay: str, keys: list[str], time: str = "period") -> DataFrame:
-    """Rows that are not older than the watermark when they arrive (rows are unique by ``keys``)."""
-    return stream_dedupe(stream, keys, time, delay)
+def drop_late(stream: DataFrame, delay: str, time: str = "period") -> DataFrame:
+    """Rows that are younger than the watermark when they arrive; rows that repeat all stay.
+
+    Only operators with state look at the watermark. The one used here keeps a random name of every row, which none shares, until
+    the watermark passes it.
+    """
+    named = stream.withWatermark(time, delay).withColumn("_name", F.expr("uuid()"))
+    return named.dropDuplicatesWithinWatermark(["_name"]).drop("_name")
 
 
 def stream_merge(stream: DataFrame, path: str, keys: list[str], checkpoint: str, time: str = "period") -> StreamingQuery:
@@ -188,7 +193,8 @@ def stream_rounds(submissions: DataFrame, table: str, out_path: str, checkpoint:
 
     Submissions (node_id, ba_code, target, predicted_mw, prob_bp, submitted_at) go to ``table``. A small
     streaming aggregate tells which rounds have closed; their medians are then worked out from the table,
-    however many submissions a round has.
+    however many submissions a round has. Only submissions made before the round's hour is over count, so a batch that is
+    run again, or a submission that comes later, changes no closed round. Of the table only the rounds' months are read.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -206,7 +212,8 @@ def stream_rounds(submissions: DataFrame, table: str, out_path: str, checkpoint:
         if not table_exists(batch.sparkSession, table):
             return
         rounds = batch.select("ba_code", "target").distinct()
-        due = batch.sparkSession.read.parquet(table).join(rounds, ["ba_code", "target"], "left_semi")
+        stored = months_of(batch.sparkSession.read.parquet(table), with_month(rounds, "target"))
+        due = stored.where(F.col("submitted_at") < F.col("target") + F.expr("INTERVAL 1 HOUR")).join(rounds, ["ba_code", "target"], "left_semi")
         consensus(due).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return run_batches(closed, finalise, f"{checkpoint}/close")
