@@ -7,7 +7,7 @@ which their group is small enough: consecutive suffixes with one anchor travel t
 that only one place in the corpus has is left out before any text moves. Each group's suffix tree is built
 level by level, the depth doubling each time and suffixes that have become unique dropped out (prefix doubling). Its internal nodes of
 depth ``window`` are the repeated windows; windows that follow each other join to maximal repeats. A group too large
-for memory gets the longest prefix there is, the whole window, and its nodes are counted by Spark.
+for memory gets longer prefixes instead, whole segments and then whole windows, whose nodes Spark counts.
 
 Documents with the same words as another are found first by a 128-bit hash and take part in the search once.
 """
@@ -91,8 +91,9 @@ def described(texts: DataFrame, key: str, window: int, prefix: int) -> DataFrame
 def carved(chosen: DataFrame, window: int, prefix: int) -> DataFrame:
     """Segments of the documents' anchors that other places share, and the documents' texts, in one table.
 
-    ``count`` > 0: that many windows from ``first`` on under anchor ``prefix``, with their words. ``count`` = 0: one window of a
-    large group, known by its 128-bit hash (``prefix``, ``words``). ``count`` < 0: the whole text, compressed.
+    ``count`` > 0 without ``windows``: that many windows from ``first`` on under anchor ``prefix``, with their words. With
+    ``windows``: the same of a large group, known by the 128-bit hash (``prefix``, ``mark``) of its words and those of its windows
+    (two numbers each). ``count`` < 0: the whole text, compressed.
     """
 
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,25 +109,45 @@ def carved(chosen: DataFrame, window: int, prefix: int) -> DataFrame:
             kept = np.isin(key, own)
             doc, first, count, anchor, big = doc[kept], first[kept], count[kept], anchor[kept], np.isin(key[kept], large)
             raw, row = data.tobytes(), rows.column(ROW).to_numpy()
-            groups, r, f, c, words = [], [], [], [], []
+            groups, r, f, c, words, mark, windows = [], [], [], [], [], [], []
             for i in np.flatnonzero(~big).tolist():
                 a, n = int(first[i]), int(count[i])
                 groups.append(int(anchor[i].view(np.int64))), r.append(int(row[doc[i]])), f.append(a - int(w.first[doc[i]])), c.append(n)
                 words.append(raw[w.starts[a] : w.ends[a + n + window - 2]])
             if big.any():
-                one, two = text.runs(hashes, window), text.runs(hashes, window, "check")
-                at = np.concatenate([np.arange(a, a + n) for a, n in zip(first[big], count[big], strict=True)])
-                of = np.repeat(doc[big], count[big])
-                groups += text.signed(one[at]).tolist()
-                r += row[of].tolist()
-                f += (at - w.first[of]).tolist()
-                c += [0] * len(at)
-                words += [x.tobytes() for x in two[at]]
+                pairs = np.column_stack([text.runs(hashes, window), text.runs(hashes, window, "check")]).view(np.int64)
+                for i in np.flatnonzero(big).tolist():
+                    a, n = int(first[i]), int(count[i])
+                    one, two = np.frombuffer(hashlib.blake2b(hashes[a : a + n + window - 1].tobytes(), digest_size=16).digest(), "<i8").tolist()
+                    groups.append(one), r.append(int(row[doc[i]])), f.append(a - int(w.first[doc[i]])), c.append(n), words.append(b"")
+                    mark.append((len(groups) - 1, two)), windows.append((len(groups) - 1, pairs[a : a + n].ravel()))
             for i in range(rows.num_rows):
                 groups.append(0), r.append(int(row[i])), f.append(0), c.append(-1), words.append(squeeze(raw[offsets[i] : offsets[i + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(r, pa.int64()), pa.array(f, pa.int32()), pa.array(c, pa.int32()), pa.array(words, pa.binary())], names=["prefix", ROW, "first", "count", "words"])
+            marks, held = dict(mark), dict(windows)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(groups, pa.int64()), pa.array(r, pa.int64()), pa.array(f, pa.int32()), pa.array(c, pa.int32()), pa.array(words, pa.binary()),
+                pa.array([marks.get(i) for i in range(len(groups))], pa.int64()), pa.array([held.get(i) for i in range(len(groups))], pa.list_(pa.int64())),
+            ], names=["prefix", ROW, "first", "count", "words", "mark", "windows"])
+
+    return chosen.mapInArrow(carve, f"prefix long, {ROW} long, first int, count int, words binary, mark long, windows array<long>")
+
 
-    return chosen.mapInArrow(carve, f"prefix long, {ROW} long, first int, count int, words binary")
+def counted(parts: DataFrame, window: int) -> DataFrame:
+    """As ``trees``, for the large groups: row, start, end.
+
+    Segments alike in all words are found first, by one row per task and content. If there are several, every window in
+    them repeats. Of each content one goes on to the count of windows, by which those of single segments are judged.
+    """
+    place = F.struct(ROW, "first")
+    kinds = parts.groupBy("prefix", "mark").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.first("count").alias("count"), F.first("windows").alias("windows"))
+    kinds = stage(kinds.withColumn("alike", F.expr("a <> z")), "contents")
+    alike = kinds.where("alike").select("prefix", "mark")
+    whole = parts.join(alike, ["prefix", "mark"]).select(ROW, F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + window - 1).cast("long").alias("end"))
+    each = kinds.select("a", "alike", F.expr("explode(transform(sequence(0, count - 1), i -> struct(i, windows[2 * i] AS one, windows[2 * i + 1] AS two))) AS w"))
+    each = each.select(f"a.{ROW}", (F.col("a.first") + F.col("w.i")).cast("long").alias("start"), "alike", "w.one", "w.two")
+    many = stage(each.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "windows")
+    single = each.where("NOT alike").join(many, ["one", "two"]).select(ROW, "start", (F.col("start") + window).alias("end"))
+    return whole.union(single)
 
 
 def deep_nodes(group: np.ndarray, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -236,10 +257,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", window:
     found = texts.join(ids, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p"))).select(ROW, "text", "places", "large")
     parts = stage(carved(found, window, prefix), "segments")
 
-    cold = trees(parts.where("count > 0").repartition("prefix").sortWithinPartitions("prefix"), window)
-    hot = parts.where("count = 0").select("prefix", "words", ROW, "first").distinct()
-    many = hot.groupBy("prefix", "words").agg(F.count("*").alias("n")).where("n > 1").select("prefix", "words")
-    hot = hot.join(stage(many, "windows"), ["prefix", "words"]).select(ROW, F.col("first").cast("long").alias("start"), (F.col("first") + window).cast("long").alias("end"))
+    cold = trees(parts.where("count > 0 AND windows IS NULL").select("prefix", ROW, "first", "count", "words").repartition("prefix").sortWithinPartitions("prefix"), window)
+    hot = counted(parts.where("windows IS NOT NULL").select("prefix", "mark", ROW, "first", "count", "windows"), window)
     spans = stage(cold.unionByName(hot).groupBy(ROW).agg(F.collect_list(F.struct("start", "end")).alias("x")), "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
