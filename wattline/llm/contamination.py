@@ -75,5 +75,4 @@ def contained(docs: DataFrame, items: DataFrame, least: float = LEAST, width: in
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The documents that hold no item: all their rows and columns, also those without a text."""
     bad = stage(contained(docs, items, least, key=key, text=text, **more).select(F.col(key).alias("_k"), F.col("text_hash").alias("_p")).distinct(), "contaminated")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_p"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(bad, docs[f"`{key}`"].eqNullSafe(bad["_k"]) & (F.xxhash64(docs[f"`{text}`"]) == bad["_p"]), "left_anti")

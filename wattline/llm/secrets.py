@@ -182,21 +182,27 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     return each.select(F.col("_key").alias(key), F.col("_print").alias("text_hash"), kinds[F.col("_rule")].alias("kind"), F.col("_rule").alias("rule"), (F.col("end") - F.col("_len")).alias("start"), "end")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mask: str = "[secret]", length: str | None = None) -> DataFrame:
     """The documents with every stretch that spans cover replaced by ``mask``; spans that touch or overlap share one.
 
-    Columns and rows stay as they are otherwise, null texts too.
+    Columns and rows stay as they are otherwise, null texts too. ``length`` names a column with the text's length, which is
+    then counted anew where a mask was set.
     """
     own = stage(spans(docs, rules, key, text), "spans").select(F.col(key).alias("_key"), F.col("text_hash").alias("_print"), "start", "end")
     own = own.withColumn("_reach", F.expr("max(end) OVER (PARTITION BY _key, _print ORDER BY start, end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    own = own.withColumn("_run", F.expr("sum(CASE WHEN start <= _reach THEN 0 ELSE 1 END) OVER (PARTITION BY _key, _print ORDER BY start, end)"))
+    own = own.withColumn("_run", F.expr("sum(CASE WHEN start <= _reach THEN 0 ELSE 1 END) OVER (PARTITION BY _key, _print ORDER BY start, end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
     own = own.groupBy("_key", "_print", "_run").agg(F.min("start").alias("a"), F.max("end").alias("z"))
     cuts = own.groupBy("_key", "_print").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("_cuts"))
     cuts = stage(cuts, "cuts").withColumnsRenamed({"_key": "_k", "_print": "_p"})
     body = F.col(f"`{text}`")
-    joined = docs.join(cuts, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("_p")), "left")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{key}`").alias("_key"), F.coalesce(body, F.lit("")).alias("_text"))
+    joined = marked.join(cuts, F.col("_key").eqNullSafe(F.col("_k")) & (F.xxhash64("_text") == F.col("_p")), "left")
     # what stands before the first cut, between two, and after the last
-    between = F.expr(f"""transform(sequence(0, size(_cuts)), i -> substring(`{text}`,
-        int(if(i = 0, 0, _cuts[i - 1].z)) + 1, int(if(i = size(_cuts), length(`{text}`), _cuts[i].a) - if(i = 0, 0, _cuts[i - 1].z))))""")
-    new = F.when(F.col("_cuts").isNull(), body).otherwise(F.array_join(between, mask))
-    return joined.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    between = F.expr("""transform(sequence(0, size(_cuts)), i -> substring(_text,
+        int(if(i = 0, 0, _cuts[i - 1].z)) + 1, int(if(i = size(_cuts), length(_text), _cuts[i].a) - if(i = 0, 0, _cuts[i - 1].z))))""")
+    joined = joined.withColumn("_new", F.when(F.col("_cuts").isNotNull(), F.array_join(between, mask)))
+    columns = {f.name: F.col("_doc").getField(f.name) for f in docs.schema.fields}
+    columns[text] = F.coalesce(F.col("_new"), columns[text])
+    if length is not None:
+        columns[length] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[length].dataType)).otherwise(columns[length])
+    return joined.select(*[c.alias(n) for n, c in columns.items()])
