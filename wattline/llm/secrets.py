@@ -51,6 +51,7 @@ def required(pattern: str) -> list[set[str]]:
     found: list[set[str]] = []
 
     def keep(strings: set[str]) -> None:
+        strings = {x for x in strings if not any(y in x for y in strings if y != x)}  # the shorter one says as much
         if strings and min(map(len, strings)) >= 3:
             found.append(strings)
 
