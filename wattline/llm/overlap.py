@@ -6,12 +6,13 @@ exactly 3/7 of both sizes together where the sketches are whole, and ENOUGH else
 probability below 1e-9. The search for the documents that occur in T lists goes as in DivideSkip:
 
 1. Every list proposes its first document to the others, and each document is verified against the proposal it shares most
-   lists with. That costs one pair per document and joins most large groups of near copies at once.
+   lists with, if it shares T with it. That costs one pair per document at most and joins many groups of near copies at once.
 2. Lists whose documents are all joined by now are done. Of the others the short ones are merged, which counts the shared
    hashes of each pair not joined yet; pairs that can reach T with their long lists are verified.
 3. The long lists are not merged: a document with fewer than T of them must show up in a short list with any partner. For documents
    with more, those that a long list has apart from its largest group are looked up, in blocks, in a
-   local index whose long lists are only probed (by binary search) for the candidates that the short ones leave.
+   local index whose long lists are only probed (by binary search) for the candidates that the short ones leave. A block verifies
+   them itself and hands on only links that joined two groups.
 
 Verification counts both whole sets. Nothing is capped: every pair that may link is either verified or already joined.
 """
@@ -32,7 +33,7 @@ from wattline.llm import text
 from wattline.llm.components import components
 from wattline.llm.tables import ROW
 
-WIDTH, SKETCH, ENOUGH, SHORT, BLOCK = 5, 64, 26, 64, 2048
+WIDTH, SKETCH, ENOUGH, SHORT, BLOCK, BLOCK_BYTES = 5, 64, 26, 64, 2048, 1 << 22
 LEAST = (75, 100)
 
 
@@ -89,12 +90,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: tuple[int, i
                 offsets = text.offsets_of(np.array([len(x) for x in raw]))
                 sets = shingle_sets(text.Words(np.frombuffer(b"".join(raw), np.uint8), offsets, lower=True), width)
                 n = part.num_rows
-                links = []
-                for one, two in zip(sets[:n], sets[n:], strict=True):
-                    few, many = (one, two) if len(one) <= len(two) else (two, one)
-                    place = np.minimum(np.searchsorted(many, few), max(len(many) - 1, 0))
-                    both = int((many[place] == few).sum()) if len(many) else 0
-                    links.append(both > 0 and least[1] * both >= least[0] * (len(one) + len(two) - both))
+                links = [linked(one, two, least) for one, two in zip(sets[:n], sets[n:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(links))
 
     one = texts.selectExpr(f"{ROW} AS a", "text AS text_a")
@@ -113,42 +109,60 @@ def must_share(x: str, y: str, least: tuple[int, int]) -> str:
     return f"CAST(CASE WHEN greatest({x}, {y}) <= {SKETCH} THEN {whole} ELSE least({ENOUGH}, {whole}) END AS INT)"
 
 
-def looked_up(asked: DataFrame, others: DataFrame, blocks: int, chunks: int, best_only: bool, least: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) from different groups of ``asked`` and ``others`` (row, n, root, sketch) that share T sketch hashes.
+def linked(one: np.ndarray, two: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether two sorted sets link: the smaller is looked up in the larger by binary search."""
+    few, many = (one, two) if len(one) <= len(two) else (two, one)
+    if not len(few):
+        return False
+    both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return least[1] * both >= least[0] * (len(one) + len(two) - both)
 
-    Both sides are dealt into blocks by hash, each block of one side meets each of the other. ``best_only``: for each asked
-    document and group in a block only the pair that shares most.
+
+def looked_up(asked: DataFrame, others: DataFrame, blocks: int, chunks: int, width: int, least: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join the groups of ``asked`` to those of ``others`` (row, n, root, sketch, text).
+
+    Both sides are dealt into blocks by hash, and each block of one side meets each of the other. A block verifies every pair
+    that shares T sketch hashes and isn't joined by then, those that share most first, and hands on only the
+    links that joined two groups: fewer than it has documents.
     """
-    grid = asked.withColumns({"i": F.expr(f"pmod(xxhash64({ROW}), {blocks})"), "j": F.expr(f"explode(sequence(0, {chunks - 1}))"), "asks": F.lit(True)})
-    grid = grid.unionByName(others.withColumns({"i": F.expr(f"explode(sequence(0, {blocks - 1}))"), "j": F.expr(f"pmod(xxhash64({ROW}, 7), {chunks})"), "asks": F.lit(False)}).withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")))
+    grid = asked.withColumns({"i": F.expr(f"pmod(xxhash64({ROW}), {blocks})"), "j": F.expr(f"explode(sequence(0L, {chunks - 1}L))"), "asks": F.lit(True)})
+    rest = others.withColumns({"i": F.expr(f"explode(sequence(0L, {blocks - 1}L))"), "j": F.expr(f"pmod(xxhash64({ROW}, 7), {chunks})"), "asks": F.lit(False)})
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy().astype(bool)
         row, n, root = (table.column(c).to_numpy() for c in (ROW, "n", "root"))
         sketches = table.column("sketch").combine_chunks()
         at, flat = sketches.offsets.to_numpy() - sketches.offsets[0].as_py(), sketches.flatten().to_numpy()
+        sets: list[np.ndarray] = []
+        open_, waiting, size = zstandard.ZstdDecompressor().decompress, [], 0
+        packed = table.column("text").to_pylist()
+        for k, x in enumerate(packed):
+            waiting.append(open_(x))
+            size += len(waiting[-1])
+            if size >= 1 << 20 or k == len(packed) - 1:
+                raw = np.frombuffer(b"".join(waiting), np.uint8)
+                sets += shingle_sets(text.Words(raw, text.offsets_of(np.array([len(x) for x in waiting])), lower=True), width)
+                waiting, size = [], 0
         queries, docs = np.flatnonzero(asks), np.flatnonzero(~asks)
         q_of = np.repeat(np.arange(len(queries)), np.diff(at)[queries])
         q_hash = np.concatenate([flat[at[q] : at[q + 1]] for q in queries]) if len(queries) else np.zeros(0, np.int64)
         order = np.argsort(q_hash, kind="stable")
         lists, ids = q_hash[order], q_of[order]
-        found: list[tuple[int, int]] = []
-        n_q = n[queries]
-        for d in docs.tolist():
+        label = root.copy()
+        a, b, n_q = [], [], n[queries]
+        for d in docs.tolist() if len(queries) else []:
             own = flat[at[d] : at[d + 1]]
             begin, end = np.searchsorted(lists, own, "left"), np.searchsorted(lists, own, "right")
             size = end - begin
-            small = max(n[d], 1)
-            whole = np.ceil(least[0] * (n_q + small) / (least[0] + least[1]) - 1e-9)
-            need = np.where(np.maximum(n_q, small) <= SKETCH, whole, np.minimum(ENOUGH, whole))
+            whole = np.ceil(least[0] * (n_q + n[d]) / (least[0] + least[1]) - 1e-9)
+            need = np.where(np.maximum(n_q, n[d]) <= SKETCH, whole, np.minimum(ENOUGH, whole))
             # the longest lists, one fewer than any candidate needs, are only probed
-            probe = np.sort(np.argsort(size, kind="stable")[::-1][: max(int(need.min()) - 1, 0)]) if len(need) else np.zeros(0, np.int64)
-            merge = np.setdiff1d(np.arange(len(own)), probe)
-            hits = [ids[begin[k] : end[k]] for k in merge if size[k]]
+            probe = np.sort(np.argsort(size, kind="stable")[::-1][: max(int(need.min()) - 1, 0)])
+            hits = [ids[begin[k] : end[k]] for k in np.setdiff1d(np.arange(len(own)), probe) if size[k]]
             if not hits:
                 continue
             seen = np.bincount(np.concatenate(hits), minlength=len(queries))
-            ok = (seen > 0) & (seen + len(probe) >= need) & (root[queries] != root[d]) & (least[1] * np.minimum(n_q, small) >= least[0] * np.maximum(n_q, small))
+            ok = (seen > 0) & (seen + len(probe) >= need) & (label[queries] != label[d]) & (least[1] * np.minimum(n_q, n[d]) >= least[0] * np.maximum(n_q, n[d]))
             candidates = np.flatnonzero(ok)
             for k in probe:
                 if not len(candidates):
@@ -157,20 +171,15 @@ def looked_up(asked: DataFrame, others: DataFrame, blocks: int, chunks: int, bes
                     of = ids[begin[k] : end[k]]
                     place = np.minimum(np.searchsorted(of, candidates), len(of) - 1)
                     seen[candidates] += of[place] == candidates
-            for q in candidates[seen[candidates] >= need[candidates]].tolist():
-                found.append((int(seen[q]), q, d))
-        if best_only:
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for x in found:
-                k = (x[1], int(root[x[2]]))
-                if k not in best or x > best[k]:
-                    best[k] = x
-            found = list(best.values())
-        a = np.array([row[queries[q]] for _, q, _ in found], np.int64)
-        b = np.array([row[d] for _, _, d in found], np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return grid.groupBy("i", "j").applyInArrow(search, "a long, b long").distinct()
+            candidates = candidates[seen[candidates] >= need[candidates]]
+            candidates = queries[candidates[np.argsort(-seen[candidates], kind="stable")]]
+            for q in candidates.tolist():
+                if label[q] != label[d] and linked(sets[q], sets[d], least):
+                    a.append(int(row[q])), b.append(int(row[d]))
+                    label[label == label[q]] = label[d]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return grid.unionByName(rest).groupBy("i", "j").applyInArrow(search, "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -202,7 +211,8 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", width: i
 
     sizes = sets.select(F.col(ROW).alias("first"), F.col("n").alias("n_first"))
     offers = posts.where(f"{ROW} <> first").groupBy(ROW, "n", "first").agg(F.count("*").alias("shared"))
-    offers = offers.join(sizes, "first").where(may_link("n", "n_first", least))
+    # fewer shared lists mean a common passage at most; step 2 looks at such pairs again
+    offers = offers.join(sizes, "first").where(may_link("n", "n_first", least)).where(f"shared >= {must_share('n', 'n_first', least)}")
     best = offers.groupBy(ROW).agg(F.max(F.struct("shared", (-F.col("first")).alias("first"))).alias("x"))
     links = verified(best.select((-F.col("x.first")).alias("a"), F.col(ROW).alias("b")), bodies, width, least)
 
@@ -222,22 +232,21 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", width: i
     pairs = pairs.where(f"shared + least(long, long2) >= {must_share('n', 'n2', least)}")
     links = stage(links.union(verified(pairs.select(F.col(ROW).alias("a"), F.col(f"{ROW}2").alias("b")), bodies, width, least)), "linked")
 
-    # 3: documents that long lists alone could join, first by the best pair with each group, then by all pairs that are left
+    # 3: documents that long lists alone could join, in blocks
     heavy = marked.where(f"long >= least({ENOUGH}, ceil({least[0]}D * n / {least[1]})) AND df > {SHORT}").select("hash", ROW, "n")
     if not heavy.isEmpty():
-        for best_only in (True, False):
-            now = stage(rooted(heavy), "heavy")
-            groups = now.groupBy("hash", "root").agg(F.count("*").alias("size"))
-            largest = groups.groupBy("hash").agg(F.max(F.struct("size", "root")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1").select("hash", F.col("x.root").alias("top"))
-            apart = now.join(largest, "hash")
-            asked = stage(apart.where("root <> top").select(ROW).distinct(), "asked")
-            n_asked = asked.count()
-            if not n_asked:
-                break
-            others = stage(apart.select(ROW, "root").distinct().join(sets, ROW).select(ROW, "n", "root", "sketch"), "others")
-            blocks, chunks = -(-n_asked // BLOCK), -(-others.count() // BLOCK)
-            more = looked_up(others.join(asked, ROW), others, blocks, chunks, best_only, least)
-            links = stage(links.union(verified(more, bodies, width, least)), "linked")
+        now = stage(rooted(heavy), "heavy")
+        groups = now.groupBy("hash", "root").agg(F.count("*").alias("size"))
+        largest = groups.groupBy("hash").agg(F.max(F.struct("size", "root")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1").select("hash", F.col("x.root").alias("top"))
+        apart = now.join(stage(largest, "largest"), "hash")
+        asked = stage(apart.where("root <> top").select(ROW).distinct(), "asked")
+        others = apart.select(ROW, "root").distinct().join(sets, ROW).join(bodies, ROW).select(ROW, "n", "root", "sketch", "text")
+        others = stage(others, "others")
+        asks = stage(others.join(asked, ROW), "asks")
+        size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).cast("int")
+        blocks, chunks = asks.agg(size).first()[0], others.agg(size).first()[0]
+        if blocks:
+            links = stage(links.union(looked_up(asks, others, blocks, chunks, width, least)), "linked")
 
     groups = all_.join(kinds.select("f1", "f2", F.col(ROW).alias("_set")), ["f1", "f2"], "left").withColumn("_set", F.when(F.col("n") > 0, F.col("_set")).otherwise(F.col(ROW)))
     tree = components(links).select(F.col("node").alias("_at"), "root")
