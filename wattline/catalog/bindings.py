@@ -440,20 +440,25 @@ def features(t: Tables) -> DataFrame:
     )
 
 
-def forecasts(t: Tables) -> DataFrame:
-    """Rows of both models from one window pass."""
+def both_models(t: Tables) -> DataFrame:
+    """Each hour's demand with the medians of both models (A, B), from one window pass."""
     from wattline.operators.features import over_rows
-    from wattline.reference_data import QUANTILE_COLUMNS, QUANTILES
 
     panel = demand(t).select("period", "ba_code", "demand_mw")
-    both = over_rows(
+    return over_rows(
         panel,
         ["ba_code"],
         "period",
         lambda w: {"A": F.lag("demand_mw", 24).over(w), "B": F.avg("demand_mw").over(w.rowsBetween(-24, -1))},
         back=24,
     )
-    long = both.unpivot(["period", "ba_code", "demand_mw"], ["A", "B"], "model", "p").where("p IS NOT NULL")
+
+
+def forecasts(t: Tables) -> DataFrame:
+    """A row for each model and hour."""
+    from wattline.reference_data import QUANTILE_COLUMNS, QUANTILES
+
+    long = both_models(t).unpivot(["period", "ba_code", "demand_mw"], ["A", "B"], "model", "p").where("p IS NOT NULL")
     return long.select(
         "period",
         "ba_code",
@@ -464,10 +469,9 @@ def forecasts(t: Tables) -> DataFrame:
 
 
 def aligned(t: Tables) -> DataFrame:
-    from wattline.operators.joins import align
-
-    f = forecasts(t)
-    return align(f.where("model = 'A'"), f.where("model = 'B'"))
+    """Both models side by side, from the row that holds them."""
+    both = both_models(t).where("A IS NOT NULL AND B IS NOT NULL")
+    return both.select("period", "ba_code", F.col("demand_mw").alias("actual"), F.col("A").alias("q50_a"), F.col("B").alias("q50_b"))
 
 
 def daily(t: Tables) -> DataFrame:

@@ -199,22 +199,27 @@ def _(t):
 # --- region dictionary -------------------------------------------------------------------------
 
 _NAMES = {
-    # the dictionary of the region resolver is bound to the words of the benchmark passages
+    # the dictionary of the region resolver is bound to the words of the benchmark passages, and their pairs of words
+    "item_words": """SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM benchmark""",
     "named": f"""SELECT ba_code, name, min(pos) AS ord FROM (
-                   SELECT {b.ba_sql('item_id')} AS ba_code, item_id * 4294967296 AS pos,
-                          unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: length(w) >= 7)) AS name FROM benchmark)
+                   SELECT {b.ba_sql('item_id')} AS ba_code, item_id * 4294967296 AS pos, unnest(w) AS name FROM item_words
+                   UNION ALL SELECT {b.ba_sql('item_id')}, item_id * 4294967296, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM item_words)
                  GROUP BY 1, 2""",
-    "words": """SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS entity FROM documents""",
+    "doc_words": """SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM documents""",
+    "words": """SELECT DISTINCT doc_id, unnest(w) AS entity FROM doc_words
+                UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM doc_words""",
 }
 
 
 def dictionary(t):
-    """Words of at least seven letters of the benchmark passages, as region names of twelve areas."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 7)
-    return t.benchmark.select(
+    """Words of the benchmark passages and their pairs, as region names of twelve areas."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    pairs = F.expr("CASE WHEN size(_w) > 1 THEN transform(sequence(0, size(_w) - 2), i -> concat(_w[i], ' ', _w[i + 1])) ELSE array() END")
+    words_of = t.benchmark.select("item_id", words.alias("_w")).select("item_id", F.concat("_w", pairs).alias("_names"))
+    return words_of.select(
         b.ba("item_id").alias("ba_code"),
         F.col("item_id").cast("int").alias("ord"),
-        words.alias("region_names"),
+        F.col("_names").alias("region_names"),
         F.create_map(F.lit("NG"), (F.col("item_id") % 10) / 10.0, F.lit("COL"), (F.col("item_id") % 7) / 10.0).alias("fuel_profile"),
     )
 
@@ -226,14 +231,14 @@ def _(t):
 
 @query("match_exact", "SELECT DISTINCT w.entity, w.entity AS name, n.ba_code FROM (SELECT DISTINCT entity FROM words) w JOIN named n ON n.name = w.entity", ctes=_NAMES)
 def _(t):
-    return regions.match_exact(regions.document_words(t.documents), regions.region_names(dictionary(t)))
+    return regions.match_exact(regions.document_words(t.documents, longest=2), regions.region_names(dictionary(t)))
 
 
 # Similarity by common subsequence has no SQL counterpart that ends in time on whole tables; it is tested by
 # brute force on a small dictionary.
 @query("match_fuzzy")
 def _(t):
-    return regions.match_fuzzy(regions.document_words(t.documents), regions.region_names(dictionary(t)))
+    return regions.match_fuzzy(regions.document_words(t.documents, longest=2), regions.region_names(dictionary(t)))
 
 
 @query(
@@ -254,4 +259,4 @@ def _stories(t):
 
 @query("resolve_articles")
 def _(t):
-    return regions.resolve_articles(regions.document_words(t.documents), _stories(t), dictionary(t)).distinct()
+    return regions.resolve_articles(regions.document_words(t.documents, longest=2), _stories(t), dictionary(t)).distinct()

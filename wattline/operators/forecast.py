@@ -20,6 +20,7 @@ from wattline.operators.ranks import medians, percentiles
 from wattline.reference_data import QUANTILE_COLUMNS, QUANTILES, SPIKE_FEATURES
 
 WEEKLY_TERMS, YEARLY_TERMS = 3, 4
+ROWS_PER_TASK = 50_000
 
 
 def _season_terms(date: Column) -> dict[str, Column]:
@@ -88,8 +89,11 @@ def decompose(daily: DataFrame, train_end: str | None = None) -> DataFrame:
 
 
 def spike_model(train: DataFrame, cols: list[str] = SPIKE_FEATURES, label: str = "is_spike", pos_weight: float = 10.0, iterations: int = 500):
-    """Gradient-boosted trees for spikes, rare positives weighted up; returns the fitted pipeline."""
-    data = train.withColumns(
+    """Gradient-boosted trees for spikes, rare positives weighted up; returns the fitted pipeline.
+
+    Every round passes over the data once for each level of a tree, so rows are dealt into as many partitions as they fill.
+    """
+    data = train.repartition(max(1, train.count() // ROWS_PER_TASK)).withColumns(
         {
             **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols},
             "_label": F.col(label).cast("double"),
@@ -146,7 +150,7 @@ def forecast(
     cut = F.lit(train_end).cast("timestamp")
     past = pred.where(F.col("period") < cut).select("ba_code", F.hour("period").alias("hour"), (F.col(c) - F.col("q50")).alias("_res"))
     names = [f"q{round(q * 100):02d}" for q in quantiles]
-    spread = percentiles(past, ["ba_code", "hour"], "_res", {f"_{n}": q for n, q in zip(names, quantiles, strict=True)}, slices=8, few_keys=True)
+    spread = percentiles(past, ["ba_code", "hour"], "_res", {f"_{n}": q for n, q in zip(names, quantiles, strict=True)}, few_keys=True)
     ahead = pred.where(F.col("period") >= cut).withColumn("hour", F.hour("period"))
     base = F.col("q50")
     return ahead.withColumn("_base", base).join(F.broadcast(spread), ["ba_code", "hour"], "left").select(

@@ -10,20 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+from wattline.lineage import stage
 
+#: Distinct values that one task orders, about.
+PER_SLICE = 50_000
 
-def value_ranks(df: DataFrame, by: list[str], col: str, slices: int = SLICES, few_keys: bool = False) -> DataFrame:
+
+def value_ranks(df: DataFrame, by: list[str], col: str, slices: int | None = None, few_keys: bool = False) -> DataFrame:
     """One row per (key, distinct value): count ``n``, rows up to and including it ``cum``, key ``total``.
 
+    The counts are stored, since the cuts, the slices' starts and the ranks all read them. Without ``slices`` there
+    are as many as the number of counts asks for.
+
     ``few_keys`` says that the keys come from a fixed list, such as area codes; the cut points (one row per
     key) are then broadcast, so a key with a third of all rows stays spread out.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n")), "counts")
+    slices = slices or 1 + counts.count() // PER_SLICE
     marks = [i / slices for i in range(1, slices)]
-    cuts = counts.groupBy(*by).agg(
-        F.percentile_approx(F.col(col).cast("double"), marks, 1000).alias("_cuts"), F.sum("n").alias("total")
-    )
+    proposed = F.percentile_approx(F.col(col).cast("double"), marks, 10_000) if marks else F.array().cast("array<double>")
+    cuts = counts.groupBy(*by).agg(proposed.alias("_cuts") if marks else F.first(proposed).alias("_cuts"), F.sum("n").alias("total"))
     if by:
         with_cuts = counts.join(F.broadcast(cuts) if few_keys else cuts, by)
     else:
@@ -48,7 +54,7 @@ def value_ranks(df: DataFrame, by: list[str], col: str, slices: int = SLICES, fe
 
 
 def percentile_bounds(
-    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int = SLICES, few_keys: bool = False
+    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int | None = None, few_keys: bool = False
 ) -> DataFrame:
     """Per key and named percentile the two neighbouring values and the fraction between them.
 
@@ -73,7 +79,7 @@ def percentile_bounds(
 
 
 def percentiles(
-    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int = SLICES, few_keys: bool = False
+    df: DataFrame, by: list[str], col: str, ps: dict[str, float], slices: int | None = None, few_keys: bool = False
 ) -> DataFrame:
     """Exact interpolated percentiles per key, one column per name in ``ps``."""
     bounds = percentile_bounds(df, by, col, ps, slices, few_keys)
@@ -86,7 +92,7 @@ def percentiles(
     )
 
 
-def medians(df: DataFrame, by: list[str], cols: list[str], slices: int = SLICES, few_keys: bool = False) -> DataFrame:
+def medians(df: DataFrame, by: list[str], cols: list[str], slices: int | None = None, few_keys: bool = False) -> DataFrame:
     """Exact median of several columns per key, in one pass over the long form of the columns."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])
     long = df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.name", "_p.value")
@@ -94,7 +100,7 @@ def medians(df: DataFrame, by: list[str], cols: list[str], slices: int = SLICES,
     return mids.groupBy(*by).agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in cols])
 
 
-def average_ranks(df: DataFrame, by: list[str], col: str, name: str = "avg_rank", slices: int = SLICES) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], col: str, name: str = "avg_rank", slices: int | None = None) -> DataFrame:
     """Add the rank of each row's value in its key, ties sharing the mean rank."""
     ranks = value_ranks(df, by, col, slices)
     mean_rank = F.col("cum") - (F.col("n") - 1) / 2

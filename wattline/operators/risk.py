@@ -103,7 +103,7 @@ def consensus(submissions: DataFrame) -> DataFrame:
         *[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("value")) for c in ("predicted_mw", "prob_bp")]
     )
     long = submissions.select(*by, F.explode(values).alias("_v")).select(*by, "_v.name", "_v.value")
-    mids = percentile_bounds(long, [*by, "name"], "value", {"m": 0.5}, slices=8)
+    mids = percentile_bounds(long, [*by, "name"], "value", {"m": 0.5})
     median = F.expr("CASE WHEN m_frac > 0 THEN (m_lo + m_hi) DIV 2 ELSE m_lo END").cast("bigint")
     return mids.groupBy(*by).agg(
         F.max(F.when(F.col("name") == "predicted_mw", median)).alias("median_mw"),
@@ -157,7 +157,7 @@ def settle(submissions: DataFrame, actuals: DataFrame, tol: float = 0.2, penalty
 def hourly_limits(history: DataFrame, c: str = "demand_mw", q: float = 0.95) -> DataFrame:
     """Percentile of demand per area, hour of day and day of week."""
     keyed = history.select("ba_code", F.hour("period").alias("hour"), F.dayofweek("period").alias("dow"), c)
-    return percentiles(keyed, ["ba_code", "hour", "dow"], c, {"limit_mw": q}, slices=8, few_keys=True)
+    return percentiles(keyed, ["ba_code", "hour", "dow"], c, {"limit_mw": q}, few_keys=True)
 
 
 def alerts(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from wattline.functions import errors
 from wattline.functions.measures import ratio
+from wattline.lineage import stage
 from wattline.operators.features import over_rows
 from wattline.operators.quality import windows_at
 from wattline.operators.ranks import value_ranks
@@ -152,7 +153,8 @@ def diebold_mariano(aligned: DataFrame, h: int = 24, by: list[str] | None = None
     """
     by = by or ["ba_code"]
     d = F.pow(F.col("actual") - F.col("q50_a"), 2) - F.pow(F.col("actual") - F.col("q50_b"), 2)
-    diffs = aligned.select(*by, "period", d.alias("_d")).where(F.col("_d").isNotNull())
+    # read for the means, the centred rows and the plan of the chunks
+    diffs = stage(aligned.select(*by, "period", d.alias("_d")).where(F.col("_d").isNotNull()), "differences")
     means = diffs.groupBy(*by).agg(F.avg("_d").alias("_mean"), F.count(F.lit(1)).alias("n"))
     # one row per area
     centred = diffs.join(F.broadcast(means), by).select(*by, "period", (F.col("_d") - F.col("_mean")).alias("_c"))
