@@ -8,8 +8,10 @@ from wattline import sinks
 from wattline.catalog import bindings as b
 from wattline.catalog.registry import query
 from wattline.functions import measures as m
+from wattline.lineage import fresh_dir, stage
 from wattline.operators import aggregates, features, joins, panel, quality
 from wattline.operators.ranks import medians
+from wattline.reference_data import REFRESHED_COLUMNS
 
 HALF = "TIMESTAMP '2024-01-16'"
 WINDOWS = [
@@ -26,8 +28,8 @@ _BOUNDS_SQL = ", ".join(f"('{k}', {lo}.0::DOUBLE, {hi}.0::DOUBLE)" for k, (lo, h
 _LOCAL = {
     "bounds": f"SELECT * FROM (VALUES {_BOUNDS_SQL}) v(ba_code, lo, hi)",
     "wins": "SELECT * FROM (VALUES " + ", ".join(
-        f"('{k}', '{label}', TIMESTAMP '{a}', TIMESTAMP '{z}')" for k, label, a, z, _ in WINDOWS
-    ) + ") v(win, label, a, z)",
+        f"('{k}', '{label}', TIMESTAMP '{a}', TIMESTAMP '{z}', {f"DATE '{e}'" if e else 'NULL'})" for k, label, a, z, e in WINDOWS
+    ) + ") v(win, label, a, z, escalation)",
 }
 
 
@@ -102,7 +104,7 @@ def _(t):
 
 @query(
     "crisis_windows",
-    'SELECT d.period, d.ba_code, d.demand_mw, w.win AS "window", w.label FROM demand d JOIN wins w ON d.period BETWEEN w.a AND w.z',
+    'SELECT d.period, d.ba_code, d.demand_mw, w.win AS "window", w.label, w.escalation FROM demand d JOIN wins w ON d.period BETWEEN w.a AND w.z',
     "demand_mw",
     ctes=_LOCAL,
 )
@@ -348,6 +350,27 @@ def _(t):
     return sinks.upsert_cols(old, new, ["period", "ba_code"], ["forecast_mw"])
 
 
+@query(
+    "refresh_feature_table",
+    """SELECT * REPLACE (CASE WHEN period >= TIMESTAMP '2024-01-20' THEN demand_mw + 1000 ELSE demand_mw END AS demand_mw,
+                         CASE WHEN period >= TIMESTAMP '2024-01-12' THEN gas_price * 2 ELSE gas_price END AS gas_price,
+                         CASE WHEN period >= TIMESTAMP '2024-01-12' THEN NULL ELSE demand_lag_168h END AS demand_lag_168h) FROM features""",
+    b.FEATURE_FLOATS,
+)
+def _(t):
+    table = b.features(t)
+    old = table.where("period < '2024-01-20'")
+    # a rebuild from the 12th on: known hours take the refreshed columns only, new hours come whole
+    changes = {"demand_mw": F.col("demand_mw") + 1000, "gas_price": F.col("gas_price") * 2, "demand_lag_168h": F.lit(None).cast("double")}
+    new = table.where("period >= '2024-01-12'").withColumns(changes)
+    path = fresh_dir(t.spark, "features")
+    sinks.write_months(old, path)
+    stored = t.spark.read.parquet(path)
+    merged = stage(sinks.upsert_cols(stored.drop("month").withColumn("month", F.month("period")), new, ["period", "ba_code"], REFRESHED_COLUMNS), "merged")
+    sinks.write_months(merged.withColumnRenamed("month", "month_of_year"), path)
+    return t.spark.read.parquet(path).drop("month").withColumnRenamed("month_of_year", "month")
+
+
 @query(
     "patch_by_day",
     """SELECT d.period, d.ba_code, CASE WHEN x.date IS NOT NULL THEN x.GPRD ELSE d.demand_mw END AS demand_mw

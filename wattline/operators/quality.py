@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.measures import clip, finite_or_null, flag_to_str
 from wattline.operators.ranks import percentiles
-from wattline.reference_data import CRISIS_WINDOWS, DEMAND_BOUNDS, FEATURE_BAS, KNOWN_FLAGS, KNOWN_REALS
+from wattline.reference_data import CRISIS_WINDOWS, DEMAND_BOUNDS, FEATURE_BAS, KNOWN_FLAGS, KNOWN_REALS, MONTHLY_CRISIS_WINDOWS
 from wattline.reference_data import STATIC_REALS, VARIANT_REALS
 
 
@@ -51,12 +51,17 @@ def windows_at(c: Column, windows: list[tuple] = CRISIS_WINDOWS) -> Column:
 
 
 def in_windows(df: DataFrame, windows: list[tuple] = CRISIS_WINDOWS, c: str = "period") -> DataFrame:
-    """Rows inside any window, once per window they fall in."""
+    """Rows inside any window, once per window they fall in, with the window's escalation day (NULL where it has none)."""
     return df.select("*", F.explode(windows_at(F.col(c), windows)).alias("_w")).select(
-        *df.columns, "_w.window", "_w.label"
+        *df.columns, "_w.window", "_w.label", "_w.escalation"
     )
 
 
+def monthly_crisis_windows() -> Column:
+    """The catalogue of the monthly views, with escalation days."""
+    return crisis_windows(MONTHLY_CRISIS_WINDOWS)
+
+
 # --- demand bounds ----------------------------------------------------------------------------------
 
 
@@ -175,16 +180,6 @@ def table_stats(df: DataFrame, key: str = "ba_code", time: str = "period") -> Da
     )
 
 
-def table_stats_approx(df: DataFrame, key: str = "ba_code", time: str = "period") -> DataFrame:
-    """As ``table_stats`` with a sketch for the distinct count, for very large tables."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.approx_count_distinct(key).alias("n_keys"),
-        F.min(time).alias("first_period"),
-        F.max(time).alias("last_period"),
-    )
-
-
 def demand_audit(df: DataFrame, p: float = 0.99, c: str = "demand_mw") -> DataFrame:
     """Per area the range, mean and exact continuous percentile of demand."""
     basic = df.groupBy("ba_code").agg(

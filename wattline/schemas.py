@@ -33,17 +33,3 @@ STATE_NEWS_CSV = (
     "renewable_articles bigint, avg_energy_tone double, min_energy_tone double"
 )
 RISK_INDEX_CSV = "date date, GPRD double, GPRD_ACT double, GPRD_THREAT double, GPRD_MA7 double"
-
-DEMAND = (
-    "period timestamp, ba_code string, demand_mw double, forecast_mw double, generation_mw double, "
-    "interchange_mw double, demand_forecast_gap double, supply_demand_gap double, is_interpolated boolean"
-)
-FUEL_MIX = (
-    "period timestamp, ba_code string, coal_mw double, gas_mw double, nuclear_mw double, oil_mw double, "
-    "solar_mw double, hydro_mw double, wind_mw double, other_mw double, total_mw double, gas_pct double, "
-    "renewable_pct double"
-)
-NEWS_EVENTS = (
-    "event_id bigint, event_time timestamp, ba_codes array<string>, fuel_types array<string>, event_type string, "
-    "sentiment_score double, risk_magnitude double, source string, headline string, content_hash string"
-)

@@ -17,6 +17,7 @@ from wattline.schemas import (
 )
 from wattline.sources.readings import to_hour
 
+# fixed values: raw column names of the event files
 US_EVENT_NAMES = {
     "event_count": "us_event_count", "avg_goldstein": "us_avg_goldstein", "min_goldstein": "us_min_goldstein",
     "max_goldstein": "us_max_goldstein", "std_goldstein": "us_std_goldstein", "avg_tone": "us_avg_tone",
