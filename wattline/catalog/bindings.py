@@ -332,7 +332,7 @@ CTES["us_holidays"] = f"""
        OR (extract(dow FROM d) = 1 AND ({_FIXED.format(d='(d - 1)')} OR extract(year FROM d) >= 2021 AND extract(month FROM d) = 6 AND extract(day FROM d) = 20))
        OR (extract(dow FROM d) = 1 AND (extract(month FROM d) = 1 AND extract(year FROM d) >= 1986 AND extract(day FROM d) BETWEEN 15 AND 21
            OR extract(month FROM d) = 2 AND extract(day FROM d) BETWEEN 15 AND 21 OR extract(month FROM d) = 5 AND extract(day FROM d) >= 25
-           OR extract(month FROM d) = 9 AND extract(day FROM d) <= 7))
+           OR extract(month FROM d) = 9 AND extract(day FROM d) <= 7 OR extract(month FROM d) = 10 AND extract(day FROM d) BETWEEN 8 AND 14))
        OR (extract(dow FROM d) = 4 AND extract(month FROM d) = 11 AND extract(day FROM d) BETWEEN 22 AND 28)"""
 CTES["base"] = """
     SELECT d.period, d.ba_code, d.demand_mw, d.generation_mw, d.supply_demand_gap, d.interchange_mw, d.forecast_mw,

@@ -131,7 +131,7 @@ def is_us_holiday(c: Column) -> Column:
     shifted = ((weekday == 4) & fixed(F.date_add(c, 1))) | ((weekday == 0) & fixed(F.date_sub(c, 1)))
     last_monday = (F.month(c) == 5) & (weekday == 0) & (F.dayofmonth(c) >= 25)
     king = nth(1, 0, 3) & (F.year(c) >= 1986)
-    return ((weekday < 5) & fixed(c)) | shifted | king | nth(2, 0, 3) | last_monday | nth(9, 0, 1) | nth(11, 3, 4)
+    return ((weekday < 5) & fixed(c)) | shifted | king | nth(2, 0, 3) | last_monday | nth(9, 0, 1) | nth(10, 0, 2) | nth(11, 3, 4)
 
 
 def us_holidays(spark: SparkSession, year_from: int, year_to: int) -> DataFrame:
