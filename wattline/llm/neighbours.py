@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.lineage import stage
+from wattline.lineage import spread, stage
 from wattline.llm.components import components
 from wattline.llm.tables import ROW
 
@@ -191,7 +191,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, key: str = "v
     n, longest = kinds.agg(F.count("*"), F.max(F.size("embedding"))).first()
     width = PARTS * -(-(longest or 1) // PARTS)
     index = fit(kinds, n, width, lists=lists)
-    found = stage(searched(stage(coded(spread_out(kinds), index, math.sqrt(2 - 2 * cosine)), "coded"), index, cosine), "found")
+    found = stage(searched(stage(coded(spread(kinds, ROW), index, math.sqrt(2 - 2 * cosine)), "coded"), index, cosine), "found")
     links = found.groupBy(ROW).agg(F.sum("n").alias("n"))
     tree = components(found.select(F.col(ROW).alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "_at"})
     classes = kinds.join(links, ROW, "left").join(tree, F.col(ROW) == F.col("_at"), "left")
@@ -200,9 +200,3 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, key: str = "v
     placed = stage(placed, "placed")
     smallest = placed.groupBy("root").agg(F.min(key).alias("component_id"))
     return placed.join(smallest, "root").select(key, "n_links", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def spread_out(df: DataFrame) -> DataFrame:
-    from wattline.lineage import spread
-
-    return spread(df, ROW)
