@@ -39,6 +39,9 @@ HEADLINE = [
     "tag_articles",
     "seasonal_decomposition",
     "round_consensus",
+    "model_frame_c",
+    "merge_into_table",
+    "stream_rounds",
 ]
 
 

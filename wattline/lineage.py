@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
@@ -48,9 +52,27 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.parquet(path)
 
 
+@contextlib.contextmanager
+def only_last_stays(spark: SparkSession) -> Iterator[None]:
+    """Of the tables staged inside the block the last one stays; the others are deleted when it ends.
+
+    For a caller that stages its result at the end of the block: nothing reads the tables behind it any more.
+    """
+    before = len(_MADE)
+    yield
+    *done, last = [None, *_MADE[before:]]
+    del _MADE[before:]
+    if last is not None:
+        _MADE.append(last)
+    for path in done[1:]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Redistribute rows before a step that makes far more work than their size suggests.
 
