@@ -3,7 +3,7 @@
 Two bigram models, of toxic and of ordinary documents, are discounted and backed off to the class's words and from there
 to continuation counts (after how many different words a word is seen) that both classes share, with the same weight for
 both. An expression too rare to survive the discount is thus as likely in either class. A passage's score is its
-log-likelihood ratio per word, a document's raw score that of its most toxic passage, and a logistic curve fitted
+log-likelihood ratio per word, a document's raw score that of its most toxic passage (PASSAGE words), and a logistic curve fitted
 on documents that the counts didn't see turns it into 0 to 1.
 
 Counts are gathered from all labelled documents in Spark. Words and contexts are hashed to a fixed number of slots, so
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from wattline.lineage import stage
 from wattline.llm import text
 
 WORD_BITS, CONTEXT_BITS, PAIR_BITS = 21, 11, 21
-DISCOUNT, SHARED, PASSAGE, AT_ONCE = 3.0, 1.0, 4, 1 << 21
+DISCOUNTS, SHARED, PASSAGE, AT_ONCE = (2.0, 8.0, 20.0), 1.0, 1, 1 << 21
 CALIBRATION_FOLD, HELD_OUT_FOLD, FOLDS, BIN = 3, 2, 4, 100
 
 
@@ -39,6 +39,7 @@ class Model:
     checks: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    passage: int = PASSAGE
 
 
 def slots(w: text.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -95,23 +96,31 @@ def bigrams(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(count, "pair long, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def tables(pairs: DataFrame) -> Model:
-    """The log-ratios from the counts; ``pairs`` is read three times and should be a stored table."""
-    every = 1 << CONTEXT_BITS
-    pairs = pairs.withColumns({"word": F.expr(f"shiftright(pair, {CONTEXT_BITS})"), "before": F.expr(f"pair & {every - 1}")})
-    words = stage(pairs.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("after")), "words")
-    total = words.agg(F.sum("n0"), F.sum("n1"), F.sum("after")).first()
+def parted(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the word and the context of each."""
+    return pairs.withColumns({"word": F.expr(f"shiftright(pair, {CONTEXT_BITS})"), "before": F.expr(f"pair & {(1 << CONTEXT_BITS) - 1}")})
+
+
+def continuations(pairs: DataFrame) -> DataFrame:
+    """For each word the number of contexts it is seen after, in either class (after0, after1) and in both."""
+    return stage(pairs.groupBy("word").agg(F.count_if(F.col("n0") > 0).alias("after0"), F.count_if(F.col("n1") > 0).alias("after1"), F.count("*").alias("after")), "words")
+
+
+def tables(pairs: DataFrame, words: DataFrame, discount: float) -> Model:
+    """The log-ratios from the counts (``parted`` pairs and ``continuations``), both stored tables."""
+    total = words.agg(F.sum("after0"), F.sum("after1"), F.sum("after")).first()
     if not total[0] or not total[1]:
-        return Model(np.zeros(1 << WORD_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.uint16))
-    chance = {c: (F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / float(total[c]) + SHARED * F.col("after") / float(total[2])) / (1 + SHARED) for c in (0, 1)}
+        return Model(np.zeros(1 << WORD_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.uint16), passage=PASSAGE)
+    chance = {c: (F.greatest(F.col(f"after{c}") - discount, F.lit(0.0)) / float(total[c]) + SHARED * F.col("after") / float(total[2])) / (1 + SHARED) for c in (0, 1)}
     words = words.select("word", chance[0].alias("p0"), chance[1].alias("p1"))
     found = words.where("p0 != p1").select(F.col("word").cast("int"), F.ln(F.col("p1") / F.col("p0")).cast("float").alias("ratio")).toArrow()
     ratio = np.zeros(1 << WORD_BITS, np.float32)
     ratio[found["word"].to_numpy()] = found["ratio"].to_numpy()
 
     contexts = pairs.groupBy("before").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
-    often = pairs.where((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).join(words, "word").join(F.broadcast(contexts), "before")  # at most 2 ** CONTEXT_BITS contexts
-    after = {c: F.expr(f"if(all{c} > 0, greatest(n{c} - {DISCOUNT}D, 0) / all{c}, 0) + {SHARED}D * p{c}") for c in (0, 1)}
+    often = pairs.where((F.col("n0") > discount) | (F.col("n1") > discount)).join(words, "word").join(F.broadcast(contexts), "before")  # at most 2 ** CONTEXT_BITS contexts
+    both = "(n0 + n1) / (all0 + all1)"
+    after = {c: F.expr(f"if(all{c} > 0, greatest(n{c} - {discount}D, 0) / all{c}, 0) + {SHARED}D * ({both} + p{c})") for c in (0, 1)}
     often = often.select("pair", (F.col("n0") + F.col("n1")).alias("n"), F.ln(after[1] / after[0]).alias("ratio"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +136,7 @@ def tables(pairs: DataFrame) -> Model:
     at = kept["slot"].to_numpy()
     pair[at], check[at], taken[at] = kept["ratio"].to_numpy(), kept["check"].to_numpy(), True
     pair[~taken] = np.nan
-    return Model(ratio, pair, check)
+    return Model(ratio, pair, check, passage=PASSAGE)
 
 
 def raw_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +151,11 @@ def raw_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     n = np.diff(w.first)
     whole = (sums[w.first[1:]] - sums[w.first[:-1]]) / np.maximum(n, 1)
     top = whole.copy()
-    long = np.flatnonzero(n >= PASSAGE)
+    long = np.flatnonzero(n >= model.passage)
     if len(long):
-        passages = (sums[PASSAGE:] - sums[:-PASSAGE]) / PASSAGE
+        passages = (sums[model.passage :] - sums[: -model.passage]) / model.passage
         # the passages of a text are those that start at its words but for the last few
-        begin, end = w.first[:-1][long], w.first[1:][long] - PASSAGE + 1
+        begin, end = w.first[:-1][long], w.first[1:][long] - model.passage + 1
         edges = np.column_stack([begin, end]).ravel()
         padded = np.append(passages, -np.inf)
         top[long] = np.maximum.reduceat(padded, np.minimum(edges, len(passages)))[::2]
@@ -168,10 +177,10 @@ def measured(docs: DataFrame, model, key: str) -> DataFrame:
     return text.keyed(docs, key).mapInArrow(score, schema)
 
 
-def logistic(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the likeliest logistic curve, each class smoothed by one document; (1, 0) without both classes."""
+def logistic(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float, float]:
+    """Slope and shift of the likeliest logistic curve, each class smoothed by one document, and its loss; (1, 0, inf) without both classes."""
     if not n0.sum() or not n1.sum():
-        return 1.0, 0.0
+        return 1.0, 0.0, math.inf
     low, high = 1 / (n0.sum() + 2), (n1.sum() + 1) / (n1.sum() + 2)
     x, n, y = bins, n0 + n1, n0 * low + n1 * high
     a, b = 1.0, math.log(n1.sum() / n0.sum())
@@ -184,12 +193,15 @@ def logistic(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, f
         a, b = a + step[0] * min(1, 5 / max(size, 1e-9)), b + step[1] * min(1, 5 / max(size, 1e-9))
         if size < 1e-9:
             break
-    return float(a), float(b)
+    z = np.clip(a * x + b, -30, 30)
+    return float(a), float(b), float((n0 * np.logaddexp(0, z) + n1 * np.logaddexp(0, -z)).sum() / n.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic") -> Model:
     """Models from every labelled document whose fold isn't HELD_OUT_FOLD; the curve from CALIBRATION_FOLD alone.
 
+    Of the DISCOUNTS the one whose curve has the smallest loss there is taken: the more labels, the more it may be.
+
     A key with several labels counts as toxic if one of them says so; null labels and keys teach nothing. Without documents
     of both classes every document gets the same score.
     """
@@ -204,13 +216,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
     teach = text.keyed(docs, key, column).where(fold(key) != HELD_OUT_FOLD)
     # labels have no size bound, so they are never broadcast
     small = teach.mapInArrow(squeeze, teach.schema).join(truth.hint("merge"), F.col(key) == F.col("_k")).select(key, "text", "toxic")
-    pairs = stage(bigrams(small.where(fold(key) != CALIBRATION_FOLD).select("text", "toxic")), "bigrams")
-    model = tables(pairs)
-    held = measured(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")).where(fold(key) == CALIBRATION_FOLD), spark.sparkContext.broadcast(model), key)
-    bins = held.join(truth, F.col(key) == F.col("_k")).groupBy(F.round(F.col("raw") * BIN).alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")).orderBy("bin")
-    found = np.array(bins.collect(), np.float64).reshape(-1, 3)  # a log-ratio lies within some ten units, so some thousand bins at most
-    slope, shift = logistic(found[:, 0] / BIN, found[:, 1], found[:, 2])
-    return Model(model.words, model.pairs, model.checks, slope, shift)
+    pairs = parted(stage(bigrams(small.where(fold(key) != CALIBRATION_FOLD).select("text", "toxic")), "bigrams"))
+    words, best = continuations(pairs), (math.inf, None)
+    calibration = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")).where(fold(key) == CALIBRATION_FOLD)
+    for discount in DISCOUNTS:
+        model = tables(pairs, words, discount)
+        held = measured(calibration, spark.sparkContext.broadcast(model), key)
+        bins = held.join(truth, F.col(key) == F.col("_k")).groupBy(F.round(F.col("raw") * BIN).alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")).orderBy("bin")
+        found = np.array(bins.collect(), np.float64).reshape(-1, 3)  # a log-ratio lies within some ten units, so some thousand bins at most
+        slope, shift, loss = logistic(found[:, 0] / BIN, found[:, 1], found[:, 2])
+        if best[1] is None or loss < best[0]:
+            best = loss, replace(model, slope=slope, shift=shift)
+        if math.isinf(loss):
+            break
+    return best[1]
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic", threshold: float = 0.3) -> DataFrame:
