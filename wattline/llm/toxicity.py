@@ -41,6 +41,18 @@ class Model:
     shift: float = 0.0
     passage: int = PASSAGE
 
+    def __reduce__(self):
+        """Only filled slots travel to the tasks."""
+        word, pair = np.flatnonzero(self.words), np.flatnonzero(~np.isnan(self.pairs))
+        return spread_out, (word.astype(np.int32), self.words[word], pair.astype(np.int32), self.pairs[pair], self.checks[pair], self.slope, self.shift, self.passage)
+
+
+def spread_out(word, word_ratio, pair, pair_ratio, check, slope: float, shift: float, passage: int) -> Model:
+    """The model with every slot in its place."""
+    words, pairs, checks = np.zeros(1 << WORD_BITS, np.float32), np.full(1 << PAIR_BITS, np.nan, np.float32), np.zeros(1 << PAIR_BITS, np.uint16)
+    words[word], pairs[pair], checks[pair] = word_ratio, pair_ratio, check
+    return Model(words, pairs, checks, slope, shift, passage)
+
 
 def slots(w: text.Words) -> tuple[np.ndarray, np.ndarray]:
     """Word slots, and slots of the words before (0 at the start of a text)."""
@@ -110,12 +122,11 @@ def tables(pairs: DataFrame, words: DataFrame, discount: float) -> Model:
     """The log-ratios from the counts (``parted`` pairs and ``continuations``), both stored tables."""
     total = words.agg(F.sum("after0"), F.sum("after1"), F.sum("after")).first()
     if not total[0] or not total[1]:
-        return Model(np.zeros(1 << WORD_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.uint16), passage=PASSAGE)
+        none = np.zeros(0, np.int32)
+        return spread_out(none, none, none, none, none, 1.0, 0.0, PASSAGE)
     chance = {c: (F.greatest(F.col(f"after{c}") - discount, F.lit(0.0)) / float(total[c]) + SHARED * F.col("after") / float(total[2])) / (1 + SHARED) for c in (0, 1)}
     words = words.select("word", chance[0].alias("p0"), chance[1].alias("p1"))
     found = words.where("p0 != p1").select(F.col("word").cast("int"), F.ln(F.col("p1") / F.col("p0")).cast("float").alias("ratio")).toArrow()
-    ratio = np.zeros(1 << WORD_BITS, np.float32)
-    ratio[found["word"].to_numpy()] = found["ratio"].to_numpy()
 
     contexts = pairs.groupBy("before").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
     often = pairs.where((F.col("n0") > discount) | (F.col("n1") > discount)).join(words, "word").join(F.broadcast(contexts), "before")  # at most 2 ** CONTEXT_BITS contexts
@@ -131,12 +142,7 @@ def tables(pairs: DataFrame, words: DataFrame, discount: float) -> Model:
     # bigrams that meet in a slot: the one seen most stays, the others count as their words
     kept = often.mapInArrow(place, "slot int, check int, n long, ratio double, pair long").groupBy("slot").agg(F.max(F.struct("n", "pair", "check", "ratio")).alias("top"))
     kept = kept.select("slot", "top.check", F.col("top.ratio").cast("float").alias("ratio")).toArrow()
-    pair, check = np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.uint16)
-    taken = np.zeros(1 << PAIR_BITS, bool)
-    at = kept["slot"].to_numpy()
-    pair[at], check[at], taken[at] = kept["ratio"].to_numpy(), kept["check"].to_numpy(), True
-    pair[~taken] = np.nan
-    return Model(ratio, pair, check, passage=PASSAGE)
+    return spread_out(found["word"].to_numpy(), found["ratio"].to_numpy(), kept["slot"].to_numpy(), kept["ratio"].to_numpy(), kept["check"].to_numpy(), 1.0, 0.0, PASSAGE)
 
 
 def raw_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,9 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
     calibration = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")).where(fold(key) == CALIBRATION_FOLD)
     for discount in DISCOUNTS:
         model = tables(pairs, words, discount)
-        held = measured(calibration, spark.sparkContext.broadcast(model), key)
+        shared = spark.sparkContext.broadcast(model)
+        held = measured(calibration, shared, key)
         bins = held.join(truth, F.col(key) == F.col("_k")).groupBy(F.round(F.col("raw") * BIN).alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")).orderBy("bin")
         found = np.array(bins.collect(), np.float64).reshape(-1, 3)  # a log-ratio lies within some ten units, so some thousand bins at most
+        shared.destroy()
         slope, shift, loss = logistic(found[:, 0] / BIN, found[:, 1], found[:, 2])
         if best[1] is None or loss < best[0]:
             best = loss, replace(model, slope=slope, shift=shift)
