@@ -1,72 +1,90 @@
-"""Toxicity by class-conditional Kneser-Ney models of words.
+"""Toxicity by class-conditional Kneser-Ney models of words and bigrams.
 
-Two bigram models, of toxic and of ordinary documents, are discounted and backed off to the class's words and from there
-to continuation counts (after how many different words a word is seen) that both classes share, with the same weight for
-both. An expression too rare to survive the discount is thus as likely in either class. A passage's score is its
-log-likelihood ratio per word, a document's raw score that of its most toxic passage (PASSAGE words), and a logistic curve fitted
-on documents that the counts didn't see turns it into 0 to 1.
+For toxic and for ordinary documents, discounted counts are interpolated with what they leave over: the bigrams of the class
+with those of both classes, these with the class's words by the number of distinct words they are seen after, and these with equal
+chances for all words. Discounts are n1 / (n1 + 2 n2) of each class, so every expression seen keeps some evidence.
 
-Counts are gathered from all labelled documents in Spark. Words and contexts are hashed to a fixed number of slots, so
-the finished table has a fixed size, whatever the corpus, and can be handed to every task.
+A text's log-likelihood ratio is taken per word, for words alone and for bigrams, over the whole text and over its most toxic
+passage. A logistic curve of these four and the logarithm of the length turns them into 0 to 1. The curve and the length of the
+passages come from cross-fitting: each labelled document is scored by counts that its own fold isn't in. Final counts are of all
+labelled documents that aren't held out.
+
+Words and bigrams are known by 64-bit hashes, and counts are stored tables as large as the corpus makes them. Documents travel in
+blocks; a block asks once for each of its distinct words and bigrams. Tables and questions are dealt into parts by hash
+and packed, and a part is answered by binary search.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wattline.lineage import stage
 from wattline.llm import text
 
-WORD_BITS, CONTEXT_BITS, PAIR_BITS = 21, 11, 21
-DISCOUNTS, SHARED, PASSAGE, AT_ONCE = (2.0, 8.0, 20.0), 1.0, 1, 1 << 21
-CALIBRATION_FOLD, HELD_OUT_FOLD, FOLDS, BIN = 3, 2, 4, 100
+PASSAGES, AT_ONCE, BLOCK, PART = (2, 4, 8, 16, 32), 1 << 21, 1 << 22, 1 << 20
+HELD_OUT_FOLD, FOLDS, TEACH = 2, 4, (0, 1, 3)
+#: Models by number: each leaves out one fold of TEACH, the last leaves out none.
+MODELS = range(len(TEACH) + 1)
+START = np.uint64(0x5D9F3B7A6C1E8427)
+#: Log-ratios per word of a text: by words and by bigrams, of the whole and of the most toxic passage of each length.
+NAMES = ("mean_word", "mean_pair", *(f"{x}_{n}" for n in PASSAGES for x in ("top_word", "top_pair")))
+#: What a word is asked for (its own chances, then those of what follows it) and what a bigram is.
+ABOUT_WORD, ABOUT_PAIR = ("after0", "after1", "all0", "all1", "kinds0", "kinds1", "kinds"), ("n0", "n1")
 
 
-@dataclass(frozen=True)
-class Model:
-    """Log-ratios of words and of surviving bigrams (with a check of the bigram), and the logistic curve."""
+def pack(x: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte of all, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack(x: bytes, kind=np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).ravel()
+
+
+def wrap(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
-    words: np.ndarray
-    pairs: np.ndarray
-    checks: np.ndarray
-    slope: float = 1.0
-    shift: float = 0.0
-    passage: int = PASSAGE
 
-    def __reduce__(self):
-        """Only filled slots travel to the tasks."""
-        word, pair = np.flatnonzero(self.words), np.flatnonzero(~np.isnan(self.pairs))
-        return spread_out, (word.astype(np.int32), self.words[word], pair.astype(np.int32), self.pairs[pair], self.checks[pair], self.slope, self.shift, self.passage)
+def unwrap(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_next_batch()
 
 
-def spread_out(word, word_ratio, pair, pair_ratio, check, slope: float, shift: float, passage: int) -> Model:
-    """The model with every slot in its place."""
-    words, pairs, checks = np.zeros(1 << WORD_BITS, np.float32), np.full(1 << PAIR_BITS, np.nan, np.float32), np.zeros(1 << PAIR_BITS, np.uint16)
-    words[word], pairs[pair], checks[pair] = word_ratio, pair_ratio, check
-    return Model(words, pairs, checks, slope, shift, passage)
+def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts sorted keys into their parts, and where each part begins and the last ends."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), text.offsets_of(np.bincount(part, minlength=parts))
 
 
-def slots(w: text.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word slots, and slots of the words before (0 at the start of a text)."""
-    h = w.hashes()
-    word = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    before = np.zeros(len(h), np.int64)
-    before[1:] = 1 + (h[:-1] & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64) % ((1 << CONTEXT_BITS) - 1)
-    before[w.first[:-1][w.first[:-1] < len(h)]] = 0
-    return word, before
+def both(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash of a word and the word before it."""
+    return text.mix(text.mix(before + np.uint64(1)) + word)
 
 
-def pair_slot(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = text.mix(pair.astype(np.uint64) + np.uint64(1))
-    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16)
+def grams(w: text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, of the word before each (START at the start of a text) and of both together."""
+    word = w.hashes()
+    before = np.concatenate([[START], word[:-1]]).astype(np.uint64)[: len(word)]
+    before[w.first[:-1][w.first[:-1] < len(word)]] = START
+    return word, before, both(before, word)
+
+
+def read_block(body: bytes, column: str) -> tuple[pa.RecordBatch, text.Words]:
+    whole = unwrap(body)
+    ((rows, data, offsets),) = text.blocks(iter([whole]), column, 1 << 62)
+    return rows, text.Words(data, offsets, lower=True)
 
 
 def fold(key: str):
@@ -74,197 +92,340 @@ def fold(key: str):
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % FOLDS
 
 
-def bigrams(labelled: DataFrame) -> DataFrame:
-    """Counts of each word slot after each context slot: pair, n0 (ordinary), n1 (toxic)."""
+def blocks(docs: DataFrame, column: str, model: str | None = None) -> DataFrame:
+    """The rows in stored blocks of some text each: block, model (the one that scores it, by the column ``model``), body."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(model).to_numpy(zero_copy_only=False) if model else np.full(batch.num_rows, MODELS[-1])
+            for m in np.unique(kinds):
+                own = batch.filter(pa.array(kinds == m)) if model else batch
+                for rows, _, _ in text.blocks(iter([own]), column, BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(m)], pa.int32()), pa.array([wrap(rows)], pa.binary())], names=["model", "body"])
+
+    return stage(docs.mapInArrow(cut, "model int, body binary").select(F.monotonically_increasing_id().alias("block"), "model", "body"), "blocks")
+
+
+def bigrams(lessons: DataFrame) -> DataFrame:
+    """Counts of each word after each other: before, word and n{class}{fold}."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = [[], []]
+        waiting: list[list[np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            found = [np.unique(np.concatenate(x) if x else np.zeros(0, np.int64), return_counts=True) for x in waiting]
-            waiting[0].clear(), waiting[1].clear()
-            pair = np.concatenate([found[0][0], found[1][0]])
-            n0, n1 = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
-            n0[: len(found[0][0])], n1[len(found[0][0]) :] = found[0][1], found[1][1]
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n0), pa.array(n1)], names=["pair", "n0", "n1"])
-
-        held, open_ = 0, zstandard.ZstdDecompressor().decompress
+            before, word, kind = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.lexsort((kind, before, word))
+            before, word, kind = before[order], word[order], kind[order]
+            at = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (kind[1:] != kind[:-1])]))
+            return pa.RecordBatch.from_arrays([pa.array(text.signed(before[at])), pa.array(text.signed(word[at])), pa.array(kind[at]), pa.array(np.diff(np.append(at, len(word))))], names=["before", "word", "kind", "n"])
+
+        held = 0
         for batch in batches:
-            raw = pa.array([open_(x) for x in batch.column("text").to_pylist()], pa.large_binary())
-            whole = pa.RecordBatch.from_arrays([raw, batch.column("toxic")], names=["text", "toxic"])
-            for rows, data, offsets in text.blocks(iter([whole])):
-                w = text.Words(data, offsets, lower=True)
-                word, before = slots(w)
-                toxic = np.repeat(rows.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(w.first))
-                pair = word << CONTEXT_BITS | before
-                waiting[0].append(pair[~toxic]), waiting[1].append(pair[toxic])
-                held += len(pair)
+            for model, body in zip(batch.column("model").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                rows, w = read_block(body, "text")
+                word, before, _ = grams(w)
+                if not len(word):
+                    continue
+                toxic = np.repeat(rows.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32), np.diff(w.first))
+                waiting.append([before, word, (2 * model + toxic).astype(np.int32)])
+                held += len(word)
                 if held >= AT_ONCE:
                     held = 0
                     yield flush()
         if held:
             yield flush()
 
-    return labelled.mapInArrow(count, "pair long, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen = lessons.select("model", "body").mapInArrow(count, "before long, word long, kind int, n long")
+    return seen.groupBy("before", "word").agg(*[F.sum(F.expr(f"IF(kind = {2 * f + c}, n, 0L)")).alias(f"n{c}{f}") for f in range(len(TEACH)) for c in (0, 1)])
+
 
+def of(c: int | str, m: int) -> str:
+    """SQL: a bigram's count in a class (or both, if empty) as model m has it."""
+    return "(" + " + ".join(f"n{k}{f}" for f in range(len(TEACH)) if f != m for k in ([c] if c != "" else (0, 1))) + ")"
 
-def parted(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the word and the context of each."""
-    return pairs.withColumns({"word": F.expr(f"shiftright(pair, {CONTEXT_BITS})"), "before": F.expr(f"pair & {(1 << CONTEXT_BITS) - 1}")})
 
+def words(pairs: DataFrame) -> DataFrame:
+    """For each word and model: after how many words it is seen, how often it is followed, and by how many words."""
+    after = pairs.groupBy(F.col("word").alias("key")).agg(*[F.expr(f"count_if({of(c, m)} > 0)").alias(f"after{c}_{m}") for m in MODELS for c in (0, 1)])
+    follow = [F.expr(f"sum({of(c, m)})").alias(f"all{c}_{m}") for m in MODELS for c in (0, 1)]
+    follow += [F.expr(f"count_if({of(c, m)} > 0)").alias(f"kinds{c}_{m}") for m in MODELS for c in (0, 1, "")]
+    full = after.join(pairs.groupBy(F.col("before").alias("key")).agg(*follow), "key", "full")
+    return stage(full.na.fill(0), "words")
 
-def continuations(pairs: DataFrame) -> DataFrame:
-    """For each word the number of contexts it is seen after, in either class (after0, after1) and in both."""
-    return stage(pairs.groupBy("word").agg(F.count_if(F.col("n0") > 0).alias("after0"), F.count_if(F.col("n1") > 0).alias("after1"), F.count("*").alias("after")), "words")
 
+@dataclass(frozen=True)
+class Sizes:
+    """What each model is made of: words known, and by class discounts and totals."""
 
-def tables(pairs: DataFrame, words: DataFrame, discount: float) -> Model:
-    """The log-ratios from the counts (``parted`` pairs and ``continuations``), both stored tables."""
-    total = words.agg(F.sum("after0"), F.sum("after1"), F.sum("after")).first()
-    if not total[0] or not total[1]:
-        none = np.zeros(0, np.int32)
-        return spread_out(none, none, none, none, none, 1.0, 0.0, PASSAGE)
-    chance = {c: (F.greatest(F.col(f"after{c}") - discount, F.lit(0.0)) / float(total[c]) + SHARED * F.col("after") / float(total[2])) / (1 + SHARED) for c in (0, 1)}
-    words = words.select("word", chance[0].alias("p0"), chance[1].alias("p1"))
-    found = words.where("p0 != p1").select(F.col("word").cast("int"), F.ln(F.col("p1") / F.col("p0")).cast("float").alias("ratio")).toArrow()
+    known: int
+    word_discount: tuple
+    total: tuple
+    kinds: tuple
+    discount: tuple
 
-    contexts = pairs.groupBy("before").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
-    often = pairs.where((F.col("n0") > discount) | (F.col("n1") > discount)).join(words, "word").join(F.broadcast(contexts), "before")  # at most 2 ** CONTEXT_BITS contexts
-    both = "(n0 + n1) / (all0 + all1)"
-    after = {c: F.expr(f"if(all{c} > 0, greatest(n{c} - {discount}D, 0) / all{c}, 0) + {SHARED}D * ({both} + p{c})") for c in (0, 1)}
-    often = often.select("pair", (F.col("n0") + F.col("n1")).alias("n"), F.ln(after[1] / after[0]).alias("ratio"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot, check = pair_slot(b.column("pair").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(check.astype(np.int32)), b.column("n"), b.column("ratio"), b.column("pair")], names=["slot", "check", "n", "ratio", "pair"])
-
-    # bigrams that meet in a slot: the one seen most stays, the others count as their words
-    kept = often.mapInArrow(place, "slot int, check int, n long, ratio double, pair long").groupBy("slot").agg(F.max(F.struct("n", "pair", "check", "ratio")).alias("top"))
-    kept = kept.select("slot", "top.check", F.col("top.ratio").cast("float").alias("ratio")).toArrow()
-    return spread_out(found["word"].to_numpy(), found["ratio"].to_numpy(), kept["slot"].to_numpy(), kept["ratio"].to_numpy(), kept["check"].to_numpy(), 1.0, 0.0, PASSAGE)
-
-
-def raw_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: log-ratio per word of the most toxic passage of PASSAGE words (of all words, if fewer), and of the whole."""
-    w = text.Words(data, offsets, lower=True)
-    word, before = slots(w)
-    value = model.words[word].astype(np.float64)
-    slot, check = pair_slot(word << CONTEXT_BITS | before)
-    known = (model.checks[slot] == check) & ~np.isnan(model.pairs[slot])
-    value[known] = model.pairs[slot][known]
-    sums = np.concatenate([[0.0], np.cumsum(value)])
+def sizes(pairs: DataFrame, table: DataFrame) -> dict[int, Sizes]:
+    asked = [F.expr(x) for m in MODELS for c in (0, 1) for x in (f"sum(after{c}_{m})", f"count_if(after{c}_{m} > 0)", f"count_if(after{c}_{m} = 1)", f"count_if(after{c}_{m} = 2)")]
+    of_words = [x or 0 for x in table.agg(*asked, F.count("*")).first()]
+    of_pairs = [x or 0 for x in pairs.agg(*[F.expr(f"count_if({of(c, m)} = {n})") for m in MODELS for c in (0, 1, "") for n in (1, 2)]).first()]
+
+    def discount(n1: int, n2: int) -> float:
+        return (n1 + 1) / (n1 + 2 * n2 + 2)
+
+    out = {}
+    for m in MODELS:
+        w = [of_words[8 * m + 4 * c : 8 * m + 4 * c + 4] for c in (0, 1)]
+        p = [of_pairs[6 * m + 2 * c : 6 * m + 2 * c + 2] for c in range(3)]
+        out[m] = Sizes(max(of_words[-1], 1), tuple(discount(x[2], x[3]) for x in w), tuple(x[0] for x in w), tuple(x[1] for x in w), tuple(discount(*x) for x in p))
+    return out
+
+
+def packed(table: DataFrame, key, columns: list[str], parts: int, shift: int) -> DataFrame:
+    """A table in packed parts: part, keys, rows. ``shift`` parts words from bigrams."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = key(batch)
+            order = np.argsort(keys)
+            keys = keys[order]
+            values = np.column_stack([batch.column(c).to_numpy() for c in columns]).astype(np.int64)[order]
+            order, edge = dealt(keys, parts)
+            for p in np.flatnonzero(np.diff(edge)):
+                own = order[edge[p] : edge[p + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([2 * p + shift]), pa.array([pack(keys[own])], pa.binary()), pa.array([pack(values[own].T.ravel())], pa.binary())], names=["part", "keys", "rows"])
+
+    return table.mapInArrow(wrapped, "part long, keys binary, rows binary")
+
+
+def asked(w: text.Words) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]:
+    """The hashes of a block, and its distinct words and bigrams."""
+    word, before, pair = grams(w)
+    return (word, before, pair), [np.unique(np.append(word, START)), np.unique(pair)]
+
+
+def ratios(size: Sizes, hashes: tuple[np.ndarray, np.ndarray, np.ndarray], keys: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    """The log-likelihood ratio of each word, by words alone and by bigrams."""
+    word, before, pair = (np.searchsorted(own, x) for own, x in ((keys[0], hashes[0]), (keys[0], hashes[1]), (keys[1], hashes[2])))
+    about, n = values[0].astype(np.float64), values[1].astype(np.float64)
+
+    def over(base: np.ndarray, n: np.ndarray, everything: np.ndarray, kinds: np.ndarray, discount: float) -> np.ndarray:
+        rest = np.where(everything > 0, discount * kinds / np.maximum(everything, 1), 1.0)
+        return np.maximum(n - discount, 0)[pair] / np.maximum(everything, 1)[before] + rest[before] * base
+
+    alone, after = [], []
+    for c in (0, 1):
+        total = size.total[c]
+        rest = size.word_discount[c] * size.kinds[c] / total if total else 1.0
+        alone.append((np.maximum(about[c] - size.word_discount[c], 0) / max(total, 1) + rest / size.known)[word])
+        shared = over(alone[c], n[0] + n[1], about[2] + about[3], about[6], size.discount[2])
+        after.append(over(shared, n[c], about[2 + c], about[4 + c], size.discount[c]))
+    return [np.log(x[1] / x[0]) for x in (alone, after)]
+
+
+def features(w: text.Words, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Words of each text and its NAMES; a text shorter than a passage is one."""
     n = np.diff(w.first)
-    whole = (sums[w.first[1:]] - sums[w.first[:-1]]) / np.maximum(n, 1)
-    top = whole.copy()
-    long = np.flatnonzero(n >= model.passage)
-    if len(long):
-        passages = (sums[model.passage :] - sums[: -model.passage]) / model.passage
+    sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in values]
+    means = [(s[w.first[1:]] - s[w.first[:-1]]) / np.maximum(n, 1) for s in sums]
+    tops = []
+    for length in PASSAGES:
+        long = np.flatnonzero(n >= length)
         # the passages of a text are those that start at its words but for the last few
-        begin, end = w.first[:-1][long], w.first[1:][long] - model.passage + 1
-        edges = np.column_stack([begin, end]).ravel()
-        padded = np.append(passages, -np.inf)
-        top[long] = np.maximum.reduceat(padded, np.minimum(edges, len(passages)))[::2]
-    return top, whole
-
-
-def measured(docs: DataFrame, model, key: str) -> DataFrame:
-    """Key, raw score and score per word of the whole text, for every row. ``model`` is a broadcast variable."""
-    schema = docs.select(key).schema.add("raw", "double").add("mean", "double")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out = to_arrow_schema(schema)
-        for rows, data, offsets in text.blocks(batches):
-            top, whole = raw_scores(model.value, data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column(key).cast(out.field(0).type), pa.array(top), pa.array(whole)], schema=out)
-
-    return text.keyed(docs, key).mapInArrow(score, schema)
-
-
-def logistic(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float, float]:
-    """Slope and shift of the likeliest logistic curve, each class smoothed by one document, and its loss; (1, 0, inf) without both classes."""
-    if not n0.sum() or not n1.sum():
-        return 1.0, 0.0, math.inf
-    low, high = 1 / (n0.sum() + 2), (n1.sum() + 1) / (n1.sum() + 2)
-    x, n, y = bins, n0 + n1, n0 * low + n1 * high
-    a, b = 1.0, math.log(n1.sum() / n0.sum())
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g, h = y - n * p, n * p * (1 - p) + 1e-12
-        hessian = np.array([[(h * x * x).sum() + 1e-6, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hessian, [(g * x).sum(), g.sum()])
-        size = np.abs(step).max()
-        a, b = a + step[0] * min(1, 5 / max(size, 1e-9)), b + step[1] * min(1, 5 / max(size, 1e-9))
-        if size < 1e-9:
-            break
-    z = np.clip(a * x + b, -30, 30)
-    return float(a), float(b), float((n0 * np.logaddexp(0, z) + n1 * np.logaddexp(0, -z)).sum() / n.sum())
+        edges = np.column_stack([w.first[:-1][long], w.first[1:][long] - length + 1]).ravel()
+        for s, mean in zip(sums, means, strict=True):
+            top = mean.copy()
+            if len(long):
+                passages = (s[length:] - s[:-length]) / length
+                top[long] = np.maximum.reduceat(np.append(passages, -np.inf), np.minimum(edges, len(passages)))[::2]
+            tops.append(top)
+    return [n, *means, *tops]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic") -> Model:
-    """Models from every labelled document whose fold isn't HELD_OUT_FOLD; the curve from CALIBRATION_FOLD alone.
+def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int, Sizes], column: str, carry: str, kind: str) -> DataFrame:
+    """Of every row of the blocks: block, at (its place there), the column ``carry`` (of type ``kind``), words, mean and top ratios."""
 
-    Of the DISCOUNTS the one whose curve has the smallest loss there is taken: the more labels, the more it may be.
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, model, body in zip(*(batch.column(c).to_pylist() for c in ("block", "model", "body")), strict=True):
+                _, keys_of = asked(read_block(body, column)[1])
+                out: list[tuple] = []
+                for shift, keys in enumerate(keys_of):
+                    order, edge = dealt(keys, parts)
+                    out += [(2 * p + shift, block, model, pack(np.diff(keys[order[edge[p] : edge[p + 1]]], prepend=np.uint64(0)))) for p in np.flatnonzero(np.diff(edge))]
+                part, of_block, by, keys = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(of_block, pa.int64()), pa.array(by, pa.int32()), pa.array(keys, pa.binary())], names=["part", "block", "model", "keys"])
+
+    def answer(table: pa.Table, questions: pa.Table) -> pa.Table:
+        part = questions.column("part")[0].as_py() if questions.num_rows else 0
+        names = ABOUT_PAIR if part % 2 else ABOUT_WORD
+        wide = 2 * len(TEACH) if part % 2 else len(ABOUT_WORD) * len(MODELS)
+        keys = [unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
+        rows = [unpack(x).reshape(wide, -1) for x in table.column("rows").to_pylist()] if questions.num_rows else []
+        own, values = np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.uint64), np.concatenate([*rows, np.zeros((wide, 0), np.int64)], axis=1)
+        order = np.argsort(own)
+        own, values = own[order], values[:, order] if rows else values
+        found = []
+        for model, x in zip(questions.column("model").to_pylist(), questions.column("keys").to_pylist(), strict=True):
+            wanted = np.cumsum(unpack(x, np.uint64), dtype=np.uint64)
+            out = np.zeros((len(names), len(wanted)), np.int64)
+            if len(own):
+                at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+                hit = own[at] == wanted
+                if part % 2:
+                    for c in (0, 1):
+                        out[c, hit] = sum(values[2 * f + c, at[hit]] for f in range(len(TEACH)) if f != model)
+                else:
+                    out[:, hit] = values[len(names) * model : len(names) * (model + 1), at[hit]]
+            found.append(pack(out.ravel()))
+        return pa.table({"block": questions.column("block"), "part": questions.column("part"), "found": pa.array(found, pa.binary())})
+
+    def judge(of_block: pa.Table, answers: pa.Table) -> pa.Table:
+        results = []
+        found = dict(zip(answers.column("part").to_pylist(), answers.column("found").to_pylist(), strict=True))
+        for block, model, body in zip(*(of_block.column(c).to_pylist() for c in ("block", "model", "body")), strict=True):
+            rows, w = read_block(body, column)
+            hashes, keys_of = asked(w)
+            values = []
+            for shift, (keys, names) in enumerate(zip(keys_of, (ABOUT_WORD, ABOUT_PAIR), strict=True)):
+                order, edge = dealt(keys, parts)
+                values.append(np.zeros((len(names), len(keys)), np.int64))
+                for p in np.flatnonzero(np.diff(edge)):
+                    values[-1][:, order[edge[p] : edge[p + 1]]] = unpack(found[2 * p + shift]).reshape(len(names), -1)
+            scores = features(w, ratios(known[model], hashes, keys_of, values))
+            results.append(pa.table([pa.array(np.full(rows.num_rows, block)), pa.array(np.arange(rows.num_rows)), rows.column(carry).cast(out_schema.field(2).type), *(pa.array(x) for x in scores)], schema=out_schema))
+        return pa.concat_tables(results) if results else out_schema.empty_table()
+
+    schema = f"block long, at long, `{carry}` {kind}, words long, " + ", ".join(f"{x} double" for x in NAMES)
+    out_schema = to_arrow_schema(of_docs.sparkSession.createDataFrame([], schema).schema)
+    questions = of_docs.mapInArrow(ask, "part long, block long, model int, keys binary")
+    answers = stored.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(answer, "block long, part long, found binary")
+    return stage(of_docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, schema), "measured")
 
-    A key with several labels counts as toxic if one of them says so; null labels and keys teach nothing. Without documents
-    of both classes every document gets the same score.
+
+@dataclass(frozen=True)
+class Curve:
+    """Weights of the two means, the two tops of passages of a length, the logarithm of the words, and a constant."""
+
+    passage: int = PASSAGES[0]
+    weights: tuple = (0.0,) * 6
+
+    def inputs(self) -> list[str]:
+        return ["mean_word", "mean_pair", f"top_word_{self.passage}", f"top_pair_{self.passage}", "ln(1 + words)", "1D"]
+
+
+def logistic(lessons: DataFrame, passage: int, n0: int, n1: int) -> tuple[float, Curve]:
+    """Loss and weights of the likeliest curve, each class smoothed by one document (Newton's steps on sums over all rows)."""
+    weights = np.zeros(6)
+    weights[5] = math.log((n1 + 1) / (n0 + 1))
+    curve, low, high = Curve(passage), 1 / (n0 + 2), (n1 + 1) / (n1 + 2)
+    names = curve.inputs()
+    rows = lessons.selectExpr(*[f"{x} AS x{i}" for i, x in enumerate(names)], f"IF(toxic > 0, {high}D, {low}D) AS y")
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = "greatest(-30D, least(30D, " + " + ".join(f"({float(v)!r}D * x{i})" for i, v in enumerate(w)) + "))"
+        p = rows.withColumn("z", F.expr(z)).withColumn("p", F.expr("1 / (1 + exp(-z))"))
+        out = p.agg(
+            F.expr("sum(log1p(exp(z)) - y * z)"), *[F.expr(f"sum((y - p) * x{i})") for i in range(6)],
+            *[F.expr(f"sum(p * (1 - p) * x{i} * x{j})") for i in range(6) for j in range(i, 6)],
+        ).first()
+        hessian = np.zeros((6, 6))
+        hessian[np.triu_indices(6)] = out[7:]
+        return out[0], np.array(out[1:7]), hessian + np.triu(hessian, 1).T
+
+    now, gradient, hessian = loss(weights)
+    for _ in range(20):
+        step = np.linalg.solve(hessian + 1e-3 * np.eye(6), gradient - 1e-3 * weights)
+        for _ in range(4):
+            then = loss(weights + step)
+            if then[0] <= now:
+                break
+            step = step / 4
+        if then[0] > now:
+            break
+        gain, weights, (now, gradient, hessian) = now - then[0], weights + step, then
+        if gain < 1e-4 * (1 + now):
+            break
+    return now, Curve(passage, tuple(weights.tolist()))
+
+
+def judged(docs: DataFrame, labels: DataFrame, key: str, column: str, label: str = "toxic") -> tuple[DataFrame, DataFrame]:
+    """The documents in blocks, and for each row its block, place, key, ratios and score.
+
+    A key with several labels counts as toxic if one of them says so; null labels and keys teach nothing. Without labels
+    of both classes every text with words gets the same score.
     """
     spark = docs.sparkSession
     truth = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_k")).agg((F.max(F.col(f"`{label}`")) > 0).cast("int").alias("toxic"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        shrink = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x or b"") for x in b.column(1).to_pylist()], pa.binary())], schema=b.schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shrink(x or b"") for x in b.column(1).to_pylist()], pa.binary())], schema=b.schema)
+
+    def swell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([open_(x) for x in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["model", "text", "toxic"])
 
     teach = text.keyed(docs, key, column).where(fold(key) != HELD_OUT_FOLD)
     # labels have no size bound, so they are never broadcast
-    small = teach.mapInArrow(squeeze, teach.schema).join(truth.hint("merge"), F.col(key) == F.col("_k")).select(key, "text", "toxic")
-    pairs = parted(stage(bigrams(small.where(fold(key) != CALIBRATION_FOLD).select("text", "toxic")), "bigrams"))
-    words, best = continuations(pairs), (math.inf, None)
-    calibration = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")).where(fold(key) == CALIBRATION_FOLD)
-    for discount in DISCOUNTS:
-        model = tables(pairs, words, discount)
-        shared = spark.sparkContext.broadcast(model)
-        held = measured(calibration, shared, key)
-        bins = held.join(truth, F.col(key) == F.col("_k")).groupBy(F.round(F.col("raw") * BIN).alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")).orderBy("bin")
-        found = np.array(bins.collect(), np.float64).reshape(-1, 3)  # a log-ratio lies within some ten units, so some thousand bins at most
-        shared.destroy()
-        slope, shift, loss = logistic(found[:, 0] / BIN, found[:, 1], found[:, 2])
-        if best[1] is None or loss < best[0]:
-            best = loss, replace(model, slope=slope, shift=shift)
-        if math.isinf(loss):
-            break
-    return best[1]
+    small = teach.mapInArrow(squeeze, teach.schema).join(truth.hint("merge"), F.col(key) == F.col("_k"))
+    number = F.expr("CAST(" + f"array_position(array({', '.join(map(str, TEACH))}), CAST(_f AS INT)) - 1 AS INT)")
+    small = small.withColumn("_f", fold(key)).select(number.alias("model"), "text", "toxic")
+    lessons = blocks(small.mapInArrow(swell, "model int, text binary, toxic int"), "text", "model")
+    of_docs = blocks(docs, column)
+
+    pairs = stage(bigrams(lessons), "bigrams")
+    table = words(pairs)
+    known = sizes(pairs, table)
+    parts = 1 + max(pairs.count(), table.count()) // PART
+    of_word = [f"{x}_{m}" for m in MODELS for x in ABOUT_WORD]
+    of_pair = [f"n{c}{f}" for f in range(len(TEACH)) for c in (0, 1)]
+
+    def word_key(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("key").to_numpy().view(np.uint64)
+
+    def pair_key(batch: pa.RecordBatch) -> np.ndarray:
+        return both(batch.column("before").to_numpy().view(np.uint64), batch.column("word").to_numpy().view(np.uint64))
+
+    stored = stage(packed(table, word_key, of_word, parts, 0).unionByName(packed(pairs, pair_key, of_pair, parts, 1)), "counts")
+    seen = measured(lessons, stored, parts, known, "text", "toxic", "int")
+    n0, n1 = (x or 0 for x in seen.where("words > 0").agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).first())
+    best = Curve(weights=(*[0.0] * 5, math.log((n1 + 1) / (n0 + 1))))
+    if n0 and n1:
+        best = min((logistic(seen.where("words > 0"), n, n0, n1) for n in PASSAGES), key=lambda x: x[0])[1]
+    found = measured(of_docs, stored, parts, known, column, key, docs.select(f"`{key}`").schema[0].dataType.simpleString())
+    raw = " + ".join(f"({w!r}D * {x})" for w, x in zip(best.weights, best.inputs(), strict=True))
+    found = found.withColumn("raw", F.col(f"top_pair_{best.passage}")).withColumn("score", F.expr(f"IF(words = 0, 0D, 1 / (1 + exp(-({raw}))))"))
+    return of_docs, found.withColumnRenamed("mean_pair", "mean")
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic", threshold: float = 0.3) -> DataFrame:
     """Every document's key, held_out, score (0 to 1) and predicted (1 from ``threshold`` on), with raw and mean log-ratios.
 
-    Whole texts are scored; a null or empty text has raw score 0. Every row stays, also with a null (never held out) or repeated
-    key. Other columns are ignored; an empty table gives none.
+    ``raw`` is the bigrams' log-ratio per word of the most toxic passage, ``mean`` that of the whole text. A text
+    without words scores 0. Every row stays, also with a null (never held out) or repeated key. Other columns are
+    ignored; an empty table gives none.
     """
-    model = fit(docs, labels, key, column, label)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = measured(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")), shared, key)
-    out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("raw") * model.slope + model.shift))))
+    _, out = judged(text.keyed(docs, key, column), labels, key, "text", label)
     return out.select(key, F.coalesce(fold(key) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw", "mean")
 
 
 def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents that aren't predicted toxic, with all their rows and columns."""
-    model = fit(docs, labels, key, column)
-    shared, names, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.schema
-    at = names.index(column)
+    of_docs, out = judged(docs, labels, key, column)
+    gone = out.where(F.col("score") >= threshold).groupBy("block").agg(F.collect_list("at").alias("gone"))
+    schema = to_arrow_schema(docs.schema)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.binary()), pa.array(np.arange(batch.num_rows))], names=["text", "row"])
-            for rows, data, offsets in text.blocks(iter([raw])):
-                top, _ = raw_scores(shared.value, data, offsets)
-                good = 1 / (1 + np.exp(-(top * shared.value.slope + shared.value.shift))) < threshold
-                yield batch.take(rows.column("row").filter(pa.array(good)))
+            for body, without in zip(batch.column("body").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                rows = unwrap(body)
+                good = np.ones(rows.num_rows, bool)
+                good[without or []] = False
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(rows.columns, schema, strict=True)], schema=schema).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, schema)
+    return of_docs.join(gone, "block", "left").select("body", "gone").mapInArrow(keep, docs.schema)
