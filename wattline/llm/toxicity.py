@@ -11,11 +11,14 @@ labelled documents that aren't held out.
 
 Words and bigrams are known by 64-bit hashes, and counts are stored tables as large as the corpus makes them. Documents travel in
 blocks; a block asks once for each of its distinct words and bigrams. Tables and questions are dealt into parts by hash
-and packed, and a part is answered by binary search.
+and packed, and a part is answered by binary search. Counting and scoring go slice by slice, so that only
+one slice's shuffles take room at a time.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,14 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wattline.lineage import stage
+from wattline.lineage import only_last_stays, stage
 from wattline.llm import text
 
-PASSAGES, AT_ONCE, BLOCK, PART = (2, 4, 8, 16, 32), 1 << 21, 1 << 22, 1 << 20
+PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 21, 1 << 22, 1 << 20, 6
 HELD_OUT_FOLD, FOLDS, TEACH = 2, 4, (0, 1, 3)
 #: Models by number: each leaves out one fold of TEACH, the last leaves out none.
 MODELS = range(len(TEACH) + 1)
@@ -87,6 +90,12 @@ def read_block(body: bytes, column: str) -> tuple[pa.RecordBatch, text.Words]:
     return rows, text.Words(data, offsets, lower=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles that no table needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(key: str):
     """crc32 of the key as text, modulo FOLDS; null for a null key."""
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % FOLDS
@@ -106,8 +115,8 @@ def blocks(docs: DataFrame, column: str, model: str | None = None) -> DataFrame:
     return stage(docs.mapInArrow(cut, "model int, body binary").select(F.monotonically_increasing_id().alias("block"), "model", "body"), "blocks")
 
 
-def bigrams(lessons: DataFrame) -> DataFrame:
-    """Counts of each word after each other: before, word and n{class}{fold}."""
+def bigrams(lessons: DataFrame, at: int = 0, slices: int = 1) -> DataFrame:
+    """Counts of each word of a slice after each other: before, word and n{class}{fold}."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
@@ -128,8 +137,9 @@ def bigrams(lessons: DataFrame) -> DataFrame:
                 if not len(word):
                     continue
                 toxic = np.repeat(rows.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32), np.diff(w.first))
-                waiting.append([before, word, (2 * model + toxic).astype(np.int32)])
-                held += len(word)
+                own = word % np.uint64(slices) == at
+                waiting.append([before[own], word[own], (2 * model + toxic)[own].astype(np.int32)])
+                held += int(own.sum())
                 if held >= AT_ONCE:
                     held = 0
                     yield flush()
@@ -242,8 +252,8 @@ def features(w: text.Words, values: list[np.ndarray]) -> list[np.ndarray]:
     return [n, *means, *tops]
 
 
-def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int, Sizes], column: str, carry: str, kind: str) -> DataFrame:
-    """Of every row of the blocks: block, at (its place there), the column ``carry`` (of type ``kind``), words, mean and top ratios."""
+def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int, Sizes], column: str, carry: dict[str, str]) -> DataFrame:
+    """Of every row of the blocks: the columns ``carry`` (with their types), words, mean and top ratios."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +293,7 @@ def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int,
     def judge(of_block: pa.Table, answers: pa.Table) -> pa.Table:
         results = []
         found = dict(zip(answers.column("part").to_pylist(), answers.column("found").to_pylist(), strict=True))
-        for block, model, body in zip(*(of_block.column(c).to_pylist() for c in ("block", "model", "body")), strict=True):
+        for model, body in zip(of_block.column("model").to_pylist(), of_block.column("body").to_pylist(), strict=True):
             rows, w = read_block(body, column)
             hashes, keys_of = asked(w)
             values = []
@@ -293,10 +303,10 @@ def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int,
                 for p in np.flatnonzero(np.diff(edge)):
                     values[-1][:, order[edge[p] : edge[p + 1]]] = unpack(found[2 * p + shift]).reshape(len(names), -1)
             scores = features(w, ratios(known[model], hashes, keys_of, values))
-            results.append(pa.table([pa.array(np.full(rows.num_rows, block)), pa.array(np.arange(rows.num_rows)), rows.column(carry).cast(out_schema.field(2).type), *(pa.array(x) for x in scores)], schema=out_schema))
+            results.append(pa.table([*(rows.column(c).cast(out_schema.field(c).type) for c in carry), *(pa.array(x) for x in scores)], schema=out_schema))
         return pa.concat_tables(results) if results else out_schema.empty_table()
 
-    schema = f"block long, at long, `{carry}` {kind}, words long, " + ", ".join(f"{x} double" for x in NAMES)
+    schema = "".join(f"`{c}` {kind}, " for c, kind in carry.items()) + "words long, " + ", ".join(f"{x} double" for x in NAMES)
     out_schema = to_arrow_schema(of_docs.sparkSession.createDataFrame([], schema).schema)
     questions = of_docs.mapInArrow(ask, "part long, block long, model int, keys binary")
     answers = stored.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(answer, "block long, part long, found binary")
@@ -349,13 +359,18 @@ def logistic(lessons: DataFrame, passage: int, n0: int, n1: int) -> tuple[float,
     return now, Curve(passage, tuple(weights.tolist()))
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str, column: str, label: str = "toxic") -> tuple[DataFrame, DataFrame]:
-    """The documents in blocks, and for each row its block, place, key, ratios and score.
+def judged(docs: DataFrame, labels: DataFrame, key: str, column: str, label: str = "toxic") -> DataFrame:
+    """For each document its key, print (xxhash64 of its bytes), score, and log-ratios.
 
     A key with several labels counts as toxic if one of them says so; null labels and keys teach nothing. Without labels
     of both classes every text with words gets the same score.
     """
-    spark = docs.sparkSession
+    spark, docs, column = docs.sparkSession, text.keyed(docs, key, column), "text"
+    with only_last_stays(spark):
+        return _judged(spark, docs, labels, key, column, label)
+
+
+def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, column: str, label: str) -> DataFrame:
     truth = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_k")).agg((F.max(F.col(f"`{label}`")) > 0).cast("int").alias("toxic"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,31 +391,43 @@ def judged(docs: DataFrame, labels: DataFrame, key: str, column: str, label: str
     number = F.expr("CAST(" + f"array_position(array({', '.join(map(str, TEACH))}), CAST(_f AS INT)) - 1 AS INT)")
     small = small.withColumn("_f", fold(key)).select(number.alias("model"), "text", "toxic")
     lessons = blocks(small.mapInArrow(swell, "model int, text binary, toxic int"), "text", "model")
-    of_docs = blocks(docs, column)
-
-    pairs = stage(bigrams(lessons), "bigrams")
-    table = words(pairs)
-    known = sizes(pairs, table)
-    parts = 1 + max(pairs.count(), table.count()) // PART
-    of_word = [f"{x}_{m}" for m in MODELS for x in ABOUT_WORD]
-    of_pair = [f"n{c}{f}" for f in range(len(TEACH)) for c in (0, 1)]
-
-    def word_key(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column("key").to_numpy().view(np.uint64)
-
-    def pair_key(batch: pa.RecordBatch) -> np.ndarray:
-        return both(batch.column("before").to_numpy().view(np.uint64), batch.column("word").to_numpy().view(np.uint64))
-
-    stored = stage(packed(table, word_key, of_word, parts, 0).unionByName(packed(pairs, pair_key, of_pair, parts, 1)), "counts")
-    seen = measured(lessons, stored, parts, known, "text", "toxic", "int")
+    sweep(spark)
+    with only_last_stays(spark):
+        counted = []
+        for at in range(SLICES):
+            counted.append(stage(bigrams(lessons, at, SLICES), "bigrams"))
+            sweep(spark)
+        pairs = functools.reduce(DataFrame.unionByName, counted)
+        table = words(pairs)
+        sweep(spark)
+        known = sizes(pairs, table)
+        parts = 1 + max(pairs.count(), table.count()) // PART
+        of_word = [f"{x}_{m}" for m in MODELS for x in ABOUT_WORD]
+        of_pair = [f"n{c}{f}" for f in range(len(TEACH)) for c in (0, 1)]
+
+        def word_key(batch: pa.RecordBatch) -> np.ndarray:
+            return batch.column("key").to_numpy().view(np.uint64)
+
+        def pair_key(batch: pa.RecordBatch) -> np.ndarray:
+            return both(batch.column("before").to_numpy().view(np.uint64), batch.column("word").to_numpy().view(np.uint64))
+
+        stored = stage(packed(table, word_key, of_word, parts, 0).unionByName(packed(pairs, pair_key, of_pair, parts, 1)), "counts")
+    sweep(spark)
+    seen = measured(lessons, stored, parts, known, "text", {"toxic": "int"})
     n0, n1 = (x or 0 for x in seen.where("words > 0").agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).first())
     best = Curve(weights=(*[0.0] * 5, math.log((n1 + 1) / (n0 + 1))))
     if n0 and n1:
         best = min((logistic(seen.where("words > 0"), n, n0, n1) for n in PASSAGES), key=lambda x: x[0])[1]
-    found = measured(of_docs, stored, parts, known, column, key, docs.select(f"`{key}`").schema[0].dataType.simpleString())
+    kind, found = docs.select(f"`{key}`").schema[0].dataType.simpleString(), []
+    for at in range(SLICES):
+        sweep(spark)
+        with only_last_stays(spark):
+            own = blocks(docs.where(F.pmod(F.xxhash64(key, "text"), F.lit(SLICES)) == at).withColumn("print", F.xxhash64("text")), "text")
+            found.append(measured(own, stored, parts, known, "text", {key: kind, "print": "long"}))
     raw = " + ".join(f"({w!r}D * {x})" for w, x in zip(best.weights, best.inputs(), strict=True))
-    found = found.withColumn("raw", F.col(f"top_pair_{best.passage}")).withColumn("score", F.expr(f"IF(words = 0, 0D, 1 / (1 + exp(-({raw}))))"))
-    return of_docs, found.withColumnRenamed("mean_pair", "mean")
+    out = functools.reduce(DataFrame.unionByName, found).withColumn("raw", F.col(f"top_pair_{best.passage}"))
+    out = out.withColumn("score", F.expr(f"IF(words = 0, 0D, 1 / (1 + exp(-({raw}))))"))
+    return stage(out.select(key, "print", "score", "raw", F.col("mean_pair").alias("mean")), "scores")
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic", threshold: float = 0.3) -> DataFrame:
@@ -410,22 +437,13 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str =
     without words scores 0. Every row stays, also with a null (never held out) or repeated key. Other columns are
     ignored; an empty table gives none.
     """
-    _, out = judged(text.keyed(docs, key, column), labels, key, "text", label)
+    out = judged(docs, labels, key, column, label)
     return out.select(key, F.coalesce(fold(key) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw", "mean")
 
 
 def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents that aren't predicted toxic, with all their rows and columns."""
-    of_docs, out = judged(docs, labels, key, column)
-    gone = out.where(F.col("score") >= threshold).groupBy("block").agg(F.collect_list("at").alias("gone"))
-    schema = to_arrow_schema(docs.schema)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body, without in zip(batch.column("body").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                rows = unwrap(body)
-                good = np.ones(rows.num_rows, bool)
-                good[without or []] = False
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(rows.columns, schema, strict=True)], schema=schema).filter(pa.array(good))
-
-    return of_docs.join(gone, "block", "left").select("body", "gone").mapInArrow(keep, docs.schema)
+    out = judged(docs, labels, key, column)
+    gone = stage(out.where(F.col("score") >= threshold).select(F.col(key).alias("_k"), F.col("print").alias("_p")).distinct(), "toxic")
+    print_ = F.xxhash64(docs[f"`{column}`"].cast("binary"))
+    return docs.join(gone, docs[f"`{key}`"].eqNullSafe(gone["_k"]) & (print_ == gone["_p"]), "left_anti")
