@@ -30,3 +30,14 @@ def counted(spark):
 def test_contexts_have_no_ceiling(counted):
     _, _, words = counted
     assert words[key_of("hub")].after0_3 == 3000 and words[key_of("hub")].kinds_3 == 2999
+
+
+def test_every_bigram_is_stored(counted):
+    rows, pairs, _ = counted
+    seen = collections.Counter()
+    for _, said, toxic in rows:
+        seen.update((a, b, toxic) for a, b in zip(["", *said.split()], said.split()))
+    start = int(toxicity.START.view(np.int64))
+    wanted = {(key_of(a) if a else start, key_of(b), c): n for (a, b, c), n in seen.items()}
+    found = {(r.before, r.word, c): n for r in pairs.collect() for c in (0, 1) if (n := sum(r[f"n{c}{f}"] for f in range(3)))}
+    assert found == wanted
