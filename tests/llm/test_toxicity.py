@@ -41,3 +41,17 @@ def test_every_bigram_is_stored(counted):
     wanted = {(key_of(a) if a else start, key_of(b), c): n for (a, b, c), n in seen.items()}
     found = {(r.before, r.word, c): n for r in pairs.collect() for c in (0, 1) if (n := sum(r[f"n{c}{f}"] for f in range(3)))}
     assert found == wanted
+
+
+def test_passages_and_means():
+    texts = ["a b c d e f g", "", "a", "b a " * 9]
+    w = whole(texts)
+    value = np.random.default_rng(1).normal(size=len(w.starts))
+    n, mean, _, *tops = toxicity.features(w, [value, value])
+    assert n.tolist() == [7, 0, 1, 18]
+    for at, (a, z) in enumerate(zip(w.first[:-1], w.first[1:])):
+        assert mean[at] == pytest.approx(value[a:z].mean() if z > a else 0)
+        for k, length in enumerate(toxicity.PASSAGES):
+            best = max((value[i : i + length].mean() for i in range(a, z - length + 1)), default=mean[at])
+            assert tops[2 * k][at] == pytest.approx(best)
+    assert min(toxicity.PASSAGES) > 1 and "ln(1 + words)" in toxicity.Curve().inputs()
