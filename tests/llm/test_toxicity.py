@@ -55,3 +55,17 @@ def test_passages_and_means():
             best = max((value[i : i + length].mean() for i in range(a, z - length + 1)), default=mean[at])
             assert tops[2 * k][at] == pytest.approx(best)
     assert min(toxicity.PASSAGES) > 1 and "ln(1 + words)" in toxicity.Curve().inputs()
+
+
+def test_an_expression_seen_once_counts(spark, counted):
+    _, pairs, words = counted
+    size = toxicity.sizes(pairs, spark.createDataFrame(list(words.values())))[3]
+    assert all(0 < d < 1 for d in (*size.word_discount, *size.discount))
+    w = whole(["late blue late"])
+    hashes, keys = toxicity.asked(w)
+    about = np.array([[getattr(words[int(k)], f"{x}_3") if int(k) in words else 0 for k in keys[0].view(np.int64)] for x in toxicity.ABOUT_WORD])
+    alone, after = toxicity.ratios(size, hashes, keys, [about, np.zeros((2, len(keys[1])), np.int64)])
+    rest = [size.word_discount[c] * size.kinds[c] / size.total[c] / size.known for c in (0, 1)]
+    once = [max(n - size.word_discount[c], 0) / size.total[c] + rest[c] for c, n in enumerate((0, 2))]
+    assert alone[0] == pytest.approx(math.log(once[1] / once[0])) and alone[0] > 0
+    assert np.isfinite(after).all()
