@@ -69,3 +69,9 @@ def test_an_expression_seen_once_counts(spark, counted):
     once = [max(n - size.word_discount[c], 0) / size.total[c] + rest[c] for c, n in enumerate((0, 2))]
     assert alone[0] == pytest.approx(math.log(once[1] / once[0])) and alone[0] > 0
     assert np.isfinite(after).all()
+
+
+def test_all_folds_teach_the_last_model(counted):
+    _, _, words = counted
+    late = words[key_of("late")]
+    assert late.after1_3 == 2 and late.after1_0 == late.after1_1 == 2 and late.after1_2 == 0
