@@ -19,6 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BYTE_CODES = np.random.default_rng(20240501).integers(0, 2**64, 256, np.uint64)
 BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95, "check": 0xAF251AF3B0F025B5}
+#: Hashes are worked out for so many bytes or values at a time, which bounds memory and the tables of powers.
+PIECE = 1 << 16
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -50,10 +52,14 @@ def runs(values: np.ndarray, k: int, kind: str = "word") -> np.ndarray:
     n = len(values)
     if n < k:
         return np.zeros(0, np.uint64)
-    up, down = powers(kind, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: n - k + 1])
+    out, step = np.empty(n - k + 1, np.uint64), max(PIECE, k)
+    for at in range(0, len(out), step):
+        own = values[at : at + step + k - 1]
+        up, down = powers(kind, len(own) + 1)
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * up[: len(own)], out=total[1:])
+        out[at : at + step] = mix((total[k:] - total[:-k]) * down[: len(own) - k + 1])
+    return out
 
 
 class Words:
@@ -73,11 +79,25 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash for each word."""
-        n = len(self.data)
-        up, down = powers("byte", n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODES[self.data] * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        out = np.empty(len(self.starts), np.uint64)
+        up, down = powers("byte", PIECE + 1)
+        at = 0
+        while at < len(out):
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, base + PIECE, "right")))
+            data, starts, ends = self.data[base : self.ends[to - 1]], self.starts[at:to] - base, self.ends[at:to] - base
+            sums = np.zeros(1, np.uint64)
+            if len(data) > PIECE:  # one word longer than a piece
+                for i in range(0, len(data), PIECE):
+                    part = data[i : i + PIECE]
+                    sums += np.sum(BYTE_CODES[part] * up[: len(part)], dtype=np.uint64, keepdims=True) * np.uint64(pow(BASES["byte"], i, 2**64))
+            else:
+                total = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(BYTE_CODES[data] * up[: len(data)], out=total[1:])
+                sums = (total[ends] - total[starts]) * down[starts]
+            out[at:to] = mix(sums + (ends - starts).astype(np.uint64))
+            at = to
+        return out
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

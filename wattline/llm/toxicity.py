@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wattline.lineage import only_last_stays, stage
 from wattline.llm import text
 
-PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 21, 1 << 22, 1 << 20, 6
+PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 19, 1 << 20, 1 << 18, 6
 HELD_OUT_FOLD, FOLDS, TEACH = 2, 4, (0, 1, 3)
 #: Models by number: each leaves out one fold of TEACH, the last leaves out none.
 MODELS = range(len(TEACH) + 1)
