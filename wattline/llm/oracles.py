@@ -82,7 +82,22 @@ CHAT = rf"""
            sum(32 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
     FROM t GROUP BY 1"""
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWERED}, '{TERM}') AS t FROM documents),
+         l AS (SELECT rid, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+         c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM l),
+         b AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all({LOWERED}, '{TERM}') AS t FROM benchmark),
+         q AS (SELECT DISTINCT qid, item_id, unnest(t) AS term FROM b),
+         p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+         w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, docs),
+         s AS (SELECT qid, item_id, l.doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+               FROM q JOIN w USING (term) JOIN p USING (term) JOIN l USING (rid), c GROUP BY qid, item_id, rid, l.doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) <= 50"""
+
 ORACLES = {
     "op1_embedding_dedup": EMBEDDINGS, "op2_substring_dedup": SUBSTRINGS, "op4_decontamination": CONTAMINATION, "op6_secret_scan": _secrets(),
     "op7_ngram_jaccard": JACCARD, "op9_chat_format": CHAT,
+    "op13_ranked_search": RANKED,
 }

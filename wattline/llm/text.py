@@ -65,11 +65,11 @@ def runs(values: np.ndarray, k: int, kind: str = "word") -> np.ndarray:
 class Words:
     """The words of some texts: byte data, word starts and ends, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = GAP):
         self.data = LOWER[data] if lower else data
         n = len(data)
         gap = np.ones(n + 2, bool)
-        gap[1:-1] = GAP[data]
+        gap[1:-1] = between[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         word = ~gap[1:-1]
