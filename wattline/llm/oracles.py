@@ -96,8 +96,31 @@ RANKED = f"""
     SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) <= 50"""
 
+def _codes(rounds: int = 4) -> str:
+    ctes = """
+    WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e
+                            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         f AS (SELECT rid, len(e) // 4 AS wide, unnest(range(len(e))) AS i, unnest(e) AS x FROM k),
+         v AS MATERIALIZED (SELECT rid, i // wide AS part, i % wide AS place, x FROM f),
+         c0 AS MATERIALIZED (SELECT part, rid AS entry, place, x AS y FROM v WHERE rid < 256)"""
+    for r in range(rounds + 1):
+        ctes += f""",
+         s{r} AS (SELECT rid, v.part, entry, sum((x - y) * (x - y))::BIGINT AS far FROM v JOIN c{r} c ON c.part = v.part AND c.place = v.place GROUP BY 1, 2, 3),
+         a{r} AS MATERIALIZED (SELECT rid, part, arg_min(entry, far * 256 + entry) AS entry, min(far) AS far FROM s{r} GROUP BY 1, 2)"""
+        if r < rounds:
+            ctes += f""",
+         m{r} AS (SELECT v.part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} a ON a.rid = v.rid AND a.part = v.part GROUP BY 1, 2, 3),
+         c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.place, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n + n) % n)) // n END AS y
+                 FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry AND m.place = c.place)"""
+    return ctes + f""",
+         o AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, place)) FROM c{rounds}) AS codebooks_sha256
+    FROM k JOIN o ON o.rid = k.rid"""
+
+
 ORACLES = {
     "op1_embedding_dedup": EMBEDDINGS, "op2_substring_dedup": SUBSTRINGS, "op4_decontamination": CONTAMINATION, "op6_secret_scan": _secrets(),
     "op7_ngram_jaccard": JACCARD, "op9_chat_format": CHAT,
-    "op13_ranked_search": RANKED,
+    "op11_vector_codes": _codes(), "op13_ranked_search": RANKED,
 }
