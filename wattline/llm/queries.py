@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, codes, contamination, neighbours, overlap, packing, ranked, secrets, shards, substrings, toxicity, urls
+from wattline.llm import bytespans, chat, codes, contamination, neighbours, overlap, packing, ranked, secrets, shards, substrings, toxicity, urls
 from wattline.llm.oracles import ORACLES as ORACLES
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,10 +113,14 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.codes(read(spark, folder, "embeddings"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return bytespans.repeats(read(spark, folder, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.top(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_best_fit_packing, op4_decontamination, op5_url_filter, op6_secret_scan, op7_ngram_jaccard, op8_training_order, op9_chat_format, op10_toxicity, op11_vector_codes, op13_ranked_search)
+    f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_best_fit_packing, op4_decontamination, op5_url_filter, op6_secret_scan, op7_ngram_jaccard, op8_training_order, op9_chat_format, op10_toxicity, op11_vector_codes, op12_suffix_array_dedup, op13_ranked_search)
 }
