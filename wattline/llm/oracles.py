@@ -82,6 +82,19 @@ CHAT = rf"""
            sum(32 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
     FROM t GROUP BY 1"""
 
+BYTES = """
+    WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+         x AS (SELECT rid, unnest(range(1, octet_length(b) - 98)) AS i, unnest(list_transform(range(1, octet_length(b) - 98), lambda i: b[i:i + 99])) AS run FROM d WHERE octet_length(b) >= 100),
+         r AS (SELECT rid, i FROM x QUALIFY row_number() OVER (PARTITION BY run ORDER BY rid, i) > 1),
+         u AS (SELECT rid, unnest(range(1, octet_length(b) + 1)) AS i FROM d WHERE rid IN (SELECT rid FROM r)),
+         m AS (SELECT u.rid, u.i, coalesce(max(r.i) OVER (PARTITION BY u.rid ORDER BY u.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+               FROM u LEFT JOIN r ON r.rid = u.rid AND r.i = u.i),
+         e AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY rid ORDER BY i) AS opens FROM m),
+         k AS (SELECT rid, count(*) FILTER (WHERE gone) AS n, count(*) FILTER (WHERE opens) AS spans, list(i ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY 1)
+    SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+           CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(array_to_string(list_transform(coalesce(kept, []), lambda i: hex(b[i:i])), ''))) END AS kept_sha256
+    FROM d LEFT JOIN k ON k.rid = d.rid"""
+
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RANKED = f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWERED}, '{TERM}') AS t FROM documents),
@@ -122,5 +135,5 @@ def _codes(rounds: int = 4) -> str:
 ORACLES = {
     "op1_embedding_dedup": EMBEDDINGS, "op2_substring_dedup": SUBSTRINGS, "op4_decontamination": CONTAMINATION, "op6_secret_scan": _secrets(),
     "op7_ngram_jaccard": JACCARD, "op9_chat_format": CHAT,
-    "op11_vector_codes": _codes(), "op13_ranked_search": RANKED,
+    "op11_vector_codes": _codes(), "op12_suffix_array_dedup": BYTES, "op13_ranked_search": RANKED,
 }
