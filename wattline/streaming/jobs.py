@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wattline.functions.measures import ratio
-from wattline.operators.features import latest_n, over_rows, spike_flag_over, spike_magnitude_over
-from wattline.operators.risk import consensus
-from wattline.sinks import months_of, table_exists, with_month, write_merge
+from wattline.sinks import write_merge
+from wattline.streaming import state
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -127,13 +126,8 @@ def stream_dedupe(stream: DataFrame, keys: list[str], time: str = "period", late
 
 
 def drop_late(stream: DataFrame, delay: str, time: str = "period") -> DataFrame:
-    """Rows that are younger than the watermark when they arrive; rows that repeat all stay.
-
-    Only operators with state look at the watermark. The one used here keeps a random name of every row, which none shares, until
-    the watermark passes it.
-    """
-    named = stream.withWatermark(time, delay).withColumn("_name", F.expr("uuid()"))
-    return named.dropDuplicatesWithinWatermark(["_name"]).drop("_name")
+    """Rows that are younger than the watermark when they arrive; rows that repeat all stay."""
+    return state.in_time(stream, delay, time)
 
 
 def stream_merge(stream: DataFrame, path: str, keys: list[str], checkpoint: str, time: str = "period") -> StreamingQuery:
@@ -148,31 +142,9 @@ def stream_merge(stream: DataFrame, path: str, keys: list[str], checkpoint: str,
 # --- spikes with history ---------------------------------------------------------------------------
 
 
-def stream_spikes(hourly: DataFrame, out_path: str, tail_path: str, checkpoint: str, n: int = 24, k: float = 2.0) -> StreamingQuery:
-    """Flag spikes of closed hourly readings with the ``n - 1`` readings before, across micro-batches.
-
-    ``hourly`` is a streaming aggregate that emits every (period, ba_code) once it is final, in append
-    mode. The last readings of every area are kept as one small table per batch; batch i reads the one that
-    batch i - 1 left, so a batch that is run again gives the same rows.
-    """
-
-    def flag(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("period", "ba_code", "demand_mw", F.lit(True).alias("_new"))
-        if batch_id > 0 and table_exists(spark, f"{tail_path}/batch={batch_id - 1}"):
-            old = spark.read.schema("period timestamp, ba_code string, demand_mw double").parquet(f"{tail_path}/batch={batch_id - 1}")
-            rows = rows.unionByName(old.withColumn("_new", F.lit(False)))
-        flagged = over_rows(
-            rows,
-            ["ba_code"],
-            "period",
-            lambda w: {"is_spike": spike_flag_over(w, "demand_mw", n, k), "spike_magnitude": spike_magnitude_over(w, "demand_mw", n)},
-            back=n,
-        )
-        flagged.where("_new").drop("_new").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        latest_n(rows.drop("_new"), ["ba_code"], n - 1).write.mode("overwrite").parquet(f"{tail_path}/batch={batch_id}")
-
-    return run_batches(hourly, flag, checkpoint)
+def stream_spikes(hourly: DataFrame, n: int = 24, k: float = 2.0) -> DataFrame:
+    """Flag spikes of closed hourly readings with the ``n - 1`` readings before, across micro-batches."""
+    return state.spikes(hourly, n, k)
 
 
 def hourly_readings(stream: DataFrame, late: str = "1 hour", value: str = "demand_mw") -> DataFrame:
@@ -188,33 +160,6 @@ def hourly_readings(stream: DataFrame, late: str = "1 hour", value: str = "deman
 # --- prediction rounds --------------------------------------------------------------------------
 
 
-def stream_rounds(submissions: DataFrame, table: str, out_path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """Finalise prediction rounds whose target hour lies behind the watermark.
-
-    Submissions (node_id, ba_code, target, predicted_mw, prob_bp, submitted_at) go to ``table``. A small
-    streaming aggregate tells which rounds have closed; their medians are then worked out from the table,
-    however many submissions a round has. Only submissions made before the round's hour is over count, so a batch that is
-    run again, or a submission that comes later, changes no closed round. Of the table only the rounds' months are read.
-    """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        write_merge(batch.sparkSession, batch, table, ["node_id", "ba_code", "target"], "target")
-
-    run_batches(submissions, store, f"{checkpoint}/store")
-    closed = (
-        submissions.withWatermark("target", late)
-        .groupBy(F.window("target", "1 hour"), "ba_code")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("target"), "ba_code")
-    )
-
-    def finalise(batch: DataFrame, batch_id: int) -> None:
-        if not table_exists(batch.sparkSession, table):
-            return
-        rounds = batch.select("ba_code", "target").distinct()
-        stored = months_of(batch.sparkSession.read.parquet(table), with_month(rounds, "target"))
-        due = stored.where(F.col("submitted_at") < F.col("target") + F.expr("INTERVAL 1 HOUR")).join(rounds, ["ba_code", "target"], "left_semi")
-        consensus(due).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    return run_batches(closed, finalise, f"{checkpoint}/close")
-
+def stream_rounds(submissions: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Prediction rounds with their medians, given once their hour lies behind the watermark."""
+    return state.rounds(submissions, late)
