@@ -42,30 +42,37 @@ def room(n: int, kind) -> np.ndarray:
         return np.memmap(f, kind, "r+", shape=(n,))
 
 
+def places_of(n: int):
+    """The type that holds places in n symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 class Kinds:
     """The symbols of a text, where each suffix's leading run of one symbol ends, and whether it is an S suffix."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.text, self.size, n = symbols, size, len(symbols)
         step = np.zeros(n, np.int8)
-        step[:-1] = np.sign(symbols[1:].astype(np.int64) - symbols[:-1])
+        step[:-1] = (symbols[1:] > symbols[:-1]).astype(np.int8) - (symbols[1:] < symbols[:-1])
         step[-1] = -1
-        place = np.where(step != 0, np.arange(n), n)
-        last = np.minimum.accumulate(place[::-1])[::-1]
+        kind = places_of(n)
+        place = np.arange(n, dtype=kind)
+        last = np.where(step != 0, place, kind(n))
+        last = np.minimum.accumulate(last[::-1])[::-1]
         self.small = step[last] > 0
-        self.run = (last + 1 - np.arange(n)).astype(np.int64)
+        self.run = last + kind(1) - place
         self.first = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
 
 
 class Queue:
     """A region of tuples for each symbol: positions and common prefixes in the order they came."""
 
-    def __init__(self, symbols: np.ndarray, size: int, prefixes: bool):
+    def __init__(self, symbols: np.ndarray, size: int, prefixes: bool, total: int):
         count = np.bincount(symbols, minlength=size)
         self.start = np.zeros(size + 1, np.int64)
         np.cumsum(count, out=self.start[1:])
         self.filled = np.zeros(size, np.int64)
-        self.place = room(len(symbols), np.int64)
+        self.place = room(len(symbols), places_of(total))
         self.prefix = room(len(symbols), np.uint8) if prefixes else None
 
     def push(self, symbols: np.ndarray, places: np.ndarray, prefixes: np.ndarray | None) -> None:
@@ -140,7 +147,7 @@ def induce(kinds: Kinds, seeds: np.ndarray, prefixes: np.ndarray | None, cap: in
     """Both queues of a text, filled from the leftmost S suffixes in the order given, with their common prefixes."""
     text, run, used = kinds.text, kinds.run, np.flatnonzero(np.bincount(kinds.text, minlength=kinds.size))
     carried = prefixes is not None
-    large, small = Queue(text[~kinds.small], kinds.size, carried), Queue(text[kinds.small], kinds.size, carried)
+    large, small = Queue(text[~kinds.small], kinds.size, carried, len(text)), Queue(text[kinds.small], kinds.size, carried, len(text))
     border = np.searchsorted(text[seeds], np.arange(kinds.size + 1))
     last = np.array([len(text) - 1])
     large.push(text[last], last, np.zeros(1, np.uint8) if carried else None)
