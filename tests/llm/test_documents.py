@@ -221,6 +221,18 @@ def test_feistel_is_a_permutation():
     assert (shards.permuted(np.arange(1000), 1000, "k") != shards.permuted(np.arange(1000), 1000, "other")).any()
 
 
+def test_shards_do_not_depend_on_splits(spark, docs, tmp_path):
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    found = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        index = shards.materialise(spark.read.parquet(str(tmp_path / "docs")), queries.TOKENIZER, "key", folder=str(tmp_path / f"shards-{size}"), length=128, per_shard=100)
+        found.append([(p.name, p.read_bytes()) for p in sorted((tmp_path / f"shards-{size}").glob("shard-*.bin"))])
+        assert len(found[-1]) == index.select("shard").distinct().count() > 1
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1]
+
+
 def test_shards_hold_every_token_once(spark, docs, rows, tmp_path):
     folder = str(tmp_path / "shards")
     index = shards.materialise(docs, queries.TOKENIZER, "key", folder=folder, length=128, per_shard=100).collect()

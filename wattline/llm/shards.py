@@ -54,29 +54,43 @@ def permuted(index: np.ndarray, n: int, key: str, back: bool = False) -> np.ndar
     return out.astype(np.int64)
 
 
+SPLIT = ["file", "block", "task"]
+
+
 def encoded(docs: DataFrame, tokenizer: str, key: str, column: str, end: int, width: int) -> DataFrame:
-    """Each document's ids, the task that made them and where they begin among the task's ids."""
+    """Each document's ids, the piece of a file (or else the task) it comes from and where they begin among the ids of that."""
     schema = T.StructType([
-        T.StructField(key, docs.schema[key].dataType), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField(key, docs.schema[key].dataType), T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("task", T.IntegerType()),
+        T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()),
     ])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        part, at, out = TaskContext.get().partitionId(), 0, to_arrow_schema(schema)
-        of = tokens.encoder(tokenizer).ids
+        task, at, out = TaskContext.get().partitionId(), {}, to_arrow_schema(schema)
+        of, tail = tokens.encoder(tokenizer).ids, np.asarray([end], "<u4").tobytes()
         for rows, _, _ in text.blocks(batches):
-            begin, sizes, packed = [], [], []
-            for raw in of([tokens.to_text(x) for x in rows.column("text").to_pylist()]):
-                ids = np.append(np.frombuffer(raw, "<u4"), end)
-                begin.append(at)
-                sizes.append(len(ids))
-                packed.append(ids.astype(WIDTHS[width]).tobytes())
-                at += len(ids)
-            yield pa.RecordBatch.from_arrays([rows.column(key).cast(out.field(0).type), pa.array([part] * len(begin), pa.int32()), pa.array(begin, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], schema=out)
+            raw = of([tokens.to_text(x) for x in rows.column("text").to_pylist()])
+            sizes = np.array([len(x) // 4 + 1 for x in raw])
+            packed = np.frombuffer(tail.join([*raw, b""]), "<u4").astype(WIDTHS[width]).tobytes()
+            edge = (text.offsets_of(sizes) * width).tolist()
+            begin, splits = [], list(zip(rows.column("file").to_pylist(), rows.column("block").to_pylist(), strict=True))
+            for split, n in zip(splits, sizes.tolist(), strict=True):
+                begin.append(at.get(split, 0))
+                at[split] = begin[-1] + n
+            ids = [packed[a:z] for a, z in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(key).cast(out.field(0).type), rows.column("file"), rows.column("block"), pa.array([task] * len(begin), pa.int32()), pa.array(begin, pa.int64()), pa.array(sizes), pa.array(ids, pa.binary())], schema=out)
+
+    own = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").cast("binary").alias("text"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+    return own.mapInArrow(encode, schema)
+
 
-    return text.keyed(docs, key, column).mapInArrow(encode, schema)
+def resolved(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it, for the workers' own writers and readers."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def materialise(docs: DataFrame, tokenizer: str, order_key: str, folder: str | None = None, key: str = "doc_id", column: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, end: int = 0, width: int = 2) -> DataFrame:
@@ -89,12 +103,12 @@ def materialise(docs: DataFrame, tokenizer: str, order_key: str, folder: str | N
     own; an empty table gives no shard. Every shard is written aside and then renamed, so a task may be run again.
     """
     spark = docs.sparkSession
-    folder = folder or fresh_dir(spark, "shards")
+    folder = resolved(spark, folder or fresh_dir(spark, "shards"))
     path = fresh_dir(spark, "ids")  # the largest table here, read once more: it is worth a closer packing
-    encoded(docs, tokenizer, key, column, end, width).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    encoded(docs, tokenizer, key, column, end, width).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
     staged = spark.read.parquet(path)
-    per_part = staged.groupBy("part").agg(F.sum("n").alias("n"))
-    parts = stage(per_part.selectExpr("part", "n", "sum(n) OVER (ORDER BY part) - n AS base"), "parts")
+    per_split = staged.groupBy(*SPLIT).agg(F.sum("n").alias("n"))
+    parts = stage(per_split.selectExpr(*SPLIT, "n", "sum(n) OVER (ORDER BY file, block, task) - n AS base"), "parts")
     total = parts.agg(F.sum("n")).first()[0] or 0
     count = -(-total // length)
     shards = max(1, -(-count // per_shard))
@@ -105,7 +119,7 @@ def materialise(docs: DataFrame, tokenizer: str, order_key: str, folder: str | N
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(piece_schema)
-        squeeze = zstandard.ZstdCompressor(level=6).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             doc, sequence, place, sizes, packed = [], [], [], [], []
             for i, (at, ids) in enumerate(zip(batch.column("start").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
@@ -121,15 +135,15 @@ def materialise(docs: DataFrame, tokenizer: str, order_key: str, folder: str | N
             slot = permuted(np.asarray(sequence), count, order_key)
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(sequence, pa.int64()), pa.array(place, pa.int32()), batch.column(key).take(pa.array(doc, pa.int32())).cast(out.field(4).type), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], schema=out)
 
-    placed = staged.join(parts.select("part", "base"), "part").select(key, (F.col("base") + F.col("at")).alias("start"), "ids").mapInArrow(cut, piece_schema)
-    sorted_ = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "place")
+    placed = staged.join(parts.select(*SPLIT, "base"), SPLIT).select(key, (F.col("base") + F.col("at")).alias("start"), "ids").mapInArrow(cut, piece_schema)
+    sorted_ = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot", "place")
     index = T.StructType([T.StructField("slot", T.LongType()), T.StructField("sequence", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("position", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids_crc32", T.LongType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, open_ = to_arrow_schema(index), zstandard.ZstdDecompressor().decompress
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         fill = np.asarray([end], WIDTHS[width]).tobytes()
         rows: list[tuple] = []
@@ -178,13 +192,14 @@ def materialise(docs: DataFrame, tokenizer: str, order_key: str, folder: str | N
 
 def read_from(spark: SparkSession, folder: str, slot: int = 0, until: int | None = None) -> DataFrame:
     """The records from a slot on, in training order: slot, sequence, ids. Reads only the bytes after that slot."""
+    folder = resolved(spark, folder)
     m = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
     until = m["sequences"] if until is None else min(until, m["sequences"])
     stride, per, length = m["length"] * m["width"], m["per_shard"], m["length"]
     first, last = slot // per, max(slot // per, -(-until // per))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for shard in batch.column("id").to_pylist():
                 begin, stop = max(slot, shard * per), min(until, (shard + 1) * per)
