@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
+#: Spark's setting that removes the shuffle files of a query when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,11 +49,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     For a result that several later passes read: each pass then reads the columns it needs and none
-    computes the result again, also when executors are lost in between.
+    computes the result again, also when executors are lost in between. Shuffles behind the written table go
+    with the end of the write.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     _MADE.append(path)
     return spark.read.parquet(path)
 
