@@ -1,14 +1,17 @@
 import collections
 import math
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from wattline.llm import text, toxicity
 
 
-def block_of(spark, rows):
-    """Lessons (fold by number, text, toxic) in blocks."""
-    return toxicity.blocks(spark.createDataFrame(rows, "model int, text string, toxic int"), "text", "model")
+def lessons_of(spark, rows):
+    """Lessons (model, text, toxic), compressed."""
+    df = spark.createDataFrame([(m, t.encode(), x) for m, t, x in rows], "model int, text binary, toxic int")
+    return toxicity.squeezed(df.select("model", "text", "toxic").select(F.struct("model", "toxic").alias("k"), "text")).select("k.model", "k.toxic", F.col("text").alias("body"))
 
 
 def whole(texts):
@@ -17,30 +20,46 @@ def whole(texts):
 
 
 def key_of(word):
-    return int(whole([word]).hashes().view(np.int64)[0])
+    return int(whole([word]).hashes()[0])
+
+
+def unpacked(table, wide):
+    """Counts by hash."""
+    out = {}
+    for r in table.collect():
+        rows = toxicity.unpack(r.rows).reshape(wide, -1)
+        out.update(zip(toxicity.unpack(r.keys, np.uint64).tolist(), rows.T.tolist()))
+    return out
 
 
 @pytest.fixture(scope="module")
 def counted(spark):
-    rows = [(0, " ".join(f"w{i} hub" for i in range(3000)), 0), (1, "red fox red fox blue", 1), (2, "late word late", 1), (2, "red blue", 0)]
-    pairs = toxicity.stage(toxicity.bigrams(block_of(spark, rows)))
-    return rows, pairs, {r.key: r for r in toxicity.words(pairs).collect()}
+    rows = [(0, " ".join(f"w{i} hub" for i in range(3000)), 0), (1, "red fox red fox blue", 1), (0, "late word late", 1), (1, "red blue", 0)]
+    pairs = toxicity.pair_counts(lessons_of(spark, rows), 3)
+    table = toxicity.word_counts(pairs, 3)
+    return rows, pairs, table, unpacked(table, 14)
+
+
+def about(words, word, name, model=1):
+    return words[key_of(word)][7 * model + toxicity.ABOUT_WORD.index(name)]
 
 
 def test_contexts_have_no_ceiling(counted):
-    _, _, words = counted
-    assert words[key_of("hub")].after0_3 == 3000 and words[key_of("hub")].kinds_3 == 2999
+    *_, words = counted
+    assert about(words, "hub", "after0") == 3000 and about(words, "hub", "kinds") == 2999
 
 
 def test_every_bigram_is_stored(counted):
-    rows, pairs, _ = counted
+    rows, pairs, *_ = counted
     seen = collections.Counter()
-    for _, said, toxic in rows:
-        seen.update((a, b, toxic) for a, b in zip(["", *said.split()], said.split()))
-    start = int(toxicity.START.view(np.int64))
-    wanted = {(key_of(a) if a else start, key_of(b), c): n for (a, b, c), n in seen.items()}
-    found = {(r.before, r.word, c): n for r in pairs.collect() for c in (0, 1) if (n := sum(r[f"n{c}{f}"] for f in range(3)))}
-    assert found == wanted
+    for model, said, toxic in rows:
+        seen.update((a, b, 2 * model + toxic) for a, b in zip(["", *said.split()], said.split()))
+    hashed = {}
+    for (a, b, kind), n in seen.items():
+        before = toxicity.START if not a else np.uint64(key_of(a))
+        pair = int(toxicity.both(np.array([before]), np.array([key_of(b)], np.uint64))[0])
+        hashed.setdefault(pair, [0] * 4)[kind] += n
+    assert unpacked(pairs, 4) == hashed
 
 
 def test_passages_and_means():
@@ -57,21 +76,115 @@ def test_passages_and_means():
     assert min(toxicity.PASSAGES) > 1 and "ln(1 + words)" in toxicity.Curve().inputs()
 
 
-def test_an_expression_seen_once_counts(spark, counted):
-    _, pairs, words = counted
-    size = toxicity.sizes(pairs, spark.createDataFrame(list(words.values())))[3]
+def test_an_expression_seen_once_counts(counted):
+    _, pairs, table, words = counted
+    size = toxicity.sizes(pairs, table)[1]
     assert all(0 < d < 1 for d in (*size.word_discount, *size.discount))
     w = whole(["late blue late"])
     hashes, keys = toxicity.asked(w)
-    about = np.array([[getattr(words[int(k)], f"{x}_3") if int(k) in words else 0 for k in keys[0].view(np.int64)] for x in toxicity.ABOUT_WORD])
-    alone, after = toxicity.ratios(size, hashes, keys, [about, np.zeros((2, len(keys[1])), np.int64)])
+    known = np.array([words.get(k, [0] * 14)[7:] for k in keys[0].tolist()]).T
+    alone, after = toxicity.ratios(size, hashes, keys, [known, np.zeros((2, len(keys[1])), np.int64)])
     rest = [size.word_discount[c] * size.kinds[c] / size.total[c] / size.known for c in (0, 1)]
     once = [max(n - size.word_discount[c], 0) / size.total[c] + rest[c] for c, n in enumerate((0, 2))]
     assert alone[0] == pytest.approx(math.log(once[1] / once[0])) and alone[0] > 0
     assert np.isfinite(after).all()
 
 
-def test_all_folds_teach_the_last_model(counted):
-    _, _, words = counted
-    late = words[key_of("late")]
-    assert late.after1_3 == 2 and late.after1_0 == late.after1_1 == 2 and late.after1_2 == 0
+def test_all_lessons_teach_the_last_model(counted):
+    *_, words = counted
+    assert about(words, "red", "after1") == 2 and about(words, "red", "after1", 0) == 0
+    assert about(words, "late", "after1") == about(words, "late", "after1", 0) == 2
+
+
+class Plain:
+    """Kneser-Ney of words and bigrams in dictionaries."""
+
+    def __init__(self, lessons):
+        self.n = [collections.Counter(), collections.Counter()]
+        for said, toxic in lessons:
+            self.n[toxic].update(zip([None, *said], said))
+        vocabulary = {w for c in self.n for p in c for w in p} - {None} | {None}
+        self.known = len(vocabulary if any(self.n) else [1])
+        self.after, self.total, self.follow = [], [], []
+        everything = self.n[0] + self.n[1]
+        for c in (*self.n, everything):
+            self.after.append(collections.Counter(w for _, w in c))
+            f = collections.defaultdict(lambda: [0, 0])
+            for (b, _), k in c.items():
+                f[b][0] += k
+                f[b][1] += 1
+            self.follow.append(f)
+        self.n.append(everything)
+
+        def discount(counts):
+            n1, n2 = (sum(v == k for v in counts) for k in (1, 2))
+            return (n1 + 1) / (n1 + 2 * n2 + 2)
+
+        self.words = [discount(a.values()) for a in self.after[:2]]
+        self.pairs = [discount(c.values()) for c in self.n]
+
+    def ratios(self, said):
+        alone, pairs = [], []
+        for before, word in zip([None, *said], said):
+            p, q = [], []
+            for c in (0, 1):
+                total = sum(self.after[c].values())
+                rest = self.words[c] * len(self.after[c]) / total if total else 1.0
+                p.append(max(self.after[c][word] - self.words[c], 0) / max(total, 1) + rest / self.known)
+
+                def over(base, k):
+                    seen, kinds = self.follow[k].get(before, (0, 0))
+                    back = self.pairs[k] * kinds / seen if seen else 1.0
+                    return max(self.n[k][before, word] - self.pairs[k], 0) / max(seen, 1) + back * base
+
+                q.append(over(over(p[c], 2), c))
+            alone.append(math.log(p[1] / p[0]))
+            pairs.append(math.log(q[1] / q[0]))
+        return alone, pairs
+
+    def row(self, said):
+        values = self.ratios(said)
+        means = [sum(v) / max(len(said), 1) for v in values]
+        tops = [max((sum(v[i : i + n]) / n for i in range(len(said) - n + 1)), default=m) for n in toxicity.PASSAGES for v, m in zip(values, means)]
+        return [len(said), *means, *tops]
+
+
+def test_scores_as_plain_python(spark):
+    rng = np.random.default_rng(9)
+    clean, bad = [f"w{i}" for i in range(80)], ["vile", "scum", "foul", "rot"]
+    docs, labels = [], []
+    for i in range(240):
+        said = list(rng.choice(clean, rng.integers(0, 40)))
+        toxic = bool(rng.random() < 0.3)
+        if toxic:
+            said.insert(int(rng.integers(0, len(said) + 1)), " ".join(rng.choice(bad, 2)))
+        docs.append((i, " ".join(said)))
+        if i % 10:
+            labels.append((i, int(toxic)))
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in docs}
+    truth, said = dict(labels), {i: t.split() for i, t in docs}
+    early, last = (Plain([(said[i], y) for i, y in labels if fold[i] in folds]) for folds in ((0, 1), (0, 1, 3)))
+    teach = [(early.row(said[i]), truth[i]) for i in truth if fold[i] == 3 and said[i]]
+    x, y = np.array([r for r, _ in teach]), np.array([t for _, t in teach])
+
+    def inputs(rows, k):
+        return np.column_stack([rows[:, 1], rows[:, 2], rows[:, 3 + 2 * k], rows[:, 4 + 2 * k], np.log1p(rows[:, 0]), np.ones(len(rows))])
+
+    k, best = min(((k, toxicity.logistic(inputs(x, k), y, n)) for k, n in enumerate(toxicity.PASSAGES)), key=lambda b: b[1][0])
+    rows = np.array([last.row(said[i]) for i, _ in docs])
+    wanted = np.where(rows[:, 0] == 0, 0, 1 / (1 + np.exp(-inputs(rows, k) @ np.array(best[1].weights))))
+    found = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert {r.doc_id: r.held_out for r in found} == {i: fold[i] == 2 for i, _ in docs}
+    assert [r.score for r in sorted(found)] == pytest.approx(wanted.tolist(), abs=1e-6)
+    assert [r.predicted for r in sorted(found)] == (wanted >= 0.3).astype(int).tolist()
+
+
+def test_a_very_long_text_and_repeated_rows(spark):
+    rng = np.random.default_rng(10)
+    long = " ".join(rng.choice([f"w{i}" for i in range(500)], 400_000))
+    docs = [(1, long + " vile scum"), (1, long), (2, "x" * 400_000), (3, "vile scum"), (3, "vile scum"), (4, None), (None, "vile"), (5, "w1 w2 w3"), (6, "w4 w5")]
+    labels = [(i, int(i in (3, 7))) for i in range(1, 8)] + [(3, 0), (None, 1), (5, None)]
+    found = toxicity.score(spark.createDataFrame([(i, t, 0.5) for i, t in docs], "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = found.collect()
+    assert sorted((r.doc_id or 0) for r in rows) == sorted((i or 0) for i, _ in docs)
+    assert all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id == 3}) == 1

@@ -6,19 +6,18 @@ chances for all words. Discounts are n1 / (n1 + 2 n2) of each class, so every ex
 
 A text's log-likelihood ratio is taken per word, for words alone and for bigrams, over the whole text and over its most toxic
 passage. A logistic curve of these four and the logarithm of the length turns them into 0 to 1. The curve and the length of the
-passages come from cross-fitting: each labelled document is scored by counts that its own fold isn't in. Final counts are of all
-labelled documents that aren't held out.
+passages are fitted on at most ``CURVE_ROWS`` labelled documents of one fold, scored by counts that this fold isn't in. Final counts
+are of all labelled documents that aren't held out.
 
-Words and bigrams are known by 64-bit hashes, and counts are stored tables as large as the corpus makes them. Documents travel in
-blocks; a block asks once for each of its distinct words and bigrams. Tables and questions are dealt into parts by hash
-and packed, and a part is answered by binary search. Counting and scoring go slice by slice, so that only
-one slice's shuffles take room at a time.
+Words and bigrams are known by 64-bit hashes, and counts are stored tables as large as the corpus makes them. Every bigram is kept.
+Counts are summed up in parts by hash, packed as arrays. Documents travel in blocks; a block asks once for each of its distinct words
+and bigrams, and a part is answered by binary search. Scoring goes slice by slice, and the shuffles of a slice are removed when its
+scores are written, so only one slice's take room at a time.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,10 +32,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wattline.lineage import only_last_stays, stage
 from wattline.llm import text
 
-PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 19, 1 << 20, 1 << 18, 6
-HELD_OUT_FOLD, FOLDS, TEACH = 2, 4, (0, 1, 3)
-#: Models by number: each leaves out one fold of TEACH, the last leaves out none.
-MODELS = range(len(TEACH) + 1)
+PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 19, 1 << 20, 1 << 19, 4
+HELD_OUT_FOLD, CURVE_FOLD, FOLDS = 2, 3, 4
+#: Models by number: the first is counted without the fold that fits the curve, the second with all that may teach.
+MODELS = (0, 1)
+CURVE_ROWS = 20_000
 START = np.uint64(0x5D9F3B7A6C1E8427)
 #: Log-ratios per word of a text: by words and by bigrams, of the whole and of the most toxic passage of each length.
 NAMES = ("mean_word", "mean_pair", *(f"{x}_{n}" for n in PASSAGES for x in ("top_word", "top_pair")))
@@ -90,78 +90,149 @@ def read_block(body: bytes, column: str) -> tuple[pa.RecordBatch, text.Words]:
     return rows, text.Words(data, offsets, lower=True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles that no table needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fold(key: str):
     """crc32 of the key as text, modulo FOLDS; null for a null key."""
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % FOLDS
 
 
-def blocks(docs: DataFrame, column: str, model: str | None = None) -> DataFrame:
-    """The rows in stored blocks of some text each: block, model (the one that scores it, by the column ``model``), body."""
+def blocks(docs: DataFrame, column: str, model: int, name: str = "blocks") -> DataFrame:
+    """The rows in stored blocks of some text each: block, model (the one that scores it), body."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, _ in text.blocks(batches, column, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([wrap(rows)], pa.binary())], names=["body"])
+
+    return stage(docs.mapInArrow(cut, "body binary").select(F.monotonically_increasing_id().alias("block"), F.lit(model).alias("model"), "body"), name)
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """Key and compressed text, for a shuffle."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shrink(x or b"") for x in b.column(1).to_pylist()], pa.binary())], schema=b.schema)
+
+    return docs.mapInArrow(squeeze, docs.schema)
+
+
+def swollen(lessons: DataFrame) -> DataFrame:
+    def swell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            kinds = batch.column(model).to_numpy(zero_copy_only=False) if model else np.full(batch.num_rows, MODELS[-1])
-            for m in np.unique(kinds):
-                own = batch.filter(pa.array(kinds == m)) if model else batch
-                for rows, _, _ in text.blocks(iter([own]), column, BLOCK):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(m)], pa.int32()), pa.array([wrap(rows)], pa.binary())], names=["model", "body"])
+            for b in (batch.slice(at, 128) for at in range(0, batch.num_rows, 128)):
+                yield pa.RecordBatch.from_arrays([pa.array([open_(x) for x in b.column("body").to_pylist()], pa.binary()), b.column("toxic")], names=["text", "toxic"])
+
+    return lessons.select("body", "toxic").mapInArrow(swell, "text binary, toxic int")
 
-    return stage(docs.mapInArrow(cut, "model int, body binary").select(F.monotonically_increasing_id().alias("block"), "model", "body"), "blocks")
 
+def pair_counts(lessons: DataFrame, parts: int) -> DataFrame:
+    """Every bigram of the lessons (model, toxic, body), in packed parts by its hash: part, keys, before, word, rows, stats.
 
-def bigrams(lessons: DataFrame, at: int = 0, slices: int = 1) -> DataFrame:
-    """Counts of each word of a slice after each other: before, word and n{class}{fold}."""
+    ``rows`` counts each bigram in four kinds of lessons, 2 * model + toxic, where lessons of model 0 are in both models. ``stats``
+    has, by model, how many are seen once and twice by ordinary, toxic and all lessons.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = []
+        open_ = zstandard.ZstdDecompressor().decompress
+        waiting: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             before, word, kind = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            order = np.lexsort((kind, before, word))
-            before, word, kind = before[order], word[order], kind[order]
-            at = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (kind[1:] != kind[:-1])]))
-            return pa.RecordBatch.from_arrays([pa.array(text.signed(before[at])), pa.array(text.signed(word[at])), pa.array(kind[at]), pa.array(np.diff(np.append(at, len(word))))], names=["before", "word", "kind", "n"])
+            keys = both(before, word)
+            order = np.argsort(keys, kind="stable")
+            keys, kind = keys[order], kind[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            rows = np.stack([np.add.reduceat((kind == k).astype(np.int64), first) for k in range(4)])
+            keys, order = keys[first], order[first]
+            by, edge = dealt(keys, parts)
+            for p in np.flatnonzero(np.diff(edge)):
+                own = by[edge[p] : edge[p + 1]]
+                values = (keys[own], before[order[own]], word[order[own]], rows[:, own].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([pack(x)], pa.binary()) for x in values)], names=["part", "keys", "before", "word", "rows"])
 
         held = 0
         for batch in batches:
-            for model, body in zip(batch.column("model").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                rows, w = read_block(body, "text")
+            kinds = (2 * batch.column("model").to_numpy() + batch.column("toxic").to_numpy()).astype(np.int64)
+            bodies = batch.column("body")
+            at = 0
+            while at < len(bodies):
+                raw, to = [], at
+                while to < len(bodies) and sum(map(len, raw)) < BLOCK:
+                    raw.append(open_(bodies[to].as_py()))
+                    to += 1
+                w = text.Words(np.frombuffer(b"".join(raw), np.uint8), text.offsets_of(np.array([len(x) for x in raw])), lower=True)
                 word, before, _ = grams(w)
-                if not len(word):
-                    continue
-                toxic = np.repeat(rows.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32), np.diff(w.first))
-                own = word % np.uint64(slices) == at
-                waiting.append([before[own], word[own], (2 * model + toxic)[own].astype(np.int32)])
-                held += int(own.sum())
-                if held >= AT_ONCE:
-                    held = 0
-                    yield flush()
+                for a in range(0, len(word), AT_ONCE):
+                    waiting.append((before[a : a + AT_ONCE], word[a : a + AT_ONCE], np.repeat(kinds[at:to], np.diff(w.first))[a : a + AT_ONCE]))
+                    held += len(waiting[-1][0])
+                    if held >= AT_ONCE:
+                        held = 0
+                        yield from flush()
+                at = to
         if held:
-            yield flush()
+            yield from flush()
+
+    schema = "part long, keys binary, before binary, word binary, rows binary, stats array<long>"
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, before, word = (np.concatenate([unpack(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("keys", "before", "word"))
+        rows = np.concatenate([unpack(x).reshape(4, -1) for x in table.column("rows").to_pylist()], axis=1)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        rows = np.stack([np.add.reduceat(x[order], first) for x in rows])
+        seen = [(of(rows, 0, m), of(rows, 1, m), of(rows, 0, m) + of(rows, 1, m)) for m in MODELS]
+        stats = [int((n == k).sum()) for three in seen for n in three for k in (1, 2)]
+        values = (keys[first], before[order[first]], word[order[first]], rows.ravel())
+        return pa.table({"part": table.column("part")[:1], **{c: pa.array([pack(x)], pa.binary()) for c, x in zip(("keys", "before", "word", "rows"), values, strict=True)}, "stats": pa.array([stats])})
 
-    seen = lessons.select("model", "body").mapInArrow(count, "before long, word long, kind int, n long")
-    return seen.groupBy("before", "word").agg(*[F.sum(F.expr(f"IF(kind = {2 * f + c}, n, 0L)")).alias(f"n{c}{f}") for f in range(len(TEACH)) for c in (0, 1)])
+    counted = lessons.select("model", "toxic", "body").mapInArrow(count, "part long, keys binary, before binary, word binary, rows binary")
+    return stage(counted.groupBy("part").applyInArrow(merge, schema), "pairs")
+
+
+def of(rows: np.ndarray, c: int, m: int) -> np.ndarray:
+    """Counts of a class as model m has them."""
+    return rows[c] + rows[2 + c] if m else rows[c]
+
+
+def word_counts(pairs: DataFrame, parts: int) -> DataFrame:
+    """For each word and model ABOUT_WORD: after how many words it is seen, how often it is followed, and by how many words.
+
+    In packed parts by hash: part, keys, rows, stats (by model and class: the sum of the words it is seen after, and how many words have any, one, two; then the number of words).
+    """
+    wide = len(ABOUT_WORD) * len(MODELS)
 
+    def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], np.stack([np.add.reduceat(x[order], first) for x in rows])
 
-def of(c: int | str, m: int) -> str:
-    """SQL: a bigram's count in a class (or both, if empty) as model m has it."""
-    return "(" + " + ".join(f"n{k}{f}" for f in range(len(TEACH)) if f != m for k in ([c] if c != "" else (0, 1))) + ")"
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for before, word, rows in zip(*(batch.column(c).to_pylist() for c in ("before", "word", "rows")), strict=True):
+                before, word, n = unpack(before, np.uint64), unpack(word, np.uint64), unpack(rows).reshape(4, -1)
+                after, follow = np.zeros((wide, len(word)), np.int64), np.zeros((wide, len(word)), np.int64)
+                for m in MODELS:
+                    at, (n0, n1) = m * len(ABOUT_WORD), (of(n, 0, m), of(n, 1, m))
+                    after[at], after[at + 1] = n0 > 0, n1 > 0
+                    follow[at + 2], follow[at + 3], follow[at + 4], follow[at + 5], follow[at + 6] = n0, n1, n0 > 0, n1 > 0, n0 + n1 > 0
+                keys, values = summed(np.concatenate([word, before]), np.concatenate([after, follow], axis=1))
+                order, edge = dealt(keys, parts)
+                for p in np.flatnonzero(np.diff(edge)):
+                    own = order[edge[p] : edge[p + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([pack(keys[own])], pa.binary()), pa.array([pack(values[:, own].ravel())], pa.binary())], names=["part", "keys", "rows"])
 
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpack(x, np.uint64) for x in table.column("keys").to_pylist()])
+        keys, rows = summed(keys, np.concatenate([unpack(x).reshape(wide, -1) for x in table.column("rows").to_pylist()], axis=1))
+        stats = [int(x) for m in MODELS for n in rows[m * len(ABOUT_WORD) : m * len(ABOUT_WORD) + 2] for x in (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())]
+        return pa.table({"part": table.column("part")[:1], "keys": pa.array([pack(keys)], pa.binary()), "rows": pa.array([pack(rows.ravel())], pa.binary()), "stats": pa.array([[*stats, len(keys)]])})
 
-def words(pairs: DataFrame) -> DataFrame:
-    """For each word and model: after how many words it is seen, how often it is followed, and by how many words."""
-    after = pairs.groupBy(F.col("word").alias("key")).agg(*[F.expr(f"count_if({of(c, m)} > 0)").alias(f"after{c}_{m}") for m in MODELS for c in (0, 1)])
-    follow = [F.expr(f"sum({of(c, m)})").alias(f"all{c}_{m}") for m in MODELS for c in (0, 1)]
-    follow += [F.expr(f"count_if({of(c, m)} > 0)").alias(f"kinds{c}_{m}") for m in MODELS for c in (0, 1, "")]
-    full = after.join(pairs.groupBy(F.col("before").alias("key")).agg(*follow), "key", "full")
-    return stage(full.na.fill(0), "words")
+    shares = pairs.select("before", "word", "rows").mapInArrow(share, "part long, keys binary, rows binary")
+    return stage(shares.groupBy("part").applyInArrow(merge, "part long, keys binary, rows binary, stats array<long>"), "words")
 
 
 @dataclass(frozen=True)
@@ -176,9 +247,11 @@ class Sizes:
 
 
 def sizes(pairs: DataFrame, table: DataFrame) -> dict[int, Sizes]:
-    asked = [F.expr(x) for m in MODELS for c in (0, 1) for x in (f"sum(after{c}_{m})", f"count_if(after{c}_{m} > 0)", f"count_if(after{c}_{m} = 1)", f"count_if(after{c}_{m} = 2)")]
-    of_words = [x or 0 for x in table.agg(*asked, F.count("*")).first()]
-    of_pairs = [x or 0 for x in pairs.agg(*[F.expr(f"count_if({of(c, m)} = {n})") for m in MODELS for c in (0, 1, "") for n in (1, 2)]).first()]
+    def total(of: DataFrame, n: int) -> list[int]:
+        sums = {r[0]: r[1] for r in of.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect()}
+        return [sums.get(i, 0) for i in range(n)]
+
+    of_words, of_pairs = total(table, 8 * len(MODELS) + 1), total(pairs, 6 * len(MODELS))
 
     def discount(n1: int, n2: int) -> float:
         return (n1 + 1) / (n1 + 2 * n2 + 2)
@@ -191,23 +264,6 @@ def sizes(pairs: DataFrame, table: DataFrame) -> dict[int, Sizes]:
     return out
 
 
-def packed(table: DataFrame, key, columns: list[str], parts: int, shift: int) -> DataFrame:
-    """A table in packed parts: part, keys, rows. ``shift`` parts words from bigrams."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = key(batch)
-            order = np.argsort(keys)
-            keys = keys[order]
-            values = np.column_stack([batch.column(c).to_numpy() for c in columns]).astype(np.int64)[order]
-            order, edge = dealt(keys, parts)
-            for p in np.flatnonzero(np.diff(edge)):
-                own = order[edge[p] : edge[p + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([2 * p + shift]), pa.array([pack(keys[own])], pa.binary()), pa.array([pack(values[own].T.ravel())], pa.binary())], names=["part", "keys", "rows"])
-
-    return table.mapInArrow(wrapped, "part long, keys binary, rows binary")
-
-
 def asked(w: text.Words) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]:
     """The hashes of a block, and its distinct words and bigrams."""
     word, before, pair = grams(w)
@@ -269,7 +325,7 @@ def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int,
     def answer(table: pa.Table, questions: pa.Table) -> pa.Table:
         part = questions.column("part")[0].as_py() if questions.num_rows else 0
         names = ABOUT_PAIR if part % 2 else ABOUT_WORD
-        wide = 2 * len(TEACH) if part % 2 else len(ABOUT_WORD) * len(MODELS)
+        wide = 4 if part % 2 else len(ABOUT_WORD) * len(MODELS)
         keys = [unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
         rows = [unpack(x).reshape(wide, -1) for x in table.column("rows").to_pylist()] if questions.num_rows else []
         own, values = np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.uint64), np.concatenate([*rows, np.zeros((wide, 0), np.int64)], axis=1)
@@ -284,7 +340,7 @@ def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int,
                 hit = own[at] == wanted
                 if part % 2:
                     for c in (0, 1):
-                        out[c, hit] = sum(values[2 * f + c, at[hit]] for f in range(len(TEACH)) if f != model)
+                        out[c, hit] = of(values, c, model)[at[hit]]
                 else:
                     out[:, hit] = values[len(names) * model : len(names) * (model + 1), at[hit]]
             found.append(pack(out.ravel()))
@@ -324,28 +380,20 @@ class Curve:
         return ["mean_word", "mean_pair", f"top_word_{self.passage}", f"top_pair_{self.passage}", "ln(1 + words)", "1D"]
 
 
-def logistic(lessons: DataFrame, passage: int, n0: int, n1: int) -> tuple[float, Curve]:
-    """Loss and weights of the likeliest curve, each class smoothed by one document (Newton's steps on sums over all rows)."""
-    weights = np.zeros(6)
-    weights[5] = math.log((n1 + 1) / (n0 + 1))
-    curve, low, high = Curve(passage), 1 / (n0 + 2), (n1 + 1) / (n1 + 2)
-    names = curve.inputs()
-    rows = lessons.selectExpr(*[f"{x} AS x{i}" for i, x in enumerate(names)], f"IF(toxic > 0, {high}D, {low}D) AS y")
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        z = "greatest(-30D, least(30D, " + " + ".join(f"({float(v)!r}D * x{i})" for i, v in enumerate(w)) + "))"
-        p = rows.withColumn("z", F.expr(z)).withColumn("p", F.expr("1 / (1 + exp(-z))"))
-        out = p.agg(
-            F.expr("sum(log1p(exp(z)) - y * z)"), *[F.expr(f"sum((y - p) * x{i})") for i in range(6)],
-            *[F.expr(f"sum(p * (1 - p) * x{i} * x{j})") for i in range(6) for j in range(i, 6)],
-        ).first()
-        hessian = np.zeros((6, 6))
-        hessian[np.triu_indices(6)] = out[7:]
-        return out[0], np.array(out[1:7]), hessian + np.triu(hessian, 1).T
-
-    now, gradient, hessian = loss(weights)
+def logistic(x: np.ndarray, toxic: np.ndarray, passage: int) -> tuple[float, Curve]:
+    """Loss and weights of the likeliest curve, each class smoothed by one document (Newton's steps)."""
+    n1 = int(toxic.sum())
+    n0, weights = len(toxic) - n1, np.zeros(x.shape[1])
+    weights[-1] = math.log((n1 + 1) / (n0 + 1))
+    y = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.clip(x @ w, -30, 30)
+        return float((np.log1p(np.exp(z)) - y * z).sum()), 1 / (1 + np.exp(-z))
+
+    now, p = loss(weights)
     for _ in range(20):
-        step = np.linalg.solve(hessian + 1e-3 * np.eye(6), gradient - 1e-3 * weights)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(weights)), x.T @ (y - p) - 1e-3 * weights)
         for _ in range(4):
             then = loss(weights + step)
             if then[0] <= now:
@@ -353,12 +401,27 @@ def logistic(lessons: DataFrame, passage: int, n0: int, n1: int) -> tuple[float,
             step = step / 4
         if then[0] > now:
             break
-        gain, weights, (now, gradient, hessian) = now - then[0], weights + step, then
+        gain, weights, (now, p) = now - then[0], weights + step, then
         if gain < 1e-4 * (1 + now):
             break
     return now, Curve(passage, tuple(weights.tolist()))
 
 
+def fitted(seen: DataFrame) -> Curve:
+    """The likeliest curve of all lengths of passages, of scored documents (NAMES, words, toxic), of which at most CURVE_ROWS are taken, by hash."""
+    rows = seen.where("words > 0").select("words", "toxic", *NAMES).orderBy(F.xxhash64("words", *NAMES), "toxic").limit(CURVE_ROWS).toPandas()
+    toxic = rows["toxic"].to_numpy(np.int64)
+    n1 = int(toxic.sum())
+    if not 0 < n1 < len(toxic):
+        return Curve(weights=(*[0.0] * 5, math.log((n1 + 1) / (len(toxic) - n1 + 1))))
+    same = [rows["mean_word"], rows["mean_pair"], np.log1p(rows["words"]), np.ones(len(rows))]
+
+    def inputs(n: int) -> np.ndarray:
+        return np.column_stack([*same[:2], rows[f"top_word_{n}"], rows[f"top_pair_{n}"], *same[2:]]).astype(np.float64)
+
+    return min((logistic(inputs(n), toxic, n) for n in PASSAGES), key=lambda x: x[0])[1]
+
+
 def judged(docs: DataFrame, labels: DataFrame, key: str, column: str, label: str = "toxic") -> DataFrame:
     """For each document its key, print (xxhash64 of its bytes), score, and log-ratios.
 
@@ -372,58 +435,24 @@ def judged(docs: DataFrame, labels: DataFrame, key: str, column: str, label: str
 
 def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, column: str, label: str) -> DataFrame:
     truth = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_k")).agg((F.max(F.col(f"`{label}`")) > 0).cast("int").alias("toxic"))
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shrink = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shrink(x or b"") for x in b.column(1).to_pylist()], pa.binary())], schema=b.schema)
-
-    def swell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([open_(x) for x in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["model", "text", "toxic"])
-
-    teach = text.keyed(docs, key, column).where(fold(key) != HELD_OUT_FOLD)
     # labels have no size bound, so they are never broadcast
-    small = teach.mapInArrow(squeeze, teach.schema).join(truth.hint("merge"), F.col(key) == F.col("_k"))
-    number = F.expr("CAST(" + f"array_position(array({', '.join(map(str, TEACH))}), CAST(_f AS INT)) - 1 AS INT)")
-    small = small.withColumn("_f", fold(key)).select(number.alias("model"), "text", "toxic")
-    lessons = blocks(small.mapInArrow(swell, "model int, text binary, toxic int"), "text", "model")
-    sweep(spark)
-    with only_last_stays(spark):
-        counted = []
-        for at in range(SLICES):
-            counted.append(stage(bigrams(lessons, at, SLICES), "bigrams"))
-            sweep(spark)
-        pairs = functools.reduce(DataFrame.unionByName, counted)
-        table = words(pairs)
-        sweep(spark)
-        known = sizes(pairs, table)
-        parts = 1 + max(pairs.count(), table.count()) // PART
-        of_word = [f"{x}_{m}" for m in MODELS for x in ABOUT_WORD]
-        of_pair = [f"n{c}{f}" for f in range(len(TEACH)) for c in (0, 1)]
-
-        def word_key(batch: pa.RecordBatch) -> np.ndarray:
-            return batch.column("key").to_numpy().view(np.uint64)
-
-        def pair_key(batch: pa.RecordBatch) -> np.ndarray:
-            return both(batch.column("before").to_numpy().view(np.uint64), batch.column("word").to_numpy().view(np.uint64))
-
-        stored = stage(packed(table, word_key, of_word, parts, 0).unionByName(packed(pairs, pair_key, of_pair, parts, 1)), "counts")
-    sweep(spark)
-    seen = measured(lessons, stored, parts, known, "text", {"toxic": "int"})
-    n0, n1 = (x or 0 for x in seen.where("words > 0").agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).first())
-    best = Curve(weights=(*[0.0] * 5, math.log((n1 + 1) / (n0 + 1))))
-    if n0 and n1:
-        best = min((logistic(seen.where("words > 0"), n, n0, n1) for n in PASSAGES), key=lambda x: x[0])[1]
+    taught = squeezed(docs.where(fold(key) != HELD_OUT_FOLD)).join(truth.hint("merge"), F.col(key) == F.col("_k"))
+    last = (fold(key) == CURVE_FOLD).cast("int")
+    lessons = stage(taught.select(last.alias("model"), "toxic", F.col(column).alias("body")), "lessons")
+    size, n_curve = lessons.agg(F.sum(F.octet_length("body")), F.count_if(F.col("model") == 1)).first()
+    parts = 1 + (size or 0) // PART
+    pairs = pair_counts(lessons, parts)
+    table = word_counts(pairs, parts)
+    known = sizes(pairs, table)
+    both_ = table.select((2 * F.col("part")).alias("part"), "keys", "rows").unionByName(pairs.select((2 * F.col("part") + 1).alias("part"), "keys", "rows"))
+    share = min(1.0, CURVE_ROWS / max(n_curve, 1))
+    some = lessons.where("model = 1").where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    best = fitted(measured(blocks(swollen(some), "text", 0), both_, parts, known, "text", {"toxic": "int"}))
     kind, found = docs.select(f"`{key}`").schema[0].dataType.simpleString(), []
     for at in range(SLICES):
-        sweep(spark)
         with only_last_stays(spark):
-            own = blocks(docs.where(F.pmod(F.xxhash64(key, "text"), F.lit(SLICES)) == at).withColumn("print", F.xxhash64("text")), "text")
-            found.append(measured(own, stored, parts, known, "text", {key: kind, "print": "long"}))
+            own = blocks(docs.where(F.pmod(F.xxhash64(key, "text"), F.lit(SLICES)) == at).withColumn("print", F.xxhash64("text")), "text", 1)
+            found.append(measured(own, both_, parts, known, "text", {key: kind, "print": "long"}))
     raw = " + ".join(f"({w!r}D * {x})" for w, x in zip(best.weights, best.inputs(), strict=True))
     out = functools.reduce(DataFrame.unionByName, found).withColumn("raw", F.col(f"top_pair_{best.passage}"))
     out = out.withColumn("score", F.expr(f"IF(words = 0, 0D, 1 / (1 + exp(-({raw}))))"))
