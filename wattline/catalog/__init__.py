@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "panel_queries", "feature_queries", "news_queries", "score_queries", "risk_queries", "file_queries", "stream_queries",
+    "scale_queries",
 ]
 
 
