@@ -32,14 +32,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wattline.lineage import only_last_stays, stage
 from wattline.llm import text
 
-PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 19, 1 << 20, 1 << 19, 4
+PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 19, 1 << 20, 1 << 20, 4
 HELD_OUT_FOLD, CURVE_FOLD, FOLDS = 2, 3, 4
 #: Models by number: the first is counted without the fold that fits the curve, the second with all that may teach.
 MODELS = (0, 1)
 CURVE_ROWS = 20_000
 START = np.uint64(0x5D9F3B7A6C1E8427)
 #: Log-ratios per word of a text: by words and by bigrams, of the whole and of the most toxic passage of each length.
-NAMES = ("mean_word", "mean_pair", *(f"{x}_{n}" for n in PASSAGES for x in ("top_word", "top_pair")))
+def names_of(passages: tuple[int, ...]) -> list[str]:
+    return ["mean_word", "mean_pair", *(f"{x}_{n}" for n in passages for x in ("top_word", "top_pair"))]
+
+
 #: What a word is asked for (its own chances, then those of what follows it) and what a bigram is.
 ABOUT_WORD, ABOUT_PAIR = ("after0", "after1", "all0", "all1", "kinds0", "kinds1", "kinds"), ("n0", "n1")
 
@@ -126,11 +129,19 @@ def swollen(lessons: DataFrame) -> DataFrame:
     return lessons.select("body", "toxic").mapInArrow(swell, "text binary, toxic int")
 
 
-def pair_counts(lessons: DataFrame, parts: int) -> DataFrame:
-    """Every bigram of the lessons (model, toxic, body), in packed parts by its hash: part, keys, before, word, rows, stats.
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys, and where each distinct one begins in it."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+
+
+def pair_counts(lessons: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """Every bigram of the lessons (model, toxic, body) in packed parts by its hash, and what they add to their words.
 
-    ``rows`` counts each bigram in four kinds of lessons, 2 * model + toxic, where lessons of model 0 are in both models. ``stats``
-    has, by model, how many are seen once and twice by ordinary, toxic and all lessons.
+    ``kind`` 0: part, keys, and in ``rows`` how often each bigram is in four kinds of lessons, 2 * model + toxic, where lessons of model
+    0 are in both models. ``stats`` has, by model, how many are seen once and twice by ordinary, toxic and all lessons. ``kind`` 1: the part's share of
+    ``word_counts``, by parts of words. ``parts`` are the numbers of parts of words and of bigrams.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,16 +152,16 @@ def pair_counts(lessons: DataFrame, parts: int) -> DataFrame:
             before, word, kind = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
             keys = both(before, word)
-            order = np.argsort(keys, kind="stable")
-            keys, kind = keys[order], kind[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            order, first = grouped(keys)
+            kind = kind[order]
             rows = np.stack([np.add.reduceat((kind == k).astype(np.int64), first) for k in range(4)])
-            keys, order = keys[first], order[first]
-            by, edge = dealt(keys, parts)
+            at = order[first]
+            by, edge = dealt(keys[at], parts[1])
             for p in np.flatnonzero(np.diff(edge)):
                 own = by[edge[p] : edge[p + 1]]
-                values = (keys[own], before[order[own]], word[order[own]], rows[:, own].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([pack(x)], pa.binary()) for x in values)], names=["part", "keys", "before", "word", "rows"])
+                own = own[np.argsort(word[at[own]], kind="stable")]  # in order of words, which packs them closer
+                values = (np.diff(word[at[own]], prepend=np.uint64(0)), before[at[own]], rows[:, own].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([pack(x)], pa.binary()) for x in values)], names=["part", "word", "before", "rows"])
 
         held = 0
         for batch in batches:
@@ -158,14 +169,16 @@ def pair_counts(lessons: DataFrame, parts: int) -> DataFrame:
             bodies = batch.column("body")
             at = 0
             while at < len(bodies):
-                raw, to = [], at
-                while to < len(bodies) and sum(map(len, raw)) < BLOCK:
+                raw, to, size = [], at, 0
+                while to < len(bodies) and size < BLOCK:
                     raw.append(open_(bodies[to].as_py()))
+                    size += len(raw[-1])
                     to += 1
                 w = text.Words(np.frombuffer(b"".join(raw), np.uint8), text.offsets_of(np.array([len(x) for x in raw])), lower=True)
                 word, before, _ = grams(w)
+                own = np.repeat(kinds[at:to], np.diff(w.first))
                 for a in range(0, len(word), AT_ONCE):
-                    waiting.append((before[a : a + AT_ONCE], word[a : a + AT_ONCE], np.repeat(kinds[at:to], np.diff(w.first))[a : a + AT_ONCE]))
+                    waiting.append((before[a : a + AT_ONCE], word[a : a + AT_ONCE], own[a : a + AT_ONCE]))
                     held += len(waiting[-1][0])
                     if held >= AT_ONCE:
                         held = 0
@@ -174,21 +187,31 @@ def pair_counts(lessons: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from flush()
 
-    schema = "part long, keys binary, before binary, word binary, rows binary, stats array<long>"
+    schema = "kind int, part long, keys binary, rows binary, stats array<long>"
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, before, word = (np.concatenate([unpack(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("keys", "before", "word"))
+        word = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("word").to_pylist()])
+        before = np.concatenate([unpack(x, np.uint64) for x in table.column("before").to_pylist()])
         rows = np.concatenate([unpack(x).reshape(4, -1) for x in table.column("rows").to_pylist()], axis=1)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        rows = np.stack([np.add.reduceat(x[order], first) for x in rows])
+        keys = both(before, word)
+        order, first = grouped(keys)
+        rows, at = np.stack([np.add.reduceat(x[order], first) for x in rows]), order[first]
+        keys, before, word = keys[at], before[at], word[at]
         seen = [(of(rows, 0, m), of(rows, 1, m), of(rows, 0, m) + of(rows, 1, m)) for m in MODELS]
         stats = [int((n == k).sum()) for three in seen for n in three for k in (1, 2)]
-        values = (keys[first], before[order[first]], word[order[first]], rows.ravel())
-        return pa.table({"part": table.column("part")[:1], **{c: pa.array([pack(x)], pa.binary()) for c, x in zip(("keys", "before", "word", "rows"), values, strict=True)}, "stats": pa.array([stats])})
-
-    counted = lessons.select("model", "toxic", "body").mapInArrow(count, "part long, keys binary, before binary, word binary, rows binary")
+        after, follow = ([np.zeros(len(word), np.int64)] * (len(ABOUT_WORD) * len(MODELS)) for _ in range(2))
+        for m, (n0, n1, n) in zip(MODELS, seen, strict=True):
+            i = m * len(ABOUT_WORD)
+            after[i : i + 2] = n0 > 0, n1 > 0
+            follow[i + 2 : i + 7] = n0, n1, n0 > 0, n1 > 0, n > 0
+        of_word, about = summed(np.concatenate([word, before]), [np.concatenate(x) for x in zip(after, follow, strict=True)])
+        by, edge = dealt(of_word, parts[0])
+        shares = [(1, p, of_word[own], about[:, own], None) for p in np.flatnonzero(np.diff(edge)) for own in [by[edge[p] : edge[p + 1]]]]
+        out = [(0, table.column("part")[0].as_py(), keys, rows, stats), *shares]
+        kind, part, k, r, s = zip(*out, strict=True)
+        return pa.table([pa.array(kind, pa.int32()), pa.array(part, pa.int64()), pa.array([pack(x) for x in k], pa.binary()), pa.array([pack(x.ravel()) for x in r], pa.binary()), pa.array(s, pa.list_(pa.int64()))], names=["kind", "part", "keys", "rows", "stats"])
+
+    counted = lessons.select("model", "toxic", "body").mapInArrow(count, "part long, word binary, before binary, rows binary")
     return stage(counted.groupBy("part").applyInArrow(merge, schema), "pairs")
 
 
@@ -197,41 +220,26 @@ def of(rows: np.ndarray, c: int, m: int) -> np.ndarray:
     return rows[c] + rows[2 + c] if m else rows[c]
 
 
-def word_counts(pairs: DataFrame, parts: int) -> DataFrame:
+def summed(keys: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their rows."""
+    order, first = grouped(keys)
+    return keys[order[first]], np.stack([np.add.reduceat(x[order].astype(np.int64), first) for x in rows])
+
+
+def word_counts(pairs: DataFrame) -> DataFrame:
     """For each word and model ABOUT_WORD: after how many words it is seen, how often it is followed, and by how many words.
 
     In packed parts by hash: part, keys, rows, stats (by model and class: the sum of the words it is seen after, and how many words have any, one, two; then the number of words).
     """
     wide = len(ABOUT_WORD) * len(MODELS)
 
-    def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[first], np.stack([np.add.reduceat(x[order], first) for x in rows])
-
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for before, word, rows in zip(*(batch.column(c).to_pylist() for c in ("before", "word", "rows")), strict=True):
-                before, word, n = unpack(before, np.uint64), unpack(word, np.uint64), unpack(rows).reshape(4, -1)
-                after, follow = np.zeros((wide, len(word)), np.int64), np.zeros((wide, len(word)), np.int64)
-                for m in MODELS:
-                    at, (n0, n1) = m * len(ABOUT_WORD), (of(n, 0, m), of(n, 1, m))
-                    after[at], after[at + 1] = n0 > 0, n1 > 0
-                    follow[at + 2], follow[at + 3], follow[at + 4], follow[at + 5], follow[at + 6] = n0, n1, n0 > 0, n1 > 0, n0 + n1 > 0
-                keys, values = summed(np.concatenate([word, before]), np.concatenate([after, follow], axis=1))
-                order, edge = dealt(keys, parts)
-                for p in np.flatnonzero(np.diff(edge)):
-                    own = order[edge[p] : edge[p + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([pack(keys[own])], pa.binary()), pa.array([pack(values[:, own].ravel())], pa.binary())], names=["part", "keys", "rows"])
-
     def merge(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x, np.uint64) for x in table.column("keys").to_pylist()])
         keys, rows = summed(keys, np.concatenate([unpack(x).reshape(wide, -1) for x in table.column("rows").to_pylist()], axis=1))
         stats = [int(x) for m in MODELS for n in rows[m * len(ABOUT_WORD) : m * len(ABOUT_WORD) + 2] for x in (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())]
         return pa.table({"part": table.column("part")[:1], "keys": pa.array([pack(keys)], pa.binary()), "rows": pa.array([pack(rows.ravel())], pa.binary()), "stats": pa.array([[*stats, len(keys)]])})
 
-    shares = pairs.select("before", "word", "rows").mapInArrow(share, "part long, keys binary, rows binary")
+    shares = pairs.where("kind = 1").select("part", "keys", "rows")
     return stage(shares.groupBy("part").applyInArrow(merge, "part long, keys binary, rows binary, stats array<long>"), "words")
 
 
@@ -265,19 +273,26 @@ def sizes(pairs: DataFrame, table: DataFrame) -> dict[int, Sizes]:
 
 
 def asked(w: text.Words) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]:
-    """The hashes of a block, and its distinct words and bigrams."""
-    word, before, pair = grams(w)
-    return (word, before, pair), [np.unique(np.append(word, START)), np.unique(pair)]
+    """The words of a block, and its distinct words and bigrams.
+
+    Of each word the number of its bigram; of each bigram the numbers of its word and of the word before, all among the distinct ones.
+    """
+    word, _, pair = grams(w)
+    words, of_word = np.unique(np.append(word, START), return_inverse=True)
+    before = np.append(of_word[-1:], of_word[:-2])[: len(word)]
+    before[w.first[:-1][w.first[:-1] < len(word)]] = of_word[-1]
+    pairs, first, of_pair = np.unique(pair, return_index=True, return_inverse=True)
+    return (of_pair, of_word[:-1][first], before[first]), [words, pairs]
 
 
-def ratios(size: Sizes, hashes: tuple[np.ndarray, np.ndarray, np.ndarray], keys: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
-    """The log-likelihood ratio of each word, by words alone and by bigrams."""
-    word, before, pair = (np.searchsorted(own, x) for own, x in ((keys[0], hashes[0]), (keys[0], hashes[1]), (keys[1], hashes[2])))
+def ratios(size: Sizes, numbers: tuple[np.ndarray, np.ndarray, np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    """The log-likelihood ratio of each word, by words alone and by bigrams; worked out once for each bigram."""
+    pair, word, before = numbers
     about, n = values[0].astype(np.float64), values[1].astype(np.float64)
 
     def over(base: np.ndarray, n: np.ndarray, everything: np.ndarray, kinds: np.ndarray, discount: float) -> np.ndarray:
         rest = np.where(everything > 0, discount * kinds / np.maximum(everything, 1), 1.0)
-        return np.maximum(n - discount, 0)[pair] / np.maximum(everything, 1)[before] + rest[before] * base
+        return np.maximum(n - discount, 0) / np.maximum(everything, 1)[before] + rest[before] * base
 
     alone, after = [], []
     for c in (0, 1):
@@ -286,29 +301,29 @@ def ratios(size: Sizes, hashes: tuple[np.ndarray, np.ndarray, np.ndarray], keys:
         alone.append((np.maximum(about[c] - size.word_discount[c], 0) / max(total, 1) + rest / size.known)[word])
         shared = over(alone[c], n[0] + n[1], about[2] + about[3], about[6], size.discount[2])
         after.append(over(shared, n[c], about[2 + c], about[4 + c], size.discount[c]))
-    return [np.log(x[1] / x[0]) for x in (alone, after)]
+    return [np.log(x[1] / x[0])[pair] for x in (alone, after)]
 
 
-def features(w: text.Words, values: list[np.ndarray]) -> list[np.ndarray]:
-    """Words of each text and its NAMES; a text shorter than a passage is one."""
+def features(w: text.Words, values: list[np.ndarray], passages: tuple[int, ...] = PASSAGES) -> list[np.ndarray]:
+    """Words of each text, means and tops of passages; a text shorter than a passage is one."""
     n = np.diff(w.first)
     sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in values]
     means = [(s[w.first[1:]] - s[w.first[:-1]]) / np.maximum(n, 1) for s in sums]
     tops = []
-    for length in PASSAGES:
+    for length in passages:
         long = np.flatnonzero(n >= length)
         # the passages of a text are those that start at its words but for the last few
         edges = np.column_stack([w.first[:-1][long], w.first[1:][long] - length + 1]).ravel()
         for s, mean in zip(sums, means, strict=True):
             top = mean.copy()
             if len(long):
-                passages = (s[length:] - s[:-length]) / length
-                top[long] = np.maximum.reduceat(np.append(passages, -np.inf), np.minimum(edges, len(passages)))[::2]
+                found = (s[length:] - s[:-length]) / length
+                top[long] = np.maximum.reduceat(np.append(found, -np.inf), np.minimum(edges, len(found)))[::2]
             tops.append(top)
     return [n, *means, *tops]
 
 
-def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int, Sizes], column: str, carry: dict[str, str]) -> DataFrame:
+def measured(of_docs: DataFrame, stored: DataFrame, parts: tuple[int, int], known: dict[int, Sizes], column: str, carry: dict[str, str], passages: tuple[int, ...] = PASSAGES) -> DataFrame:
     """Of every row of the blocks: the columns ``carry`` (with their types), words, mean and top ratios."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +332,7 @@ def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int,
                 _, keys_of = asked(read_block(body, column)[1])
                 out: list[tuple] = []
                 for shift, keys in enumerate(keys_of):
-                    order, edge = dealt(keys, parts)
+                    order, edge = dealt(keys, parts[shift])
                     out += [(2 * p + shift, block, model, pack(np.diff(keys[order[edge[p] : edge[p + 1]]], prepend=np.uint64(0)))) for p in np.flatnonzero(np.diff(edge))]
                 part, of_block, by, keys = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(of_block, pa.int64()), pa.array(by, pa.int32()), pa.array(keys, pa.binary())], names=["part", "block", "model", "keys"])
@@ -351,18 +366,18 @@ def measured(of_docs: DataFrame, stored: DataFrame, parts: int, known: dict[int,
         found = dict(zip(answers.column("part").to_pylist(), answers.column("found").to_pylist(), strict=True))
         for model, body in zip(of_block.column("model").to_pylist(), of_block.column("body").to_pylist(), strict=True):
             rows, w = read_block(body, column)
-            hashes, keys_of = asked(w)
+            numbers, keys_of = asked(w)
             values = []
             for shift, (keys, names) in enumerate(zip(keys_of, (ABOUT_WORD, ABOUT_PAIR), strict=True)):
-                order, edge = dealt(keys, parts)
+                order, edge = dealt(keys, parts[shift])
                 values.append(np.zeros((len(names), len(keys)), np.int64))
                 for p in np.flatnonzero(np.diff(edge)):
                     values[-1][:, order[edge[p] : edge[p + 1]]] = unpack(found[2 * p + shift]).reshape(len(names), -1)
-            scores = features(w, ratios(known[model], hashes, keys_of, values))
+            scores = features(w, ratios(known[model], numbers, values), passages)
             results.append(pa.table([*(rows.column(c).cast(out_schema.field(c).type) for c in carry), *(pa.array(x) for x in scores)], schema=out_schema))
         return pa.concat_tables(results) if results else out_schema.empty_table()
 
-    schema = "".join(f"`{c}` {kind}, " for c, kind in carry.items()) + "words long, " + ", ".join(f"{x} double" for x in NAMES)
+    schema = "".join(f"`{c}` {kind}, " for c, kind in carry.items()) + "words long, " + ", ".join(f"{x} double" for x in names_of(passages))
     out_schema = to_arrow_schema(of_docs.sparkSession.createDataFrame([], schema).schema)
     questions = of_docs.mapInArrow(ask, "part long, block long, model int, keys binary")
     answers = stored.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(answer, "block long, part long, found binary")
@@ -408,8 +423,8 @@ def logistic(x: np.ndarray, toxic: np.ndarray, passage: int) -> tuple[float, Cur
 
 
 def fitted(seen: DataFrame) -> Curve:
-    """The likeliest curve of all lengths of passages, of scored documents (NAMES, words, toxic), of which at most CURVE_ROWS are taken, by hash."""
-    rows = seen.where("words > 0").select("words", "toxic", *NAMES).orderBy(F.xxhash64("words", *NAMES), "toxic").limit(CURVE_ROWS).toPandas()
+    """The likeliest curve of all lengths of passages, of scored documents (words, toxic, names_of(PASSAGES)), of which at most CURVE_ROWS are taken, by hash."""
+    rows = seen.where("words > 0").select("words", "toxic", *names_of(PASSAGES)).orderBy(F.xxhash64("words", *names_of(PASSAGES)), "toxic").limit(CURVE_ROWS).toPandas()
     toxic = rows["toxic"].to_numpy(np.int64)
     n1 = int(toxic.sum())
     if not 0 < n1 < len(toxic):
@@ -440,11 +455,11 @@ def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, c
     last = (fold(key) == CURVE_FOLD).cast("int")
     lessons = stage(taught.select(last.alias("model"), "toxic", F.col(column).alias("body")), "lessons")
     size, n_curve = lessons.agg(F.sum(F.octet_length("body")), F.count_if(F.col("model") == 1)).first()
-    parts = 1 + (size or 0) // PART
+    parts = (1 + (size or 0) // (2 * PART), 1 + (size or 0) // PART)
     pairs = pair_counts(lessons, parts)
-    table = word_counts(pairs, parts)
+    table = word_counts(pairs)
     known = sizes(pairs, table)
-    both_ = table.select((2 * F.col("part")).alias("part"), "keys", "rows").unionByName(pairs.select((2 * F.col("part") + 1).alias("part"), "keys", "rows"))
+    both_ = table.select((2 * F.col("part")).alias("part"), "keys", "rows").unionByName(pairs.where("kind = 0").select((2 * F.col("part") + 1).alias("part"), "keys", "rows"))
     share = min(1.0, CURVE_ROWS / max(n_curve, 1))
     some = lessons.where("model = 1").where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < int(share * (1 << 20)))
     best = fitted(measured(blocks(swollen(some), "text", 0), both_, parts, known, "text", {"toxic": "int"}))
@@ -452,7 +467,7 @@ def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, c
     for at in range(SLICES):
         with only_last_stays(spark):
             own = blocks(docs.where(F.pmod(F.xxhash64(key, "text"), F.lit(SLICES)) == at).withColumn("print", F.xxhash64("text")), "text", 1)
-            found.append(measured(own, both_, parts, known, "text", {key: kind, "print": "long"}))
+            found.append(measured(own, both_, parts, known, "text", {key: kind, "print": "long"}, (best.passage,)))
     raw = " + ".join(f"({w!r}D * {x})" for w, x in zip(best.weights, best.inputs(), strict=True))
     out = functools.reduce(DataFrame.unionByName, found).withColumn("raw", F.col(f"top_pair_{best.passage}"))
     out = out.withColumn("score", F.expr(f"IF(words = 0, 0D, 1 / (1 + exp(-({raw}))))"))
