@@ -177,3 +177,19 @@ def test_peak_profile_and_forecast_bands_are_ordered(make):
     rows = [(f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00", "A", 100.0 + (h * 13) % 37) for h in range(24 * 20)]
     f = forecast.forecast(make(rows, "period string, ba_code string, demand_mw double"), "2024-01-15")
     assert f.count() == 24 * 6 and f.where("q02 > q50 OR q50 > q98").count() == 0
+
+
+def test_samples_keep_missing_hours_in_their_slots(make):
+    from wattline.operators import prep
+
+    rows = [("2024-01-01 00:00", "A", 1.0), ("2024-01-01 01:00", "A", 2.0), ("2024-01-01 02:00", "A", None), ("2024-01-01 03:00", "A", 4.0), ("2024-01-01 05:00", "A", 6.0), ("2024-02-01 00:00", "A", 7.0), ("2024-02-01 01:00", "A", 8.0)]
+    d = make(rows, "period string, ba_code string, demand_mw double")
+    plain = {str(r.period)[5:16]: (r.history, r.future) for r in prep.make_samples(d, 4, 1, min_enc=1).collect()}
+    assert plain["01-01 03:00"] == ([1.0, 2.0, None, 4.0], [6.0]) and plain["01-01 01:00"] == ([1.0, 2.0], [None])
+    found = {str(r.period)[5:16]: r for r in prep.hour_samples(d, 4, 3, min_enc=1).collect()}
+    slots = {k: (r.history, r.future) for k, r in found.items()}
+    assert slots == {
+        "01-01 00:00": ([None, None, None, 1.0], [2.0, None, 4.0]), "01-01 01:00": ([None, None, 1.0, 2.0], [None, 4.0, None]), "01-01 02:00": ([None, 1.0, 2.0, None], [4.0, None, 6.0]),
+        "01-01 03:00": ([1.0, 2.0, None, 4.0], [None, 6.0, None]), "02-01 00:00": ([None, None, None, 7.0], [8.0, None, None]),
+    }
+    assert all(r.history_mask == [x is not None for x in r.history] and r.future_mask == [x is not None for x in r.future] for r in found.values())

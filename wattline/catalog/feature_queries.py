@@ -361,6 +361,38 @@ def _(t):
     )
 
 
+@query(
+    "hour_samples",
+    """SELECT period, ba_code, n_history, n_future, sum_history, sum_future, at_history, at_future FROM (
+         SELECT period, ba_code, count(v) OVER h AS n_history, count(v) OVER f AS n_future, sum(v) OVER h AS sum_history, sum(v) OVER f AS sum_future,
+                sum(v * hour_no) OVER h - (hour_no - 167) * sum(v) OVER h AS at_history, sum(v * hour_no) OVER f - (hour_no + 1) * sum(v) OVER f AS at_future
+         FROM (SELECT period, ba_code, CASE WHEN hour(period) % 5 <> 0 THEN demand_mw END AS v, date_diff('hour', TIMESTAMP '2024-01-01', period) AS hour_no FROM demand WHERE hour(period) % 7 <> 3)
+         WINDOW h AS (PARTITION BY ba_code ORDER BY period RANGE BETWEEN INTERVAL 167 HOUR PRECEDING AND CURRENT ROW),
+                f AS (PARTITION BY ba_code ORDER BY period RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND INTERVAL 24 HOUR FOLLOWING))
+       WHERE n_history >= 60 AND n_future >= 1""",
+    "sum_history sum_future at_history at_future",
+    digits=2,
+)
+def _(t):
+    # some hours are missing and others have no value
+    d = b.demand(t).where(F.hour("period") % 7 != 3).select("period", "ba_code", F.when(F.hour("period") % 5 != 0, F.col("demand_mw")).alias("demand_mw"))
+    s = prep.hour_samples(d, 168, 24, min_enc=60)
+
+    def total(c):
+        return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+
+    def known(c):
+        return F.size(F.filter(f"{c}_mask", lambda x: x))
+
+    def placed(c):
+        return total(F.transform(c, lambda x, i: x * i))
+
+    return s.select(
+        "period", "ba_code", known("history").alias("n_history"), known("future").alias("n_future"), total("history").alias("sum_history"), total("future").alias("sum_future"),
+        placed("history").alias("at_history"), placed("future").alias("at_future"),
+    )
+
+
 @query(
     "robust_log_scale",
     """SELECT period, ba_code, quantile_cont(v, 0.5) AS centre, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS scale FROM (

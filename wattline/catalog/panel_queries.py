@@ -11,7 +11,7 @@ from wattline.functions import measures as m
 from wattline.lineage import fresh_dir, stage
 from wattline.operators import aggregates, features, joins, panel, quality
 from wattline.operators.ranks import medians
-from wattline.reference_data import REFRESHED_COLUMNS
+from wattline.reference_data import FEATURE_BAS, REFRESHED_COLUMNS
 
 HALF = "TIMESTAMP '2024-01-16'"
 WINDOWS = [
@@ -298,12 +298,12 @@ def _(t):
 
 @query(
     "concat_areas",
-    "SELECT period, ba_code, demand_mw FROM demand WHERE ba_code IN ('PJM', 'TVA')",
+    "SELECT period, ba_code, demand_mw FROM demand",
     "demand_mw",
 )
 def _(t):
     d = b.demand(t).select("period", "ba_code", "demand_mw")
-    return aggregates.concat(d.where("ba_code = 'PJM'"), d.where("ba_code = 'TVA'"))
+    return aggregates.concat(*[d.where(F.col("ba_code") == area) for area in FEATURE_BAS])
 
 
 _OLD = f"SELECT period, ba_code, demand_mw, forecast_mw FROM demand WHERE period < {HALF}"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from wattline.operators.features import over_rows
@@ -74,13 +74,18 @@ def impute(df: DataFrame, cols: list[str], by: list[str] | None = None, backward
     return group_median(carried, cols, by).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cols})
 
 
+def _values(c: str, w: WindowSpec) -> Column:
+    """All values of a frame in order, NULLs included."""
+    return F.transform(F.collect_list(F.struct(F.col(c).alias("v"))).over(w), lambda x: x["v"])
+
+
 def make_samples(
     df: DataFrame, enc: int = HISTORY_HOURS, dec: int = HORIZON_HOURS, target: str = "demand_mw", min_enc: int | None = None
 ) -> DataFrame:
     """History and future arrays around every row, as training samples.
 
     A sample needs at least half the history and one future row. Arrays hold at most ``enc`` and ``dec``
-    values, whatever the length of the series.
+    values, whatever the length of the series. Slots are rows, one without a value holds a NULL; see ``hour_samples`` for slots that are hours.
     """
     min_enc = enc // 2 if min_enc is None else min_enc
     out = over_rows(
@@ -88,8 +93,8 @@ def make_samples(
         BY,
         "period",
         lambda w: {
-            "history": F.collect_list(target).over(w.rowsBetween(-(enc - 1), 0)),
-            "future": F.collect_list(target).over(w.rowsBetween(1, dec)),
+            "history": _values(target, w.rowsBetween(-(enc - 1), 0)),
+            "future": _values(target, w.rowsBetween(1, dec)),
         },
         back=enc,
         ahead=dec,
@@ -97,6 +102,36 @@ def make_samples(
     return out.where((F.size("history") >= min_enc) & (F.size("future") >= 1))
 
 
+def hour_samples(df: DataFrame, enc: int = HISTORY_HOURS, dec: int = HORIZON_HOURS, target: str = "demand_mw", min_enc: int | None = None) -> DataFrame:
+    """Samples whose slots are hours: ``history`` (the ``enc`` hours up to a row), ``future`` (the ``dec`` hours after it) and masks of what is known.
+
+    An hour that is missing, or has no value, is a NULL in its own slot with a false mask, so every slot stays at its distance from the row. A sample
+    needs ``min_enc`` (default: half) known hours of history and a known one to come. One row per hour and area is asked for.
+    """
+    min_enc = enc // 2 if min_enc is None else min_enc
+    rows = df.select("ba_code", "period", F.col(target).alias("_v"))
+    # missing hours become rows, but of a long gap only those that a frame at its end or beginning reaches
+    gaps = over_rows(rows, BY, "period", lambda w: {"_next": F.lead("period").over(w)}, ahead=1)
+    wide = ((F.unix_timestamp("_next") - F.unix_timestamp("period")) / 3600).cast("int")
+    first = F.sequence(F.lit(1), F.least(wide - 1, F.lit(dec)))
+    last = F.sequence(F.greatest(wide - enc, F.lit(1)), wide - 1)
+    steps = F.when(F.coalesce(wide, F.lit(1)) > 1, F.array_distinct(F.concat(first, last)))
+    holes = gaps.select("ba_code", "period", F.explode(steps).alias("_n")).select(
+        "ba_code", F.timestamp_seconds(F.unix_timestamp("period") + F.col("_n") * 3600).alias("period"), F.lit(None).cast("double").alias("_v"), F.lit(False).alias("_real")
+    )
+    dense = rows.withColumn("_v", F.col("_v").cast("double")).withColumn("_real", F.lit(True)).unionByName(holes)
+    out = over_rows(dense, BY, "period", lambda w: {"history": _values("_v", w.rowsBetween(-(enc - 1), 0)), "future": _values("_v", w.rowsBetween(1, dec))}, back=enc, ahead=dec).where("_real")
+    nothing = F.lit(None).cast("double")
+    out = out.select(
+        "ba_code", "period",
+        F.concat(F.array_repeat(nothing, enc - F.size("history")), F.col("history")).alias("history"),
+        F.concat(F.col("future"), F.array_repeat(nothing, dec - F.size("future"))).alias("future"),
+    )
+    masked = out.withColumns({f"{c}_mask": F.transform(c, lambda x: x.isNotNull()) for c in ("history", "future")})
+    known = {c: F.size(F.filter(f"{c}_mask", lambda x: x)) for c in ("history", "future")}
+    return masked.where((known["history"] >= min_enc) & (known["future"] >= 1))
+
+
 def rolling_origins(
     df: DataFrame, start: str, end: str, step: int = HORIZON_HOURS, enc: int = HISTORY_HOURS, dec: int = HORIZON_HOURS,
     min_rows: int | None = None,
