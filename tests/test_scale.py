@@ -156,3 +156,48 @@ def test_refreshes_equal_a_rebuild_and_touch_only_their_days(spark, make):
     assert late == 2
     plan = daily_state.states(spark, home).where(F.col("day").isin([dt.date(2024, 1, 5)]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [(day" in plan
+
+
+def test_bad_lines_keep_file_and_offset(spark, tmp_path, monkeypatch):
+    from wattline.sources import intake
+
+    source, home, schema = tmp_path / "in", str(tmp_path / "out"), "hour string, mw double"
+    source.mkdir()
+    one = b"hour,mw\n2024-01-01T00,1.5\nshort\r\n2024-01-01T01,2.5\r\n\n2024-01-01T02,many,more\n2024-01-01T03,x\n2024-01-01T04,4"
+    (source / "a.csv").write_bytes(one)
+    (source / "b.csv").write_bytes(b"hour,mw\n" + b"".join(b"h\xc3\xa9%d,%d\n" % (i, i) if i % 7 else b"cut%d\n" % i for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")  # files are read in pieces
+    try:
+        with monkeypatch.context() as m:  # broken off before the ledger says that the batch is done
+            m.setattr(intake, "bad", None)
+            write = intake.parsed
+            m.setattr(intake, "parsed", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                intake.intake(spark, str(source), home, schema)
+            assert write is not intake.parsed
+        intake.intake(spark, str(source), home, schema)
+        (source / "c.csv").write_bytes(b"hour,mw\nlate,9\n")
+        intake.intake(spark, str(source), home, schema)
+        intake.intake(spark, str(source), home, schema)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    bad = intake.bad(spark, home).collect()
+    for r in bad:
+        raw = (source / r.file.split("/")[-1]).read_bytes()
+        assert raw[r.at :].startswith(r.line.encode()) and (r.at == 0 or raw[r.at - 1 : r.at] == b"\n")
+    lines = sorted(r.line for r in bad if r.file.endswith("a.csv"))
+    assert lines == ["2024-01-01T02,many,more", "2024-01-01T03,x", "short"] and len(bad) == 3 + 58
+    got = intake.good(spark, home).collect()
+    assert sorted(r.mw for r in got if r.source_file.endswith("a.csv")) == [1.5, 2.5, 4.0]
+    counts = {r.file.split("/")[-1]: (r.n_good, r.n_bad) for r in intake.ledger(spark, home).where("status = 'completed'").collect()}
+    assert counts == {"a.csv": (3, 3), "b.csv": (342, 58), "c.csv": (1, 0)} and len(got) == 346
+
+
+def test_truncated_json_goes_aside(spark, tmp_path):
+    from wattline.sources import intake
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.json").write_text('{"a": 1, "b": "x"}\n{"a": 2, "b"\n[]\n{"a": "no"}\n{"b": "only"}\n')
+    intake.intake(spark, str(tmp_path / "in"), str(tmp_path / "out"), "a bigint, b string", "json")
+    assert sorted((r.a, r.b) for r in intake.good(spark, str(tmp_path / "out")).collect() if r.a) == [(1, "x")]
+    assert '{"a": 2, "b"' in [r.line for r in intake.bad(spark, str(tmp_path / "out")).collect()]

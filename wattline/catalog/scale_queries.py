@@ -8,6 +8,7 @@ from wattline.catalog import bindings as b
 from wattline.catalog.registry import query
 from wattline.lineage import fresh_dir
 from wattline.operators import asof, daily_state, intervals, rolling
+from wattline.sources import intake
 
 MONTH = 2_592_000
 
@@ -191,3 +192,45 @@ def _(t):
         for _again in range(2):  # run again, it adds nothing
             daily_state.refresh(rows.where(batch == i), home, i)
     return daily_state.summary(t.spark, home)
+
+
+# --- intake of text files -------------------------------------------------------------------------
+
+
+def _taken(t, kind: str) -> str:
+    """Events as text files, some lines spoiled, taken in two rounds."""
+    home = fresh_dir(t.spark, "intake")
+    e = t.events.select("event_id", "user_id", "value")
+    for part in (0, 1):
+        rows, spoiled = e.where(F.col("event_id") % 2 == part).repartition(3), F.col("event_id") % 50 == 0
+        if kind == "csv":  # every fiftieth line has a word for a number
+            rows.withColumn("value", F.when(spoiled, "none").otherwise(F.col("value").cast("string"))).write.mode("append").option("header", True).csv(f"{home}/in")
+        else:  # every fiftieth line is cut short
+            line = F.to_json(F.struct(*e.columns))
+            rows.select(F.when(spoiled, F.expr("substring_index(to_json(struct(event_id, user_id, value)), ',', 2)")).otherwise(line).alias("value")).write.mode("append").text(f"{home}/in")
+        for _again in range(2):
+            intake.intake(t.spark, f"{home}/in", f"{home}/out", "event_id bigint, user_id bigint, value double", kind, files=2)
+    return f"{home}/out"
+
+
+_GOOD = "SELECT event_id, user_id, value FROM events WHERE event_id % 50 <> 0"
+
+
+@query("intake_csv", _GOOD, "value")
+def _(t):
+    return intake.good(t.spark, _taken(t, "csv")).select("event_id", "user_id", "value")
+
+
+@query("intake_json", _GOOD, "value")
+def _(t):
+    return intake.good(t.spark, _taken(t, "json")).select("event_id", "user_id", "value")
+
+
+@query(
+    "intake_counts",
+    """SELECT count(*) FILTER (WHERE event_id % 50 <> 0) AS n_good, count(*) FILTER (WHERE event_id % 50 = 0) AS n_bad, count(*) FILTER (WHERE event_id % 50 = 0) AS n_lines FROM events""",
+)
+def _(t):
+    home = _taken(t, "csv")
+    counts = intake.ledger(t.spark, home).where("status = 'completed'").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"))
+    return counts.crossJoin(intake.bad(t.spark, home).agg(F.count("*").alias("n_lines")))
