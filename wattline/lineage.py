@@ -61,7 +61,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
     _MADE.append(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` returned; nothing that reads them may follow."""
+    for df in staged:
+        if df._staged in _MADE:
+            _MADE.remove(df._staged)
+        _delete(df.sparkSession, df._staged)
 
 
 @contextlib.contextmanager
@@ -77,8 +92,7 @@ def only_last_stays(spark: SparkSession) -> Iterator[None]:
     if last is not None:
         _MADE.append(last)
     for path in done[1:]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, path)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
