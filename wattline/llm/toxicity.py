@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wattline.lineage import only_last_stays, stage
+from wattline.lineage import forget, only_last_stays, stage
 from wattline.llm import text
 
 PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 19, 1 << 20, 1 << 20, 4
+#: Counting goes over the lessons this often, each time for another share of the bigrams.
+TIMES = 2
 HELD_OUT_FOLD, CURVE_FOLD, FOLDS = 2, 3, 4
 #: Models by number: the first is counted without the fold that fits the curve, the second with all that may teach.
 MODELS = (0, 1)
@@ -136,12 +138,12 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
 
 
-def pair_counts(lessons: DataFrame, parts: tuple[int, int]) -> DataFrame:
+def pair_counts(lessons: DataFrame, parts: tuple[int, int], at: int = 0, times: int = 1) -> DataFrame:
     """Every bigram of the lessons (model, toxic, body) in packed parts by its hash, and what they add to their words.
 
     ``kind`` 0: part, keys, and in ``rows`` how often each bigram is in four kinds of lessons, 2 * model + toxic, where lessons of model
     0 are in both models. ``stats`` has, by model, how many are seen once and twice by ordinary, toxic and all lessons. ``kind`` 1: the part's share of
-    ``word_counts``, by parts of words. ``parts`` are the numbers of parts of words and of bigrams.
+    ``word_counts``, by parts of words. ``parts`` are the numbers of parts of words and of bigrams. Of the bigrams only the share ``at`` of ``times`` is counted.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,41 +151,41 @@ def pair_counts(lessons: DataFrame, parts: tuple[int, int]) -> DataFrame:
         waiting: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            before, word, kind = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            before, word, kind, keys = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            keys = both(before, word)
             order, first = grouped(keys)
             kind = kind[order]
             rows = np.stack([np.add.reduceat((kind == k).astype(np.int64), first) for k in range(4)])
-            at = order[first]
-            by, edge = dealt(keys[at], parts[1])
+            lead = order[first]
+            by, edge = dealt(keys[lead], parts[1])
             for p in np.flatnonzero(np.diff(edge)):
                 own = by[edge[p] : edge[p + 1]]
-                own = own[np.argsort(word[at[own]], kind="stable")]  # in order of words, which packs them closer
-                values = (np.diff(word[at[own]], prepend=np.uint64(0)), before[at[own]], rows[:, own].ravel())
+                own = own[np.argsort(word[lead[own]], kind="stable")]  # in order of words, which packs them closer
+                values = (np.diff(word[lead[own]], prepend=np.uint64(0)), before[lead[own]], rows[:, own].ravel())
                 yield pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([pack(x)], pa.binary()) for x in values)], names=["part", "word", "before", "rows"])
 
         held = 0
         for batch in batches:
             kinds = (2 * batch.column("model").to_numpy() + batch.column("toxic").to_numpy()).astype(np.int64)
             bodies = batch.column("body")
-            at = 0
-            while at < len(bodies):
-                raw, to, size = [], at, 0
+            i = 0
+            while i < len(bodies):
+                raw, to, size = [], i, 0
                 while to < len(bodies) and size < BLOCK:
                     raw.append(open_(bodies[to].as_py()))
                     size += len(raw[-1])
                     to += 1
                 w = text.Words(np.frombuffer(b"".join(raw), np.uint8), text.offsets_of(np.array([len(x) for x in raw])), lower=True)
-                word, before, _ = grams(w)
-                own = np.repeat(kinds[at:to], np.diff(w.first))
-                for a in range(0, len(word), AT_ONCE):
-                    waiting.append((before[a : a + AT_ONCE], word[a : a + AT_ONCE], own[a : a + AT_ONCE]))
+                word, before, keys = grams(w)
+                own = np.flatnonzero((keys >> np.uint64(40)) % np.uint64(times) == at)
+                own = (before[own], word[own], np.repeat(kinds[i:to], np.diff(w.first))[own], keys[own])
+                for a in range(0, len(own[0]), AT_ONCE):
+                    waiting.append(tuple(x[a : a + AT_ONCE] for x in own))
                     held += len(waiting[-1][0])
                     if held >= AT_ONCE:
                         held = 0
                         yield from flush()
-                at = to
+                i = to
         if held:
             yield from flush()
 
@@ -456,13 +458,17 @@ def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, c
     lessons = stage(taught.select(last.alias("model"), "toxic", F.col(column).alias("body")), "lessons")
     size, n_curve = lessons.agg(F.sum(F.octet_length("body")), F.count_if(F.col("model") == 1)).first()
     parts = (1 + (size or 0) // (2 * PART), 1 + (size or 0) // PART)
-    pairs = pair_counts(lessons, parts)
-    table = word_counts(pairs)
-    known = sizes(pairs, table)
-    both_ = table.select((2 * F.col("part")).alias("part"), "keys", "rows").unionByName(pairs.where("kind = 0").select((2 * F.col("part") + 1).alias("part"), "keys", "rows"))
     share = min(1.0, CURVE_ROWS / max(n_curve, 1))
     some = lessons.where("model = 1").where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    best = fitted(measured(blocks(swollen(some), "text", 0), both_, parts, known, "text", {"toxic": "int"}))
+    sample = blocks(swollen(some), "text", 0, "sample")
+    counted = [pair_counts(lessons, parts, i, TIMES) for i in range(TIMES)]
+    forget(lessons)
+    pairs = functools.reduce(DataFrame.unionByName, counted)
+    table = word_counts(pairs)
+    known = sizes(pairs, table)
+    both_ = stage(table.select((2 * F.col("part")).alias("part"), "keys", "rows").unionByName(pairs.where("kind = 0").select((2 * F.col("part") + 1).alias("part"), "keys", "rows")), "counts")
+    forget(table, *counted)
+    best = fitted(measured(sample, both_, parts, known, "text", {"toxic": "int"}))
     kind, found = docs.select(f"`{key}`").schema[0].dataType.simpleString(), []
     for at in range(SLICES):
         with only_last_stays(spark):
