@@ -33,6 +33,8 @@ from wattline.lineage import forget, only_last_stays, stage
 from wattline.llm import text
 
 PASSAGES, AT_ONCE, BLOCK, PART, SLICES = (2, 4, 8, 16, 32), 1 << 19, 1 << 20, 1 << 20, 4
+#: Texts and packed arrays make large rows, so few of them go to a worker at once.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 #: Counting goes over the lessons this often, each time for another share of the bigrams.
 TIMES = 2
 HELD_OUT_FOLD, CURVE_FOLD, FOLDS = 2, 3, 4
@@ -446,8 +448,13 @@ def judged(docs: DataFrame, labels: DataFrame, key: str, column: str, label: str
     of both classes every text with words gets the same score.
     """
     spark, docs, column = docs.sparkSession, text.keyed(docs, key, column), "text"
-    with only_last_stays(spark):
-        return _judged(spark, docs, labels, key, column, label)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, ROWS)
+    try:
+        with only_last_stays(spark):
+            return _judged(spark, docs, labels, key, column, label)
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, column: str, label: str) -> DataFrame:
