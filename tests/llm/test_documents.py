@@ -116,11 +116,15 @@ def test_containment_equals_brute_force(spark, docs, rows):
     items = [(1, " ".join(by[0][10:50])), (2, None), (3, ""), (4, "one two"), (5, " ".join(by[4][:12])), (5, " ".join(by[4][:12])), (6, "never seen anywhere in these documents"), (7, " ".join(by[103][20_000:20_100]).upper())]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
 
-    def shingles(t):
+    def shingles(t, m):
         w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
 
-    expected = {(k, i, len(shingles(t) & shingles(x)), len(shingles(x))) for k, t in rows for i, x in items if shingles(x) and len(shingles(t) & shingles(x)) >= 0.75 * len(shingles(x))}
+    expected = set()
+    for i, x in items:
+        m = min(5, len((x or "").split()))
+        wanted = shingles(x, m) if m else set()
+        expected |= {(k, i, len(shingles(t, m) & wanted), len(wanted)) for k, t in rows if wanted and len(shingles(t, m) & wanted) >= 0.75 * len(wanted)}
     found = contamination.contained(docs, bench)
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found.collect()} == expected and expected
     bad = {k for k, *_ in expected}
@@ -221,6 +225,54 @@ def test_feistel_is_a_permutation():
     assert (shards.permuted(np.arange(1000), 1000, "k") != shards.permuted(np.arange(1000), 1000, "other")).any()
 
 
+def test_linked_sets_share_enough_of_what_is_searched():
+    """At the threshold, whatever the hashes of the shared shingles, both queries hold ENOUGH of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        union = int(rng.integers(70, 3000))
+        both = -(-75 * union // 100)
+        hashes = rng.permutation(np.arange(union))
+        if rng.random() < 0.5:  # the worst order: what one set has alone comes first
+            hashes = np.sort(hashes)[::-1]
+        mine = int(rng.integers(0, union - both + 1))
+        one, two = np.sort(hashes[: both + mine]), np.sort(np.append(hashes[:both], hashes[both + mine :]))
+        asked = [x[:k] for x, k in zip((one, two), overlap.query_size(np.array([len(one), len(two)]), (75, 100)))]
+        whole = -(-3 * (len(one) + len(two)) // 7)
+        need = whole if max(len(one), len(two)) <= overlap.SKETCH else min(overlap.ENOUGH, whole)
+        assert overlap.linked(one.astype(np.uint64), two.astype(np.uint64), (75, 100)) and len(np.intersect1d(*asked)) >= need
+
+
+def test_links_at_the_threshold_of_large_sets(spark):
+    rng = random.Random(13)
+    texts = []
+    for n in (66, 120, 153, 300, 900, 2000):
+        # shingles of n words in a row; a changed tail of k words leaves n - k shared
+        base = [f"w{n}x{i}" for i in range(n + 4)]
+        for k in (n // 7, n // 7 + 1, n // 8):
+            texts.append(" ".join(base[: n + 4 - k] + [f"y{rng.random()}" for _ in range(k)]))
+        texts.append(" ".join(base))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    lead = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, z = sorted((lead[i], lead[j]))
+                lead = [a if x == z else x for x in lead]
+    found = overlap.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(lead)) and len(set(lead)) > 6
+
+
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "Three words item"), (2, "one"), (3, "four words are HERE"), (4, ""), (5, None), (6, "a b c d e")]
+    texts = [(1, "long text with three WORDS item in it"), (2, "three words and an item"), (3, "One"), (4, "x four words are here"), (5, "four words are"), (6, "someone a b c d e f"), (7, None), (8, "three\nwords  item")]
+    found = contamination.contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found.collect()) == [(1, 1, 1, 1), (3, 2, 1, 1), (4, 3, 1, 1), (6, 6, 1, 1), (8, 1, 1, 1)]
+    left = contamination.clean(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 5, 7]
+
+
 def test_shards_do_not_depend_on_splits(spark, docs, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "docs"))
     found = []

@@ -4,7 +4,8 @@ Items are grouped by the number of their shingles, each group up to twice as lar
 is its k smallest shingle hashes under one random order, with k set by its group: one more than the largest
 item of the group may miss. A document that holds enough of the item's shingles then holds at least k less
 the number it may miss of the sketch, so no item is lost, however long the document is. Candidates
-are verified by counting the item's shingles in the document. Only DataFrame functions are used.
+are verified by counting the item's shingles in the document. An item with fewer words than a shingle is one shingle of all of them, and is looked
+up among the documents' runs of that many words. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -30,11 +31,20 @@ def shingles(column: str, width: int, hashed: bool) -> Column:
     return F.expr(f"CASE WHEN size({column}) >= {width} THEN transform(sequence(0, size({column}) - {width}), i -> {one}) WHEN size({column}) > 0 THEN array({few}) END")
 
 
+def runs(column: str, width: int, short: list[int], hashed: bool) -> Column:
+    """The shingles of an array of words, and all its runs of each of the ``short`` lengths."""
+    out = [shingles(column, width, hashed)]
+    for m in short:
+        run = f"array_join(slice({column}, i + 1, {m}), ' ')"
+        out.append(F.expr(f"CASE WHEN size({column}) >= {m} THEN transform(sequence(0, size({column}) - {m}), i -> {f'xxhash64({run})' if hashed else run}) END"))
+    return F.flatten(F.array_compact(F.array(*out))) if short else out[0]
+
+
 def contained(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int = WIDTH, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and an item of which it holds the share ``least`` or more: key, text_hash, item, n_shared, n_item, containment.
 
-    The share is of the item's distinct shingles of ``width`` words, in lower case. A text with fewer words
-    is one shingle of all of them, so a very short item is only found where it is the whole document. Null, empty and
+    The share is of the item's distinct shingles of ``width`` words, in lower case. An item with fewer words
+    is one shingle of all of them, found wherever a document has these words in a row. Null, empty and
     blank texts hold nothing and are in nothing. ``text_hash`` (xxhash64) parts documents that share a key or have none;
     rows alike in both, and items alike in id and text, count once. Other columns are ignored.
     """
@@ -45,7 +55,8 @@ def contained(docs: DataFrame, items: DataFrame, least: float = LEAST, width: in
     tests = items.select(F.col(f"`{item}`").alias("_item"), F.col(f"`{item_text}`").alias("_t")).where("_t IS NOT NULL").distinct()
     tests = tests.select("_item", F.xxhash64("_t").alias("_of"), words("_t").alias("_words")).where(F.size("_words") > 0)
     tests = tests.withColumn("_strings", F.array_distinct(shingles("_words", width, False))).withColumn("_n", F.size("_strings"))
-    tests = stage(tests.withColumn("_hashes", F.array_distinct(shingles("_words", width, True))).drop("_words"), "items")
+    tests = stage(tests.withColumn("_hashes", F.array_distinct(shingles("_words", width, True))).withColumn("_m", F.size("_words")).drop("_words"), "items")
+    short = sorted(r[0] for r in tests.where(F.col("_m") < width).select("_m").distinct().collect())  # numbers below width
 
     # the largest of a size group has 2 * 2 ** floor(log2(n)) - 1 shingles; the smallest hashes in a random order are the sketch
     may_miss = F.expr(f"_n - CAST(ceil({least} * _n - 1e-9) AS INT)")
@@ -56,14 +67,14 @@ def contained(docs: DataFrame, items: DataFrame, least: float = LEAST, width: in
     sketch = sketch.select("_item", "_of", "_need", F.explode(F.expr("transform(slice(_order, 1, _k), x -> x.h)")).alias("_h"))
     sketch = stage(sketch, "sketch")
     seen = texts.select("_key", "_print", words("_text").alias("_words"))
-    seen = seen.select("_key", "_print", F.explode(shingles("_words", width, True)).alias("_h"))
+    seen = seen.select("_key", "_print", F.explode(runs("_words", width, short, True)).alias("_h"))
     hits = seen.join(sketch, "_h").groupBy("_key", "_print", "_item", "_of", "_h").agg(F.first("_need").alias("_need"))
     near = hits.groupBy("_key", "_print", "_item", "_of").agg(F.count("*").alias("_hits"), F.first("_need").alias("_need")).where("_hits >= _need")
     near = stage(near.select("_key", "_print", "_item", "_of"), "near")
 
     wanted = near.select("_key", "_print").distinct().withColumnsRenamed({"_key": "_k", "_print": "_p"})
     full = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p")), "left_semi").dropDuplicates(["_key", "_print"])
-    full = full.select("_key", "_print", words("_text").alias("_words")).select("_key", "_print", F.explode(F.array_distinct(shingles("_words", width, False))).alias("_s"))
+    full = full.select("_key", "_print", words("_text").alias("_words")).select("_key", "_print", F.explode(F.array_distinct(runs("_words", width, short, False))).alias("_s"))
     shared = full.join(tests.select("_item", "_of", "_n", F.explode("_strings").alias("_s")), "_s")
     pairs = near.withColumnsRenamed({"_key": "_k", "_print": "_p", "_item": "_i", "_of": "_o"})
     shared = shared.groupBy("_key", "_print", "_item", "_of", "_n").agg(F.count("*").alias("n_shared"))

@@ -41,7 +41,9 @@ SUBSTRINGS = f"""
 CONTAMINATION = f"""
     WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
          b AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark),
-         ds AS (SELECT DISTINCT doc_id, unnest({_shingles('w')}) AS s FROM d), bs AS (SELECT DISTINCT item_id, unnest({_shingles('w')}) AS s FROM b),
+         m AS (SELECT DISTINCT len(w) AS m FROM b WHERE len(w) BETWEEN 1 AND 4),
+         ds AS (SELECT DISTINCT doc_id, unnest({_shingles('w')}) AS s FROM d
+                UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) FROM d JOIN m ON len(w) >= m), bs AS (SELECT DISTINCT item_id, unnest({_shingles('w')}) AS s FROM b),
          n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
     SELECT doc_id, bs.item_id, count(*) AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
     FROM ds JOIN bs ON bs.s = ds.s JOIN n ON n.item_id = bs.item_id GROUP BY doc_id, bs.item_id, n_item HAVING count(*) >= 0.75 * n_item"""

@@ -1,9 +1,9 @@
 """Jaccard join of documents on word shingles by T-occurrence search.
 
-Each distinct shingle set is searched once. Its SKETCH smallest shingle hashes (all of them, if it has fewer) are its
-query; the documents that have a hash form that hash's inverted list. Two sets that link share at least T of their hashes:
-exactly 3/7 of both sizes together where the sketches are whole, and ENOUGH else, which a linked pair misses with a
-probability below 1e-9. The search for the documents that occur in T lists goes as in DivideSkip:
+Each distinct shingle set is searched once. Its smallest shingle hashes are its query: all of a set of n up to SKETCH, else the first
+n - ceil(3n/4) + ENOUGH, and SKETCH at least. The documents that have a hash form that hash's inverted list. Two sets that link share at least T of
+these hashes: 3/7 of both sizes together where both queries are whole, and else ENOUGH, since of the first n - ceil(3n/4) hashes
+of a set all may be missing in the other, but none of the shared ones beyond. The search for the documents that occur in T lists goes as in DivideSkip:
 
 1. Every list proposes its first document to the others, and each document is verified against the proposal it shares most
    lists with, if it shares T with it. That costs one pair per document at most and joins many groups of near copies at once.
@@ -52,8 +52,13 @@ def shingle_sets(w: text.Words, width: int) -> list[np.ndarray]:
     return out
 
 
-def described(texts: DataFrame, key: str, width: int) -> DataFrame:
-    """One row per document: key, print, size of its set, a 128-bit hash of the set and its sketch."""
+def query_size(n: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """How many of a set's smallest hashes are searched for, so that linked sets share ENOUGH of them (or all that they share)."""
+    return np.where(n <= SKETCH, n, np.maximum(SKETCH, n + (-least[0] * n) // least[1] + ENOUGH).clip(max=n))
+
+
+def described(texts: DataFrame, key: str, width: int, least: tuple[int, int] = LEAST) -> DataFrame:
+    """One row per document: key, print, size of its set, a 128-bit hash of the set and the hashes searched for."""
     schema = T.StructType([
         T.StructField(key, texts.schema[key].dataType), T.StructField("_print", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())),
@@ -67,10 +72,11 @@ def described(texts: DataFrame, key: str, width: int) -> DataFrame:
             sets = shingle_sets(text.Words(data, offsets, lower=True), width)
             size = np.array([len(s) for s in sets], np.int64)
             marks = np.array([[s.sum(dtype=np.uint64), np.bitwise_xor.reduce(text.mix(s)) if len(s) else 0] for s in sets], np.uint64).reshape(-1, 2)
-            small = [s[:SKETCH] for s in sets]
+            asked = query_size(size, least)
+            small = [s[:k] for s, k in zip(sets, asked.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 rows.column(key).cast(out.field(0).type), rows.column("_print"), pa.array(size), pa.array(text.signed(text.mix(marks[:, 0] + size.astype(np.uint64)))), pa.array(text.signed(marks[:, 1].copy())),
-                text.lists(text.signed(np.concatenate(small)) if small else np.zeros(0, np.int64), np.minimum(size, SKETCH)),
+                text.lists(text.signed(np.concatenate(small)) if small else np.zeros(0, np.int64), asked),
             ], schema=out)
 
     return texts.mapInArrow(describe, schema)
@@ -191,7 +197,7 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", width: i
     repeated key. Other columns are ignored; an empty table gives an empty result.
     """
     texts = text.keyed(docs, key, column).withColumn("_print", F.xxhash64("text"))
-    all_ = stage(described(texts, key, width).withColumn(ROW, F.monotonically_increasing_id()), "documents")
+    all_ = stage(described(texts, key, width, least).withColumn(ROW, F.monotonically_increasing_id()), "documents")
     kinds = stage(all_.where("n > 0").groupBy("f1", "f2").agg(F.min(ROW).alias(ROW)), "sets")
     sets = stage(all_.select(ROW, "n", "sketch").join(kinds.select(ROW), ROW), "sketches")
 
