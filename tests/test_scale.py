@@ -1,6 +1,7 @@
 """As-of and interval joins, rolling refits and the refreshed daily summary against plain Python."""
 
 import datetime as dt
+import math
 import os
 
 import numpy as np
@@ -201,3 +202,47 @@ def test_truncated_json_goes_aside(spark, tmp_path):
     intake.intake(spark, str(tmp_path / "in"), str(tmp_path / "out"), "a bigint, b string", "json")
     assert sorted((r.a, r.b) for r in intake.good(spark, str(tmp_path / "out")).collect() if r.a) == [(1, "x")]
     assert '{"a": 2, "b"' in [r.line for r in intake.bad(spark, str(tmp_path / "out")).collect()]
+
+
+def test_radius_join_over_poles_and_date_line(spark):
+    import math
+
+    from wattline.operators import places
+
+    rng = np.random.default_rng(7)
+
+    def some(n, tag):
+        lat = np.concatenate([rng.uniform(-90, 90, n), [90, -90, 89.5, -89.5, 89.9, 0, 0, 10]])
+        lon = np.concatenate([rng.uniform(-180, 180, n), [0, 50, 179, -179, 10, 180, -180, 179.9]])
+        return [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon))] + [(tag, None, 3.0), (tag + 1, 91.0, 0.0)]
+
+    points, centres = some(500, 9000), some(120, 9000)
+    p, c = spark.createDataFrame(points, "p int, lat double, lon double"), spark.createDataFrame(centres, "c int, centre_lat double, centre_lon double")
+    for km in (60, 900):
+        def far(a, o, b, u):
+            h = math.sin(math.radians(b - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(b)) * math.sin(math.radians(u - o) / 2) ** 2
+            return 2 * places.RADIUS_KM * math.asin(math.sqrt(min(h, 1)))
+
+        wanted = sorted((i, j) for i, a, o in points for j, b, u in centres if None not in (a, b) and abs(a) <= 90 and abs(b) <= 90 and far(a, o, b, u) <= km)
+        met = places.radius_join(p, c, km)
+        assert sorted((r.p, r.c) for r in met.collect()) == wanted and wanted
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sketches_merge_within_their_bounds(spark):
+    from wattline.operators import sketches
+
+    rng = np.random.default_rng(8)
+    rows = [(f"2024-{1 + i % 6:02d}-03 00:00:00", "A", int(rng.integers(0, 5000)), float(np.round(rng.lognormal(3, 2) * rng.choice([1, 1, 1, -1, 0]), 3))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "period string, ba_code string, item int, v double").withColumn("period", F.col("period").cast("timestamp"))
+    stored = sketches.monthly(df, ["ba_code"], "item", "v")
+    for months in (["2024-02"], [f"2024-{m:02d}" for m in range(1, 7)]):
+        kept = [r for r in rows if r[0][:7] in months]
+        some = stored.where(F.col("month").isin(months))
+        exact = len({r[2] for r in kept})
+        assert abs(sketches.distinct_count(some, ["ba_code"]).first().n_distinct - exact) <= 3 * sketches.DISTINCT_ERROR * exact
+        values = sorted(r[3] for r in kept)
+        for r in sketches.quantiles(some, ["ba_code"], [0.01, 0.3, 0.5, 0.9, 1.0]).collect():
+            true = values[max(math.ceil(r.q * len(values) - 1e-9), 1) - 1]
+            assert abs(r.value - true) <= sketches.QUANTILE_ERROR * abs(true) * 1.0001

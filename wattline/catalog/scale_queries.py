@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from wattline.catalog import bindings as b
 from wattline.catalog.registry import query
-from wattline.lineage import fresh_dir
-from wattline.operators import asof, daily_state, intervals, rolling
+from wattline.lineage import fresh_dir, stage
+from wattline.operators import asof, daily_state, intervals, places, rolling, sketches
 from wattline.sources import intake
 
 MONTH = 2_592_000
@@ -234,3 +234,45 @@ def _(t):
     home = _taken(t, "csv")
     counts = intake.ledger(t.spark, home).where("status = 'completed'").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"))
     return counts.crossJoin(intake.bad(t.spark, home).agg(F.count("*").alias("n_lines")))
+
+
+# --- places ---------------------------------------------------------------------------------------
+
+_PLACES = {
+    "spots": "SELECT event_id, ((event_id * 7919) % 18001) / 100.0 - 90 AS lat, ((event_id * 104729) % 36001) / 100.0 - 180 AS lon FROM events",
+    "centres": "SELECT c_custkey AS centre, ((c_custkey * 15485863) % 18001) / 100.0 - 90 AS clat, ((c_custkey * 32452843) % 36001) / 100.0 - 180 AS clon FROM customer",
+    "far": f"""SELECT centre, event_id, 2 * {places.RADIUS_KM} * asin(sqrt(least(1, pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2)))) AS km
+               FROM spots JOIN centres ON abs(lat - clat) < 3""",
+}
+
+
+@query("radius_join", "SELECT centre, count(*) AS n, min(km) AS nearest, max(event_id) AS last_event FROM far WHERE km <= 250 GROUP BY 1", "nearest", ctes=_PLACES)
+def _(t):
+    spots = t.events.select("event_id", F.expr("((event_id * 7919) % 18001) / 100.0D - 90").alias("lat"), F.expr("((event_id * 104729) % 36001) / 100.0D - 180").alias("lon"))
+    centres = t.customer.select(F.col("c_custkey").alias("centre"), F.expr("((c_custkey * 15485863) % 18001) / 100.0D - 90").alias("centre_lat"), F.expr("((c_custkey * 32452843) % 36001) / 100.0D - 180").alias("centre_lon"))
+    met = places.radius_join(spots, centres, 250)
+    return met.groupBy("centre").agg(F.count("*").alias("n"), F.min("distance_km").alias("nearest"), F.max("event_id").alias("last_event"))
+
+
+# --- sketches -------------------------------------------------------------------------------------
+
+
+@query(
+    "monthly_sketches",
+    """SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS exact, TRUE AS distinct_ok, TRUE AS median_ok, TRUE AS p99_ok FROM orders
+       WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1999-01-01' GROUP BY 1""",
+)
+def _(t):
+    """Sketches of every month, stored; three years of them merged and held against the exact figures."""
+    stored = stage(sketches.monthly(t.orders, ["o_orderstatus"], "o_custkey", "o_totalprice", "o_orderdate"), "sketches")
+    some = stored.where("month BETWEEN '1996-01' AND '1998-12'")
+    guess = sketches.distinct_count(some, ["o_orderstatus"])
+    q = sketches.quantiles(some, ["o_orderstatus"], [0.5, 0.99]).groupBy("o_orderstatus").pivot("q", [0.5, 0.99]).agg(F.first("value"))
+    rows = t.orders.where("o_orderdate >= '1996-01-01' AND o_orderdate < '1999-01-01'")
+    exact = rows.groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("exact"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)").alias("median"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY o_totalprice)").alias("p99"))
+    slack = sketches.QUANTILE_ERROR * 1.0001
+    both = exact.join(guess, "o_orderstatus").join(q, "o_orderstatus")
+    return both.select(
+        F.col("o_orderstatus").alias("status"), "exact", (F.abs(F.col("n_distinct") - F.col("exact")) <= 3 * sketches.DISTINCT_ERROR * F.col("exact") + 1).alias("distinct_ok"),
+        (F.abs(F.col("`0.5`") - F.col("median")) <= slack * F.col("median")).alias("median_ok"), (F.abs(F.col("`0.99`") - F.col("p99")) <= slack * F.col("p99")).alias("p99_ok"),
+    )
