@@ -180,3 +180,10 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, FOLDER)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(seen)
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_double_vectors_are_not_narrowed(spark):
+    huge, near = [4e38, 1.0], 1.0 + 1e-9
+    rows = [(1, huge), (2, huge), (3, [0.0, 1.0]), (4, [near, 1.0]), (5, [1.0, 1.0]), (6, [1e-300, 1e-300]), (7, [float("inf"), 1.0])]
+    found = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7)}

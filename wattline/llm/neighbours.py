@@ -123,7 +123,8 @@ def coded(vectors: DataFrame, index: Index, reach: float) -> DataFrame:
                     pa.array([*(c.astype(np.uint8).tobytes() for c in codes), *[b""] * len(who)], pa.binary()), pa.array(np.concatenate([miss, np.zeros(len(who))])), batch.column("embedding").take(pa.array(take)),
                 ], names=["list", "asks", "home", ROW, "copies", "code", "miss", "embedding"])
 
-    return vectors.mapInArrow(code, f"list int, asks boolean, home boolean, {ROW} long, copies long, code binary, miss double, embedding array<float>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.mapInArrow(code, f"list int, asks boolean, home boolean, {ROW} long, copies long, code binary, miss double, embedding {kind}")
 
 
 def searched(rows: DataFrame, index: Index, cosine: float) -> DataFrame:
@@ -183,9 +184,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, key: str = "v
     link with nothing; vectors of different length don't link. Equal vectors link. Every row stays, also with a
     null key (never kept, unless all its component has null keys) or a repeated one. Other columns are ignored; an empty table gives none.
     """
-    all_ = embeddings.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").cast("array<float>").alias("embedding")).withColumn(ROW, F.monotonically_increasing_id())
+    # single precision stays as it is; all else is compared as doubles
+    kind = "float" if embeddings.schema[column].dataType.simpleString() == "array<float>" else "double"
+    all_ = embeddings.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").cast(f"array<{kind}>").alias("embedding")).withColumn(ROW, F.monotonically_increasing_id())
     all_ = stage(all_, "vectors")
-    sound = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < CAST('Infinity' AS FLOAT)) AND exists(embedding, x -> x <> 0)"
+    sound = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < CAST('Infinity' AS DOUBLE)) AND exists(embedding, x -> x <> 0)"
     good = all_.where(f"coalesce({sound}, false)")
     kinds = stage(good.groupBy("embedding").agg(F.min(ROW).alias(ROW), F.count("*").alias("copies")), "distinct")
     n, longest = kinds.agg(F.count("*"), F.max(F.size("embedding"))).first()
