@@ -60,12 +60,14 @@ def decompose(daily: DataFrame, train_end: str | None = None) -> DataFrame:
     rows = daily.select("ba_code", "date", F.col("y").cast("double").alias("y"), *[c.alias(n) for n, c in terms.items()])
     fit_on = rows if train_end is None else rows.where(F.col("date") < F.lit(train_end).cast("date"))
     fit_on = fit_on.where("y IS NOT NULL")
-    # one row for each product, summed map-side: 16 x 16 of pairs row by row, then those with y
-    x = F.array(*names)
-    products = F.concat(F.flatten(F.transform(x, lambda a: F.transform(F.array(*names), lambda b: a * b))), F.transform(x, lambda a: a * F.col("y")))
+    # one row for each product, summed map-side: every pair once, then those with y
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    products = F.array(*[F.col(names[i]) * F.col(names[j]) for i, j in pairs], *[F.col(n) * F.col("y") for n in names])
     sums = fit_on.select("ba_code", F.posexplode(products).alias("at", "v")).groupBy("ba_code", "at").agg(F.sum("v").alias("v"))
     moments = sums.groupBy("ba_code").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("_m"))
-    fitted = moments.select("ba_code", _solve(F.transform("_m", lambda m: m["v"])).alias("_beta"))
+    place = {pair: k for k, pair in enumerate(pairs)}
+    whole = [place[min(i, j), max(i, j)] for i in range(len(names)) for j in range(len(names))] + [len(pairs) + i for i in range(len(names))]
+    fitted = moments.select("ba_code", _solve(F.array(*[F.col("_m")[k]["v"] for k in whole])).alias("_beta"))
 
     def part(prefixes: tuple[str, ...]) -> Column:
         total = F.lit(0.0)
