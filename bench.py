@@ -42,6 +42,8 @@ HEADLINE = [
     "model_frame_c",
     "merge_into_table",
     "stream_rounds",
+    "asof_prices",
+    "rolling_scores",
 ]
 
 

@@ -246,3 +246,21 @@ def test_sketches_merge_within_their_bounds(spark):
         for r in sketches.quantiles(some, ["ba_code"], [0.01, 0.3, 0.5, 0.9, 1.0]).collect():
             true = values[max(math.ceil(r.q * len(values) - 1e-9), 1) - 1]
             assert abs(r.value - true) <= sketches.QUANTILE_ERROR * abs(true) * 1.0001
+
+
+def test_tables_dealt_alike_join_without_exchange(spark, tmp_path):
+    from wattline import sinks
+
+    rows = spark.range(3000).select((F.col("id") % 3).cast("string").alias("ba_code"), F.timestamp_seconds(F.col("id") * 3600).alias("period"), F.col("id").alias("v"))
+    keys = ["ba_code", "period"]
+    tables = [sinks.write_bucketed(rows.withColumnRenamed("v", f"v{i}"), str(tmp_path / f"t{i}"), keys, 4) for i in range(2)]
+    tables.append(sinks.read_bucketed(spark, str(tmp_path / "t0"), "ba_code string, period timestamp, v0 bigint", keys, 4).withColumnRenamed("v0", "v2"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = tables[0].join(tables[1], keys).join(tables[2], keys)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        assert joined.where("v0 = v1 AND v1 = v2").count() == joined.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wattline import sinks
 from wattline.catalog import bindings as b
 from wattline.catalog.registry import query
 from wattline.lineage import fresh_dir, stage
@@ -276,3 +277,24 @@ def _(t):
         F.col("o_orderstatus").alias("status"), "exact", (F.abs(F.col("n_distinct") - F.col("exact")) <= 3 * sketches.DISTINCT_ERROR * F.col("exact") + 1).alias("distinct_ok"),
         (F.abs(F.col("`0.5`") - F.col("median")) <= slack * F.col("median")).alias("median_ok"), (F.abs(F.col("`0.99`") - F.col("p99")) <= slack * F.col("p99")).alias("p99_ok"),
     )
+
+
+# --- tables dealt alike ---------------------------------------------------------------------------
+
+
+@query(
+    "bucketed_join",
+    """SELECT period, ba_code, demand_mw, n_events, last_value FROM demand
+       JOIN (SELECT period, ba_code, count(*) AS n_events FROM ev GROUP BY 1, 2) USING (period, ba_code)
+       LEFT JOIN (SELECT period, ba_code, max(value) AS last_value FROM ev WHERE event_type = 'click' GROUP BY 1, 2) USING (period, ba_code)""",
+    "demand_mw last_value",
+)
+def _(t):
+    home, keys, e = fresh_dir(t.spark, "bucketed"), ["ba_code", "period"], b.events(t)
+    parts = {
+        "demand": b.demand(t).select("period", "ba_code", "demand_mw"),
+        "counts": e.groupBy("period", "ba_code").agg(F.count("*").alias("n_events")),
+        "clicks": e.where("event_type = 'click'").groupBy("period", "ba_code").agg(F.max("value").alias("last_value")),
+    }
+    d, c, k = (sinks.write_bucketed(df, f"{home}/{name}", keys, 8) for name, df in parts.items())
+    return d.join(c, keys).join(k, keys, "left").select("period", "ba_code", "demand_mw", "n_events", "last_value")

@@ -6,6 +6,8 @@ Tables are Parquet folders partitioned by month. Merges are first built as DataF
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,24 @@ def write_merge(spark: SparkSession, new: DataFrame, path: str, keys: list[str],
     write_append(fresh_rows(target.drop("month"), new, keys), path, time)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """Write a table dealt into buckets by ``keys`` and sorted by them, and read it back as such.
+
+    Tables with the same keys and number of buckets join on these keys without moving a row. Each bucket is one file. With the time among the
+    keys a large area is spread over all buckets.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """A table of ``write_bucketed`` in another session, with what it was dealt by."""
+    name, by = f"bucketed_{uuid.uuid4().hex}", ", ".join(keys)
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
