@@ -127,3 +127,14 @@ def test_rows_behind_the_watermark_go(spark, make):
         stream = spark.readStream.schema(SCHEMA).parquet(f"{home}/in")
         jobs.run_available(jobs.drop_late(stream, "12 hours"), f"{home}/out", f"{home}/ck")
     assert sorted(r.demand_mw for r in spark.read.parquet(f"{home}/out").collect()) == [1.0, 2.0, 4.0, 4.0]
+
+
+def test_rounds_of_the_query_are_hours_and_every_event_counts(spark, tmp_path):
+    """Two rounds of one day; the seventh event counts once, though it is sent again a month later."""
+    from wattline.catalog import load
+
+    rows = [(i, f"2024-01-01 0{h}:10:00", 12, float(v), f'{{"k": {v % 90}}}') for i, h, v in [(1, 0, 10), (2, 0, 20), (7, 0, 40), (3, 1, 5), (4, 9, 1)]]
+    df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, value double, props string")
+    df.selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "'view' AS event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.target.hour: (r.median_mw, r.median_prob_bp, r.n_submissions) for r in load()[0]["stream_rounds"](spark, str(tmp_path)).collect()}
+    assert got == {0: (20, 2000, 3), 1: (5, 500, 1)}

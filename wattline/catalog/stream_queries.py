@@ -134,16 +134,15 @@ def _(t):
     """SELECT ba_code, target, CASE WHEN n % 2 = 1 THEN m[(n + 1) // 2] ELSE (m[n // 2] + m[n // 2 + 1]) // 2 END::BIGINT AS median_mw,
               CASE WHEN n % 2 = 1 THEN p[(n + 1) // 2] ELSE (p[n // 2] + p[n // 2 + 1]) // 2 END::BIGINT AS median_prob_bp, n AS n_submissions FROM (
          SELECT ba_code, target, list_sort(list(mw)) AS m, list_sort(list(prob)) AS p, count(*) AS n FROM (
-           SELECT user_id AS node_id, ba_code, date_trunc('day', ts)::TIMESTAMP AS target, CAST(floor(value) AS BIGINT) AS mw, k * 100 AS prob FROM ev WHERE event_id % 7 <> 0) GROUP BY 1, 2)
-       WHERE target + INTERVAL 1 HOUR <= (SELECT max(date_trunc('day', ts)) FROM ev WHERE event_id % 7 <> 0) - INTERVAL 1 HOUR""",
+           SELECT user_id AS node_id, ba_code, period AS target, CAST(floor(value) AS BIGINT) AS mw, k * 100 AS prob FROM ev) GROUP BY 1, 2)
+       WHERE target + INTERVAL 1 HOUR <= (SELECT max(period) FROM ev) - INTERVAL 1 HOUR""",
 )
 def _(t):
-    s = _events(t).select(
-        # a node sends as often as it likes, and all it sends counts
-        F.col("user_id").alias("node_id"), "ba_code", F.date_trunc("day", "period").alias("target"), F.floor("demand_mw").cast("bigint").alias("predicted_mw"),
-        (F.col("k") * 100).cast("bigint").alias("prob_bp"),
-        # every seventh submission comes a month after its round has closed and must not count
-        F.when(F.col("event_id") % 7 == 0, F.col("period") + F.expr("INTERVAL 30 DAY")).otherwise(F.date_trunc("day", "period")).alias("submitted_at"),
+    # a node sends as often as it likes, and all it sends counts; every seventh submission is sent again a month after its round has closed and must not count twice
+    again = F.when(F.col("event_id") % 7 == 0, F.array("period", F.col("period") + F.expr("INTERVAL 30 DAY"))).otherwise(F.array("period"))
+    s = _events(t).withColumn("period", F.date_trunc("hour", "period")).select(
+        F.col("user_id").alias("node_id"), "ba_code", F.col("period").alias("target"), F.floor("demand_mw").cast("bigint").alias("predicted_mw"),
+        (F.col("k") * 100).cast("bigint").alias("prob_bp"), F.explode(again).alias("submitted_at"),
     )
     return _drain(t, jobs.stream_rounds(s)).select("ba_code", "target", "median_mw", "median_prob_bp", "n_submissions")
 

@@ -6,6 +6,7 @@ finished batch ended. What is kept per key is bounded: a fixed number of reading
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -67,18 +68,23 @@ def spikes(hourly: DataFrame, n: int = 24, k: float = 2.0) -> DataFrame:
 
 
 class Rounds(StatefulProcessor):
-    """Counts submissions by value; a timer at the end of the round's hour gives the medians and drops the counts."""
+    """Counts submissions by value; a timer at the end of the round's hour gives the medians and drops the counts.
+
+    The counts of a round are read and written as one list, in one call each.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = {c: handle.getMapState(c, "value bigint", "n bigint") for c in ("predicted_mw", "prob_bp")}
+        self.counts = {c: handle.getListState(c, "value bigint, n bigint") for c in ("predicted_mw", "prob_bp")}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
         for name, state in self.counts.items():
-            for value, n in new[name].dropna().value_counts().items():
-                held = state.getValue((int(value),)) if state.containsKey((int(value),)) else (0,)
-                state.updateValue((int(value),), (held[0] + int(n),))
+            counts = Counter(new[name].dropna().astype("int64").tolist())
+            if counts and state.exists():
+                counts.update(dict(state.get()))
+            if counts:
+                state.put(list(counts.items()))
         # a millisecond early, so that a watermark at the very end of the hour closes it
         self.handle.registerTimer(int(pd.Timestamp(key[1]).timestamp() * 1000) + HOUR_MS - 1)
         yield pd.DataFrame()
@@ -87,7 +93,7 @@ class Rounds(StatefulProcessor):
         out = {"ba_code": [key[0]], "target": [key[1]]}
         totals = []
         for name, state in self.counts.items():
-            held = sorted((k[0], v[0]) for k, v in state.iterator())
+            held = sorted(tuple(row) for row in state.get()) if state.exists() else []
             values, upto = np.array([v for v, _ in held], np.int64), np.cumsum([n for _, n in held])
             total = int(upto[-1]) if held else 0
             lo, hi = (int(values[np.searchsorted(upto, at, "right")]) for at in ((total - 1) // 2, total // 2)) if total else (None, None)
