@@ -88,3 +88,13 @@ def test_unknown_variant_is_refused(spark):
 
 def test_outer_quantiles_weigh_more():
     assert errors.quantile_weights(2.0, 7) == [2.0, 1.5, 1.0, 1.0, 1.0, 1.5, 2.0] and errors.quantile_weights(3.0, 3) == [3.0, 1.0, 3.0]
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    """Spark's own correlation divides by zero there; pairs with a NULL count on neither side."""
+    from wattline.operators import aggregates
+
+    rows = [("A", 0.0, 1.0), ("A", 0.0, 2.0), ("A", 0.0, 4.0), ("A", None, 9.0), ("B", 1.0, 5.0), ("B", 2.0, 3.0), ("B", 9.0, None), ("D", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "ba_code string, x double, demand_mw double")
+    got = {r.ba_code: r.corr_x for r in aggregates.group_corr(df, ["x"]).collect()}
+    assert (got["A"], got["D"]) == (None, None) and got["B"] == pytest.approx(-1)

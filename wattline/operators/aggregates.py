@@ -119,8 +119,9 @@ def theme_counts(articles: DataFrame, groups: dict[str, list[str]] = THEME_GROUP
 
 
 def _corr(x: Column, y: Column) -> Column:
-    """Correlation, NULL where either side does not vary (Spark gives NaN there)."""
-    r = F.corr(x, y)
+    """Correlation, NULL where either side does not vary (Spark's own divides by zero there, an error in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    r = ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
     return F.when(~F.isnan(r), r)
 
 
