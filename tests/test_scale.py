@@ -84,6 +84,27 @@ def test_interval_join_as_brute_force(make, closed):
     assert sorted((r.id, r.win) for r in met.collect()) == wanted
 
 
+@pytest.mark.parametrize("closed", ["both", "left", "right", "neither"])
+def test_interval_totals_as_brute_force(make, monkeypatch, closed):
+    monkeypatch.setattr(intervals, "PER_BUCKET", 2)
+    rng = np.random.default_rng(14)
+    points = [("AB"[i % 2], int(rng.integers(-900, 3000)), None if i % 9 == 0 else float(i)) for i in range(400)] + [("A", None, 1.0), (None, 5, 1.0)]
+    starts = rng.integers(-1000, 3000, 80)
+    windows = [(i, "AB"[i % 2], int(a), int(a + rng.choice([0, 1, 7, 15, 64, 500, 4000]))) for i, a in enumerate(starts)] + [(0, "A", *windows_end) for windows_end in ((5, 4), (None, 9), (9, None))] + [(3, "B", 0, 2000)]
+    p = make([(k, at(t), v) for k, t, v in points], "ba_code string, ts string, v double", ("ts",))
+    w = make([(i, k, at(a), at(z)) for i, k, a, z in windows], "win int, ba_code string, start string, end string", ("start", "end"))
+    met = intervals.interval_join(p, w, "ts", by=["ba_code"], closed=closed, totals={"n": ("count", "*"), "k": ("count", "v"), "s": ("sum", "v"), "x": ("max", "ts")})
+    got = {r.win: (r.n, r.k, r.s, minutes(r.x)) for r in met.groupBy("win").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.max("x").alias("x")).collect()}
+    low, high = closed in ("both", "left"), closed in ("both", "right")
+    held = {}
+    for n, k2, a, z in windows:
+        held.setdefault(n, []).extend((t, v) for k, t, v in points if k == k2 and None not in (k, t, a, z) and (a < t or low and a == t) and (t < z or high and t == z) and a <= z)
+    known = {n: [v for _, v in h if v is not None] for n, h in held.items()}
+    assert got == {n: (len(h), len(known[n]), sum(known[n]) if known[n] else None, max(t for t, _ in h)) for n, h in held.items() if h}
+    # a window's rows don't grow with its points
+    assert met.groupBy("win", "start").count().agg(F.max("count")).first()[0] < 60 < max(n for n, *_ in got.values())
+
+
 def test_overlaps_and_flags(make):
     rng = np.random.default_rng(5)
 

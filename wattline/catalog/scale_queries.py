@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wattline import sinks
 from wattline.catalog import bindings as b
 from wattline.catalog.registry import query
+from wattline.functions.measures import ratio
 from wattline.lineage import fresh_dir, stage
 from wattline.operators import asof, daily_state, intervals, places, rolling, sketches
 from wattline.sources import intake
@@ -96,8 +97,10 @@ def _windows(t):
 )
 def _(t):
     points = b.events(t).select("ba_code", "ts", "value")
-    met = intervals.interval_join(points, _windows(t), "ts", "w_start", "w_end", ["ba_code"], base="15 minutes")
-    return met.groupBy("window_id", "label").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("ts").alias("last_at"))
+    totals = {"n": ("count", "*"), "known": ("count", "value"), "total": ("sum", "value"), "last_at": ("max", "ts")}
+    met = intervals.interval_join(points, _windows(t), "ts", "w_start", "w_end", ["ba_code"], base="15 minutes", totals=totals)
+    mean = ratio(F.sum("total"), F.sum("known").cast("double"))
+    return met.groupBy("window_id", "label").agg(F.sum("n").alias("n"), mean.alias("mean"), F.max("last_at").alias("last_at"))
 
 
 @query(

@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.operators.asof import micros
+from wattline.operators.asof import micros, slice_width
+
+#: How totals of parts become totals of the whole.
+MERGED = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+#: Points that a bucket of a window's ends holds at most, about.
+PER_BUCKET = 8
 
 
 def _at(time: str | Column) -> Column:
@@ -42,12 +47,15 @@ def _scaled(df: DataFrame, start: str, end: str, base: int, prefix: str) -> Data
     return timed.withColumn("_level", _level(z - a, base))
 
 
-def interval_join(points: DataFrame, windows: DataFrame, time: str = "period", start: str = "start", end: str = "end", by: list[str] | None = None, base: str = "1 hour", closed: str = "both") -> DataFrame:
+def interval_join(points: DataFrame, windows: DataFrame, time: str = "period", start: str = "start", end: str = "end", by: list[str] | None = None, base: str = "1 hour", closed: str = "both", totals: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Each point with each window of its key (``by``) that holds its time, all columns of both; ``closed`` is both, left, right or neither.
 
-    NULL times and keys match nothing.
+    NULL times and keys match nothing. With ``totals`` (name to count, sum, min or max, and a column of the points or ``*``) the points come
+    added up: a few rows for each window, with its columns and the totals of a part of it, which the caller adds up (``MERGED``).
     """
     by, step = by or [], micros(base)
+    if totals:
+        return _added_up(points, windows, time, start, end, by, closed, totals)
     if clash := (set(points.columns) & set(windows.columns)) - set(by):
         raise ValueError(f"columns {sorted(clash)} are on both sides; rename them first")
     ranged = _scaled(windows, start, end, step, "w")
@@ -61,6 +69,44 @@ def interval_join(points: DataFrame, windows: DataFrame, time: str = "period", s
     return out.select(*points.columns, *[c for c in windows.columns if c not in by])
 
 
+def _added_up(points: DataFrame, windows: DataFrame, time: str, start: str, end: str, by: list[str], closed: str, totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """Windows with the totals of their parts: whole buckets, doubling in width, and two ends that meet single points.
+
+    A window has two whole buckets of each width at most, so its rows grow with the logarithm of its length and not with its points.
+    """
+    value = {n: F.lit(1).cast("bigint") if c == "*" else F.col(c).isNotNull().cast("bigint") if kind == "count" else F.col(c) for n, (kind, c) in totals.items()}
+    merged = {n: MERGED[kind] for n, (kind, _) in totals.items()}
+    timed = points.select(*by, _at(time).alias("_t"), *[v.alias(f"_v_{n}") for n, v in value.items()]).where("_t IS NOT NULL")
+    width = slice_width(timed, by, PER_BUCKET)
+    a, z, first, last, level, side = (F.col(c) for c in ("_a", "_z", "_first", "_last", "_level", "_side"))
+    # times are whole microseconds, so an open end is a closed one a microsecond further in
+    open_a, open_z = int(closed in ("right", "neither")), int(closed in ("left", "neither"))
+    ranged = windows.withColumns({"_a": _at(start) + open_a, "_z": _at(end) - open_z}).where(a <= z)
+    ranged = ranged.withColumns({"_first": _bucket(a, F.lit(0), width), "_last": _bucket(z, F.lit(0), width)})
+    span = ranged.agg(F.max(last - first)).first()[0] or 0
+
+    ends = ranged.withColumn("_side", F.explode(F.when(first == last, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    ends = ends.withColumns({"_from": F.timestamp_micros(F.when(side == 0, a).otherwise(last * width)), "_to": F.timestamp_micros(F.when(side == 1, z).otherwise(F.least(z, (first + 1) * width - 1)))})
+    kept = [F.col(c) for c in windows.columns]
+    met = interval_join(timed.withColumn("_moment", F.timestamp_micros("_t")).drop("_t"), ends.select(*windows.columns, "_from", "_to"), "_moment", "_from", "_to", by, f"{-(-width // 1_000_000)} seconds")
+    out = met.select(*kept, *[F.col(f"_v_{n}").alias(n) for n in totals])
+    if span < 2:
+        return out
+
+    # whole buckets lie from lo to hi at each width, hi left out; an odd lo, or the one before an odd hi, has no larger bucket to go into
+    doublings = range(int(span - 1).bit_length())
+    sides = F.array(*[F.struct(F.lit(k).alias("_level"), F.lit(x).alias("_side")) for k in doublings for x in (0, 1)])
+    lo, hi = F.ceil((first + 1) / F.pow(F.lit(2.0), level)).cast("bigint"), F.floor(last / F.pow(F.lit(2.0), level)).cast("bigint")
+    parts = ranged.where(last - first > 1).select(*kept, "_first", "_last", F.inline(sides)).withColumns({"_lo": lo, "_hi": hi})
+    odd = F.when(side == 0, F.pmod("_lo", F.lit(2))).otherwise(F.pmod("_hi", F.lit(2))) == 1
+    parts = parts.where((F.col("_lo") < F.col("_hi")) & odd).withColumn("_bucket", F.when(side == 0, F.col("_lo")).otherwise(F.col("_hi") - 1))
+    small = timed.groupBy(*by, _bucket(F.col("_t"), F.lit(0), width).alias("_b")).agg(*[f(f"_v_{n}").alias(f"_v_{n}") for n, f in merged.items()])
+    whole = small.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in doublings])))
+    whole = whole.groupBy(*by, "_level", F.floor(F.col("_b") / F.pow(F.lit(2.0), level)).cast("bigint").alias("_bucket")).agg(*[f(f"_v_{n}").alias(f"_v_{n}") for n, f in merged.items()])
+    joined = parts.join(whole, [*by, "_level", "_bucket"])
+    return out.unionByName(joined.select(*kept, *[F.col(f"_v_{n}").alias(n) for n in totals]))
+
+
 def overlap_join(a: DataFrame, b: DataFrame, start: str = "start", end: str = "end", other_start: str = "other_start", other_end: str = "other_end", by: list[str] | None = None, base: str = "1 hour") -> DataFrame:
     """Pairs of intervals of one key that share a moment, ends included; all columns of both.
 
