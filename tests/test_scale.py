@@ -251,6 +251,33 @@ def test_radius_join_over_poles_and_date_line(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_totals_of_a_radius_are_those_of_its_pairs(spark, monkeypatch):
+    from wattline.operators import places
+
+    rng = np.random.default_rng(9)
+
+    def some(n):
+        lat = np.concatenate([rng.uniform(-90, 90, n), rng.uniform(86, 90, n // 2), np.full(40, 12.5), [90, -90]])
+        lon = np.concatenate([rng.uniform(-180, 180, n + n // 2), np.full(40, 180.0), [0, 50]])
+        return [(i if i % 5 else None, float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon))] + [(7, None, 3.0), (8, 91.0, 0.0)]
+
+    p = spark.createDataFrame(some(600), "p int, lat double, lon double")
+    c = spark.createDataFrame(some(150) + some(3), "c int, centre_lat double, centre_lon double")
+    totals = {"n": ("count", "*"), "known": ("count", "p"), "first": ("min", "p"), "last": ("max", "p"), "nearest": ("min", "distance_km")}
+    by = ["c", "centre_lat", "centre_lon"]
+    wanted = places.radius_join(p, c, 700).groupBy(*by).agg(F.count("*").alias("n"), F.count("p").alias("known"), F.min("p").alias("first"), F.max("p").alias("last"), F.min("distance_km").alias("nearest"))
+
+    def rows(df):
+        return sorted(((r.c, round(r.centre_lat, 9), r.centre_lon), r.n, r.known, r.first, r.last, round(r.nearest, 6)) for r in df.collect() if r.c is not None)
+
+    assert rows(wanted)
+    for dense, points, centres in ((1, 7, 5), (1, 1 << 15, 1 << 13), (1 << 40, 1, 1), (60, 50, 20)):
+        monkeypatch.setattr(places, "DENSE", dense), monkeypatch.setattr(places, "POINTS", points), monkeypatch.setattr(places, "CENTRES", centres)
+        met = places.radius_join(p, c, 700, totals=totals)
+        got = met.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("nearest").alias("nearest"))
+        assert rows(got) == rows(wanted)
+
+
 def test_sketches_merge_within_their_bounds(spark):
     from wattline.operators import sketches
 

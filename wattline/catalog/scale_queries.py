@@ -254,8 +254,8 @@ _PLACES = {
 def _(t):
     spots = t.events.select("event_id", F.expr("((event_id * 7919) % 18001) / 100.0D - 90").alias("lat"), F.expr("((event_id * 104729) % 36001) / 100.0D - 180").alias("lon"))
     centres = t.customer.select(F.col("c_custkey").alias("centre"), F.expr("((c_custkey * 15485863) % 18001) / 100.0D - 90").alias("centre_lat"), F.expr("((c_custkey * 32452843) % 36001) / 100.0D - 180").alias("centre_lon"))
-    met = places.radius_join(spots, centres, 250)
-    return met.groupBy("centre").agg(F.count("*").alias("n"), F.min("distance_km").alias("nearest"), F.max("event_id").alias("last_event"))
+    met = places.radius_join(spots, centres, 250, totals={"n": ("count", "*"), "nearest": ("min", "distance_km"), "last_event": ("max", "event_id")})
+    return met.groupBy("centre").agg(F.sum("n").alias("n"), F.min("nearest").alias("nearest"), F.max("last_event").alias("last_event"))
 
 
 # --- sketches -------------------------------------------------------------------------------------
