@@ -188,3 +188,25 @@ def test_a_very_long_text_and_repeated_rows(spark):
     rows = found.collect()
     assert sorted((r.doc_id or 0) for r in rows) == sorted((i or 0) for i, _ in docs)
     assert all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id == 3}) == 1
+
+
+def test_the_sample_is_gone_before_documents_are_scored(spark, monkeypatch):
+    import os
+    import re
+
+    from wattline import lineage
+
+    folder = re.sub("^file:", "", lineage.shared_dir(spark))
+    old, seen, measure = set(os.listdir(folder)), [], toxicity.measured
+
+    def measured(of_docs, *args):
+        seen.append(({re.sub("-[0-9a-f]{32}$", "", x) for x in os.listdir(folder) if x not in old}, of_docs.count()))
+        return measure(of_docs, *args)
+
+    monkeypatch.setattr(toxicity, "measured", measured)
+    monkeypatch.setattr(toxicity, "BLOCK", 1)
+    docs = spark.createDataFrame([(i, f"some words of {i} and {i % 7}") for i in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    assert toxicity.score(docs, labels).count() == 160
+    assert "sample" in seen[0][0] and not any("sample" in names for names, _ in seen[1:])
+    assert sum(n for _, n in seen[1:]) == 160 and max(n for _, n in seen[1:]) <= 160 // 4
