@@ -340,3 +340,28 @@ def test_empty_tables(spark, none):
     assert contamination.contained(one, bench.where("false")).count() == 0 and contamination.clean(one, bench.where("false")).count() == 1
     assert toxicity.score(one, labels.where("false")).count() == 1
     assert one.select(F.col("text")).count() == 1
+
+
+def test_tables_of_the_jaccard_join_go_when_read(spark, monkeypatch):
+    import os
+    import re
+
+    from wattline import lineage
+
+    def there():
+        return {re.sub("-[0-9a-f]{32}$", "", x) for x in os.listdir(re.sub("^file:", "", lineage.shared_dir(spark))) if x not in old}
+
+    old = set(os.listdir(re.sub("^file:", "", lineage.shared_dir(spark))))
+    seen, check = [], overlap.verified
+
+    def verified(*args):
+        seen.append(there())
+        return check(*args)
+
+    monkeypatch.setattr(overlap, "verified", verified)
+    words = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, f"{words} x{i // 2} {words if i % 2 else ''} y{i}") for i in range(12)] + [(99, "")], "doc_id long, text string")
+    found = overlap.classes(docs)
+    assert len(seen) == 2 and all("sketches" in x and "described" not in x and "wanted" not in x for x in seen) and "postings" not in seen[1]
+    assert not there() & {"described", "documents", "sets", "sketches", "lists", "postings", "active", "texts"}
+    assert found.count() == 13
