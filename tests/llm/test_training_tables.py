@@ -187,3 +187,20 @@ def test_double_vectors_are_not_narrowed(spark):
     rows = [(1, huge), (2, huge), (3, [0.0, 1.0]), (4, [near, 1.0]), (5, [1.0, 1.0]), (6, [1e-300, 1e-300]), (7, [float("inf"), 1.0])]
     found = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7)}
+
+
+def test_a_vector_travels_once_to_a_region(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKING", 64)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    x[300:] = x[:300] + rng.normal(scale=0.05, size=(300, 16))
+    vectors = spark.createDataFrame([(i, 1, [float(c) for c in v]) for i, v in enumerate(x)], f"{neighbours.ROW} long, copies long, embedding array<double>").cache()
+    index, reach = neighbours.fit(vectors, 600, 16), math.sqrt(0.1)
+    assert len(index.centres) == 24 and sorted(index.region) == list(index.region) and 1 < len(set(index.region)) <= 3
+    rows = neighbours.coded(vectors, index, reach).cache()
+    assert rows.where("asks").groupBy(neighbours.ROW, "region").count().where("count > 1").isEmpty()
+    assert rows.count() <= 600 * (1 + len(set(index.region))) and rows.where("NOT asks").count() == 600
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.95).sum(1) - 1
+    found = {r[0]: r[1] for r in neighbours.searched(rows, index, 0.95).groupBy(neighbours.ROW).agg({"n": "sum"}).collect()}
+    assert [found.get(i, 0) for i in range(600)] == wanted.tolist() and wanted.sum() > 400
