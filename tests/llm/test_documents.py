@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,28 @@ def test_ids_equal_the_library():
     assert encode.ids(texts) == [encode.exact(t) for t in texts]
 
 
+def test_ids_of_long_runs():
+    encode = tokens.encoder(queries.TOKENIZER)
+    n = 1 << 16
+    texts = [" " * 1_500_000 + "x", "x" + " " * 1_500_000, " \n" * 700_000 + "a", *("a  b 1" * (n // 6) + "c" * k for k in range(4, 7)), "é " * n, " " * (n - 2) + "x"]
+    for t in texts:
+        assert encode.ids([t]) == [encode.exact(t)]
+
+
+def test_ids_take_little_more_than_the_merges():
+    encode = tokens.encoder(queries.TOKENIZER)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 12))) for _ in range(300)) for _ in range(1500)]
+
+    def seconds(do):
+        at = time.process_time()
+        do()
+        return time.process_time() - at
+
+    merges = min(seconds(lambda: [encode.core.encode_ordinary(t) for t in texts]) for _ in range(3))
+    assert min(seconds(lambda: encode.ids(texts)) for _ in range(3)) < 1.6 * merges
+
+
 def best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
