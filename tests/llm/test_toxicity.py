@@ -210,3 +210,48 @@ def test_the_sample_is_gone_before_documents_are_scored(spark, monkeypatch):
     assert toxicity.score(docs, labels).count() == 160
     assert "sample" in seen[0][0] and not any("sample" in names for names, _ in seen[1:])
     assert sum(n for _, n in seen[1:]) == 160 and max(n for _, n in seen[1:]) <= 160 // 4
+
+
+def test_no_task_holds_two_python_workers(spark, monkeypatch):
+    import re
+
+    from wattline import lineage
+
+    def workers(df):
+        """Python steps on a way through the plan without an exchange between, at most."""
+        path, most = [], 0
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            lead = re.match(r"[ :+-]*", line)[0]
+            del path[len(lead) // 3 :]
+            name = re.sub(r"^[*^]?(\(\d+\) )?", "", line[len(lead) :])
+            above = path[-1] if path else 0
+            path.append(0 if re.match(r"\w*Exchange", name) else above + bool(re.search(r"^\w*(Arrow|Python|Pandas)", name)))
+            most = max(most, path[-1])
+        return most
+
+    seen = {}
+
+    def stage(df, name="stage"):
+        seen[name] = max(seen.get(name, 0), workers(df))
+        return lineage.stage(df, name)
+
+    monkeypatch.setattr(toxicity, "stage", stage)
+    docs = spark.createDataFrame([(i, f"some words of {i} and {i % 7}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.kept(docs, labels)
+    assert {"lessons", "sample", "pairs", "words", "blocks", "measured"} <= set(seen)
+    assert max(seen.values()) == 1, seen
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_opened_texts_come_in_the_blocks_they_make(monkeypatch, limit):
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(toxicity, "BLOCK", limit)
+    texts = [b"", b"x" * 30, b"y" * 10, b"z" * 90, b"", b"w" * 7, b"v" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(x) for x in texts]), pa.array(range(7), pa.int32())], names=["text", "toxic"])
+    plain = pa.RecordBatch.from_arrays([pa.array(texts), batch.column(1)], names=["text", "toxic"])
+    wanted = [rows.to_pylist() for rows, _, _ in text.blocks(iter([plain]), "text", limit)]
+    found = [rows.to_pylist() for rows, _, _ in text.blocks(toxicity.swollen(iter([batch, batch.slice(0, 0)]), "text"), "text", limit)]
+    assert found == wanted
