@@ -388,3 +388,34 @@ def test_tables_of_the_jaccard_join_go_when_read(spark, monkeypatch):
     assert len(seen) == 2 and all("sketches" in x and "described" not in x and "wanted" not in x for x in seen) and "postings" not in seen[1]
     assert not there() & {"described", "documents", "sets", "sketches", "lists", "postings", "active", "texts"}
     assert found.count() == 13
+
+
+def test_near_copies_are_compared_slice_by_slice(spark, monkeypatch):
+    """Where every document has near copies, no step writes all lists, and texts travel once to be stored."""
+    monkeypatch.setattr(overlap, "SLICE_BYTES", 100, raising=False)
+    monkeypatch.setattr(overlap, "MOST", 3, raising=False)
+    written, write, limit = [], overlap.stage, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+
+    def stage(df, name="stage", *more):
+        if name == "texts":
+            spark.conf.set(limit, "-1")
+            written.append(("travels", df._jdf.queryExecution().executedPlan().toString().count("Exchange")))
+            spark.conf.set(limit, before)
+        out = write(df, name, *more)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(overlap, "stage", stage)
+    rng, rows = random.Random(7), []
+    for g in range(4):
+        words = [f"w{g}x{i}" for i in range(120)]
+        for c in range(4):
+            rows.append((100 * g + c, " ".join(words[:60] + [f"y{rng.random()}"] + words[60 + (c == 3) * 40 :])))
+    rows += [rows[5], (None, rows[9][1]), (7, ""), (8, None)]
+    found = overlap.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in found), key=str) == groups_of(rows)
+    posts = [n for name, n in written if name == "postings"]
+    assert max(posts) < sum(posts) / 4
+    # the texts, the rows they go to, and the two tables behind those
+    assert [n for name, n in written if name == "travels"] == [2]
