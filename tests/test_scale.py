@@ -123,6 +123,49 @@ def test_overlaps_and_flags(make):
     assert not any(r.in_window for r in intervals.flag_windows(points, none).collect()) and intervals.overlap_join(none, right).count() == 0
 
 
+def test_overlap_totals_as_brute_force(make, monkeypatch):
+    monkeypatch.setattr(intervals, "PER_BUCKET", 2)
+    rng = np.random.default_rng(15)
+
+    def some(n):
+        rows = [(i, "AB"[i % 2], int(a), int(a + rng.choice([0, 1, 7, 61, 600, 4000]))) for i, a in enumerate(rng.integers(-200, 3000, n))]
+        return rows + [rows[0], rows[1], (n, None, 5, 9), (n + 1, "A", None, 9), (n + 2, "A", 9, None), (n + 3, "B", 9, 4)]
+
+    a, b = some(90), [(None if i % 13 == 0 else i, *more) for i, *more in some(70)]
+    left = make([(i, k, at(x), at(y)) for i, k, x, y in a], "l int, ba_code string, start string, end string", ("start", "end"))
+    right = make([(i, k, at(x), at(y)) for i, k, x, y in b], "r int, ba_code string, other_start string, other_end string", ("other_start", "other_end"))
+    met = intervals.overlap_join(left, right, by=["ba_code"], totals={"n": ("count", "*"), "known": ("count", "r"), "first": ("min", "r")})
+    got = {r.l: (r.n, r.known, r.first) for r in met.groupBy("l").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.min("first").alias("first")).collect()}
+    met_by = {}
+    for i, k, x, y in a:
+        met_by.setdefault(i, []).extend(j for j, k2, u, v in b if k == k2 and None not in (k, x, y, u, v) and x <= y and u <= v and x <= v and u <= y)
+    known = {i: [j for j in js if j is not None] for i, js in met_by.items()}
+    assert got == {i: (len(js), len(known[i]), min(known[i], default=None)) for i, js in met_by.items() if js}
+    # rows don't grow with what is overlapped
+    assert met.groupBy("l", "start").count().agg(F.max("count")).first()[0] < 60 and max(n for n, *_ in got.values()) > 25
+
+
+def test_an_order_on_both_sides_does_not_overlap_itself(spark):
+    from wattline.catalog import bindings, scale_queries  # noqa: F401
+    from wattline.catalog.registry import QUERIES
+
+    rng = np.random.default_rng(16)
+    # few keys, so that many come on both sides, and long windows
+    rows = [(int(rng.integers(1, 40)), int(rng.integers(0, 3)), ["1-URGENT", "5-LOW", "3-MEDIUM"][rng.integers(0, 3)], float(rng.integers(10, 9_000_000))) for _ in range(200)] + [(None, 1, "1-URGENT", 9e6), (None, 1, "5-LOW", 9e6)]
+    folder = fresh_dir(spark, "both")
+    frame = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double")
+    frame.write.parquet(f"{folder}/orders.parquet")
+    area = {r.o_custkey: r.ba for r in frame.select("o_custkey", bindings.ba("o_custkey").alias("ba")).distinct().collect()}
+    timed = [(k, area[c], p, k * 104729 % scale_queries.MONTH, k * 104729 % scale_queries.MONTH + int(v // 10)) for k, c, p, v in rows if k is not None]
+    wanted = {}
+    for k, c, p, x, y in timed:
+        for j, c2, p2, u, v in timed:
+            if p == "1-URGENT" and p2 == "5-LOW" and c == c2 and k != j and x <= v and u <= y:
+                wanted.setdefault(k, []).append(j)
+    got = {r.window_id: (r.n, r.first_other) for r in QUERIES["overlap_join"](spark, folder).collect()}
+    assert got == {k: (len(js), min(js)) for k, js in wanted.items()} and any(js[0] > k for k, js in wanted.items())
+
+
 def test_rolling_refit_as_least_squares(make):
     rng = np.random.default_rng(6)
     value = {(h, a): 50 + 20 * np.sin(h / 3.8) + 5 * (h // 24 % 7) + rng.normal() for h in range(24 * 20) for a in "AB" if rng.random() < 0.95}

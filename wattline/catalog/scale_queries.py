@@ -112,8 +112,24 @@ def _(t):
 def _(t):
     w = _windows(t)
     others = w.where("label = '5-LOW'").select(F.col("window_id").alias("other"), "ba_code", F.col("w_start").alias("o_start"), F.col("w_end").alias("o_end"))
-    met = intervals.overlap_join(w.where("label = '1-URGENT'"), others, "w_start", "w_end", "o_start", "o_end", ["ba_code"], base="15 minutes").where("window_id <> other")
-    return met.groupBy("window_id").agg(F.count("*").alias("n"), F.min("other").alias("first_other"))
+    mine, totals = w.where("label = '1-URGENT' AND window_id IS NOT NULL"), {"n": ("count", "other"), "first_other": ("min", "other")}
+    ends = ("w_start", "w_end", "o_start", "o_end")
+    met = intervals.overlap_join(mine, others, *ends, ["ba_code"], totals=totals)
+    met = stage(met.groupBy("window_id").agg(F.sum("n").alias("n"), F.min("first_other").alias("first_other")).where("n > 0"), "overlaps")
+    # an order that comes more than once can be on both sides; it does not count for itself
+    own = others.withColumn("window_id", F.col("other"))
+    twice = stage(mine.select("ba_code", "window_id").join(own.select("ba_code", "window_id"), ["ba_code", "window_id"], "left_semi").distinct(), "twice")
+    if twice.isEmpty():
+        return met
+    sides = (df.join(twice, ["ba_code", "window_id"], "left_semi") for df in (mine, own))
+    itself = intervals.overlap_join(*sides, *ends, ["ba_code", "window_id"], totals={"same": ("count", "other")})
+    met = met.join(itself.groupBy("window_id").agg(F.sum("same").alias("same")), "window_id", "left")
+    met = stage(met.select("window_id", (F.col("n") - F.coalesce("same", F.lit(0))).alias("n"), "first_other").where("n > 0"), "overlaps")
+    # where the order itself is the first of those it meets, the next one counts: few, as each of those it meets comes later
+    late = mine.join(met.where("window_id = first_other").select("window_id"), "window_id", "left_semi")
+    others = intervals.overlap_join(late, others, *ends, ["ba_code"], base="15 minutes").where("window_id <> other")
+    others = others.groupBy("window_id").agg(F.min("other").alias("next_other"))
+    return met.join(others, "window_id", "left").select("window_id", "n", F.coalesce("next_other", "first_other").alias("first_other"))
 
 
 @query(

@@ -74,9 +74,8 @@ def _added_up(points: DataFrame, windows: DataFrame, time: str, start: str, end:
 
     A window has two whole buckets of each width at most, so its rows grow with the logarithm of its length and not with its points.
     """
-    value = {n: F.lit(1).cast("bigint") if c == "*" else F.col(c).isNotNull().cast("bigint") if kind == "count" else F.col(c) for n, (kind, c) in totals.items()}
     merged = {n: MERGED[kind] for n, (kind, _) in totals.items()}
-    timed = points.select(*by, _at(time).alias("_t"), *[v.alias(f"_v_{n}") for n, v in value.items()]).where("_t IS NOT NULL")
+    timed = points.select(*by, _at(time).alias("_t"), *_values(totals)).where("_t IS NOT NULL")
     width = slice_width(timed, by, PER_BUCKET)
     a, z, first, last, level, side = (F.col(c) for c in ("_a", "_z", "_first", "_last", "_level", "_side"))
     # times are whole microseconds, so an open end is a closed one a microsecond further in
@@ -93,13 +92,8 @@ def _added_up(points: DataFrame, windows: DataFrame, time: str, start: str, end:
     if span < 2:
         return out
 
-    # whole buckets lie from lo to hi at each width, hi left out; an odd lo, or the one before an odd hi, has no larger bucket to go into
     doublings = range(int(span - 1).bit_length())
-    sides = F.array(*[F.struct(F.lit(k).alias("_level"), F.lit(x).alias("_side")) for k in doublings for x in (0, 1)])
-    lo, hi = F.ceil((first + 1) / F.pow(F.lit(2.0), level)).cast("bigint"), F.floor(last / F.pow(F.lit(2.0), level)).cast("bigint")
-    parts = ranged.where(last - first > 1).select(*kept, "_first", "_last", F.inline(sides)).withColumns({"_lo": lo, "_hi": hi})
-    odd = F.when(side == 0, F.pmod("_lo", F.lit(2))).otherwise(F.pmod("_hi", F.lit(2))) == 1
-    parts = parts.where((F.col("_lo") < F.col("_hi")) & odd).withColumn("_bucket", F.when(side == 0, F.col("_lo")).otherwise(F.col("_hi") - 1))
+    parts = _whole_buckets(ranged, kept, doublings)
     small = timed.groupBy(*by, _bucket(F.col("_t"), F.lit(0), width).alias("_b")).agg(*[f(f"_v_{n}").alias(f"_v_{n}") for n, f in merged.items()])
     whole = small.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in doublings])))
     whole = whole.groupBy(*by, "_level", F.floor(F.col("_b") / F.pow(F.lit(2.0), level)).cast("bigint").alias("_bucket")).agg(*[f(f"_v_{n}").alias(f"_v_{n}") for n, f in merged.items()])
@@ -107,12 +101,70 @@ def _added_up(points: DataFrame, windows: DataFrame, time: str, start: str, end:
     return out.unionByName(joined.select(*kept, *[F.col(f"_v_{n}").alias(n) for n in totals]))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, start: str = "start", end: str = "end", other_start: str = "other_start", other_end: str = "other_end", by: list[str] | None = None, base: str = "1 hour") -> DataFrame:
+def _values(totals: dict[str, tuple[str, str]]) -> list[Column]:
+    """What each row gives to the totals, as ``_v_`` and the name."""
+    one = {n: F.lit(1).cast("bigint") if c == "*" else F.col(c).isNotNull().cast("bigint") if kind == "count" else F.col(c) for n, (kind, c) in totals.items()}
+    return [v.alias(f"_v_{n}") for n, v in one.items()]
+
+
+def _whole_buckets(ranged: DataFrame, kept: list[Column], doublings: range) -> DataFrame:
+    """The buckets, doubling in width, that fill what lies between the first and the last bucket of each window.
+
+    They lie from lo to hi at each width, hi left out; an odd lo, or the one before an odd hi, has no larger bucket to go into.
+    """
+    first, last, level, side = (F.col(c) for c in ("_first", "_last", "_level", "_side"))
+    sides = F.array(*[F.struct(F.lit(k).alias("_level"), F.lit(x).alias("_side")) for k in doublings for x in (0, 1)])
+    lo, hi = F.ceil((first + 1) / F.pow(F.lit(2.0), level)).cast("bigint"), F.floor(last / F.pow(F.lit(2.0), level)).cast("bigint")
+    parts = ranged.where(last - first > 1).select(*kept, "_first", "_last", F.inline(sides)).withColumns({"_lo": lo, "_hi": hi})
+    odd = F.when(side == 0, F.pmod("_lo", F.lit(2))).otherwise(F.pmod("_hi", F.lit(2))) == 1
+    return parts.where((F.col("_lo") < F.col("_hi")) & odd).withColumn("_bucket", F.when(side == 0, F.col("_lo")).otherwise(F.col("_hi") - 1))
+
+
+def _lasting(a: DataFrame, b: DataFrame, start: str, end: str, other_start: str, other_end: str, by: list[str], totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """Intervals of ``a`` with the totals of those of ``b`` that began before them and last until their start or longer.
+
+    The other way round than ``_added_up``: intervals of ``b`` are added up in the whole buckets they fill, and the two ends of each meet single starts.
+    """
+    merged = {n: MERGED[kind] for n, (kind, _) in totals.items()}
+    sums = [f(f"_v_{n}").alias(f"_v_{n}") for n, f in merged.items()]
+    t, first, last, level, side, bucket = (F.col(c) for c in ("_t", "_first", "_last", "_level", "_side", "_bucket"))
+    mine = a.withColumns({"_t": _at(start)}).where(t <= _at(end))
+    moments = mine.select(*by, "_t").distinct()
+    width = slice_width(moments, by, PER_BUCKET)
+    base = _bucket(t, F.lit(0), width)
+    lasting = b.select(*by, (_at(other_start) + 1).alias("_a"), _at(other_end).alias("_z"), *_values(totals)).where("_a <= _z")
+    lasting = lasting.withColumns({"_first": _bucket(F.col("_a"), F.lit(0), width), "_last": _bucket(F.col("_z"), F.lit(0), width)})
+    span = lasting.agg(F.max(last - first)).first()[0] or 0
+
+    ends = lasting.withColumn("_side", F.explode(F.when(first == last, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).withColumn("_bucket", F.when(side == 0, first).otherwise(last))
+    met = moments.withColumn("_bucket", base).join(ends.drop("_first", "_last", "_side"), [*by, "_bucket"]).where((F.col("_a") <= t) & (t <= F.col("_z")))
+    met = met.groupBy(*by, "_t").agg(*sums)
+    kept = [F.col(c) for c in a.columns]
+    out = mine.join(met, [*by, "_t"]).select(*kept, *[F.col(f"_v_{n}").alias(n) for n in totals])
+    if span < 2:
+        return out
+
+    doublings = range(int(span - 1).bit_length())
+    filled = _whole_buckets(lasting, [F.col(c) for c in (*by, *[f"_v_{n}" for n in totals])], doublings).groupBy(*by, "_level", "_bucket").agg(*sums)
+    up = F.explode(F.array(*[F.lit(k) for k in doublings]))
+    asked = moments.select(*by, base.alias("_base")).distinct().withColumn("_level", up).withColumn("_bucket", F.floor(F.col("_base") / F.pow(F.lit(2.0), level)).cast("bigint"))
+    filled = asked.join(filled, [*by, "_level", "_bucket"]).groupBy(*by, "_base").agg(*sums)
+    joined = mine.withColumn("_base", base).join(filled, [*by, "_base"])
+    return out.unionByName(joined.select(*kept, *[F.col(f"_v_{n}").alias(n) for n in totals]))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, start: str = "start", end: str = "end", other_start: str = "other_start", other_end: str = "other_end", by: list[str] | None = None, base: str = "1 hour", totals: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Pairs of intervals of one key that share a moment, ends included; all columns of both.
 
-    A pair meets at the coarser of its two scales, and is kept in the first bucket that both lie in.
+    A pair meets at the coarser of its two scales, and is kept in the first bucket that both lie in. With ``totals`` (name to count, sum, min or
+    max, and a column of ``b`` or ``*``) there are no pairs: an interval of ``a`` comes in a few rows, with totals of parts of what it
+    overlaps, which the caller adds up (``MERGED``). What it overlaps either begins inside it or lasts at its start.
     """
     by, step = by or [], micros(base)
+    if totals:
+        whole = b.where(_at(other_start) <= _at(other_end))
+        inside = _added_up(whole, a, other_start, start, end, by, "both", totals)
+        return inside.unionByName(_lasting(a, whole, start, end, other_start, other_end, by, totals))
     if clash := (set(a.columns) & set(b.columns)) - set(by):
         raise ValueError(f"columns {sorted(clash)} are on both sides; rename them first")
     left, right = _scaled(a, start, end, step, "l").withColumnRenamed("_level", "_lo"), _scaled(b, other_start, other_end, step, "r").withColumnRenamed("_level", "_ro")
