@@ -419,3 +419,8 @@ def test_near_copies_are_compared_slice_by_slice(spark, monkeypatch):
     assert max(posts) < sum(posts) / 4
     # the texts, the rows they go to, and the two tables behind those
     assert [n for name, n in written if name == "travels"] == [2]
+
+
+def test_documents_that_share_nothing(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(3)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in overlap.classes(docs).collect()) == [(0, 0), (1, 1), (2, 2)]
